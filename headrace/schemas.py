@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+KINDS = {"STRING": T.StringType(), "INT": T.IntegerType(), "BIGINT": T.LongType(), "DOUBLE": T.DoubleType()}
+
+
+def struct(fields: str) -> T.StructType:
+    """``name TYPE, ...`` without a running session."""
+    pairs = (field.split() for field in fields.split(","))
+    return T.StructType([T.StructField(name, KINDS[kind]) for name, kind in pairs])
 
 
 FLOW = struct(

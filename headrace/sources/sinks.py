@@ -22,7 +22,9 @@ def metric_rows(df: DataFrame, topic: str, metric: str | Column, nat: str | Colu
 
     def val(v):
         return F.lit(None).cast("double") if v is None else (F.col(v) if isinstance(v, str) else v)
-    made = df.select("*", F.lit(topic).alias("topic"), text(metric).alias("metric"), text(param).alias("param"),
+    new = {"topic", "metric", "param", "value_nat", "value_reg", "delta", "ratio", "year_agg", "notes"}
+    kept = [c for c in df.columns if c not in new]
+    made = df.select(*kept, F.lit(topic).alias("topic"), text(metric).alias("metric"), text(param).alias("param"),
                      *tidy(val(nat), val(reg)), F.lit(year_agg).alias("year_agg"), text(notes).alias("notes"))
     return optional_columns(made, METRIC)
 
