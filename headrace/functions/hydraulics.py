@@ -33,7 +33,7 @@ def depth_coefficient(slope: ColumnLike) -> Column:
 
 def channel_depth(q: ColumnLike, slope: ColumnLike) -> Column:
     """X-10: flow depth, m; both forms share the exponent 0.3."""
-    return depth_coefficient(slope) * F.pow(F.greatest(col(q), F.lit(0.0)), F.lit(DEPTH_EXP))
+    return depth_coefficient(slope) * F.pow(clip(q, 0.0), F.lit(DEPTH_EXP))
 
 
 def head_from_volume(volume_m3: ColumnLike, c: ColumnLike, d: ColumnLike) -> Column:

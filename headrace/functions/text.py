@@ -75,8 +75,8 @@ def explode_list(df: DataFrame, column: str, separator: str, out: str) -> DataFr
 def cascade_edges(topology: DataFrame, station: str = "station_name",
                   upstream: str = "direct_upstream_stations") -> DataFrame:
     """P-12: ``Name (ch12,...,tau=3); ...`` to edges (up, down, tau_h); no tau means 0."""
-    entry = F.trim(F.explode(F.split(F.col(upstream), ";")))
-    rows = topology.select(F.col(station).alias("down"), entry.alias("entry")).filter("entry <> ''")
+    listed = topology.select(F.col(station).alias("down"), F.explode(F.split(F.col(upstream), ";")).alias("entry"))
+    rows = listed.select("down", F.trim("entry").alias("entry")).filter("entry <> ''")
     return rows.select(
         F.trim(F.regexp_replace("entry", r"\s*\(ch.*$", "")).alias("up"),
         "down",

@@ -173,11 +173,11 @@ def station_emission_factor(stations: DataFrame) -> DataFrame:
     zone = climate_zone("lat")
     for name, value in ZONE_FLUX.items():
         flux = F.when(zone == name, value) if flux is None else flux.when(zone == name, value)
-    fallback = F.least(F.lit(ZONE_CAP), F.try_divide(flux * F.col("area_km2"), F.when(F.col("gen_gwh") > 0, F.col("gen_gwh"))))
+    fallback = clip(F.try_divide(flux * F.col("area_km2"), F.when(F.col("gen_gwh") > 0, F.col("gen_gwh"))), None, ZONE_CAP)
     bad = F.coalesce("geom_implausible", F.lit(False))
     mapped = F.col("ef_gco2kwh")
     zoned = F.when(F.col("area_km2").isNotNull(), fallback)
-    ef = F.when(bad, F.lit(None).cast("double")).when(mapped.isNotNull(), F.least(F.lit(RESERVOIR_CAP), mapped)).otherwise(zoned)
+    ef = F.when(bad, F.lit(None).cast("double")).otherwise(F.coalesce(clip(mapped, None, RESERVOIR_CAP), zoned))
     source = (F.when(bad, "geom_implausible").when(mapped.isNotNull(), "reservoir")
               .when(zoned.isNotNull(), "zone-flux").otherwise(""))
     return stations.select("*", ef.alias("hydro_ef"), source.alias("ef_source"))
@@ -238,7 +238,7 @@ def centre_carbon(summary: DataFrame, factors: DataFrame, keys: Sequence[str],
             at = at.withColumn(band, F.when(missing, F.col("__m") * k).otherwise(F.col(band)))
     need = F.col("dc_mean_mw") * HOURS_PER_YEAR
     hydro = F.least("supply_mw", "dc_mean_mw") * HOURS_PER_YEAR
-    at = at.filter(F.col("supply_mw").isNotNull()).select(
+    at = at.filter(F.col("supply_mw").isNotNull() & F.col("dc_mean_mw").isNotNull()).select(
         *keys, "scenario", "grid_central", "grid_upper", need.alias("need_mwh"), hydro.alias("hydro_mwh"),
         F.greatest(F.lit(0.0), need - hydro).alias("short_mwh"),
         F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(f"ef_{b}").alias("ef"))
@@ -270,7 +270,7 @@ def exporting_station_factor(allocation: DataFrame, stations: DataFrame, keys: S
     method = (F.when(F.col("ef_gco2kwh").isNotNull(), "reservoir").when(by_gen.isNotNull(), "generation")
               .when(by_cap.isNotNull(), "capacity-estimate"))
     at = allocation.join(stations, "station").select(
-        *keys, F.least(F.lit(RESERVOIR_CAP), ef).alias("ef"), method.alias("method"),
+        *keys, clip(ef, None, RESERVOIR_CAP).alias("ef"), method.alias("method"),
         F.coalesce("allocated_mw", F.lit(0.0)).alias("w")).filter(F.col("ef").isNotNull())
     parts = at.groupBy(*keys, "method").agg(F.sum("w").alias("w"), F.sum(F.col("ef") * F.col("w")).alias("ew"))
     return parts.groupBy(*keys).agg(

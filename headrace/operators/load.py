@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headrace.functions import calendar as cal
-from headrace.functions.core import weighted_mean
+from headrace.functions.core import clip, weighted_mean
 from headrace.operators.series import roll_hours
 
 FIRST_YEAR, LAST_YEAR = 2027, 2040
@@ -127,10 +127,10 @@ def monthly_coverage(hourly: DataFrame, keys: Sequence[str]) -> DataFrame:
     sums = hourly.groupBy(*keys, "year", cal.month_of("year", "hoy").alias("month")).agg(
         F.sum("firm_mw").alias("firm"), F.sum("load_mw").alias("load"))
     pct = 100 * F.try_divide("firm", "load")
-    return sums.select(*keys, "year", "month", F.when(pct.isNotNull(), F.greatest(F.least(pct, F.lit(100.0)), F.lit(0.0))).alias("coverage_pct"))
+    return sums.select(*keys, "year", "month", clip(pct, 0.0, 100.0).alias("coverage_pct"))
 
 
 def demand_weighted(df: DataFrame, keys: Sequence[str], value: str, weight: str) -> DataFrame:
     """V-1, V-8: weighted mean and median by group."""
     return df.groupBy(*keys).agg(
-        weighted_mean(value, F.greatest(F.col(weight), F.lit(1e-6))).alias("weighted"), F.percentile(value, F.lit(0.5)).alias("median"))
+        weighted_mean(value, clip(weight, 1e-6)).alias("weighted"), F.percentile(value, F.lit(0.5)).alias("median"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headrace.functions import calendar as cal
-from headrace.functions.core import ColumnLike, col, ratio
+from headrace.functions.core import ColumnLike, clip, col, ratio
 from headrace.functions.hydraulics import flow_for_power, power_mw, pump_flow, turbine_efficiency
 
 OUTAGE_MAX = 0.000274  # fixed value: share of hours a firm target may be missed
@@ -18,8 +18,8 @@ def run_of_river_power(flow: DataFrame) -> DataFrame:
     """R-1: min(min(Q, Qmax) at efficiency and head, rated power), MW."""
     eta = turbine_efficiency("head_m")
     q_max = flow_for_power("capacity_mw", "head_m", eta)
-    made = power_mw(F.least("q", q_max), "head_m", eta)
-    return flow.withColumn("p_mw", F.when(F.col("q").isNotNull(), F.least(made, F.col("capacity_mw"))))
+    made = power_mw(clip("q", None, q_max), "head_m", eta)
+    return flow.withColumn("p_mw", clip(made, None, F.col("capacity_mw")))
 
 
 def firm_capacity(power: DataFrame, keys: Sequence[str], p: ColumnLike = "p_mw", load: ColumnLike = "load",
@@ -136,7 +136,7 @@ def ps_net_flow(ps: DataFrame) -> DataFrame:
     eta = turbine_efficiency("head_m")
     gen, pump = flow_for_power("gen_mw", "head_m", eta), pump_flow("pump_mw", "head_m")
     return ps.withColumn("q_gen", gen).withColumn("q_pump", pump).withColumn(
-        "q_out", F.greatest(F.col("q") + F.col("q_gen") - F.col("q_pump"), F.lit(0.0)))
+        "q_out", clip(F.col("q") + F.col("q_gen") - F.col("q_pump"), 0.0))
 
 
 def tighten_bounds(trials: DataFrame, tolerance: float = 1.0) -> DataFrame:

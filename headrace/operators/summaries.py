@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from headrace.functions.core import first_match, ratio, weighted_mean
+from headrace.functions.core import clip, first_match, ratio, weighted_mean
 from headrace.functions.text import sign_class
 from headrace.operators.ranking import top_per_group
 
@@ -82,7 +82,7 @@ def weighted_spread(df: DataFrame, keys: Sequence[str], value: str, weight: str)
     v, w = F.col(value), F.when(F.col(value).isNotNull(), F.col(weight))
     mean = F.try_divide(F.sum(w * v), F.sum(w))
     spread = F.try_divide(F.sum(w * v * v), F.sum(w)) - mean * mean
-    sd = F.sqrt(F.greatest(spread, F.lit(0.0)))
+    sd = F.sqrt(clip(spread, 0.0))
     return df.groupBy(*keys).agg(mean.alias("wmean"), sd.alias("wsd"), F.count(v).alias("n"),
                                  (sd / F.sqrt(F.count(v).cast("double"))).alias("se"))
 
@@ -206,7 +206,7 @@ def equity_master(regions: DataFrame) -> DataFrame:
     """V-19: domestic share and the grid factor implied by intensity and avoided carbon."""
     need = F.col("dc_mean_mw")
     return regions.select(
-        "*", (100 * F.try_divide(F.least("supply_c_mw", need), need)).alias("dom_share_pct"),
+        "*", (100 * F.try_divide(clip("supply_c_mw", None, need), need)).alias("dom_share_pct"),
         (F.col("net_carbon_avoided") / 1e6).alias("carbon_mt"),
         (F.col("dc_carbon_intensity") + F.try_divide(F.col("net_carbon_avoided") * 1000.0, need * 8760.0)).alias("ef_grid"))
 
@@ -215,7 +215,7 @@ def income_rollup(master: DataFrame, keys: Sequence[str] = ("income_group",)) ->
     """V-20: totals and domestic share by income group, with the group's share of avoided carbon."""
     sums = master.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_regions"), F.sum("dc_mean_mw").alias("dc_mean_mw"),
-        F.sum(F.least("supply_c_mw", "dc_mean_mw")).alias("firm_to_dc_mw"),
+        F.sum(F.when(F.col("dc_mean_mw").isNotNull(), clip("supply_c_mw", None, F.col("dc_mean_mw")))).alias("firm_to_dc_mw"),
         F.sum("grid_resid_c_mw").alias("firm_to_grid_mw"),
         F.sum(F.when(F.col("carbon_mt") > 0, F.col("carbon_mt"))).alias("carbon_mt"))
     return sums.select("*", (100 * F.try_divide("firm_to_dc_mw", "dc_mean_mw")).alias("dom_share_pct"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headrace.functions import calendar as cal
+from headrace.functions.core import clip
 from headrace.operators import graph
 from headrace.operators import series as S
 
@@ -96,7 +97,7 @@ def reliability(monthly: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
     n, need = F.when(F.col("n") > 0, F.col("n")), F.col("need")
     rel = (n - F.col("n_fail")) / n
-    vul = F.when(n.isNotNull(), F.coalesce(F.least(F.lit(1.0), F.col("mean_gap") / need), F.lit(0.0)))
+    vul = F.when(n.isNotNull(), F.coalesce(clip(F.col("mean_gap") / need, None, 1.0), F.lit(0.0)))
     res = F.when(n.isNotNull(), F.when(F.col("n_fail") > 0, F.col("n_rec") / F.col("n_fail")).otherwise(1.0))
     step = sums.select(*keys, F.coalesce("efr_compliance", F.lit(0.0)).alias("efr_compliance"),
                        rel.alias("rel"), vul.alias("vul"), res.alias("res"), "n", "n_fail", "n_all", "s", "need", "gap")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("impact",)
+TOPICS = ("impact", "dispatch", "carbon")
 
 
 def load_all() -> None:

@@ -52,19 +52,19 @@ def _stci(spark, d):
 
 
 @query("sediment_transport_ratio", rounded_sql(
-    X.with_sql(X.DAILY, X.STATIONS, EXPONENTS, PAIRS, RATIO) + "SELECT * FROM stci", stci=6))
+    X.with_sql(X.DAILY, X.STATIONS, EXPONENTS, PAIRS, RATIO) + "SELECT * FROM stci", stci=8))
 def sediment_transport_ratio(spark, d):
-    return rounded(_stci(spark, d), stci=6)
+    return rounded(_stci(spark, d), stci=8)
 
 
 @query("sediment_ratio_by_region", rounded_sql(
     X.with_sql(X.DAILY, X.STATIONS, EXPONENTS, PAIRS, RATIO)
     + "SELECT bloc, scenario, param, avg(stci) AS mean_ratio, count(*) AS n_stations FROM stci JOIN stations USING (station_idx) "
-      "GROUP BY ALL", mean_ratio=6))
+      "GROUP BY ALL", mean_ratio=8))
 def sediment_ratio_by_region(spark, d):
     at = _stci(spark, d).join(X.stations(spark, d).select("station_idx", "bloc"), "station_idx")
     out = at.groupBy("bloc", "scenario", "param").agg(F.avg("stci").alias("mean_ratio"), F.count(F.lit(1)).alias("n_stations"))
-    return rounded(out, mean_ratio=6)
+    return rounded(out, mean_ratio=8)
 
 
 @query("sediment_metric_table", rounded_sql(
@@ -72,11 +72,11 @@ def sediment_ratio_by_region(spark, d):
     SELECT region, NULL::VARCHAR AS gcm, NULL::VARCHAR AS ssp, NULL::VARCHAR AS scenario_tag, name AS station,
            CAST(station_idx AS INT) AS station_idx, NULL::VARCHAR AS river, lat, lon, 'sediment' AS topic, scenario, 'STCI' AS metric,
            param, 1.0::DOUBLE AS value_nat, stci AS value_reg, stci - 1.0 AS delta, stci AS ratio, 'mean' AS year_agg, '' AS notes
-    FROM stci JOIN stations USING (station_idx)""", value_reg=6, delta=6, ratio=6))
+    FROM stci JOIN stations USING (station_idx)""", value_reg=8, delta=8, ratio=8))
 def sediment_metric_table(spark, d):
     st = X.stations(spark, d).select("station_idx", "region", F.col("name").alias("station"), "lat", "lon")
     rows = metric_rows(_stci(spark, d).join(st, "station_idx"), "sediment", "STCI", F.lit(1.0), "stci", param=F.col("param"))
-    return rounded(rows, value_reg=6, delta=6, ratio=6)
+    return rounded(rows, value_reg=8, delta=8, ratio=8)
 
 
 EFFECTIVE = """
@@ -94,10 +94,10 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY station_idx, scenario ORDER
 
 
 @query("sediment_effective_discharge", rounded_sql(
-    X.with_sql(X.DAILY, X.STATIONS, EXPONENTS, EFFECTIVE) + "SELECT station_idx, scenario, centre AS q_eff FROM ranked WHERE i = 1", q_eff=5))
+    X.with_sql(X.DAILY, X.STATIONS, EXPONENTS, EFFECTIVE) + "SELECT station_idx, scenario, centre AS q_eff FROM ranked WHERE i = 1", q_eff=7))
 def sediment_effective_discharge(spark, d):
     pool = X.daily_flow(spark, d).join(_exponents(spark, d).select("station_idx", "b_central"), "station_idx")
-    return rounded(D.effective_discharge(pool, ["station_idx", "scenario"], "q", "b_central"), q_eff=5)
+    return rounded(D.effective_discharge(pool, ["station_idx", "scenario"], "q", "b_central"), q_eff=7)
 
 
 @query("sediment_peak_ratios", rounded_sql(X.with_sql(X.DAILY, PAIRS) + """
@@ -105,10 +105,10 @@ def sediment_effective_discharge(spark, d):
      (SELECT station_idx, scenario, year, max(q_nat) pn, max(q_reg) pr FROM pairs GROUP BY ALL) GROUP BY ALL)
   JOIN (SELECT station_idx, scenario, quantile_cont(q_nat, 0.95) AS q5pct_nat, quantile_cont(q_reg, 0.95) AS q5pct_reg
         FROM pairs GROUP BY ALL) USING (station_idx, scenario)""",
-    annualmax_nat=6, annualmax_reg=6, q5pct_nat=6, q5pct_reg=6))
+    annualmax_nat=8, annualmax_reg=8, q5pct_nat=8, q5pct_reg=8))
 def sediment_peak_ratios(spark, d):
     out = D.peak_ratios(_pairs(spark, d), ["station_idx", "scenario"])
-    return rounded(out, annualmax_nat=6, annualmax_reg=6, q5pct_nat=6, q5pct_reg=6)
+    return rounded(out, annualmax_nat=8, annualmax_reg=8, q5pct_nat=8, q5pct_reg=8)
 
 
 @query("sediment_residence_time", rounded_sql(X.with_sql(X.DAILY, X.STATIONS) + """
@@ -116,11 +116,11 @@ def sediment_peak_ratios(spark, d):
     SELECT station_idx, avg(q) AS q_mean, any_value(max_vol_km3) AS max_vol_km3,
            any_value(max_vol_km3) / nullif(avg(q) * 365.25 * 86400 / 1e9, 0) AS tau
     FROM dflow JOIN stations USING (station_idx) WHERE scenario = 'nat' GROUP BY station_idx)""",
-    q_mean=6, residence_time_yr=6, p_retention_frac=6))
+    q_mean=8, residence_time_yr=8, p_retention_frac=8))
 def sediment_residence_time(spark, d):
     nat = X.daily_flow(spark, d).filter("scenario = 'nat'")
     out = D.residence_and_retention(nat, X.stations(spark, d), ["station_idx"])
-    return rounded(out, q_mean=6, residence_time_yr=6, p_retention_frac=6)
+    return rounded(out, q_mean=8, residence_time_yr=8, p_retention_frac=8)
 
 
 def _class_case(text: str) -> str:
@@ -180,18 +180,18 @@ pools AS (
   SELECT a.station AS station_idx, a.scenario, a.season, deficit * s.n / t.n / t.m AS ecodeficit,
          CASE WHEN a.season = 'total' THEN surplus * s.n / t.n / t.m END AS ecosurplus
   FROM areas a JOIN nat s ON s.station = a.station AND s.season = a.season
-  JOIN nat t ON t.station = a.station AND t.season = 'total'""", ecodeficit=6, ecosurplus=6))
+  JOIN nat t ON t.station = a.station AND t.season = 'total'""", ecodeficit=8, ecosurplus=8))
 def ecodeficit(spark, d):
     lat = F.when(F.col("station_idx") % 2 == 0, -10.0).otherwise(20.0)
     out = E.ecodeficit(X.dense_flow(spark, d).withColumn("lat", lat), ["station_idx"])
-    return rounded(out, ecodeficit=6, ecosurplus=6)
+    return rounded(out, ecodeficit=8, ecosurplus=8)
 
 
 @query("flow_duration_curve", rounded_sql(X.with_sql(X.HOURLY, """
   pools AS (SELECT station, scenario, 'all' AS season, q FROM hflow)""", FDC) + """
-  SELECT station, scenario, k, f AS fdc FROM fdc""", fdc=5))
+  SELECT station, scenario, k, f AS fdc FROM fdc""", fdc=7))
 def flow_duration_curve(spark, d):
-    return rounded(S.flow_duration_curve(X.hourly_flow(spark, d), ["station", "scenario"]), fdc=5)
+    return rounded(S.flow_duration_curve(X.hourly_flow(spark, d), ["station", "scenario"]), fdc=7)
 
 
 STEPS = """
@@ -219,10 +219,10 @@ turns AS (
   JOIN (SELECT station, scenario, median(r / m) AS hp1 FROM (
           SELECT station, scenario, year, hoy // 24 AS day, max(q) - min(q) AS r, avg(q) AS m FROM steps WHERE n >= 48 GROUP BY ALL)
         WHERE m > 0 GROUP BY ALL) USING (station, scenario)""",
-    rr_down_mean=5, rr_down_p95=5, rr_up_p95=5, rr_down_p95_pctmean=5, hp1=5, reversals_per_year=5))
+    rr_down_mean=7, rr_down_p95=7, rr_up_p95=7, rr_down_p95_pctmean=7, hp1=7, reversals_per_year=7))
 def hourly_ramping(spark, d):
     out = E.ramping(X.hourly_flow(spark, d), ["station", "scenario"])
-    return rounded(out, **{m: 5 for m in E.RAMP_METRICS})
+    return rounded(out, **{m: 7 for m in E.RAMP_METRICS})
 
 
 @query("drawdown_rates", rounded_sql(X.with_sql(X.HOURLY, """
@@ -234,11 +234,11 @@ def hourly_ramping(spark, d):
   yearly AS (SELECT station, scenario, year, quantile_cont(drop_cm, 0.95) AS p95, count(CASE WHEN drop_cm > 10 THEN 1 END) AS h10,
              count(CASE WHEN drop_cm > 13 THEN 1 END) AS h13 FROM drops WHERE n >= 48 AND drop_cm > 0 GROUP BY ALL)""") + """
   SELECT station, scenario, avg(p95) AS vrr_p95_cmh, avg(h10) AS vrr_exceed_h_10cmh, avg(h13) AS vrr_exceed_h_13cmh
-  FROM yearly GROUP BY ALL""", vrr_p95_cmh=5, vrr_exceed_h_10cmh=5, vrr_exceed_h_13cmh=5))
+  FROM yearly GROUP BY ALL""", vrr_p95_cmh=7, vrr_exceed_h_10cmh=7, vrr_exceed_h_13cmh=7))
 def drawdown_rates(spark, d):
     slope = F.when(F.length("station") % 2 == 0, F.length("station") / 10000.0)
     out = E.drawdown(X.hourly_flow(spark, d).withColumn("slope", slope), ["station", "scenario"])
-    return rounded(out, vrr_p95_cmh=5, vrr_exceed_h_10cmh=5, vrr_exceed_h_13cmh=5)
+    return rounded(out, vrr_p95_cmh=7, vrr_exceed_h_10cmh=7, vrr_exceed_h_13cmh=7)
 
 
 @query("varial_zone", rounded_sql(X.with_sql(X.HOURLY, """
@@ -246,11 +246,11 @@ def drawdown_rates(spark, d):
          count(*) OVER (PARTITION BY station, scenario, year) AS n FROM hflow WHERE q >= 0),
   days AS (SELECT station, scenario, year, i // 24 AS b, max(q) AS hi, min(q) AS lo FROM placed WHERE i // 24 < n // 24 GROUP BY ALL)""") + """
   SELECT station, scenario, avg(7.2 * (sqrt(hi) - sqrt(lo))) AS varial_width_m,
-         avg(7.2 * (sqrt(hi) - sqrt(lo))) * length(station) * 1000 AS varial_area_m2 FROM days GROUP BY ALL""",
-    varial_width_m=6, varial_area_m2=3))
+         avg(7.2 * (sqrt(hi) - sqrt(lo))) * max(length(station)) * 1000 AS varial_area_m2 FROM days GROUP BY ALL""",
+    varial_width_m=8, varial_area_m2=3))
 def varial_zone(spark, d):
     flow = X.hourly_flow(spark, d).withColumn("length_km", F.length("station"))
-    return rounded(E.varial_zone(flow, ["station", "scenario"]), varial_width_m=6, varial_area_m2=3)
+    return rounded(E.varial_zone(flow, ["station", "scenario"]), varial_width_m=8, varial_area_m2=3)
 
 
 @query("flood_recurrence", rounded_sql(X.with_sql(X.DAILY, """
@@ -263,10 +263,10 @@ def varial_zone(spark, d):
          WHEN abs(alteration) > 0.25 THEN 'moderate' ELSE 'low' END AS risk
   FROM (SELECT r.station_idx, r.scenario, n.q AS q_nat, r.q AS q_reg, (r.q - n.q) / nullif(n.q, 0) AS alteration
         FROM q167 r JOIN q167 n ON n.station_idx = r.station_idx AND n.scenario = 'nat' WHERE r.scenario <> 'nat')""",
-    q_nat=6, q_reg=6, alteration=6))
+    q_nat=8, q_reg=8, alteration=8))
 def flood_recurrence(spark, d):
     out = E.flood_recurrence(X.daily_flow(spark, d), ["station_idx"])
-    return rounded(out, q_nat=6, q_reg=6, alteration=6)
+    return rounded(out, q_nat=8, q_reg=8, alteration=8)
 
 
 IHA = """
@@ -319,27 +319,27 @@ alter_ AS (
 """
 
 
-@query("flow_parameters", rounded_sql(X.with_sql(X.DENSE, IHA) + "SELECT * FROM params", **{p: 5 for p in E.FLOW_PARAMETERS}))
+@query("flow_parameters", rounded_sql(X.with_sql(X.DENSE, IHA) + "SELECT * FROM params", **{p: 7 for p in E.FLOW_PARAMETERS}))
 def flow_parameters(spark, d):
-    return rounded(E.flow_parameters(X.dense_flow(spark, d), ["station_idx"]), **{p: 5 for p in E.FLOW_PARAMETERS})
+    return rounded(E.flow_parameters(X.dense_flow(spark, d), ["station_idx"]), **{p: 7 for p in E.FLOW_PARAMETERS})
 
 
 @query("hydrologic_alteration", rounded_sql(
     X.with_sql(X.DENSE, IHA) + "SELECT station_idx, scenario, param, q_nat, q_reg, alteration, param_group FROM alter_",
-    q_nat=5, q_reg=5, alteration=5))
+    q_nat=7, q_reg=7, alteration=7))
 def hydrologic_alteration(spark, d):
     out = E.alteration(E.flow_parameters(X.dense_flow(spark, d), ["station_idx"]), ["station_idx"])
     return rounded(out.select("station_idx", "scenario", "param", "q_nat", "q_reg", "alteration", "param_group"),
-                   q_nat=5, q_reg=5, alteration=5)
+                   q_nat=7, q_reg=7, alteration=7)
 
 
 @query("alteration_index", rounded_sql(X.with_sql(X.DENSE, IHA) + """
   SELECT station_idx, scenario, avg(abs(alteration)) AS hai, """ + ", ".join(
     f"avg(CASE WHEN param_group = {g} THEN abs(alteration) END) AS hai_group{g}" for g in range(1, 6)) + """
-  FROM alter_ GROUP BY ALL""", hai=5, **{f"hai_group{g}": 5 for g in range(1, 6)}))
+  FROM alter_ GROUP BY ALL""", hai=7, **{f"hai_group{g}": 7 for g in range(1, 6)}))
 def alteration_index(spark, d):
     changes = E.alteration(E.flow_parameters(X.dense_flow(spark, d), ["station_idx"]), ["station_idx"])
-    return rounded(E.alteration_index(changes, ["station_idx"]), hai=5, **{f"hai_group{g}": 5 for g in range(1, 6)})
+    return rounded(E.alteration_index(changes, ["station_idx"]), hai=7, **{f"hai_group{g}": 7 for g in range(1, 6)})
 
 
 @query("channel_slope", rounded_sql(X.with_sql(X.STATIONS, X.NETWORK) + """
@@ -378,10 +378,10 @@ def downstream_walk(spark, d):
 
 @query("supply_segments", rounded_sql(X.with_sql(X.NETWORK, X.DAMS, WALK, SEGMENTS, recursive=True) + """
   SELECT dam_rivers, n_dams, n_reaches, demand_mm3_yr, a_outlet_skm, a_dams_skm FROM segs""",
-    demand_mm3_yr=6, a_outlet_skm=4, a_dams_skm=4))
+    demand_mm3_yr=8, a_outlet_skm=4, a_dams_skm=4))
 def supply_segments(spark, d):
     out = W.supply_segments(X.dams(spark, d), X.network(spark, d)).drop("seg", "dep_length_km")
-    return rounded(out, demand_mm3_yr=6, a_outlet_skm=4, a_dams_skm=4)
+    return rounded(out, demand_mm3_yr=8, a_outlet_skm=4, a_dams_skm=4)
 
 
 MONTHLY = """
@@ -394,9 +394,9 @@ monthly AS (SELECT g.*, mm.q FROM grid g LEFT JOIN mm USING (station_idx, scenar
 """
 
 
-@query("monthly_means", rounded_sql(X.with_sql(X.DAILY, MONTHLY) + "SELECT * FROM monthly", q=6))
+@query("monthly_means", rounded_sql(X.with_sql(X.DAILY, MONTHLY) + "SELECT * FROM monthly", q=8))
 def monthly_means(spark, d):
-    return rounded(S.monthly_means(X.daily_flow(spark, d), ["station_idx", "scenario"]), q=6)
+    return rounded(S.monthly_means(X.daily_flow(spark, d), ["station_idx", "scenario"]), q=8)
 
 
 EFR = """
@@ -425,17 +425,17 @@ def environmental_flow(spark, d):
           count(CASE WHEN fail THEN 1 END) AS nf, count(CASE WHEN fail AND nm THEN 1 END) AS nr, count(*) AS na, sum(s) AS ss,
           max(need) AS need, avg(CASE WHEN need - s > 0 THEN need - s END) AS mg, sum(CASE WHEN s IS NOT NULL THEN greatest(0, need - s) END) AS gap
         FROM f GROUP BY ALL),
-  r AS (SELECT *, (n - nf) / n AS rel, coalesce(least(1.0, mg / need), 0) AS vul, CASE WHEN nf > 0 THEN nr / nf ELSE 1.0 END AS res FROM a)""") + """
+  r AS (SELECT *, (n - nf) / n AS rel, CASE WHEN mg IS NULL THEN 0 ELSE least(1.0, mg / need) END AS vul, CASE WHEN nf > 0 THEN nr / nf ELSE 1.0 END AS res FROM a)""") + """
   SELECT station_idx, scenario, efr_compliance, rel, vul, res, pow(greatest(0, rel * res * (1 - vul)), 1.0 / 3) AS si,
          CASE WHEN ss > 0 THEN need * n / ss ELSE 'inf'::DOUBLE END AS wsi, nf / n * 12.0 AS gap_months_per_year,
          gap / 1e6 / n * 12.0 AS gap_volume_mm3_yr, n / na AS data_coverage FROM r""",
-    **{m: 5 for m in W.RELIABILITY}))
+    **{m: 7 for m in W.RELIABILITY}))
 def supply_reliability(spark, d):
     keys = ["station_idx", "scenario"]
     monthly = S.monthly_means(X.daily_flow(spark, d), keys)
     at = monthly.join(W.environmental_flow(monthly, keys), [*keys, "month"]).withColumn(
         "demand_mm3_yr", 5.0 + F.col("station_idx") % 40)
-    return rounded(W.reliability(at, keys), **{m: 5 for m in W.RELIABILITY})
+    return rounded(W.reliability(at, keys), **{m: 7 for m in W.RELIABILITY})
 
 
 @query("segment_flow_methods", rounded_sql(X.with_sql(X.DAILY, MONTHLY, """
@@ -443,31 +443,31 @@ def supply_reliability(spark, d):
   tot AS (SELECT seg, scenario, year, month, sum(q) AS q, max(a) AS a FROM dam GROUP BY ALL),
   b2 AS (SELECT t.*, n.q AS qn FROM tot t LEFT JOIN tot n ON n.seg = t.seg AND n.year = t.year AND n.month = t.month AND n.scenario = 'nat')""") + """
   SELECT seg, method, scenario, year, month, qn * CASE method WHEN 'E1' THEN 1 ELSE a END + (q - qn) AS q
-  FROM b2, (VALUES ('E1'), ('E2')) v(method)""", q=5))
+  FROM b2, (VALUES ('E1'), ('E2')) v(method)""", q=7))
 def segment_flow_methods(spark, d):
     monthly = S.monthly_means(X.daily_flow(spark, d), ["station_idx", "scenario"])
     seg = F.col("station_idx") % 7
     dam = monthly.select(seg.alias("seg"), "scenario", "year", "month", "q", (1.0 + seg / 10.0).alias("a_ratio"))
-    return rounded(W.segment_flow(dam, ["seg"]), q=5)
+    return rounded(W.segment_flow(dam, ["seg"]), q=7)
 
 
 @query("dropped_segments", rounded_sql(X.with_sql(X.NETWORK, X.DAMS, WALK, SEGMENTS, recursive=True) + """
   SELECT dam_rivers, 'dropped_no_sim_dam' AS metric, demand_mm3_yr FROM segs WHERE demand_mm3_yr > 0 AND NOT EXISTS (
     SELECT 1 FROM supplier WHERE s_acctbal > 2000 AND list_contains(string_split(dam_rivers, '|'), CAST(s_suppkey * 5 + 3 AS VARCHAR)))""",
-    demand_mm3_yr=6))
+    demand_mm3_yr=8))
 def dropped_segments(spark, d):
     segs = W.supply_segments(X.dams(spark, d), X.network(spark, d))
     alive = X.table(spark, d, "supplier").filter("s_acctbal > 2000").select((F.col("s_suppkey") * 5 + 3).alias("river_id"))
     out = W.dropped_segments(segs, alive).join(segs.select("seg", "dam_rivers"), "seg").drop("seg")
-    return rounded(out, demand_mm3_yr=6)
+    return rounded(out, demand_mm3_yr=8)
 
 
 @query("reach_effects", rounded_sql(X.with_sql(X.NETWORK, X.DAMS, WALK, recursive=True) + """,
   eff AS (SELECT s_suppkey * 5 + 3 AS dam, (s_acctbal - 3000) / 1000 AS eff FROM supplier)""".replace(",\n", ", ", 1) + """
-  SELECT river_id, arg_max(eff, (abs(eff), -dam)) AS eff FROM walk JOIN eff USING (dam) GROUP BY ALL""", eff=6))
+  SELECT river_id, arg_max(eff, (abs(eff), -dam)) AS eff FROM walk JOIN eff USING (dam) GROUP BY ALL""", eff=8))
 def reach_effects(spark, d):
     eff = X.table(spark, d, "supplier").select((F.col("s_suppkey") * 5 + 3).alias("dam"), ((F.col("s_acctbal") - 3000) / 1000).alias("eff"))
-    return rounded(G.reach_paint(G.downstream_walk(X.dams(spark, d), X.network(spark, d)), eff), eff=6)
+    return rounded(G.reach_paint(G.downstream_walk(X.dams(spark, d), X.network(spark, d)), eff), eff=8)
 
 
 @query("robust_effect_limit", rounded_sql("""
@@ -480,13 +480,13 @@ def robust_effect_limit(spark, d):
 @query("scenario_increments", rounded_sql(X.with_sql(X.DAILY) + """
   SELECT station_idx, avg(b.q - c.q) AS mean_increment, avg(b.q) / nullif(avg(c.q), 0) AS mean_ratio, count(*) AS n
   FROM dflow b JOIN dflow c USING (station_idx, year, hoy) WHERE b.scenario = 'BAL_C' AND c.scenario = 'CONV' GROUP BY ALL""",
-    mean_increment=6, mean_ratio=6))
+    mean_increment=8, mean_ratio=8))
 def scenario_increments(spark, d):
     flow = X.daily_flow(spark, d).filter("scenario <> 'nat'")
     at = S.attach_baseline(flow, ["station_idx", "year", "hoy"], baseline="CONV").filter("q_nat is not null")
     out = at.groupBy("station_idx").agg(F.avg(F.col("q_reg") - F.col("q_nat")).alias("mean_increment"),
                                         ratio(F.avg("q_reg"), F.avg("q_nat")).alias("mean_ratio"), F.count(F.lit(1)).alias("n"))
-    return rounded(out, mean_increment=6, mean_ratio=6)
+    return rounded(out, mean_increment=8, mean_ratio=8)
 
 
 @query("finite_flow_audit", """

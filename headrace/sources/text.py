@@ -18,8 +18,12 @@ from headrace.functions.core import finite
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Lines as token arrays, with the file they came from."""
     lines = spark.read.text(path)
-    return lines.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("file_path"),
-                        F.split(F.trim("value"), r"\s+").alias("tok"))
+    return tokens(lines.select(F.col("_metadata.file_name").alias("file"), "value"))
+
+
+def tokens(lines: DataFrame) -> DataFrame:
+    """(file, value) lines to (file, tok)."""
+    return lines.select("file", F.split(F.trim("value"), r"\s+").alias("tok"))
 
 
 def token(names: Sequence[str], name: str, kind: str = "string") -> Column:
@@ -27,14 +31,14 @@ def token(names: Sequence[str], name: str, kind: str = "string") -> Column:
     return text if kind == "string" else text.try_cast(kind)
 
 
-def read_table(spark: SparkSession, path: str, names: Sequence[str], id_column: str, ids: DataFrame | None = None,
+def data_rows(lines: DataFrame, names: Sequence[str], id_column: str, ids: DataFrame | None = None,
                prefix: str | None = None, leading: str = "yr") -> DataFrame:
     """S-3: data rows of a whitespace table, kept if their id is wanted.
 
     A data row has a number in ``leading``. ``prefix`` takes the id from the
     digits of a name such as ``rtu00012``. ``ids``: id.
     """
-    rows = read_lines(spark, path).filter(token(names, leading, "int").isNotNull())
+    rows = lines.filter(token(names, leading, "int").isNotNull())
     raw = token(names, id_column)
     ident = raw if prefix is None else F.nullif(F.regexp_extract(raw, rf"^{prefix}0*(\d+)", 1), F.lit(""))
     rows = rows.withColumn("id", ident.try_cast("int")).filter(F.col("id").isNotNull())
@@ -45,38 +49,38 @@ def _date(names: Sequence[str]) -> Column:
     return F.make_date(token(names, "yr", "int"), token(names, "mon", "int"), token(names, "day", "int"))
 
 
-def read_channel_subday(spark: SparkSession, path: str, names: Sequence[str], ids: DataFrame | None = None) -> DataFrame:
+def channel_subday(lines: DataFrame, names: Sequence[str], ids: DataFrame | None = None) -> DataFrame:
     """S-4: hourly channel flow in m3/s. Steps run 1..24 or 0..23 in a file; anything else is an error."""
-    rows = read_table(spark, path, names, "gis_id", ids).withColumn("step", token(names, "tstep", "int"))
-    spans = rows.groupBy("file_path").agg(F.min("step").alias("lo"), F.max("step").alias("hi"))
-    at = rows.join(spans, "file_path")
+    rows = data_rows(lines, names, "gis_id", ids).withColumn("step", token(names, "tstep", "int"))
+    spans = rows.groupBy("file").agg(F.min("step").alias("lo"), F.max("step").alias("hi"))
+    at = rows.join(spans, "file")
     hour = (F.when((F.col("lo") == 1) & (F.col("hi") == 24), F.col("step") - 1)
             .when((F.col("lo") == 0) & (F.col("hi") == 23), F.col("step"))
-            .otherwise(F.raise_error(F.concat(F.lit("unexpected step range in "), "file_path")).cast("int")))
+            .otherwise(F.raise_error(F.concat(F.lit("unexpected step range in "), "file")).cast("int")))
     flow = finite(token(names, "flo_out", "double")) / 3600.0
     ts = F.timestamp_add("HOUR", hour, _date(names).cast("timestamp_ntz"))
     return at.select(F.col("id").alias("channel"), ts.alias("ts"), flow.alias("flo_out"))
 
 
-def read_daily(spark: SparkSession, path: str, names: Sequence[str], fields: Sequence[str], id_column: str = "gis_id",
+def daily_table(lines: DataFrame, names: Sequence[str], fields: Sequence[str], id_column: str = "gis_id",
                prefix: str | None = None, ids: DataFrame | None = None) -> DataFrame:
     """S-5: daily tables of channels, land units or aquifers; unreadable numbers are NULL."""
-    rows = read_table(spark, path, names, id_column, ids, prefix)
+    rows = data_rows(lines, names, id_column, ids, prefix)
     return rows.select("id", _date(names).alias("date"), *[finite(token(names, f, "double")).alias(f) for f in fields])
 
 
-def read_rain(spark: SparkSession, path: str) -> DataFrame:
+def rain(lines: DataFrame) -> DataFrame:
     """S-6: hourly rain per station file: year, day of year, month, day, hour, mm."""
     names = ("yr", "jday", "mon", "day", "hour", "mm")
-    rows = read_lines(spark, path).filter((F.size("tok") >= 6) & token(names, "yr", "int").isNotNull())
+    rows = lines.filter((F.size("tok") >= 6) & token(names, "yr", "int").isNotNull())
     ts = F.timestamp_add("HOUR", token(names, "hour", "int"), _date(names).cast("timestamp_ntz"))
     return rows.select("file", ts.alias("ts"), finite(token(names, "mm", "double")).alias("precip_mm"))
 
 
-def read_temperature(spark: SparkSession, path: str) -> DataFrame:
+def temperature(lines: DataFrame) -> DataFrame:
     """S-6: daily extremes per station file; the mean is their midpoint. -99 is missing."""
     names = ("yr", "jday", "tmax", "tmin")
-    rows = read_lines(spark, path).filter((F.size("tok") == 4) & token(names, "yr", "int").isNotNull()
+    rows = lines.filter((F.size("tok") == 4) & token(names, "yr", "int").isNotNull()
                                           & token(names, "tmin", "double").isNotNull())
 
     def degrees(name):
@@ -87,19 +91,19 @@ def read_temperature(spark: SparkSession, path: str) -> DataFrame:
                        ((degrees("tmax") + degrees("tmin")) / 2).alias("tmp_ave"))
 
 
-def read_weather_stations(spark: SparkSession, path: str) -> DataFrame:
+def weather_stations(lines: DataFrame) -> DataFrame:
     """S-6: station catalogue with its data-file references and coordinates."""
     from headrace.functions.geo import grid_station_coords
 
     names = ("name", "wgn", "pcp", "tmp", "slr", "hmd", "wnd", "wnd_dir", "atmo_dep")
-    rows = read_lines(spark, path).filter((F.size("tok") >= 9) & (token(names, "name") != "name"))
+    rows = lines.filter((F.size("tok") >= 9) & (token(names, "name") != "name"))
     return rows.select(*[token(names, n).alias(n) for n in names], *grid_station_coords(token(names, "name")))
 
 
-def read_connections(spark: SparkSession, path: str, id_at: int = 1, lat_at: int = 5, lon_at: int = 6,
+def connections(lines: DataFrame, id_at: int = 1, lat_at: int = 5, lon_at: int = 6,
                      weather_at: int = 8, keyword: str = "aqu") -> DataFrame:
     """S-7: connection table: id, coordinates, weather station, and the id after a keyword token if present."""
-    rows = read_lines(spark, path).filter(F.try_element_at("tok", F.lit(id_at)).try_cast("int").isNotNull())
+    rows = lines.filter(F.try_element_at("tok", F.lit(id_at)).try_cast("int").isNotNull())
     place = F.array_position("tok", keyword)
     linked = F.when(place > 0, F.try_element_at("tok", (place + 1).cast("int")).try_cast("int"))
     return rows.select(
