@@ -263,7 +263,9 @@ def linear_fill(df: DataFrame, keys: Sequence[str], order: str, value: str) -> D
     window = Window.partitionBy(*keys).orderBy(order)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("x"), F.col(value).alias("v")))
     back = F.last(known, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(known, ignorenulls=True).over(window.rowsBetween(0, Window.unboundedFollowing))
+    # Backwards order: a frame that only grows is linear, one that shrinks is not.
+    reverse = Window.partitionBy(*keys).orderBy(F.desc(order))
+    ahead = F.last(known, ignorenulls=True).over(reverse.rowsBetween(Window.unboundedPreceding, 0))
     at = df.select("*", back.alias("__b"), ahead.alias("__a"))
     run = F.col("__a.x") - F.col("__b.x")
     line = F.col("__b.v") + (F.col("__a.v") - F.col("__b.v")) * F.try_divide(F.col(order) - F.col("__b.x"), run)

@@ -38,13 +38,13 @@ def normalise_units(grid: DataFrame, keys: Sequence[str], first_hours: int = 24)
     return at.withColumn("value", out).drop("__mean")
 
 
-def derive_weather(raw: DataFrame) -> DataFrame:
+def derive_weather(raw: DataFrame, keys: Sequence[str] = ("lat", "lon")) -> DataFrame:
     """P-21: rain in mm, temperature in C, humidity by the Magnus formula, radiation in MJ, wind speed."""
     t, d = F.col("t2m") - 273.15, F.col("d2m") - 273.15
     a, b = 17.625, 243.04
     humidity = clip(F.exp(a * d / (b + d)) / F.exp(a * t / (b + t)), 0.0, 1.0)
     return raw.select(
-        "ts", "lat", "lon", clip(F.col("tp") * 1000.0, 0.0).alias("pcp_mm"), t.alias("tmp_c"),
+        *keys, "ts", clip(F.col("tp") * 1000.0, 0.0).alias("pcp_mm"), t.alias("tmp_c"),
         humidity.alias("hmd"), clip(F.col("ssrd") / 1e6, 0.0).alias("slr_mj"),
         F.sqrt(F.col("u10") * F.col("u10") + F.col("v10") * F.col("v10")).alias("wnd"))
 

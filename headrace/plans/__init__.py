@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("impact", "dispatch", "carbon")
+TOPICS = ("impact", "dispatch", "carbon", "tables", "places")
 
 
 def load_all() -> None:

@@ -194,16 +194,18 @@ def centre_carbon(spark, d):
   SELECT scenario, f.src_region, dc_region, sent_mw, delivered_mw, loss_mw, loss_mw / sent_mw AS loss_frac, src_ef, coalesce(st, 'missing') AS src_ef_status, g.central AS grid_ef,
          sent_mw * 8760 * src_ef / 1000 AS hydro_carbon_t, sent_mw * src_ef / delivered_mw AS intensity_g_kwh, delivered_mw * 8760 * g.central / 1000 - sent_mw * 8760 * src_ef / 1000 AS avoided_t
   FROM flows f LEFT JOIN se USING (src_region) LEFT JOIN grid g ON g.region = dc_region WHERE f.src_region <> dc_region AND sent_mw > 0 AND delivered_mw > 0""",
-    sent_mw=2, delivered_mw=2, loss_mw=2, loss_frac=7, src_ef=4, hydro_carbon_t=0, intensity_g_kwh=3, avoided_t=0))
+    sent_mw=5, delivered_mw=7, loss_mw=7, loss_frac=9, src_ef=4, hydro_carbon_t=0, intensity_g_kwh=3, avoided_t=0))
 def cross_region_carbon(spark, d):
     k = F.col("station_idx")
+    # Joined twice below, so it is computed once.
     ef = _factors(spark, d).select(k.alias("station"), F.when(k % 2 == 0, F.col("ef_gco2kwh")).alias("ef_gco2kwh"), "areal_total", F.col("area_use").alias("area_km2"),
                                    F.when(k % 3 > 0, F.col("gen_gwh")).alias("gen_gwh"), "capacity_mw", F.col("region").alias("src_region"))
+    ef = reliable_checkpoint(ef)
     used = X.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("station")).agg(F.sum("l_quantity").alias("allocated_mw"))
     allocation = used.join(ef.select("station", "src_region"), "station")
     source = C.exporting_station_factor(allocation, ef.drop("src_region"), ["src_region"])
     out = C.cross_region_carbon(X.flows(spark, d), source, _grid(spark, d))
-    return rounded(out, sent_mw=2, delivered_mw=2, loss_mw=2, loss_frac=7, src_ef=4, hydro_carbon_t=0, intensity_g_kwh=3, avoided_t=0)
+    return rounded(out, sent_mw=5, delivered_mw=7, loss_mw=7, loss_frac=9, src_ef=4, hydro_carbon_t=0, intensity_g_kwh=3, avoided_t=0)
 
 
 @query("percent_rank_ties", rounded_sql("""

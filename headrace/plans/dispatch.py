@@ -194,13 +194,13 @@ def pumped_storage_yearly(spark, d):
   SELECT scenario, region, new_bound_mw, bound_mw - new_bound_mw AS reduction_mw FROM (
     SELECT scenario, dc_region AS region, sum(sent_mw) AS bound_mw, greatest(CASE WHEN sum(delivered_mw) + 1 < sum(sent_mw) * 0.951
       THEN least(sum(sent_mw), sum(delivered_mw)) ELSE sum(sent_mw) END, 0) AS new_bound_mw FROM flows GROUP BY ALL)""",
-    new_bound_mw=3, reduction_mw=3))
+    new_bound_mw=7, reduction_mw=7))
 def bound_tightening(spark, d):
     sent = F.sum("sent_mw")
     trials = X.flows(spark, d).groupBy("scenario", F.col("dc_region").alias("region")).agg(
         sent.alias("bound_mw"), F.sum("delivered_mw").alias("realized_mw"), (sent * 0.951).alias("target_mw"))
     out = P.tighten_bounds(trials).select("scenario", "region", "new_bound_mw", "reduction_mw")
-    return rounded(out, new_bound_mw=3, reduction_mw=3)
+    return rounded(out, new_bound_mw=7, reduction_mw=7)
 
 
 @query("diurnal_profile", rounded_sql(X.with_sql(X.HOURLY) + """
@@ -290,9 +290,9 @@ def corridor_use(spark, d):
             coalesce(sum(CASE WHEN region = dc_region THEN delivered_mw END), 0) AS import_delivered_mw,
             max(CASE WHEN mid THEN 1 ELSE 0 END) AS transit FROM n2 GROUP BY ALL)""", recursive=True) + """
   SELECT *, concat_ws('+', CASE WHEN export_sent_mw > 1e-6 THEN 'exporter' END, CASE WHEN import_delivered_mw > 1e-6 THEN 'importer' END,
-         CASE WHEN transit = 1 THEN 'transit' END) AS role FROM agg""", export_sent_mw=2, import_delivered_mw=2))
+         CASE WHEN transit = 1 THEN 'transit' END) AS role FROM agg""", export_sent_mw=5, import_delivered_mw=7))
 def trade_roles(spark, d):
-    return rounded(T.trade_roles(_alloc(spark, d)), export_sent_mw=2, import_delivered_mw=2)
+    return rounded(T.trade_roles(_alloc(spark, d)), export_sent_mw=5, import_delivered_mw=7)
 
 
 @query("trade_balance", rounded_sql(X.with_sql(X.FLOWS, """
@@ -301,9 +301,9 @@ def trade_roles(spark, d):
         UNION ALL SELECT scenario, dc_region, 0, 0, CASE WHEN src_region = dc_region THEN 0 ELSE delivered_mw END, 0 FROM flows)""") + """
   SELECT scenario, region, sum(a) AS self_supply_mw, sum(b) AS export_sent_mw, sum(c) AS import_delivered_mw, sum(e) AS transmission_loss_mw,
          sum(b) - sum(c) AS net_export_mw FROM s GROUP BY ALL""",
-    self_supply_mw=2, export_sent_mw=2, import_delivered_mw=2, transmission_loss_mw=2, net_export_mw=2))
+    self_supply_mw=7, export_sent_mw=5, import_delivered_mw=7, transmission_loss_mw=7, net_export_mw=7))
 def trade_balance(spark, d):
-    return rounded(T.trade_balance(X.flows(spark, d)), self_supply_mw=2, export_sent_mw=2, import_delivered_mw=2, transmission_loss_mw=2, net_export_mw=2)
+    return rounded(T.trade_balance(X.flows(spark, d)), self_supply_mw=7, export_sent_mw=5, import_delivered_mw=7, transmission_loss_mw=7, net_export_mw=7)
 
 
 @query("allocation_summary", rounded_sql(X.with_sql(X.FLOWS) + """
@@ -313,12 +313,12 @@ def trade_balance(spark, d):
     SELECT scenario, sum(sent_mw) AS s, sum(delivered_mw) AS m, sum(CASE WHEN src_region <> dc_region THEN sent_mw END) AS cs,
       sum(CASE WHEN src_region <> dc_region THEN delivered_mw END) AS cd, sum(CASE WHEN src_region <> dc_region THEN loss_mw END) AS l
     FROM flows GROUP BY ALL) USING (scenario)""",
-    demand_mw=2, sent_mw=2, met_mw=2, cross_sent_mw=2, cross_delivered_mw=2, loss_mw=2, unmet_mw=2, coverage_pct=7))
+    demand_mw=4, sent_mw=4, met_mw=4, cross_sent_mw=4, cross_delivered_mw=4, loss_mw=4, unmet_mw=4, coverage_pct=7))
 def allocation_summary(spark, d):
     at = X.flows(spark, d).withColumn("cross_region", (F.col("src_region") != F.col("dc_region")).cast("int"))
     need = X.table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("scenario")).agg((F.sum("o_totalprice") / 100).alias("demand_mw"))
     out = T.allocation_summary(at, need)
-    return rounded(out, coverage_pct=7, **{c: 2 for c in out.columns if c.endswith("_mw")})
+    return rounded(out, coverage_pct=7, **{c: 4 for c in out.columns if c.endswith("_mw")})
 
 
 @query("coverage_with_trade", rounded_sql(X.with_sql(X.FLOWS) + """
@@ -326,12 +326,12 @@ def allocation_summary(spark, d):
          100 * coalesce(a, 0) / demand_mw AS cov_isolated_pct, 100 * coalesce(b, 0) / demand_mw AS cov_interconnected_pct
   FROM (SELECT scenario, dc_region AS region, sum(sent_mw) AS demand_mw, sum(delivered_mw) AS b,
           sum(CASE WHEN src_region = dc_region THEN delivered_mw END) AS a FROM flows GROUP BY ALL)""",
-    demand_mw=2, met_isolated_mw=2, met_interconnected_mw=2, cov_isolated_pct=7, cov_interconnected_pct=7))
+    demand_mw=5, met_isolated_mw=7, met_interconnected_mw=7, cov_isolated_pct=7, cov_interconnected_pct=7))
 def coverage_with_trade(spark, d):
     at = X.flows(spark, d)
     need = at.groupBy("scenario", F.col("dc_region").alias("region")).agg(F.sum("sent_mw").alias("demand_mw"))
     out = T.coverage_by_region(at.filter("src_region = dc_region"), at, need)
-    return rounded(out, demand_mw=2, met_isolated_mw=2, met_interconnected_mw=2, cov_isolated_pct=7, cov_interconnected_pct=7)
+    return rounded(out, demand_mw=5, met_isolated_mw=7, met_interconnected_mw=7, cov_isolated_pct=7, cov_interconnected_pct=7)
 
 
 @query("source_target_profile", rounded_sql(X.with_sql(X.HOURLY, X.FLOWS, """
