@@ -171,9 +171,14 @@ def _neighbours(axes: Sequence[str], reach: int) -> Column:
     """Array of neighbouring cells, the cell itself included."""
     out = F.array(F.struct(*[F.col(a).alias(a) for a in axes]))
     steps = F.array(*[F.lit(i) for i in range(-reach, reach + 1)])
+
+    def spread(moved: str):
+        def around(cell: Column) -> Column:
+            return F.transform(steps, lambda i: F.struct(*[(cell[b] + i if b == moved else cell[b]).alias(b) for b in axes]))
+        return around
+
     for a in axes:
-        out = F.flatten(F.transform(out, lambda s, a=a: F.transform(
-            steps, lambda i, a=a: F.struct(*[(s[b] + i if b == a else s[b]).alias(b) for b in axes]))))
+        out = F.flatten(F.transform(out, spread(a)))
     return out
 
 

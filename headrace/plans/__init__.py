@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("impact", "dispatch", "carbon", "tables", "places")
+TOPICS = ("impact", "dispatch", "carbon", "tables", "places", "rollups")
 
 
 def load_all() -> None:

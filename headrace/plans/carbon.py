@@ -87,7 +87,7 @@ def reservoir_emission_factor(spark, d):
 
 
 STEF = """
-alloc AS (SELECT l_suppkey AS station_idx, sum(l_quantity) AS allocated_mw FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey % 3 = 1 GROUP BY ALL),
+alloc AS (SELECT l_suppkey AS station_idx, sum(l_quantity) AS allocated_mw FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49 AND l_discount > 0.09 GROUP BY ALL),
 sef AS (SELECT station_idx, region, gen_gwh, allocated_mw, CASE WHEN bad THEN 'geom_implausible' WHEN mapped IS NOT NULL THEN 'reservoir' WHEN zoned IS NOT NULL THEN 'zone-flux' ELSE '' END AS ef_source,
     CASE WHEN bad THEN NULL WHEN mapped IS NOT NULL THEN least(12000, mapped) ELSE zoned END AS hydro_ef
   FROM (SELECT station_idx, region, gen_gwh, bad, CASE WHEN station_idx % 7 <> 0 THEN efk END AS mapped, allocated_mw,
@@ -97,7 +97,7 @@ sef AS (SELECT station_idx, region, gen_gwh, allocated_mw, CASE WHEN bad THEN 'g
 
 
 def _station_factors(spark, d):
-    used = X.table(spark, d, "lineitem").filter("l_returnflag = 'R' and l_suppkey % 3 = 1").groupBy(F.col("l_suppkey").alias("station_idx")).agg(
+    used = X.table(spark, d, "lineitem").filter("l_returnflag = 'R' and l_quantity > 49 and l_discount > 0.09").groupBy(F.col("l_suppkey").alias("station_idx")).agg(
         F.sum("l_quantity").alias("allocated_mw"))
     at = _factors(spark, d).select("station_idx", "region", "lat", F.col("area_use").alias("area_km2"), "gen_gwh", "geom_implausible",
                                    F.when(F.col("station_idx") % 7 != 0, F.col("ef_gco2kwh")).alias("ef_gco2kwh")).join(used, "station_idx", "left")

@@ -434,7 +434,7 @@ def connected_components(spark, d):
 
 CONTRACT = """
 edges AS (SELECT river_id AS up, next_down AS down, CAST(river_id % 5 AS INT) AS tau FROM network WHERE next_down > 0),
-kept AS (SELECT river_id AS node FROM network WHERE river_id % 3 <> 0),
+kept AS (SELECT river_id AS node FROM network WHERE slope_dm_per_km >= 15),
 hop(up, spot, tau) AS (SELECT up, down, tau FROM edges WHERE up IN (SELECT node FROM kept) UNION ALL
   SELECT h.up, e.down, h.tau + e.tau FROM hop h JOIN edges e ON e.up = h.spot WHERE h.spot NOT IN (SELECT node FROM kept))
 """
@@ -445,7 +445,7 @@ hop(up, spot, tau) AS (SELECT up, down, tau FROM edges WHERE up IN (SELECT node
 def contract_excluded(spark, d):
     net = X.network(spark, d)
     edges = net.filter("next_down > 0").select(F.col("river_id").alias("up"), F.col("next_down").alias("down"), (F.col("river_id") % 5).cast("int").alias("tau_h"))
-    return G.contract_excluded(edges, net.filter("river_id % 3 <> 0").select(F.col("river_id").alias("node")))
+    return G.contract_excluded(edges, net.filter("slope_dm_per_km >= 15").select(F.col("river_id").alias("node")))
 
 
 CASCADE = """

@@ -82,8 +82,8 @@ def nearest_land_cell(spark, d):
 
 
 CLUSTER = """
-plants AS (SELECT c_custkey AS plant, c_acctbal AS capacity_mw, 10.0 + (c_custkey * 7919 % 997) / 500.0 AS lat, 20.0 + (c_custkey * 104729 % 991) / 500.0 AS lon FROM customer),
-near AS (SELECT p.plant AS a, s.plant AS b FROM plants p, plants s WHERE p.plant <> s.plant AND abs(p.lat - s.lat) < 0.05 AND """ + HAV.format(a="p", b="s") + """ < 4),
+plants AS (SELECT c_custkey AS plant, c_acctbal AS capacity_mw, 10.0 + abs(c_acctbal) / 5000.0 AS lat, 20.0 + (c_custkey * 104729 % 991) / 500.0 AS lon FROM customer),
+near AS (SELECT p.plant AS a, s.plant AS b FROM plants p, plants s WHERE p.plant <> s.plant AND abs(p.lat - s.lat) < 0.05 AND """ + HAV.format(a="p", b="s") + """ < 3),
 reach(plant, seen) AS (SELECT plant, plant FROM plants UNION SELECT n.b, r.seen FROM reach r JOIN near n ON n.a = r.plant),
 cl AS (SELECT plant, min(seen) AS cluster FROM reach GROUP BY ALL)
 """
@@ -91,20 +91,20 @@ cl AS (SELECT plant, min(seen) AS cluster FROM reach GROUP BY ALL)
 
 def _plants(spark, d):
     k = F.col("c_custkey")
-    return X.table(spark, d, "customer").select(k.alias("plant"), F.col("c_acctbal").alias("capacity_mw"), (10.0 + (k * 7919 % 997) / 500.0).alias("lat"),
+    return X.table(spark, d, "customer").select(k.alias("plant"), F.col("c_acctbal").alias("capacity_mw"), (10.0 + F.abs("c_acctbal") / 5000.0).alias("lat"),
                                                (20.0 + (k * 104729 % 991) / 500.0).alias("lon"))
 
 
 @query("plant_clusters", X.with_sql(CLUSTER, recursive=True) + "SELECT plant, cluster FROM cl")
 def plant_clusters(spark, d):
-    return SP.merge_clusters(_plants(spark, d).select("plant", "lat", "lon"), 4.0)
+    return SP.merge_clusters(_plants(spark, d).select("plant", "lat", "lon"), 3.0)
 
 
 @query("cluster_representatives", rounded_sql(X.with_sql(CLUSTER, recursive=True) + """
   SELECT cluster, arg_min(plant, (-capacity_mw, plant)) AS representative, count(*) AS n_plants, sum(capacity_mw) AS capacity_mw FROM cl JOIN plants USING (plant) GROUP BY ALL""", capacity_mw=3))
 def cluster_representatives(spark, d):
     plants = _plants(spark, d)
-    return rounded(SP.cluster_members(plants, SP.merge_clusters(plants.select("plant", "lat", "lon"), 4.0)), capacity_mw=3)
+    return rounded(SP.cluster_members(plants, SP.merge_clusters(plants.select("plant", "lat", "lon"), 3.0)), capacity_mw=3)
 
 
 # Polygons: each nation an irregular pentagon.
@@ -180,12 +180,12 @@ def clip_layer(spark, d):
 
 
 @query("pour_points", rounded_sql(X.with_sql(SITES, RINGS, SEGS) + """
-  SELECT site AS plant, c_nationkey AS basin, poly AS river, distance, c_nationkey < 2 AS is_outlet FROM closest JOIN customer ON c_custkey = site WHERE c_nationkey % 5 <> 4 AND distance <= 12""", distance=7))
+  SELECT site AS plant, c_nationkey AS basin, poly AS river, distance, c_nationkey < 2 AS is_outlet FROM closest JOIN customer ON c_custkey = site JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 4 AND distance <= 12""", distance=7))
 def pour_points(spark, d):
     basin = F.col("c_nationkey")
     plants = _sites(spark, d).join(X.table(spark, d, "customer"), F.col("c_custkey") == F.col("site")).select(F.col("site").alias("plant"), basin.alias("basin"), "lon", "lat")
     n = F.col("n_nationkey")
-    basins = X.table(spark, d, "nation").filter(n % 5 != 4).select(n.alias("basin"), F.when(n >= 2, n % 2).otherwise(-1).cast("int").alias("next_basin"))
+    basins = X.table(spark, d, "nation").filter("n_regionkey <> 4").select(n.alias("basin"), F.when(n >= 2, n % 2).otherwise(-1).cast("int").alias("next_basin"))
     rivers = _edges(spark, d).select(F.col("poly").alias("river"), "x1", "y1", "x2", "y2")
     return rounded(SP.pour_points(plants, basins, rivers, 12.0), distance=7)
 
@@ -286,7 +286,7 @@ def pumped_storage_volume(spark, d):
 
 CORR = """
 corr AS (SELECT region, name, type AS original_type, CASE WHEN station_idx % 5 = 0 THEN 'STO' ELSE type END AS corrected_type, max_vol_km3 AS original_vol_km3,
-           max_vol_km3 * (1 + station_idx % 4 / 10.0) AS corrected_vol_km3, capacity_mw AS original_cap_mw, capacity_mw + station_idx % 30 AS corrected_cap_mw FROM stations WHERE station_idx % 2 = 0),
+           max_vol_km3 * (1 + station_idx % 4 / 10.0) AS corrected_vol_km3, capacity_mw AS original_cap_mw, capacity_mw + station_idx % 30 AS corrected_cap_mw FROM stations WHERE head_m > 100),
 fixed AS (SELECT station_idx, coalesce(original_type <> corrected_type, false) AS type_changed,
             coalesce((original_vol_km3 = 0 AND corrected_vol_km3 > 0) OR (original_vol_km3 > 0 AND abs(corrected_vol_km3 - original_vol_km3) > 0.1 * original_vol_km3), false) AS vol_changed,
             coalesce(abs(corrected_cap_mw - original_cap_mw) > 10, false) AS cap_changed, type, corrected_type, max_vol_km3, corrected_vol_km3, capacity_mw, corrected_cap_mw
@@ -297,7 +297,7 @@ fixed AS (SELECT station_idx, coalesce(original_type <> corrected_type, false) A
 def _corrected(spark, d):
     st = X.stations(spark, d)
     k = F.col("station_idx")
-    corr = st.filter(k % 2 == 0).select(
+    corr = st.filter("head_m > 100").select(
         "region", "name", F.col("type").alias("original_type"), F.when(k % 5 == 0, "STO").otherwise(F.col("type")).alias("corrected_type"), F.col("max_vol_km3").alias("original_vol_km3"),
         (F.col("max_vol_km3") * (1 + k % 4 / 10.0)).alias("corrected_vol_km3"), F.col("capacity_mw").alias("original_cap_mw"), (F.col("capacity_mw") + k % 30).alias("corrected_cap_mw"))
     return ST.apply_corrections(st, corr)
@@ -329,10 +329,10 @@ def verified_corrections(spark, d):
 
 
 @query("relocated_stations", rounded_sql(X.with_sql(X.STATIONS) + """
-  SELECT station_idx, CASE WHEN station_idx % 4 = 0 THEN station_idx + 1000 ELSE station_idx END AS river_id, CASE WHEN station_idx % 8 = 0 THEN lat + 1 ELSE lat END AS lat FROM stations""", lat=8))
+  SELECT station_idx, CASE WHEN type = 'PS' THEN station_idx + 1000 ELSE station_idx END AS river_id, CASE WHEN station_idx % 8 = 0 THEN lat + 1 ELSE lat END AS lat FROM stations""", lat=8))
 def relocated_stations(spark, d):
     st, k = X.stations(spark, d).withColumn("river_id", F.col("station_idx")), F.col("station_idx")
-    moves = st.filter(k % 4 == 0).select("name", (k + 1000).alias("new_river_id"), F.when(k % 8 == 0, F.col("lat") + 1).alias("new_lat"), F.col("lon").alias("new_lon"))
+    moves = st.filter("type = 'PS'").select("name", (k + 1000).alias("new_river_id"), F.when(k % 8 == 0, F.col("lat") + 1).alias("new_lat"), F.col("lon").alias("new_lon"))
     return rounded(ST.relocate(st, moves).select("station_idx", "river_id", "lat"), lat=8)
 
 
@@ -366,11 +366,11 @@ def type_labels(spark, d):
 
 
 @query("region_labels", """
-  SELECT n_name, CASE WHEN n_nationkey % 4 = 0 THEN 'Region ' || n_nationkey ELSE CASE WHEN n_name LIKE 'NATION_2%' THEN 'Nation ' || split_part(n_name, '_', 2) || ' (US)' ELSE 'Nation ' || split_part(n_name, '_', 2) END END AS label
-  FROM nation WHERE NOT (n_nationkey % 4 = 0 AND n_name LIKE 'NATION_2%') UNION ALL SELECT n_name, 'Region ' || n_nationkey || ' (US)' FROM nation WHERE n_nationkey % 4 = 0 AND n_name LIKE 'NATION_2%'""")
+  SELECT n_name, CASE WHEN n_regionkey = 0 THEN 'Region ' || n_nationkey ELSE CASE WHEN n_name LIKE 'NATION_2%' THEN 'Nation ' || split_part(n_name, '_', 2) || ' (US)' ELSE 'Nation ' || split_part(n_name, '_', 2) END END AS label
+  FROM nation WHERE NOT (n_regionkey = 0 AND n_name LIKE 'NATION_2%') UNION ALL SELECT n_name, 'Region ' || n_nationkey || ' (US)' FROM nation WHERE n_regionkey = 0 AND n_name LIKE 'NATION_2%'""")
 def region_labels(spark, d):
     nation, k = X.table(spark, d, "nation"), F.col("n_nationkey")
-    labels = nation.filter(k % 4 == 0).select("n_name", F.concat(F.lit("Region "), k.cast("string")).alias("given"))
+    labels = nation.filter("n_regionkey = 0").select("n_name", F.concat(F.lit("Region "), k.cast("string")).alias("given"))
     return nation.join(labels, "n_name", "left").select("n_name", text.region_display("n_name", "given", "NATION_2").alias("label"))
 
 
@@ -392,7 +392,7 @@ def station_distances(spark, d):
 
 
 @query("name_matches", """
-  WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part UNION SELECT DISTINCT p_name FROM part WHERE p_partkey % 2 = 0 UNION SELECT 'no such ' || p_type FROM part),
+  WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS name FROM part UNION SELECT DISTINCT p_name FROM part WHERE p_size > 25 UNION SELECT 'no such ' || p_type FROM part),
   f AS (SELECT p_partkey AS feature, lower(p_name) AS a, lower(p_type) AS b FROM part),
   h AS (SELECT name, feature, 0 AS how, 0 AS o FROM w JOIN f ON a = lower(name) UNION ALL SELECT name, feature, 0, 1 FROM w JOIN f ON b = lower(name)
         UNION ALL SELECT name, feature, 1, 0 FROM w JOIN f ON contains(a, lower(name)) UNION ALL SELECT name, feature, 1, 1 FROM w JOIN f ON contains(b, lower(name))),
@@ -401,7 +401,7 @@ def station_distances(spark, d):
     FROM w LEFT JOIN m USING (name) LEFT JOIN h ON h.name = w.name AND h.how * 2 + h.o = best) w GROUP BY ALL""")
 def name_matches(spark, d):
     part = X.table(spark, d, "part")
-    wanted = part.select(F.split("p_name", " ")[0].alias("name")).union(part.filter("p_partkey % 2 = 0").select("p_name")).union(
+    wanted = part.select(F.split("p_name", " ")[0].alias("name")).union(part.filter("p_size > 25").select("p_name")).union(
         part.select(F.concat(F.lit("no such "), "p_type")))
     hits = ST.match_names(wanted, part.select(F.col("p_partkey").alias("feature"), "p_name", "p_type"), ["p_name", "p_type"])
     return hits.groupBy("name", "how").agg(F.count("feature").alias("n"))
