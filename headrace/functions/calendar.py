@@ -71,10 +71,3 @@ def hour_calendar(spark: SparkSession, first_year: int, last_year: int) -> DataF
         day_of_year("hoy").alias("doy"), (F.col("hoy") % 24).alias("hod"),
     )
 
-
-def month_grid(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys x their own year range x 12 months (dense, for missing months)."""
-    span = df.groupBy(*keys).agg(F.min("year").alias("__a"), F.max("year").alias("__b"))
-    return span.select(
-        *keys, F.explode(F.sequence("__a", "__b")).alias("year")
-    ).select("*", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))

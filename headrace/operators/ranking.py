@@ -19,6 +19,9 @@ from headrace.functions.core import ColumnLike, col
 from headrace.session import reliable_checkpoint
 
 HOT_ROWS = 4_000_000
+QUANTILE_HOT_ROWS = 200_000
+SKETCH_ACCURACY = 10_000
+BROADCAST_GROUPS = 50_000
 SLICE = "__slice"
 
 
@@ -67,7 +70,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[ColumnLik
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: ColumnLike, probs: Mapping[str, float],
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
+                    hot_rows: int = QUANTILE_HOT_ROWS) -> DataFrame:
     """A-7: linearly interpolated quantiles per group, exact for groups of any size."""
     if not keys:
         whole = exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, hot_rows)
@@ -86,6 +89,53 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: ColumnLike, probs
 
 def _large_quantiles(rows: DataFrame, keys: Sequence[str], probs: Mapping[str, float],
                      hot_rows: int) -> DataFrame:
+    """Quantiles of hot groups without sorting them.
+
+    Mergeable sketches bracket each quantile; one more pass counts what lies below a
+    bracket and keeps the few values inside it. The counts prove whether the wanted
+    ranks are inside; should one not be, all groups are ranked in full.
+    """
+    edges = [min(max(p + s * 2.0 / SKETCH_ACCURACY, 0.0), 1.0) for p in probs.values() for s in (-1, 1)]
+    sketch = reliable_checkpoint(rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
+        F.percentile_approx("__v", edges, SKETCH_ACCURACY).alias("__s")))
+    brackets = []
+    for i, (name, p) in enumerate(probs.items()):
+        low = F.when(F.lit(edges[2 * i] == 0.0), F.col("__min")).otherwise(F.col("__s")[2 * i])
+        high = F.when(F.lit(edges[2 * i + 1] == 1.0), F.col("__max")).otherwise(F.col("__s")[2 * i + 1])
+        brackets.append(F.struct(F.lit(name).alias("name"), F.lit(p).alias("p"), low.alias("lo"), high.alias("hi")))
+    table = sketch.select(*keys, "__n", F.array(*brackets).alias("__b"))
+    # One row per hot group, so at most rows / hot_rows; broadcast while that is few.
+    table = F.broadcast(table) if table.count() <= BROADCAST_GROUPS else table
+    at = rows.join(table, list(keys))
+    v = F.col("__v")
+    below = at.groupBy(*keys).agg(*[
+        F.count_if(v < F.col("__b")[i]["lo"]).alias(f"__below_{i}") for i in range(len(probs))])
+    inside = at.select(*keys, "__v", F.explode("__b").alias("b")).filter((v >= F.col("b.lo")) & (v <= F.col("b.hi")))
+    counts = reliable_checkpoint(inside.groupBy(*keys, F.col("b.name").alias("__q"), F.col("b.p").alias("__p"), "__v").agg(
+        F.count(F.lit(1)).alias("__c")))
+    ranked = running_totals(counts, [*keys, "__q"], ["__v"], {"__hi": F.col("__c")}, hot_rows=hot_rows)
+    offsets = below.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(name).alias("q"), F.col(f"__below_{i}").alias("below")) for i, name in enumerate(probs)])).alias("o"))
+    offsets = offsets.select(*keys, F.col("o.q").alias("__q"), F.col("o.below").alias("__below"))
+    ranked = ranked.join(offsets, [*keys, "__q"]).join(sketch.select(*keys, "__n"), list(keys))
+    position = F.col("__p") * (F.col("__n") - 1)
+    top = F.col("__hi") + F.col("__below")
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((top - F.col("__c") <= rank) & (rank < top), v))
+    picked = reliable_checkpoint(ranked.groupBy(*keys, "__q").agg(
+        value_at(F.floor(position)).alias("a"), value_at(F.ceil(position)).alias("b"),
+        F.max(position - F.floor(position)).alias("share")))
+    found, proven = picked.agg(F.count("*"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull())).first()
+    if found != proven or found != sketch.count() * len(probs):
+        return _ranked_quantiles(rows, keys, probs, hot_rows)
+    value = F.col("a") + (F.col("b") - F.col("a")) * F.col("share")
+    return picked.groupBy(*keys).agg(*[F.max(F.when(F.col("__q") == name, value)).alias(name) for name in probs])
+
+
+def _ranked_quantiles(rows: DataFrame, keys: Sequence[str], probs: Mapping[str, float],
+                      hot_rows: int) -> DataFrame:
     """Copies of a value are counted before the shuffle, then ranks are read off prefix counts."""
     counts = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
     counts = reliable_checkpoint(counts)

@@ -57,10 +57,21 @@ def daily(flow: DataFrame, keys: Sequence[str], aggregates: Mapping[str, Column]
 
 
 def monthly_means(flow: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """A-6: mean per calendar month on a dense year x month grid; missing months are NULL."""
+    """A-6: mean per calendar month on a dense year x month grid; missing months are NULL.
+
+    Each month emits itself and the gap up to the next one, so the grid needs no join.
+    """
     means = (flow.withColumn("month", cal.month_of("year", "hoy"))
              .groupBy(*keys, "year", "month").agg(F.avg("q").alias("q")))
-    return cal.month_grid(means, list(keys)).join(means, [*keys, "year", "month"], "left")
+    window = Window.partitionBy(*keys).orderBy("__t")
+    at = means.select(*keys, "q", (F.col("year") * 12 + F.col("month") - 1).alias("__t"))
+    january = F.floor(F.col("__t") / 12) * 12
+    first = F.when(F.lag("__t").over(window).isNull(), january).otherwise(F.col("__t"))
+    last = F.coalesce(F.lead("__t").over(window) - 1, january + 11)
+    dense = at.select(*keys, "q", "__t", first.alias("__a"), last.alias("__b")).select(
+        *keys, "q", "__t", F.explode(F.sequence("__a", "__b")).alias("__m"))
+    return dense.select(*keys, F.floor(F.col("__m") / 12).cast("int").alias("year"),
+                        (F.col("__m") % 12 + 1).cast("int").alias("month"), F.when(F.col("__m") == F.col("__t"), F.col("q")).alias("q"))
 
 
 def lags(df: DataFrame, keys: Sequence[str], order: str, value: str, steps: Sequence[int],

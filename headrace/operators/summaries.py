@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from headrace.functions.core import clip, first_match, ratio, weighted_mean
 from headrace.functions.text import sign_class
 from headrace.operators.ranking import top_per_group
+from headrace.session import reliable_checkpoint
 
 EPS = 1e-9
 
@@ -140,6 +141,7 @@ def footprint_change(effects: DataFrame, keys: Sequence[str], new: str = "dc_a",
     from headrace.operators.ranking import exact_quantiles
 
     known = effects.filter(F.col(new).isNotNull() & F.col(conv).isNotNull() & F.col(typical).isNotNull())
+    known = reliable_checkpoint(known.select(*keys, new, conv, typical))  # read once per statistic below
     out = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     for tag, base in (("conv", conv), ("typ", typical)):
         d = F.col(new) - F.col(base)

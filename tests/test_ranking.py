@@ -34,6 +34,24 @@ def test_quantiles_match_numpy(spark, skewed, hot_rows):
             assert row[name] == pytest.approx(np.percentile(groups[row["g"]], p * 100), abs=1e-9)
 
 
+def test_quantiles_by_full_ranking(spark, skewed):
+    df = spark.createDataFrame(skewed, "g string, id int, v double").withColumnRenamed("v", "__v")
+    groups = defaultdict(list)
+    for g, _, v in skewed:
+        groups[g].append(v)
+    for row in R._ranked_quantiles(df, ["g"], {"q": 0.31}, 60).collect():
+        assert row["q"] == pytest.approx(np.percentile(groups[row["g"]], 31), abs=1e-9)
+
+
+def test_quantiles_survive_a_bad_sketch(spark, skewed, monkeypatch):
+    """Brackets that miss the rank are noticed and the groups ranked in full."""
+    monkeypatch.setattr(R, "SKETCH_ACCURACY", 10_000)
+    monkeypatch.setattr(R.F, "percentile_approx", lambda c, edges, acc: F.array(*[F.lit(-60.0) for _ in edges]))
+    df = spark.createDataFrame(skewed, "g string, id int, v double")
+    got = R.exact_quantiles(df, [], "v", {"q": 0.5}, hot_rows=60).first()["q"]
+    assert got == pytest.approx(np.percentile([v for *_, v in skewed], 50), abs=1e-9)
+
+
 @pytest.mark.parametrize("hot_rows", [60, 10**9])
 def test_quantiles_without_keys(spark, skewed, hot_rows):
     df = spark.createDataFrame(skewed, "g string, id int, v double")
