@@ -221,21 +221,18 @@ def grid_factor(regions: DataFrame, subnational: DataFrame, official: DataFrame,
 
 
 def centre_carbon(summary: DataFrame, factors: DataFrame, keys: Sequence[str],
-                  fallback: DataFrame | None = None) -> DataFrame:
+                  fallback_ef: Column | None = None) -> DataFrame:
     """D-26: carbon of the centres' supply by scenario and band.
 
     ``summary``: keys, scenario, supply_mw, dc_mean_mw. ``factors``: keys, ef_low,
-    ef_central, ef_high, grid_central, grid_upper. ``fallback``: one row (ef) used
-    where a region has no reservoir factor.
+    ef_central, ef_high, grid_central, grid_upper. ``fallback_ef``: the global median
+    factor, used where a region has no reservoir factor.
     """
     at = summary.join(factors, list(keys))
-    if fallback is not None:
-        # A single row: the global median factor.
-        at = at.withColumn("__one", F.lit(1)).join(
-            F.broadcast(fallback.select(F.lit(1).alias("__one"), F.col("ef").alias("__m"))), "__one", "left").drop("__one")
+    if fallback_ef is not None:
         missing = F.col("ef_central").isNull()
         for band, k in (("ef_low", BAND_LOW), ("ef_high", BAND_HIGH), ("ef_central", 1.0)):
-            at = at.withColumn(band, F.when(missing, F.col("__m") * k).otherwise(F.col(band)))
+            at = at.withColumn(band, F.when(missing, fallback_ef * k).otherwise(F.col(band)))
     need = F.col("dc_mean_mw") * HOURS_PER_YEAR
     hydro = F.least("supply_mw", "dc_mean_mw") * HOURS_PER_YEAR
     at = at.filter(F.col("supply_mw").isNotNull() & F.col("dc_mean_mw").isNotNull()).select(

@@ -177,12 +177,12 @@ def percent_rank_average(df: DataFrame, keys: Sequence[str], value: str, out: st
 
     Ranks are found on distinct values, so a value held by a third of the rows is one row here.
     """
-    if not keys:
-        return percent_rank_average(df.withColumn("__all", F.lit(0)), ["__all"], value, out, hot_rows).drop("__all")
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
     ranked = running_totals(counts, keys, [value], {"__hi": F.col("__c")}, hot_rows=hot_rows)
-    totals = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
-    ranked = ranked.join(totals, list(keys))
+    if keys:
+        ranked = ranked.join(counts.groupBy(*keys).agg(F.sum("__c").alias("__n")), list(keys))
+    else:
+        ranked = ranked.withColumn("__n", F.lit(counts.agg(F.sum("__c")).first()[0]))
     table = ranked.select(
         *keys, value, ((F.col("__hi") - (F.col("__c") - 1) / 2) / F.col("__n")).alias(out)
     )

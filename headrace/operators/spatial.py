@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from headrace.functions.core import first_match
 from headrace.functions.geo import EARTH_KM, haversine_km, unit_vector
-from headrace.operators.graph import connected_components
+from headrace.operators.graph import connected_components, upstream_trace
 from headrace.operators.ranking import top_per_group
 from headrace.session import reliable_checkpoint
 
@@ -340,6 +340,17 @@ def clip_layer(vertices: DataFrame, area: DataFrame, feature: str, cell: float =
     return at.distinct().join(cells(area).distinct(), ["cx", "cy"], "left_semi").select(feature).distinct()
 
 
+def expand_area(basins: DataFrame, plants: DataFrame, vertices: DataFrame, feature: str, cell: float = 0.1) -> DataFrame:
+    """J-24: features that touch the basins of the plants or any basin upstream of them.
+
+    ``basins``: basin, next_basin. ``plants``: basin. ``vertices``: feature, basin, lon, lat.
+    """
+    network = basins.select(F.col("basin").alias("river_id"), F.col("next_basin").alias("next_down"))
+    wanted = upstream_trace(plants.select(F.col("basin").alias("river_id")), network)
+    area = vertices.join(wanted.withColumnRenamed("river_id", "basin"), "basin", "left_semi")
+    return clip_layer(vertices, area, feature, cell)
+
+
 def pour_points(plants: DataFrame, basins: DataFrame, rivers: DataFrame, max_distance: float) -> DataFrame:
     """J-23: plants in a study basin no farther than ``max_distance`` from a river, outlet flag set.
 

@@ -171,7 +171,7 @@ def centre_carbon(spark, d):
     stations_ef = reliable_checkpoint(_station_factors(spark, d).select("region", "gen_gwh", "hydro_ef", "allocated_mw"))
     ef = C.region_emission_factors(stations_ef, ["region"])
     grid = _grid(spark, d).select("region", F.col("central").alias("grid_central"), F.col("upper").alias("grid_upper"))
-    middle = R.exact_quantiles(stations_ef, [], "hydro_ef", {"ef": 0.5})
+    middle = F.lit(R.exact_quantiles(stations_ef, [], "hydro_ef", {"ef": 0.5}).first()["ef"])
     who = X.table(spark, d, "customer").join(X.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("region"))
     need = X.table(spark, d, "orders").join(who, F.col("o_custkey") == F.col("c_custkey")).groupBy("region").agg((F.avg("o_totalprice") / 1000).alias("dc_mean_mw"))
     cap = X.stations(spark, d).groupBy("region").agg((F.sum(F.greatest("capacity_mw", F.lit(0.0))) / 200).alias("cap"))

@@ -203,6 +203,15 @@ def bound_tightening(spark, d):
     return rounded(out, new_bound_mw=7, reduction_mw=7)
 
 
+@query("bound_convergence", rounded_sql(X.with_sql(X.FLOWS) + """
+  SELECT scenario, max(r) AS max_reduction_mw, max(r) <= 120 AS converged FROM (SELECT scenario, CASE WHEN d + 1 < s * 0.951 THEN s - least(s, d) ELSE 0 END AS r FROM (
+    SELECT scenario, dc_region, sum(sent_mw) AS s, sum(delivered_mw) AS d FROM flows GROUP BY ALL)) GROUP BY ALL""", max_reduction_mw=7))
+def bound_convergence(spark, d):
+    sent = F.sum("sent_mw")
+    trials = X.flows(spark, d).groupBy("scenario", "dc_region").agg(sent.alias("bound_mw"), F.sum("delivered_mw").alias("realized_mw"), (sent * 0.951).alias("target_mw"))
+    return rounded(P.bounds_converged(P.tighten_bounds(trials), ["scenario"], 120.0), max_reduction_mw=7)
+
+
 @query("diurnal_profile", rounded_sql(X.with_sql(X.HOURLY) + """
   SELECT station, scenario, hoy % 24 AS hod, avg(q) AS q FROM hflow GROUP BY ALL""", q=8))
 def diurnal_profile(spark, d):
@@ -328,7 +337,7 @@ def allocation_summary(spark, d):
           sum(CASE WHEN src_region = dc_region THEN delivered_mw END) AS a FROM flows GROUP BY ALL)""",
     demand_mw=5, met_isolated_mw=7, met_interconnected_mw=7, cov_isolated_pct=7, cov_interconnected_pct=7))
 def coverage_with_trade(spark, d):
-    at = X.flows(spark, d)
+    at = X.flows_once(spark, d)
     need = at.groupBy("scenario", F.col("dc_region").alias("region")).agg(F.sum("sent_mw").alias("demand_mw"))
     out = T.coverage_by_region(at.filter("src_region = dc_region"), at, need)
     return rounded(out, demand_mw=5, met_isolated_mw=7, met_interconnected_mw=7, cov_isolated_pct=7, cov_interconnected_pct=7)

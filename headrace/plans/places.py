@@ -432,3 +432,39 @@ def first_non_null(spark, d):
 @query("input_keys", "SELECT s_suppkey, sha256(CAST(s_suppkey AS VARCHAR) || '|' || s_name) AS digest FROM supplier")
 def input_keys(spark, d):
     return X.table(spark, d, "supplier").select("s_suppkey", text.input_key("s_suppkey", "s_name").alias("digest"))
+
+
+@query("expanded_area", X.with_sql(SITES, """
+  up(basin, spot) AS (SELECT n_nationkey, n_nationkey FROM nation UNION ALL SELECT u.basin, CAST(u.spot // 2 AS INT) FROM up u WHERE u.spot > 1),
+  want AS (SELECT DISTINCT basin FROM up WHERE spot IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)),
+  v AS (SELECT site, c_nationkey AS basin, floor(lon / 5) AS cx, floor(lat / 5) AS cy FROM sites JOIN customer ON c_custkey = site)""", recursive=True) + """
+  SELECT DISTINCT site AS feature FROM v WHERE (cx, cy) IN (SELECT (cx, cy) FROM v WHERE basin IN (SELECT basin FROM want))""")
+def expanded_area(spark, d):
+    n = F.col("n_nationkey")
+    basins = X.table(spark, d, "nation").select(n.alias("basin"), F.floor(n / 2).cast("int").alias("next_basin"))
+    plants = X.table(spark, d, "supplier").filter("s_acctbal > 9000").select(F.col("s_nationkey").alias("basin"))
+    vertices = _sites(spark, d).join(X.table(spark, d, "customer"), F.col("c_custkey") == F.col("site")).select(
+        F.col("site").alias("feature"), F.col("c_nationkey").alias("basin"), "lon", "lat")
+    return SP.expand_area(basins, plants, vertices, "feature", cell=5.0)
+
+
+@query("channel_mapping", X.with_sql(X.STATIONS, SITES, """
+  u AS (SELECT site AS unit, c_nationkey AS subbasin, CASE WHEN c_acctbal > 5000 THEN site % 150 END AS channel, lat, lon FROM sites JOIN customer ON c_custkey = site),
+  own AS (SELECT station_idx AS channel, unit, subbasin, false AS by_distance FROM stations JOIN u ON u.channel = station_idx),
+  near AS (SELECT s.station_idx AS channel, unit, subbasin, true AS by_distance, row_number() OVER (PARTITION BY s.station_idx ORDER BY (s.lat - u.lat) ** 2 + (s.lon - u.lon) ** 2, unit) AS i
+           FROM stations s, u WHERE s.station_idx NOT IN (SELECT channel FROM own))""") + """
+  SELECT m.channel, m.unit, m.subbasin, m.by_distance, s_suppkey AS aquifer FROM (SELECT channel, unit, subbasin, by_distance FROM own UNION ALL SELECT channel, unit, subbasin, by_distance FROM near WHERE i = 1) m
+  LEFT JOIN supplier ON s_nationkey = m.subbasin""")
+def channel_mapping(spark, d):
+    from headrace.operators.features import channel_mapping as mapping
+    channels = X.stations(spark, d).select(F.col("station_idx").alias("channel"), "lat", "lon")
+    at = _sites(spark, d).join(X.table(spark, d, "customer"), F.col("c_custkey") == F.col("site"))
+    units = at.select(F.col("site").alias("unit"), F.col("c_nationkey").alias("subbasin"), F.when(F.col("c_acctbal") > 5000, F.col("site") % 150).alias("channel"), "lat", "lon")
+    aquifers = X.table(spark, d, "supplier").select(F.col("s_nationkey").alias("subbasin"), F.col("s_suppkey").alias("aquifer"))
+    return mapping(channels, units, aquifers).select("channel", "unit", "subbasin", "by_distance", "aquifer")
+
+
+@query("study_resolution", "SELECT c_custkey, CASE WHEN a <= 1000000 THEN 500 WHEN a <= 2500000 THEN 750 WHEN a <= 5000000 THEN 1000 WHEN a <= 10000000 THEN 1500 ELSE 2000 END AS metres FROM (SELECT c_custkey, abs(c_acctbal) * 1500 AS a FROM customer)")
+def study_resolution(spark, d):
+    at = X.table(spark, d, "customer").select("c_custkey", (F.abs("c_acctbal") * 1500).alias("a"))
+    return at.select("c_custkey", ST.dem_resolution("a").alias("metres"))

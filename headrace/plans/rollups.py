@@ -151,7 +151,7 @@ def type_sets(spark, d):
   SELECT CASE WHEN na.net < nb.net THEN b ELSE a END AS frm, CASE WHEN na.net < nb.net THEN a ELSE b END AS "to", used_mw, sign(na.net) * sqrt(abs(na.net)) AS net_root_a, sign(nb.net) * sqrt(abs(nb.net)) AS net_root_b
   FROM cr JOIN nt na ON na.region = a JOIN nt nb ON nb.region = b WHERE used_mw >= 50""", used_mw=5, net_root_a=5, net_root_b=5))
 def corridor_map(spark, d):
-    flows = X.flows(spark, d)
+    flows = X.flows_once(spark, d)
     used = flows.filter("src_region <> dc_region").groupBy(F.least("src_region", "dc_region").alias("region_a"), F.greatest("src_region", "dc_region").alias("region_b")).agg(F.sum("sent_mw").alias("used_mw"))
     sides = F.array(F.struct(F.col("src_region").alias("region"), F.col("sent_mw").alias("x")), F.struct(F.col("dc_region").alias("region"), (-F.col("delivered_mw")).alias("x")))
     net = flows.select(F.explode(sides).alias("s")).groupBy("s.region").agg(F.sum("s.x").alias("net_export_mw"))
@@ -254,7 +254,7 @@ def flow_matrix(spark, d):
   JOIN em ON region = src_region GROUP BY ALL""", delivered_mw=7, burden_per_mw=8))
 def corridor_injustice(spark, d):
     burdens = _master(spark, d).select("region", F.col("supply_c_mw").alias("burden"))
-    return rounded(V.corridor_injustice(X.flows(spark, d), burdens, ["src_region", "dc_region"]), delivered_mw=7, burden_per_mw=8)
+    return rounded(V.corridor_injustice(X.flows_once(spark, d), burdens, ["src_region", "dc_region"]), delivered_mw=7, burden_per_mw=8)
 
 
 @query("richness_classes", """

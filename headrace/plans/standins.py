@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headrace.functions import calendar as cal
+from headrace.session import reliable_checkpoint
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -192,6 +193,11 @@ def flows(spark: SparkSession, folder: str) -> DataFrame:
         (F.sum(price * F.col("l_discount")) / 1000.0).alias("loss_mw"))
 
 
+def flows_once(spark: SparkSession, folder: str) -> DataFrame:
+    """The flow table kept for plans that read it several times: nations squared x statuses rows."""
+    return reliable_checkpoint(flows(spark, folder))
+
+
 # Transmission lines: one per order between the customer's nation and a neighbour.
 LINES = """
 lines AS (

@@ -431,3 +431,31 @@ def mapped_daily_mean(spark, d):
         F.avg("l_quantity").alias("perc"), F.avg("l_tax").alias("et"))
     mapping = X.table(spark, d, "supplier").select(F.col("s_nationkey").alias("channel"), F.col("s_suppkey").alias("unit"))
     return rounded(M.mapped_daily_mean(units, mapping, "unit", ["perc", "et"], "wb"), wb_perc=8, wb_et=9)
+
+
+@query("land_mask", rounded_sql("""
+  WITH c AS (SELECT l_linestatus AS region, l_suppkey AS lat, l_linenumber AS lon, least(avg(CASE WHEN l_discount > 0.04 THEN 1 ELSE 0 END), avg(CASE WHEN l_tax > 0.02 THEN 1 ELSE 0 END)) AS min_valid FROM lineitem GROUP BY ALL)
+  SELECT *, row_number() OVER (PARTITION BY region ORDER BY lat, lon) AS cell_no FROM c WHERE min_valid >= 0.5""", min_valid=8))
+def land_mask(spark, d):
+    at = X.table(spark, d, "lineitem").select(F.col("l_linestatus").alias("region"), F.col("l_suppkey").alias("lat"), F.col("l_linenumber").alias("lon"),
+                                              F.when(F.col("l_discount") > 0.04, 1.0).alias("tp"), F.when(F.col("l_tax") > 0.02, 1.0).alias("t2m"))
+    return rounded(WX.land_mask(at, ["region"], ["tp", "t2m"]).drop("cell_id"), min_valid=8)
+
+
+@query("merged_predictions", rounded_sql(X.with_sql(X.HOURLY) + """
+  SELECT split, count(*) AS n, count(sigma) AS n_sigma, sum(mu) AS mu FROM (SELECT 'train' AS split, q_nat AS mu, NULL AS sigma FROM hourly WHERE day(ts) <= 20 UNION ALL
+    SELECT 'test', q_bal, q_nat FROM hourly WHERE day(ts) > 20) GROUP BY ALL""", mu=4))
+def merged_predictions(spark, d):
+    at, day = X.hourly(spark, d), F.dayofmonth("ts")
+    train = at.filter(day <= 20).select(F.lit("train").alias("split"), F.col("q_nat").alias("mu"))
+    test = at.filter(day > 20).select(F.lit("test").alias("split"), F.col("q_bal").alias("mu"), F.col("q_nat").alias("sigma"))
+    out = M.merge_predictions([train, test]).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count("sigma").alias("n_sigma"), F.sum("mu").alias("mu"))
+    return rounded(out, mu=4)
+
+
+@query("year_column_mean", rounded_sql("""
+  SELECT l_suppkey, l_linenumber, (coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)) / nullif((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT, 0) AS l_norm FROM (
+    SELECT l_suppkey, l_linenumber, avg(l_quantity) FILTER (year(l_shipdate) = 1996) AS a, avg(l_quantity) FILTER (year(l_shipdate) = 1997) AS b, avg(l_quantity) FILTER (year(l_shipdate) = 1998) AS c FROM lineitem GROUP BY ALL)""", l_norm=8))
+def year_column_mean(spark, d):
+    wide = X.table(spark, d, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(*[F.avg(F.when(F.year("l_shipdate") == y, F.col("l_quantity"))).alias(f"y{y}") for y in (1996, 1997, 1998)])
+    return rounded(L.average_columns(wide, ["l_suppkey", "l_linenumber"], ["y1996", "y1997", "y1998"]), l_norm=8)
