@@ -186,28 +186,84 @@ def merge_clusters(plants: DataFrame, within_km: float = 0.1) -> DataFrame:
     """J-12, G-4: single-linkage clusters of plants less than ``within_km`` apart.
 
     ``plants``: plant, lat, lon. Cells are so small that everything in one cell is
-    linked: each cell contributes links to its first plant only. Between two cells
-    one link is kept, the shortest. Copies of a position are one point.
+    linked: each cell contributes links to its first plant only. Two cells need one
+    link, found by comparing boxes (``_cell_links``). Copies of a position are one point.
     """
-    chord = 2 * _sin_half(within_km)
-    axes = ["cx", "cy", "cz"]
-    width = chord / 3**0.5
-    cells = [F.floor(c / width).alias(a) for c, a in zip(unit_vector("lat", "lon"), axes)]
+    limit = 2 * _sin_half(within_km)
+    axes = ["x", "y", "z"]
     spots = plants.groupBy("lat", "lon").agg(F.min("plant").alias("rep"))
-    gridded = reliable_checkpoint(spots.select("rep", "lat", "lon", *cells))
-    heads = gridded.groupBy(*axes).agg(F.min("rep").alias("head"))
-    inside = gridded.join(heads, axes).select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    placed = spots.select("rep", *[c.alias(a) for c, a in zip(unit_vector("lat", "lon"), axes)])
+    width = limit / 3**0.5
+    placed = reliable_checkpoint(placed.select(
+        "*", F.struct(*[F.floor(F.col(a) / width).alias(f"c{a}") for a in axes]).alias("cell")))
+    heads = placed.groupBy("cell").agg(F.min("rep").alias("head"))
+    inside = placed.join(heads, "cell").select(F.col("rep").alias("a"), F.col("head").alias("b"))
     copies = plants.join(spots, ["lat", "lon"]).select(F.col("plant").alias("a"), F.col("rep").alias("b"))
-    reach = gridded.select(F.col("rep").alias("a"), F.col("lat").alias("la"), F.col("lon").alias("lo"),
-                           F.struct(*axes).alias("own"), F.explode(_neighbours(axes, 2)).alias("n"))
-    reach = reach.filter(F.col("n") < F.col("own")).select("a", "la", "lo", "own", "n.*")
-    near = reach.join(gridded, axes).filter(haversine_km("la", "lo", "lat", "lon") < within_km)
-    across = near.groupBy("own", *axes).agg(
-        F.min(F.struct(haversine_km("la", "lo", "lat", "lon").alias("km"), "a", "rep")).alias("l"))
-    links = inside.unionByName(copies).unionByName(across.select(F.col("l.a").alias("a"), F.col("l.rep").alias("b")))
+    links = inside.unionByName(copies).unionByName(_cell_links(placed, axes, width, limit * limit))
     return connected_components(links).select(F.col("node").alias("plant"), F.col("component").alias("cluster"))
 
 
+def _boxes(placed: DataFrame, axes: Sequence[str], part: Column, side: str) -> DataFrame:
+    """Tight boxes of the parts of each cell: count, first plant and bounds."""
+    return placed.groupBy(F.col("cell").alias(f"cell_{side}"), part.alias(f"part_{side}")).agg(
+        F.count(F.lit(1)).alias(f"n_{side}"), F.min("rep").alias(f"head_{side}"),
+        *[F.min(a).alias(f"lo_{a}_{side}") for a in axes], *[F.max(a).alias(f"hi_{a}_{side}") for a in axes])
+
+
+def _cell_links(placed: DataFrame, axes: Sequence[str], width: float, limit2: float, max_pairs: int = 1024,
+                max_levels: int = 40) -> DataFrame:
+    """One link (a, b) for every two neighbouring cells that hold points closer than the limit.
+
+    Box pairs that are surely near give the link, surely far ones are dropped, and
+    the rest are halved on every axis. Points meet only in pairs of small boxes, at
+    most ``max_pairs`` per box pair, so a dense spot is never paired out.
+    """
+    names = [f"c{a}" for a in axes]
+    cells = placed.select("cell").distinct().select("cell", "cell.*")
+    around = cells.select(F.col("cell").alias("cell_a"), F.explode(_neighbours(names, 2)).alias("n")).select("cell_a", "n.*")
+    open_ = around.join(cells.withColumnRenamed("cell", "cell_b"), names).filter(F.col("cell_b") < F.col("cell_a")).select(
+        "cell_a", F.lit("").alias("part_a"), "cell_b", F.lit("").alias("part_b"))
+    near, far = F.lit(0.0), F.lit(0.0)
+    for a in axes:
+        lo_a, hi_a, lo_b, hi_b = (F.col(f"{e}_{a}_{s}") for s in ("a", "b") for e in ("lo", "hi"))
+        near = near + _square(F.greatest(lo_b - hi_a, lo_a - hi_b, F.lit(0.0)))
+        far = far + _square(F.greatest(hi_b - lo_a, hi_a - lo_b))
+    found = None
+    for level in range(max_levels + 1):
+        def part(at: int) -> Column:
+            size = width / 2**at
+            return F.lit("") if at == 0 else F.concat_ws("_", *[F.floor(F.col(a) / size).cast("string") for a in axes])
+
+        sized = open_.join(_boxes(placed, axes, part(level), "a"), ["cell_a", "part_a"]).join(
+            _boxes(placed, axes, part(level), "b"), ["cell_b", "part_b"])
+        judged = reliable_checkpoint(sized.filter(near < limit2).select(
+            "cell_a", "part_a", "cell_b", "part_b", "n_a", "n_b", F.col("head_a").alias("a"), F.col("head_b").alias("b"),
+            (far < limit2).alias("sure")))
+        small = (F.col("n_a") * F.col("n_b") <= max_pairs) | F.lit(level == max_levels)
+        points = placed.select("cell", part(level).alias("part"), "rep", *axes)
+        left = points.select(F.col("cell").alias("cell_a"), F.col("part").alias("part_a"), F.col("rep").alias("p"),
+                             *[F.col(c).alias(f"{c}_p") for c in axes])
+        right = points.select(F.col("cell").alias("cell_b"), F.col("part").alias("part_b"), F.col("rep").alias("q"),
+                              *[F.col(c).alias(f"{c}_q") for c in axes])
+        d2 = F.lit(0.0)
+        for c in axes:
+            d2 = d2 + _square(F.col(f"{c}_p") - F.col(f"{c}_q"))
+        met = judged.filter(~F.col("sure") & small).join(left, ["cell_a", "part_a"]).join(right, ["cell_b", "part_b"])
+        linked = judged.filter("sure").select("cell_a", "cell_b", "a", "b").unionByName(
+            met.filter(d2 < limit2).select("cell_a", "cell_b", F.col("p").alias("a"), F.col("q").alias("b")))
+        one = reliable_checkpoint(linked.groupBy("cell_a", "cell_b").agg(F.min(F.struct("a", "b")).alias("l")))
+        found = one if found is None else found.unionByName(one)
+        open_ = judged.filter(~F.col("sure") & ~small).join(one, ["cell_a", "cell_b"], "left_anti")
+        if open_.limit(1).count() == 0:
+            break
+        parts = placed.select("cell", part(level).alias("part"), part(level + 1).alias("next")).distinct()
+        halves_a = parts.select(F.col("cell").alias("cell_a"), F.col("part").alias("part_a"), F.col("next").alias("next_a"))
+        halves_b = parts.select(F.col("cell").alias("cell_b"), F.col("part").alias("part_b"), F.col("next").alias("next_b"))
+        open_ = reliable_checkpoint(open_.join(halves_a, ["cell_a", "part_a"]).join(halves_b, ["cell_b", "part_b"]).select(
+            "cell_a", F.col("next_a").alias("part_a"), "cell_b", F.col("next_b").alias("part_b")))
+    return found.select("l.a", "l.b")
+
+
 def _sin_half(km: float) -> float:
     import math
     return math.sin(km / EARTH_KM / 2)
