@@ -40,7 +40,7 @@ def _reservoirs(spark, d):
         F.lit(None).cast("double").alias("dam_height_m"))
 
 
-GRES = """
+FLUX = """
 tp AS (SELECT station_idx, CASE WHEN total_p IS NULL THEN 20.0 ELSE 5 + 55 * (
          (SELECT count(*) FROM res r2 WHERE r2.total_p < r.total_p) + ((SELECT count(*) FROM res r2 WHERE r2.total_p = r.total_p) + 1) / 2.0)
          / (SELECT count(total_p) FROM res) END AS tp FROM res r),
@@ -72,7 +72,7 @@ def _factors(spark, d):
     return C.reservoir_emission_factor(C.phosphorus_transfer(_reservoirs(spark, d)))
 
 
-@query("reservoir_emission_factor", rounded_sql(X.with_sql(X.STATIONS, RES, GRES) + """
+@query("reservoir_emission_factor", rounded_sql(X.with_sql(X.STATIONS, RES, FLUX) + """
   SELECT station_idx, md AS mean_depth_m, xd AS max_depth_m, pl AS pct_littoral, et2 AS eff_temp_co2, et4 AS eff_temp_ch4, ghr AS cum_ghr, wrt AS wrt_yr,
          tp AS tp_ugl, co2 AS co2_diff, d4 AS ch4_diff, e4 AS ch4_ebull, g4 AS ch4_degas, co2 IS NOT NULL AND d4 IS NOT NULL AND e4 IS NOT NULL AND g4 IS NOT NULL AS pathways_complete,
          bad AS geom_implausible, CASE WHEN NOT bad THEN tot END AS areal_total, efk AS ef_gco2kwh,
@@ -104,7 +104,7 @@ def _station_factors(spark, d):
     return C.station_emission_factor(at)
 
 
-@query("station_emission_factor", rounded_sql(X.with_sql(X.STATIONS, RES, GRES, STEF) + "SELECT station_idx, ef_source, hydro_ef FROM sef", hydro_ef=4))
+@query("station_emission_factor", rounded_sql(X.with_sql(X.STATIONS, RES, FLUX, STEF) + "SELECT station_idx, ef_source, hydro_ef FROM sef", hydro_ef=4))
 def station_emission_factor(spark, d):
     return rounded(_station_factors(spark, d).select("station_idx", "ef_source", "hydro_ef"), hydro_ef=4)
 
@@ -119,7 +119,7 @@ reg AS (SELECT region, CASE WHEN hs > 0 THEN CASE WHEN aa > 0 THEN ea / aa ELSE
 """
 
 
-@query("region_emission_factors", rounded_sql(X.with_sql(X.STATIONS, RES, GRES, STEF, REGEF) + """
+@query("region_emission_factors", rounded_sql(X.with_sql(X.STATIONS, RES, FLUX, STEF, REGEF) + """
   SELECT region, c AS ef_central, weighting, n_matched, c * 0.6 AS ef_low, c * 2.5 AS ef_high FROM reg""", ef_central=4, ef_low=4, ef_high=4))
 def region_emission_factors(spark, d):
     return rounded(C.region_emission_factors(_station_factors(spark, d), ["region"]), ef_central=4, ef_low=4, ef_high=4)
@@ -154,7 +154,7 @@ def grid_factor(spark, d):
     return _grid(spark, d)
 
 
-@query("centre_carbon", rounded_sql(X.with_sql(X.STATIONS, RES, GRES, STEF, REGEF, GRID, """
+@query("centre_carbon", rounded_sql(X.with_sql(X.STATIONS, RES, FLUX, STEF, REGEF, GRID, """
   med AS (SELECT median(hydro_ef) AS m FROM sef),
   fac AS (SELECT region, coalesce(c, m) AS ec, g.central AS gc, g.upper AS gu FROM reg JOIN grid g USING (region), med),
   dem AS (SELECT n_name AS region, avg(o_totalprice) / 1000 AS dc FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
@@ -183,7 +183,7 @@ def centre_carbon(spark, d):
                    intensity_g_kwh=3, avoided_t=1)
 
 
-@query("cross_region_carbon", rounded_sql(X.with_sql(X.STATIONS, RES, GRES, X.FLOWS, GRID, """
+@query("cross_region_carbon", rounded_sql(X.with_sql(X.STATIONS, RES, FLUX, X.FLOWS, GRID, """
   al AS (SELECT region AS src_region, l_suppkey AS station, sum(l_quantity) AS w FROM lineitem JOIN stations ON station_idx = l_suppkey GROUP BY ALL),
   m AS (SELECT src_region, CASE WHEN a IS NOT NULL THEN a WHEN b IS NOT NULL THEN b ELSE c END AS ef,
           CASE WHEN a IS NOT NULL THEN 'reservoir' WHEN b IS NOT NULL THEN 'generation' ELSE 'capacity-estimate' END AS method, w
