@@ -104,8 +104,9 @@ def skill_columns(obs: ColumnLike, sim: ColumnLike, where: Column | None = None)
     o, s = F.when(both, col(obs)), F.when(both, col(sim))
     n = F.count(o)
     enough = n >= MIN_SCORED
-    r = F.corr(o, s)
     sd_o, sd_s, mean_o, mean_s = F.stddev_pop(o), F.stddev_pop(s), F.avg(o), F.avg(s)
+    # The built-in correlation raises on a constant series in ANSI mode; here it is NULL.
+    r = F.try_divide(F.covar_pop(o, s), sd_o * sd_s)
     err = F.sum(_sq(o - s))
     a = F.when(sd_o > 0, sd_s / sd_o)
     b = F.when(mean_o != 0, mean_s / mean_o)

@@ -29,8 +29,7 @@ def profile_table(load: DataFrame, keys: Sequence[str], ts: str = "ts", value: s
     peak = rows.groupBy(*keys).agg(F.percentile(value, F.lit(0.99)).alias("p99"), F.avg(value).alias("mean"))
     slots = rows.groupBy(*keys, F.dayofyear(ts).alias("doy"), F.hour(ts).alias("hod")).agg(F.avg(value).alias("slot"))
     return slots.join(peak, list(keys)).select(
-        *keys, "doy", "hod", (F.col("slot") / F.col("p99")).alias("l_norm"),
-        (F.col("mean") / F.col("p99")).alias("l_mean"))
+        *keys, "doy", "hod", F.try_divide("slot", "p99").alias("l_norm"), F.try_divide("mean", "p99").alias("l_mean"))
 
 
 def load_profile(load: DataFrame, keys: Sequence[str], ts: str = "ts", value: str = "load_mw",
@@ -73,7 +72,7 @@ def seasonal_factors(profile: DataFrame, keys: Sequence[str], value: str = "l_no
     """L-6: mean of each 730-hour month over the mean of the monthly means."""
     month = F.least(F.floor(F.col("hoy") / 730), F.lit(11)).cast("int")
     means = profile.groupBy(*keys, month.alias("month")).agg(F.avg(value).alias("m"))
-    return means.select(*keys, "month", (F.col("m") / F.avg("m").over(Window.partitionBy(*keys))).alias("factor"))
+    return means.select(*keys, "month", F.try_divide(F.col("m"), F.avg("m").over(Window.partitionBy(*keys))).alias("factor"))
 
 
 def repeat_year_profile(typical: DataFrame, keys: Sequence[str], value: str = "l_norm",
