@@ -1 +1 @@
-"""headrace: hydropower, river-flow and electricity-demand analytics on Spark DataFrames."""
+"""headrace: river-flow, water and electricity-demand analytics on Spark DataFrames."""
