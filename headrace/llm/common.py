@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: A-Z to a-z, byte by byte; other letters stay as they are.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -65,9 +69,33 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def only(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns; NULL texts stay NULL. Extra columns go, so their names can't clash."""
-    return df.select(*[F.col(c) for c in columns])
+def with_results(df: DataFrame, keep: list[str], compute: Callable[[list], list[dict]], fields: str, *inputs: str) -> DataFrame:
+    """The columns ``keep`` as they are (NULLs and types too) and ``fields`` of ``compute``, a dict per row.
+
+    ``compute`` gets the values of ``inputs`` (default: text), a list for each. Other columns go, so
+    their names can't clash.
+    """
+    inputs = inputs or ("text",)
+    made = StructType.fromDDL(fields)
+    arrow = to_arrow_schema(made)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = pa.RecordBatch.from_pylist(compute(*(b.column(f"in_{i}").to_pylist() for i in range(len(inputs)))), schema=arrow)
+            yield pa.RecordBatch.from_arrays([*(b.column(f"keep_{i}") for i in range(len(keep))), *new.columns],
+                                             names=[*keep, *made.names])
+
+    asked = df.select(*[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)], *[F.col(c).alias(f"in_{i}") for i, c in enumerate(inputs)])
+    return asked.mapInArrow(rows, StructType([*df.select(*keep).schema.fields, *made.fields]))
+
+
+def kept_rows(df: DataFrame, accept: Callable[[list], list[bool]], column: str = "text") -> DataFrame:
+    """The rows whose text ``accept`` takes, with all their columns."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(accept(b.column(column).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(rows, df.schema)
 
 
 def partitions_for(spark: SparkSession, least: int = 1) -> int:

@@ -6,7 +6,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,20 +78,23 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int = 0) -> DataF
 
     Only documents longer than ``size`` are cut: all pieces but the first have ``size`` ids.
     """
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_ids(tokenizer)
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 ids = np.append(encoder.encode(text), encoder.dtype.type(end_id)).astype("<u4")
                 raw, at, n = memoryview(ids.tobytes()), 0, len(ids)
                 length = n % size or size
                 for k in range(-(-n // size)):
-                    rows.append((doc, k, at, length, zlib.crc32(raw[4 * at:4 * (at + length)])))
+                    rows.append((i, k, at, length, zlib.crc32(raw[4 * at:4 * (at + length)])))
                     at, length = at + length, size
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            table = np.array(rows, np.int64).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(table[:, 0])), pa.array(table[:, 1].astype(np.int32)),
+                 *(pa.array(table[:, j]) for j in (2, 3, 4))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInPandas(
+    return docs.select("doc_id", "text").mapInArrow(
         cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
@@ -107,13 +110,13 @@ def pack(cut: DataFrame, size: int) -> DataFrame:
     full = cut.filter(F.col("length") == size)
     alone = full.select("*", (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
-    def packed(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "piece", "ids_crc32"], ignore_index=True)
-        bins, offsets = best_fit_decreasing(group["length"].to_numpy(), size)
-        first = int(group["part"].iloc[0]) << 32
-        return group.drop(columns="part").assign(sequence_id=bins + first, offset=offsets)
+    def packed(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        bins, offsets = best_fit_decreasing(group.column("length").to_numpy(), size)
+        first = group.column("part")[0].as_py() << 32
+        return group.drop_columns("part").append_column("sequence_id", pa.array(bins + first)).append_column("offset", pa.array(offsets))
 
-    rest = cut.filter(F.col("length") < size).withColumn("part", key).groupBy("part").applyInPandas(packed, alone.schema)
+    rest = cut.filter(F.col("length") < size).withColumn("part", key).groupBy("part").applyInArrow(packed, alone.schema)
     return alone.unionByName(rest)
 
 

@@ -5,12 +5,39 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from headrace.llm import packing, simple8b
+from headrace.llm import decontaminate, licenses, mincut, packing, quality, simple8b, warc
 from headrace.llm.common import table
 
 ORACLES: dict[str, str] = {}
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("items", "spans")
+
+
+def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_scan(table(spark, folder, "documents")).drop("spans")
+
+
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op6_warc"] = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    q AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+    f AS (SELECT payload_digest, min(page_id) AS first FROM q WHERE payload_bytes >= 100 GROUP BY payload_digest)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN first <> page_id THEN first END AS refers_to
+    FROM q LEFT JOIN f USING (payload_digest)"""
+
+
+def op7_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op8_simple8b(spark: SparkSession, folder: str) -> DataFrame:
     return simple8b.token_archive(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -19,4 +46,8 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_sequences(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op8_simple8b, op9_packing)}
+def op10_mincut(spark: SparkSession, folder: str) -> DataFrame:
+    return mincut.main_text(table(spark, folder, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op4_decontamination, op5_licenses, op6_warc, op7_quality, op8_simple8b, op9_packing, op10_mincut)}

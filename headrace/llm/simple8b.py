@@ -22,6 +22,8 @@ ESCAPE = 15
 #: Ids of a block; each block starts at a word of its own, listed in the file's block table.
 BLOCK = 1 << 16
 MAGIC = b"S8B1"
+#: Stands for a NULL doc_id in files; such documents come first.
+NO_ID = -(1 << 63)
 #: Bytes of words after which a file is closed.
 FILE_BYTES = 8 << 20
 
@@ -143,7 +145,7 @@ def write_archives(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2)
     protocol: one text row a file, whose line end closes the format.
     """
     spark = docs.sparkSession
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(
+    ordered = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").repartitionByRange(
         partitions_for(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     numbered = ordered.select("doc_id", "text", F.spark_partition_id().cast("long").alias("shard"))
 
@@ -210,4 +212,4 @@ def _with_starts(rows: DataFrame) -> DataFrame:
     shards = shards.select("shard", (F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).alias("base"))
     offsets = files.join(shards, "shard").select("shard", "number", (F.col("base") + F.col("in_shard")).alias("base"))
     return rows.join(offsets, ["shard", "number"]).select(
-        "doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
