@@ -19,6 +19,11 @@ WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 #: Selector 15: an id over 60 bits follows whole in the next word.
 ESCAPE = 15
+_STEPS = np.array([*COUNTS, 1, 1])
+_BITS16 = np.array([v.bit_length() for v in range(1 << 16)], np.uint8)
+#: Maxima over c ids from those over a and, a places on, b ids.
+_WINDOWS = {2: (1, 1), 3: (2, 1), 4: (2, 2), 5: (4, 1), 6: (4, 2), 7: (4, 3), 8: (4, 4), 10: (5, 5), 12: (6, 6), 15: (10, 5),
+            20: (10, 10), 30: (15, 15), 60: (30, 30)}
 #: Ids of a block; each block starts at a word of its own, listed in the file's block table.
 BLOCK = 1 << 16
 MAGIC = b"S8B1"
@@ -31,32 +36,21 @@ FILE_BYTES = 8 << 20
 def pack(values: np.ndarray) -> np.ndarray:
     """Words (uint64) of one block: each word takes as many of the next ids as fit one selector.
 
-    For each selector it is known at once from which places a full word of it can start; the walk
+    Maxima of bits over 1 to 60 ids show for each place at once which selectors fit there; the walk
     over the block then takes one step per word. A last word with room is filled up with zeros.
     """
-    values = np.asarray(values, np.uint64)
     n = len(values)
     if n == 0:
         return np.empty(0, np.uint64)
-    bits = np.zeros(n, np.int64)
-    left = values.copy()
-    for shift in (32, 16, 8, 4, 2, 1):
-        big = left >= (np.uint64(1) << np.uint64(shift))
-        bits[big] += shift
-        left[big] >>= np.uint64(shift)
-    bits += left > 0
-    # best[i]: the first selector (most ids) that fits at i
-    best = np.full(n, ESCAPE, np.int64)
-    place = np.arange(n)
-    over = np.zeros(n + 1, np.int32)
+    # widest[c][i]: the most bits of the c ids from i on; ids past the end have none
+    widest = {1: np.concatenate([_bits(np.asarray(values)), np.zeros(max(COUNTS), np.uint8)])}
+    for c, (a, b) in _WINDOWS.items():
+        tail = widest[b][a:]
+        widest[c] = np.maximum(widest[a][:len(tail)], tail[:len(widest[a])])
+    best = np.full(n, ESCAPE, np.uint8)
     for k in range(len(WIDTHS) - 1, -1, -1):
-        wide = bits > WIDTHS[k]
-        if wide.all():
-            break
-        np.cumsum(wide, out=over[1:])
-        best[over[np.minimum(place + COUNTS[k], n)] == over[:-1]] = k
-    steps = np.where(best == ESCAPE, 1, np.array([*COUNTS, 1, 1])[best])
-    starts, i, ahead = [], 0, steps.tolist()
+        np.copyto(best, k, where=widest[COUNTS[k]][:n] <= WIDTHS[k])
+    starts, i, ahead = [], 0, _STEPS[best].tolist()
     while i < n:
         starts.append(i)
         i += ahead[i]
@@ -64,20 +58,32 @@ def pack(values: np.ndarray) -> np.ndarray:
     kinds = best[starts]
     size = np.where(kinds == ESCAPE, 2, 1)
     at = np.cumsum(size) - size
-    words = np.zeros(int(size.sum()), np.uint64)
-    words[at] = kinds.astype(np.uint64) << np.uint64(60)
-    for k in np.unique(kinds):
+    words = np.zeros(int(at[-1] + size[-1]), np.uint64)
+    padded = np.concatenate([np.asarray(values).astype(np.uint64), np.zeros(max(COUNTS), np.uint64)])
+    for k in np.flatnonzero(np.bincount(kinds)).tolist():
         where = kinds == k
+        source, target = starts[where], at[where]
+        packed = np.full(len(source), np.uint64(k) << np.uint64(60))
         if k == ESCAPE:
-            words[at[where] + 1] = values[starts[where]]
-            continue
-        for j in range(COUNTS[k]):
-            source = starts[where] + j
-            inside = source < n
-            words[at[where][inside]] |= values[source[inside]] << np.uint64(j * WIDTHS[k])
+            words[target + 1] = padded[source]
+        else:
+            for j in range(COUNTS[k]):
+                packed |= padded[source + j] << np.uint64(j * WIDTHS[k])
+        words[target] = packed
     return words
 
 
+def _bits(values: np.ndarray) -> np.ndarray:
+    """Bits of each id."""
+    if values.dtype == np.uint16:
+        return _BITS16[values]
+    out, left = np.zeros(len(values), np.uint8), values.astype(np.uint64)
+    for shift in (48, 32, 16, 0):
+        part = _BITS16[((left >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint16)]
+        np.copyto(out, part + np.uint8(shift), where=(out == 0) & (part > 0))
+    return out
+
+
 def unpack(words: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` ids of one block, selector by selector without a loop over words."""
     words = np.asarray(words, np.uint64)

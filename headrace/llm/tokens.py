@@ -11,7 +11,7 @@ import numpy as np
 import regex
 
 #: Entries of each generation of a memory (two are kept); this bounds memory and changes time only.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: How byte-level files split a text unless they name a pattern, and how they spell bytes.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -65,12 +65,14 @@ class TextIds:
         self.led = Memory(lambda word: self._word(" " + word))
 
     def _piece(self, piece: str) -> bytes:
-        spelled = piece.encode().decode("latin-1").translate(BYTE_CHARS)
+        spelled = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(BYTE_CHARS)
         return array("I" if self.wide else "H", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def _word(self, word: str) -> bytes:
         if self.normalizer is not None:
             word = word.lower() if word.isascii() else self.normalizer.normalize_str(word)
+        if word.isalpha():  # one piece by either pattern
+            return self.pieces[word]
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(word)))
 
     def encode(self, text: str | None) -> np.ndarray:
