@@ -5,12 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from headrace.llm import decontaminate, licenses, mincut, packing, quality, simple8b, warc
+from headrace.llm import decontaminate, jaccard, licenses, mincut, packing, quality, simple8b, warc
 from headrace.llm.common import table
 
 ORACLES: dict[str, str] = {}
 
 
+def op3_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.components(table(spark, folder, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("items", "spans")
 
@@ -50,4 +54,4 @@ def op10_mincut(spark: SparkSession, folder: str) -> DataFrame:
     return mincut.main_text(table(spark, folder, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op4_decontamination, op5_licenses, op6_warc, op7_quality, op8_simple8b, op9_packing, op10_mincut)}
+QUERIES = {f.__name__: f for f in (op3_jaccard, op4_decontamination, op5_licenses, op6_warc, op7_quality, op8_simple8b, op9_packing, op10_mincut)}
