@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from headrace.llm import decontaminate, hmm, jaccard, licenses, mincut, packing, quality, simple8b, warc
+from headrace.llm import decontaminate, hmm, jaccard, licenses, mincut, minhash, packing, quality, simple8b, warc
 from headrace.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -15,6 +15,10 @@ def op1_hmm(spark: SparkSession, folder: str) -> DataFrame:
     return hmm.language_scores(table(spark, folder, "documents"))
 
 
+def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.fingerprints(table(spark, folder, "documents"))
+
+
 def op3_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.components(table(spark, folder, "documents"))
 
@@ -58,4 +62,4 @@ def op10_mincut(spark: SparkSession, folder: str) -> DataFrame:
     return mincut.main_text(table(spark, folder, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hmm, op3_jaccard, op4_decontamination, op5_licenses, op6_warc, op7_quality, op8_simple8b, op9_packing, op10_mincut)}
+QUERIES = {f.__name__: f for f in (op1_hmm, op2_minhash, op3_jaccard, op4_decontamination, op5_licenses, op6_warc, op7_quality, op8_simple8b, op9_packing, op10_mincut)}
