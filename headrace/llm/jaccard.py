@@ -251,7 +251,8 @@ def components(docs: DataFrame) -> DataFrame:
     graph = stored(connected_components(links.unionByName(same)))
     known = graph.select(F.col("node").alias("first"), "component")
     of_text = first.join(known, "first", "left").select("digest", F.coalesce("component", "first").alias("component_id"))
-    return sets.join(of_text, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    known_id = F.col("doc_id").isNotNull()
+    return sets.join(of_text, "digest", "left").select("doc_id", "n_shingles", F.when(known_id, F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
