@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import re
 import uuid
 from collections.abc import Iterator
@@ -140,10 +142,10 @@ def mark_revisits(records: DataFrame) -> DataFrame:
     frequent payload is one row of the small side.
     """
     long = records.filter(F.octet_length("payload") >= LEAST_REVISIT)
-    firsts = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
-    firsts = firsts.filter("first < last").select("digest", "first")
+    firsts = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = firsts.filter("n > 1").select("digest", "first")
     joined = records.join(firsts, "digest", "left")
-    return joined.withColumn("first", F.when(F.col("first") != F.col("page_id"), F.col("first")))
+    return joined.withColumn("first", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")))
 
 
 def warc_record(uri, date, mime, http, payload, digest, record_id, first) -> bytes:
@@ -160,27 +162,29 @@ def warc_record(uri, date, mime, http, payload, digest, record_id, first) -> byt
 
 
 def write_warc(marked: DataFrame, path: str) -> None:
-    """WARC files of some MB, through Spark's writer: one text row a file, whose line end closes the last record."""
+    """WARC files of some MB of records, each a gzip member of its own, through Spark's writer: one text row a
+    file. The writer's line end is an empty member, so a file is nothing but members."""
     def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts, size = [], 0
         for b in batches:
             for row in b.itertuples(index=False):
-                parts.append(warc_record(*row))
-                size += len(parts[-1])
+                record = warc_record(*row)
+                parts.append(gzip.compress(record, mtime=0))
+                size += len(record)
                 if size >= ARCHIVE_BYTES:
-                    yield pd.DataFrame({"data": [b"".join(parts)[:-4]]})
+                    yield pd.DataFrame({"data": [b"".join(parts)]})
                     parts, size = [], 0
         if parts:
-            yield pd.DataFrame({"data": [b"".join(parts)[:-4]]})
+            yield pd.DataFrame({"data": [b"".join(parts)]})
 
     rows = marked.select("uri", "date", "mime", "http", "payload", "digest", "record_id", F.col("first").cast("string"))
     rows.mapInPandas(files, "data binary").select(F.col("data").cast("string").alias("value")).write.option(
-        "maxRecordsPerFile", 1).option("lineSep", "\r\n\r\n").text(path)
+        "maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", gzip.compress(b"", mtime=0).decode("latin-1")).text(path)
 
 
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields by lower-case name, block) of each record, by declared lengths."""
-    at = 0
+    """(header fields by lower-case name, block) of each record of a gzip file, by declared lengths."""
+    data, at = gzip.GzipFile(fileobj=io.BytesIO(data)).read(), 0
     while at < len(data):
         stop = data.index(b"\r\n\r\n", at)
         version, *lines = data[at:stop].decode().split("\r\n")
