@@ -1,19 +1,22 @@
 """River-network operators on edge tables with at most one downstream edge per node.
 
-Long walks use pointer doubling: after round k every pointer spans 2^k steps, so
-5000 steps take 13 joins. Each round ends in a checkpoint, which keeps the plan
-short and lets lost executors be replaced without replaying the loop.
+Long walks use pointer doubling: after round k every pointer spans 2^k steps, so a
+chain of n nodes is done in ceil(log2 n) rounds. What still moves then is on or above a
+cycle. Each round ends in a checkpoint, which keeps the plan short and lets lost
+executors be replaced without replaying the loop.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import warnings
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headrace.session import reliable_checkpoint
 
+#: Longest walk below a dam that G-1 follows, unless another limit is given.
 MAX_STEPS = 5000
 
 
@@ -27,7 +30,8 @@ def downstream_walk(starts: DataFrame, network: DataFrame, eps: float | None = 0
 
     ``starts``: dam. ``network``: river_id, next_down (0 or NULL is the mouth),
     upland_skm. A walk stops before the next dam, at the mouth, or where the dam's
-    upstream area is less than ``eps`` of the local one.
+    upstream area is less than ``eps`` of the local one, or after ``max_steps``; a walk
+    that meets this last limit raises a warning.
     """
     starts = starts.select("dam").distinct()
     known = network.select(F.col("river_id").alias("next_down"))
@@ -48,6 +52,8 @@ def downstream_walk(starts: DataFrame, network: DataFrame, eps: float | None = 0
             found.unionByName(ahead).groupBy("dam", "river_id").agg(F.min("step").alias("step")))
         right = jumps.select(F.col("a").alias("b"), F.col("b").alias("c"))
         jumps = reliable_checkpoint(jumps.join(right, "b").select("a", F.col("c").alias("b")))
+    if found.filter(F.col("step") >= max_steps).limit(1).count():
+        warnings.warn(f"walks were cut after {max_steps} steps", stacklevel=2)
     found = found.filter(F.col("step") < max_steps)
     if eps is None:
         return found
@@ -78,11 +84,24 @@ def segments(reaches: DataFrame, network: DataFrame) -> DataFrame:
     return grouped.select(F.sha2(text, 256).alias("seg"), "*")
 
 
-def resolve_pointers(edges: DataFrame, stops: DataFrame | None = None, max_steps: int = MAX_STEPS) -> DataFrame:
+def _jumps(network: DataFrame) -> Iterator[DataFrame]:
+    """Pointers (a, b) over 1, 2, 4, ... steps, until none is left or, with cycles, all chains are spanned."""
+    jumps = reliable_checkpoint(
+        outflows(network).select(F.col("river_id").alias("a"), F.col("next_down").alias("b")))
+    for _ in range(jumps.count().bit_length() + 1):
+        if jumps.limit(1).count() == 0:
+            return
+        yield jumps
+        right = jumps.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        jumps = reliable_checkpoint(jumps.join(right, "b").select("a", F.col("c").alias("b")))
+
+
+def resolve_pointers(edges: DataFrame, stops: DataFrame | None = None) -> DataFrame:
     """Follow ``next`` from every node to the first stop node, or to the end of its chain.
 
     ``edges``: node, next (NULL at the end), w. Returns node, end (NULL if no stop
     was met), total (sum of w), steps, open (still walking: on or above a cycle).
+    Chains of any length are followed.
     """
     base = edges.select("node", F.col("next").alias("to"), F.col("w").cast("double").alias("total"))
     known = edges.select(F.col("node").alias("to"), F.lit(True).alias("__known"))
@@ -97,7 +116,7 @@ def resolve_pointers(edges: DataFrame, stops: DataFrame | None = None, max_steps
     weight = F.when(F.col("to").isNull(), F.lit(0.0)).otherwise(F.col("total"))
     state = reliable_checkpoint(base.select("node", "to", weight.alias("total"), step.alias("steps"),
                                             done.alias("done")))
-    for _ in range(_doublings(max_steps)):
+    for _ in range(state.count().bit_length() + 1):
         if state.filter(~F.col("done")).limit(1).count() == 0:
             break
         onward = state.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("total").alias("total2"),
@@ -126,24 +145,18 @@ def outlets(network: DataFrame) -> DataFrame:
     return network.join(known, "next_down", "left_anti").select("river_id")
 
 
-def upstream_trace(starts: DataFrame, network: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
+def upstream_trace(starts: DataFrame, network: DataFrame) -> DataFrame:
     """G-3: every node that drains to a start, the starts included.
 
     Walks down from all nodes at once: a node is kept when a start lies within 2^k
     steps below it, so the rounds grow with the logarithm of the longest river.
     """
     start_ids = starts.select("river_id").distinct()
-    jumps = reliable_checkpoint(
-        outflows(network).select(F.col("river_id").alias("a"), F.col("next_down").alias("b")))
     hit = reliable_checkpoint(start_ids.join(network.select("river_id"), "river_id", "left_semi"))
-    for _ in range(_doublings(max_steps)):
-        if jumps.limit(1).count() == 0:
-            break
+    for jumps in _jumps(network):
         above = jumps.join(hit.select(F.col("river_id").alias("b")), "b", "left_semi").select(
             F.col("a").alias("river_id"))
         hit = reliable_checkpoint(hit.unionByName(above).distinct())
-        right = jumps.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        jumps = reliable_checkpoint(jumps.join(right, "b").select("a", F.col("c").alias("b")))
     return hit
 
 
@@ -154,23 +167,35 @@ def outflows(network: DataFrame) -> DataFrame:
 
 
 def affected_downstream(sources: DataFrame, network: DataFrame) -> DataFrame:
-    """G-11: nodes below any source, the sources excluded unless below another one."""
-    walks = downstream_walk(sources.select(F.col("river_id").alias("dam")), network, eps=None,
-                            stop_at_starts=False)
-    return walks.filter("step > 0").groupBy("river_id").agg(F.min("step").alias("step"))
+    """G-11: (river_id, step) for nodes below a source, with the steps to the nearest one.
+
+    A source counts if it lies below a source; on a cycle it lies below itself. One
+    number per node is carried, however many sources lie above it.
+    """
+    near = reliable_checkpoint(network.select("river_id").join(sources.select("river_id").distinct(), "river_id", "left_semi")
+                               .withColumn("step", F.lit(0).cast("long")))
+    for k, jumps in enumerate(_jumps(network)):
+        ahead = near.join(jumps, near.river_id == jumps.a).select(F.col("b").alias("river_id"), (F.col("step") + 2**k).alias("step"))
+        near = reliable_checkpoint(near.unionByName(ahead).groupBy("river_id").agg(F.min("step").alias("step")))
+    below = near.join(outflows(network), "river_id").groupBy(F.col("next_down").alias("river_id"))
+    return below.agg((F.min("step") + 1).cast("int").alias("step"))
 
 
 def topological_level(network: DataFrame) -> DataFrame:
-    """G-5: longest number of steps from a head node; NULL for nodes on a cycle."""
-    flow_in = network.select(F.col("next_down").alias("river_id")).distinct()
-    heads = network.select("river_id").join(flow_in, "river_id", "left_anti")
-    walks = downstream_walk(heads.select(F.col("river_id").alias("dam")), network, eps=None, stop_at_starts=False)
-    levels = walks.groupBy("river_id").agg(F.max("step").alias("level"))
+    """G-5: longest number of steps from a head node; NULL for nodes on a cycle.
+
+    The longest path of under 2^(k+1) steps into a node is one of under 2^k steps, or 2^k
+    steps from a node with such a path: one number per node in every round.
+    """
+    best = reliable_checkpoint(network.select("river_id").distinct().withColumn("level", F.lit(0).cast("long")))
+    for k, jumps in enumerate(_jumps(network)):
+        ahead = best.join(jumps, best.river_id == jumps.a).select(F.col("b").alias("river_id"), (F.col("level") + 2**k).alias("level"))
+        best = reliable_checkpoint(best.unionByName(ahead).groupBy("river_id").agg(F.max("level").alias("level")))
     looping = resolve_pointers(_as_edges(network)).filter("open").select(F.col("end").alias("river_id")).distinct()
-    marked = network.select("river_id").join(levels, "river_id", "left").join(
+    marked = network.select("river_id").join(best, "river_id", "left").join(
         looping.withColumn("on_cycle", F.lit(True)), "river_id", "left")
     return marked.select(
-        "river_id", F.when(F.col("on_cycle").isNull(), F.col("level")).alias("level"),
+        "river_id", F.when(F.col("on_cycle").isNull(), F.col("level").cast("int")).alias("level"),
         F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
 
 

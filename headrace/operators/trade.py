@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -57,11 +58,12 @@ def corridor_limits(frame: DataFrame) -> DataFrame:
         F.col("available_mw") > EPS)
 
 
-def path_table(edges: DataFrame, max_hops: int = 6) -> DataFrame:
+def path_table(edges: DataFrame) -> DataFrame:
     """G-14: best path of every ordered region pair: fewest hops, then least loss, then name order.
 
     ``edges``: region_a, region_b, available_mw, loss_rate. Only the best path to a
-    region is extended, which is exact because hops and losses add up. Capacity is
+    region is extended, which is exact because hops and losses add up; paths may have
+    any number of hops, and the search ends when a round finds no new pair. Capacity is
     the least edge limit referred to the sending end. Rows: at most regions squared.
     """
     one_way = edges.select("region_a", "region_b", "available_mw", "loss_rate")
@@ -74,7 +76,7 @@ def path_table(edges: DataFrame, max_hops: int = 6) -> DataFrame:
         F.col("at").alias("src"), "dst", F.lit(1).alias("hops"), F.col("__eff").alias("efficiency"),
         F.col("__mw").alias("max_send_mw"), F.array("at", "dst").alias("path"))
     found = level
-    for hop in range(2, max_hops + 1):
+    for hop in itertools.count(2):
         ahead = level.withColumnRenamed("dst", "at").join(links, "at").filter(F.col("src") != F.col("dst"))
         ahead = ahead.join(found.select("src", "dst"), ["src", "dst"], "left_anti").select(
             "src", "dst", F.lit(hop).alias("hops"), (F.col("efficiency") * F.col("__eff")).alias("efficiency"),

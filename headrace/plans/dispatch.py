@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from headrace.functions import text as TX
@@ -245,13 +246,15 @@ def corridor_limits(spark, d):
 PATHS = """
 links AS (SELECT region_a AS a, region_b AS b, available_mw AS mw, 1 - loss_rate AS eff FROM lim UNION ALL
           SELECT region_b, region_a, available_mw, 1 - loss_rate FROM lim),
-walks(src, dst, hops, eff, send, path, names) AS (
-  SELECT a, b, 1, eff, mw, [a, b], a || ' > ' || b FROM links UNION ALL
-  SELECT src, b, hops + 1, w.eff * l.eff, least(send, l.mw / w.eff), list_append(path, b), names || ' > ' || b
-  FROM walks w JOIN links l ON l.a = w.dst WHERE NOT list_contains(path, b) AND hops < 4),
-shortest AS (SELECT src, dst, min(hops) AS hops FROM walks GROUP BY ALL),
-best AS (SELECT w.src, w.dst, w.hops, w.eff, w.send, w.names, row_number() OVER (PARTITION BY w.src, w.dst ORDER BY round(-ln(eff), 12), path) AS i
-         FROM walks w JOIN shortest s ON s.src = w.src AND s.dst = w.dst AND s.hops = w.hops)
+reach(src, dst, hops) AS (SELECT a, b, 1 FROM links UNION SELECT src, b, hops + 1 FROM reach JOIN links ON a = dst WHERE src <> b
+  AND hops < (SELECT count(DISTINCT a) FROM links)),
+dist AS (SELECT src, dst, min(hops) AS hops FROM reach GROUP BY ALL),
+best(src, dst, hops, eff, send, path, names, i) AS (
+  SELECT a, b, 1, eff, mw, [a, b], a || ' > ' || b, 1 FROM links UNION ALL
+  SELECT * FROM (
+    SELECT w.src, l.b, w.hops + 1, w.eff * l.eff, least(w.send, l.mw / w.eff), list_append(w.path, l.b), w.names || ' > ' || l.b,
+           row_number() OVER (PARTITION BY w.src, l.b ORDER BY round(-ln(w.eff * l.eff), 12), list_append(w.path, l.b)) AS i
+    FROM best w JOIN links l ON l.a = w.dst JOIN dist d ON d.src = w.src AND d.dst = l.b AND d.hops = w.hops + 1) WHERE i = 1)
 """
 
 
@@ -259,7 +262,20 @@ best AS (SELECT w.src, w.dst, w.hops, w.eff, w.send, w.names, row_number() OVER
   SELECT src, dst, CAST(hops AS INT) AS hops, eff AS efficiency, send AS max_send_mw, send * eff AS max_delivered_mw, names AS path
   FROM best WHERE i = 1""", efficiency=8, max_send_mw=3, max_delivered_mw=3))
 def path_table(spark, d):
-    return rounded(T.path_table(_corridors(spark, d), max_hops=4), efficiency=8, max_send_mw=3, max_delivered_mw=3)
+    return rounded(T.path_table(_corridors(spark, d)), efficiency=8, max_send_mw=3, max_delivered_mw=3)
+
+
+RING = "ring AS (SELECT * FROM lim WHERE abs(CAST(substr(region_a, 8) AS INT) - CAST(substr(region_b, 8) AS INT)) IN (1, 24)),"
+
+
+@query("long_paths", rounded_sql(X.with_sql(X.LINES, LIMITS, RING[:-1], PATHS.replace("FROM lim", "FROM ring"), recursive=True) + """
+  SELECT src, dst, CAST(hops AS INT) AS hops, eff AS efficiency, send AS max_send_mw, send * eff AS max_delivered_mw, names AS path
+  FROM best WHERE i = 1""", efficiency=8, max_send_mw=3, max_delivered_mw=3))
+def long_paths(spark, d):
+    """Paths in a ring of regions: up to half of them lie between two."""
+    number = lambda c: F.substring(c, 8, 9).cast("int")
+    ring = _corridors(spark, d).filter(F.abs(number("region_a") - number("region_b")).isin(1, 24))
+    return rounded(T.path_table(ring), efficiency=8, max_send_mw=3, max_delivered_mw=3)
 
 
 ALLOC = """
@@ -270,7 +286,7 @@ alloc AS (SELECT f.scenario || '/' || f.src_region || '/' || f.dc_region AS allo
 
 
 def _alloc(spark, d):
-    paths = T.path_table(_corridors(spark, d), max_hops=4).select(F.col("src").alias("src_region"), F.col("dst").alias("dc_region"), "path")
+    paths = T.path_table(_corridors(spark, d)).select(F.col("src").alias("src_region"), F.col("dst").alias("dc_region"), "path")
     at = X.flows(spark, d).join(paths, ["src_region", "dc_region"], "left")
     return at.select(
         F.concat_ws("/", "scenario", "src_region", "dc_region").alias("alloc_id"), "scenario", "src_region", "dc_region", "sent_mw",
@@ -281,7 +297,7 @@ def _alloc(spark, d):
 @query("corridor_use", rounded_sql(X.with_sql(X.LINES, LIMITS, PATHS, X.FLOWS, ALLOC, """
   nodes AS (SELECT alloc_id, sent_mw, string_split(path, ' > ') AS p FROM alloc WHERE contains(path, ' > ')),
   hops_ AS (SELECT alloc_id, sent_mw, g.i AS pos, least(p[g.i], p[g.i + 1]) AS region_a, greatest(p[g.i], p[g.i + 1]) AS region_b
-           FROM nodes, range(1, 6) g(i) WHERE g.i < len(p)),
+           FROM nodes, range(1, 40) g(i) WHERE g.i < len(p)),
   fl AS (SELECT h.region_a, h.region_b, available_mw, sent_mw * exp(coalesce(sum(ln(1 - loss_rate)) OVER (PARTITION BY alloc_id ORDER BY pos
            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS f FROM hops_ h JOIN lim USING (region_a, region_b))""", recursive=True) + """
   SELECT region_a, region_b, sum(f) AS used_mw, max(available_mw) AS available_mw, 100 * sum(f) / max(available_mw) AS utilization_pct
@@ -294,7 +310,7 @@ def corridor_use(spark, d):
 @query("trade_roles", rounded_sql(X.with_sql(X.LINES, LIMITS, PATHS, X.FLOWS, ALLOC, """
   nodes AS (SELECT scenario, src_region, dc_region, sent_mw, delivered_mw, string_split(path, ' > ') AS p FROM alloc WHERE cross_region = 1),
   n2 AS (SELECT scenario, src_region, dc_region, sent_mw, delivered_mw, p[g.i] AS region, g.i > 1 AND g.i < len(p) AS mid
-         FROM nodes, range(1, 7) g(i) WHERE g.i <= len(p)),
+         FROM nodes, range(1, 40) g(i) WHERE g.i <= len(p)),
   agg AS (SELECT scenario, region, coalesce(sum(CASE WHEN region = src_region THEN sent_mw END), 0) AS export_sent_mw,
             coalesce(sum(CASE WHEN region = dc_region THEN delivered_mw END), 0) AS import_delivered_mw,
             max(CASE WHEN mid THEN 1 ELSE 0 END) AS transit FROM n2 GROUP BY ALL)""", recursive=True) + """
@@ -344,13 +360,16 @@ def coverage_with_trade(spark, d):
 
 
 @query("source_target_profile", rounded_sql(X.with_sql(X.HOURLY, X.FLOWS, """
-  shapes AS (SELECT n_name AS region, year, hoy, q AS shape FROM hflow JOIN nation ON station = ['click', 'view', 'error', 'purchase', 'scroll'][n_nationkey % 5 + 1]
+  shapes AS (SELECT n_name AS region, year, hoy, q AS shape FROM hflow JOIN nation ON station = (SELECT list(DISTINCT event_type ORDER BY event_type) FROM events)[n_nationkey % (SELECT count(DISTINCT event_type) FROM events) + 1]
              WHERE scenario = 'nat'),
   sent AS (SELECT src_region, dc_region, sum(sent_mw) AS s FROM flows GROUP BY ALL)""") + """
   SELECT src_region, year, hoy, sum(s * shape) AS target_mw FROM sent JOIN shapes ON region = dc_region GROUP BY ALL""", target_mw=1))
 def source_target_profile(spark, d):
-    kind = F.element_at(F.array(*[F.lit(s) for s in ("click", "view", "error", "purchase", "scroll")]), (F.col("n_nationkey") % 5 + 1).cast("int"))
-    names = X.table(spark, d, "nation").select(F.col("n_name").alias("region"), kind.alias("station"))
+    kinds = X.table(spark, d, "events").select(F.col("event_type").alias("station")).distinct()
+    one = Window.orderBy("station")  # a handful of stations
+    kinds = kinds.select("station", (F.row_number().over(one) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("k"))
+    nations = X.table(spark, d, "nation")
+    names = nations.join(F.broadcast(kinds), F.col("n_nationkey") % F.col("k") == F.col("i")).select(F.col("n_name").alias("region"), "station")
     shapes = X.hourly_flow(spark, d).filter("scenario = 'nat'").join(names, "station").select("region", "year", "hoy", F.col("q").alias("shape"))
     return rounded(T.source_target_profile(X.flows(spark, d), shapes, keys=()), target_mw=1)
 

@@ -108,7 +108,7 @@ def test_paths_prefer_few_hops_then_low_loss(spark):
     edges = spark.createDataFrame([("a", "b", 100.0, 0.10), ("b", "d", 50.0, 0.10), ("a", "c", 80.0, 0.02), ("c", "d", 60.0, 0.02),
                                    ("a", "e", 5.0, 0.0), ("e", "f", 5.0, 0.0), ("f", "d", 5.0, 0.0)],
                                   "region_a string, region_b string, available_mw double, loss_rate double")
-    got = {(r["src"], r["dst"]): r for r in T.path_table(edges, 3).collect()}
+    got = {(r["src"], r["dst"]): r for r in T.path_table(edges).collect()}
     best = got["a", "d"]
     assert best["path"] == "a > c > d" and best["hops"] == 2
     assert best["max_send_mw"] == pytest.approx(60 / 0.98) and best["efficiency"] == pytest.approx(0.98**2)
@@ -122,3 +122,30 @@ def test_explicit_limits_win(spark):
     assert got["a", "b"]["available_mw"] == 100.0 and got["a", "b"]["loss_rate"] == 0.5
     assert got["a", "c"]["available_mw"] == pytest.approx(85.0)
     assert ("b", "c") not in got
+
+
+def test_chain_of_any_length(spark):
+    n = 10_000
+    chain = spark.range(1, n + 1).select(F.col("id").alias("river_id"), F.when(F.col("id") < n, F.col("id") + 1).otherwise(0).alias("next_down"))
+    middle = spark.createDataFrame([(n // 2,)], "river_id long")
+    assert G.downstream_depth(chain).filter(F.coalesce(F.col("depth") != n - F.col("river_id"), F.lit(True))).count() == 0
+    levels = G.topological_level(chain)
+    assert levels.filter(F.coalesce(F.col("level") != F.col("river_id") - 1, F.lit(True)) | F.col("on_cycle")).count() == 0
+    assert G.upstream_trace(spark.createDataFrame([(n,)], "river_id long"), chain).count() == n
+    below = G.affected_downstream(middle, chain)
+    assert below.count() == n // 2 and below.filter(F.col("step") != F.col("river_id") - n // 2).count() == 0
+    edges = chain.filter("next_down <> 0").select(F.col("river_id").alias("up"), F.col("next_down").alias("down"), F.lit(1).alias("tau_h"))
+    kept = spark.createDataFrame([(1,), (n,)], "node long")
+    assert [tuple(r) for r in G.contract_excluded(edges, kept).collect()] == [(1, n, n - 1)]
+
+
+def test_walk_limit_is_reported(spark):
+    chain = net(spark, [(i, i + 1, 100.0) for i in range(1, 40)])
+    with pytest.warns(UserWarning, match="cut after 8 steps"):
+        assert G.downstream_walk(spark.createDataFrame([(1,)], "dam long"), chain, max_steps=8).count() == 8
+
+
+def test_paths_of_many_hops(spark):
+    edges = spark.createDataFrame([(f"r{i:02}", f"r{i + 1:02}", 10.0, 0.01) for i in range(9)], "region_a string, region_b string, available_mw double, loss_rate double")
+    paths = T.path_table(edges)
+    assert paths.count() == 90 and paths.agg(F.max("hops")).first()[0] == 9
