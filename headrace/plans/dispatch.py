@@ -46,13 +46,16 @@ def firm_capacity(spark, d):
 EXACT = """
 ranked AS (SELECT station, scenario, p_mw / load AS r, row_number() OVER (PARTITION BY station, scenario ORDER BY p_mw / load) AS i,
              count(*) OVER (PARTITION BY station, scenario) AS n FROM power WHERE load > 0),
-firm AS (SELECT station, scenario, greatest(max(CASE WHEN i = floor(0.02 * n) + 1 THEN r END), 0) AS firm_mw FROM ranked GROUP BY ALL)
+firm AS (SELECT station, scenario, greatest(max(CASE WHEN i = floor(0.02 * n) + 1 THEN r END), 0) AS firm_mw FROM ranked GROUP BY ALL),
+firm0 AS (SELECT station, scenario, greatest(max(CASE WHEN i = floor(0.000274 * n) + 1 THEN r END), 0) AS firm_mw FROM ranked GROUP BY ALL)
 """
 
 
-@query("firm_capacity_exact", rounded_sql(X.with_sql(X.HOURLY, POWER, EXACT) + "SELECT * FROM firm", firm_mw=8))
+@query("firm_capacity_exact", rounded_sql(X.with_sql(X.HOURLY, POWER, EXACT) + "SELECT 0.02 AS outage, * FROM firm UNION ALL SELECT 0.000274, * FROM firm0", firm_mw=8))
 def firm_capacity_exact(spark, d):
-    return rounded(P.firm_capacity_exact(_power(spark, d), KEYS, outage=0.02), firm_mw=8)
+    power = _power(spark, d)
+    out = [P.firm_capacity_exact(power, KEYS, outage=o).withColumn("outage", F.lit(o)) for o in (0.02, P.OUTAGE_MAX)]
+    return rounded(out[0].unionByName(out[1]), firm_mw=8)
 
 
 @query("outage_fraction", rounded_sql(X.with_sql(X.HOURLY, POWER, EXACT) + """
@@ -64,7 +67,7 @@ def outage_fraction(spark, d):
 
 
 @query("portfolio_firm", rounded_sql(X.with_sql(X.HOURLY, POWER) + """
-  SELECT scenario, greatest(quantile_cont(p / load, 0.01), 0) AS firm_mw FROM (
+  SELECT scenario, greatest(quantile_cont(p / load, 0.000274), 0) AS firm_mw FROM (
     SELECT scenario, year, hoy, max(load) AS load,
            sum(p_mw * (1 - length(station) / 20.0) + CASE WHEN station = 'click' THEN -0.5 ELSE 0 END) AS p
     FROM power GROUP BY ALL) GROUP BY ALL""", firm_mw=8))
@@ -72,7 +75,7 @@ def portfolio_firm(spark, d):
     power = _power(spark, d).withColumn("share", 1 - F.length("station") / 20.0).withColumn(
         "ps_net_mw", F.when(F.col("station") == "click", -0.5).otherwise(0.0))
     loads = power.groupBy("scenario", "year", "hoy").agg(F.max("load").alias("load"))
-    return rounded(P.portfolio_firm(power.drop("load"), loads, ["scenario"], outage=0.01), firm_mw=8)
+    return rounded(P.portfolio_firm(power.drop("load"), loads, ["scenario"]), firm_mw=8)
 
 
 @query("yearly_energy", rounded_sql(X.with_sql(X.DAILY) + """

@@ -364,7 +364,7 @@ SEGMENTS = """
 sets AS (SELECT river_id, list(DISTINCT dam ORDER BY dam) AS dams FROM walk GROUP BY ALL),
 seg0 AS (SELECT dams, count(*) AS n_reaches, sum(length_km) AS len, sum(irrigated_pct / 100 * catch_skm) AS irr,
            max(upland_skm) AS a_outlet_skm FROM sets JOIN network USING (river_id) GROUP BY dams),
-segs AS (SELECT array_to_string(dams, '|') AS dam_rivers, CAST(len(dams) AS INT) AS n_dams, n_reaches, round(len, 4) AS dep_length_km,
+segs AS (SELECT array_to_string(dams, '|') AS dam_rivers, CAST(len(dams) AS INT) AS n_dams, n_reaches, round_even(len, 1) AS dep_length_km,
            irr AS demand_mm3_yr, a_outlet_skm,
            (SELECT sum(upland_skm) FROM network WHERE list_contains(dams, river_id)) AS a_dams_skm FROM seg0)
 """
@@ -377,11 +377,11 @@ def downstream_walk(spark, d):
 
 
 @query("supply_segments", rounded_sql(X.with_sql(X.NETWORK, X.DAMS, WALK, SEGMENTS, recursive=True) + """
-  SELECT dam_rivers, n_dams, n_reaches, demand_mm3_yr, a_outlet_skm, a_dams_skm FROM segs""",
-    demand_mm3_yr=8, a_outlet_skm=4, a_dams_skm=4))
+  SELECT dam_rivers, n_dams, n_reaches, dep_length_km, demand_mm3_yr, a_outlet_skm, a_dams_skm FROM segs""",
+    dep_length_km=4, demand_mm3_yr=8, a_outlet_skm=4, a_dams_skm=4))
 def supply_segments(spark, d):
-    out = W.supply_segments(X.dams(spark, d), X.network(spark, d)).drop("seg", "dep_length_km")
-    return rounded(out, demand_mm3_yr=8, a_outlet_skm=4, a_dams_skm=4)
+    out = W.supply_segments(X.dams(spark, d), X.network(spark, d)).drop("seg")
+    return rounded(out, dep_length_km=4, demand_mm3_yr=8, a_outlet_skm=4, a_dams_skm=4)
 
 
 MONTHLY = """

@@ -285,11 +285,11 @@ def largest_per_segment(spark, d):
 
 
 @query("key_set_algebra", """
-  WITH a AS (SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45), b AS (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 45)
+  WITH a AS (SELECT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A')
   SELECT k, 'both' AS side FROM (SELECT k FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT k, 'only_r' FROM (SELECT k FROM a EXCEPT SELECT * FROM b) UNION ALL
   SELECT l_partkey, 'only_a' FROM (SELECT l_partkey FROM b EXCEPT SELECT * FROM a)""")
 def key_set_algebra(spark, d):
-    at = X.table(spark, d, "lineitem").filter("l_quantity > 45")
+    at = X.table(spark, d, "lineitem")
     a = at.filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("k"))
     b = at.filter("l_returnflag = 'A'").select(F.col("l_partkey").alias("k"))
     return (a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.subtract(b).withColumn("side", F.lit("only_r")))
@@ -454,10 +454,12 @@ def delimited_load(spark, d):
     return rounded(load_rows(fields, F.col("area"), loads.parse_time("t", "dd.MM.yyyy HH:mm"), loads.number("mw")), load_mw=4)
 
 
-@query("wide_area_load", rounded_sql(X.with_sql(X.HOURLY) + "SELECT station AS area, ts, q_nat AS load_mw FROM hourly WHERE station IN ('click', 'view')", load_mw=4))
+@query("wide_area_load", rounded_sql(X.with_sql(X.HOURLY) + "SELECT station AS area, ts, q_nat AS load_mw FROM hourly", load_mw=4))
 def wide_area_load(spark, d):
-    wide = X.hourly(spark, d).groupBy("ts").pivot("station", ["click", "view"]).agg(F.max("q_nat"))
-    return rounded(loads.wide_areas(wide, F.col("ts"), {"click": "click", "view": "view"}), load_mw=4)
+    at = X.hourly(spark, d)
+    stations = [r.station for r in at.select("station").distinct().orderBy("station").collect()]  # columns of the wide file
+    wide = at.groupBy("ts").pivot("station", stations).agg(F.max("q_nat"))
+    return rounded(loads.wide_areas(wide, F.col("ts"), {s: s for s in stations}), load_mw=4)
 
 
 @query("combined_or_parts", """

@@ -26,7 +26,7 @@ HOURLOAD = "hload AS (SELECT station AS region, ts, q_nat AS load_mw FROM hourly
 SLOTS = """
 pk AS (SELECT region, quantile_cont(load_mw, 0.99) AS p99, avg(load_mw) AS m FROM hload GROUP BY ALL),
 slots AS (SELECT region, dayofyear(ts) AS doy, hour(ts) AS hod, avg(load_mw) AS v FROM hload GROUP BY ALL),
-cal AS (SELECT CAST(y AS INT) AS year, CAST(h AS INT) AS hoy FROM range(2027, 2029) a(y), range(0, 8784) b(h) WHERE h < CASE WHEN y % 4 = 0 THEN 8784 ELSE 8760 END),
+cal AS (SELECT CAST(y AS INT) AS year, CAST(h AS INT) AS hoy FROM range(2027, 2041) a(y), range(0, 8784) b(h) WHERE h < CASE WHEN y % 4 = 0 THEN 8784 ELSE 8760 END),
 prof AS (SELECT pk.region, year, hoy, coalesce(v, m) / p99 AS l_norm FROM pk, cal LEFT JOIN slots s ON s.region = pk.region AND s.doy = least(hoy // 24 + 1, 365) AND s.hod = hoy % 24)
 """
 
@@ -37,7 +37,7 @@ def _hour_load(spark, d):
 
 @query("load_profile", rounded_sql(X.with_sql(X.HOURLY, HOURLOAD, SLOTS) + "SELECT * FROM prof", l_norm=8))
 def load_profile(spark, d):
-    return rounded(L.load_profile(_hour_load(spark, d), ["region"], years=(2027, 2028)), l_norm=8)
+    return rounded(L.load_profile(_hour_load(spark, d), ["region"]), l_norm=8)
 
 
 @query("load_profile_utc", rounded_sql(X.with_sql(X.HOURLY, HOURLOAD, SLOTS) + """
@@ -46,14 +46,14 @@ def load_profile(spark, d):
 def load_profile_utc(spark, d):
     load = _hour_load(spark, d)
     offsets = load.select("region").distinct().withColumn("offset_h", F.length("region") - 2.5)
-    return rounded(L.load_profile(load, ["region"], offsets=offsets, years=(2027, 2028)), l_norm=8)
+    return rounded(L.load_profile(load, ["region"], offsets=offsets), l_norm=8)
 
 
 @query("proxy_profile", rounded_sql(X.with_sql(X.HOURLY, HOURLOAD, SLOTS) + """
   SELECT 'like ' || region AS region, year, CAST(((hoy - (length(region) - 6)) % n + n) % n AS INT) AS hoy, l_norm
   FROM (SELECT *, CASE WHEN year % 4 = 0 THEN 8784 ELSE 8760 END AS n FROM prof)""", l_norm=8))
 def proxy_profile(spark, d):
-    profile = L.load_profile(_hour_load(spark, d), ["region"], years=(2027, 2028))
+    profile = L.load_profile(_hour_load(spark, d), ["region"])
     names = X.table(spark, d, "events").select(F.col("event_type").alias("source")).distinct()
     proxies = names.select(F.concat(F.lit("like "), "source").alias("target"), "source")
     offsets = names.select(F.col("source").alias("region"), F.lit(6.0).alias("offset_h")).unionByName(
@@ -64,7 +64,7 @@ def proxy_profile(spark, d):
 @query("shape_profile", rounded_sql(X.with_sql(X.HOURLY, HOURLOAD, """
   hh AS (SELECT region, hour(ts) AS h, avg(load_mw) AS v FROM hload GROUP BY ALL),
   mm AS (SELECT month(o_orderdate) AS m, avg(o_totalprice) / 1e5 AS f FROM orders GROUP BY ALL),
-  cal AS (SELECT CAST(y AS INT) AS year, CAST(h AS INT) AS hoy FROM range(2027, 2029) a(y), range(0, 8784) b(h) WHERE h < CASE WHEN y % 4 = 0 THEN 8784 ELSE 8760 END),
+  cal AS (SELECT CAST(y AS INT) AS year, CAST(h AS INT) AS hoy FROM range(2027, 2041) a(y), range(0, 8784) b(h) WHERE h < CASE WHEN y % 4 = 0 THEN 8784 ELSE 8760 END),
   raw AS (SELECT region, year, hoy, v * f AS x FROM cal JOIN hh ON h = hoy % 24 JOIN mm ON m = month(make_date(year, 1, 1) + CAST(hoy // 24 AS INT)))""") + """
   SELECT region, year, hoy, x / quantile_cont(x, 0.99) OVER (PARTITION BY region, year) AS l_norm FROM raw""", l_norm=8))
 def shape_profile(spark, d):
@@ -74,23 +74,23 @@ def shape_profile(spark, d):
     months = X.table(spark, d, "orders").groupBy(F.month("o_orderdate").alias("m")).agg((F.avg("o_totalprice") / 1e5).alias("f"))
     monthly = months.groupBy(F.lit(1).alias("k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "f"))), lambda s: s["f"]).alias("monthly"))
     shapes = hourly.withColumn("k", F.lit(1)).join(monthly, "k").drop("k")
-    return rounded(L.profile_from_shape(shapes, ["region"], (2027, 2028)), l_norm=8)
+    return rounded(L.profile_from_shape(shapes, ["region"], (L.FIRST_YEAR, L.LAST_YEAR)), l_norm=8)
 
 
 @query("seasonal_factors", rounded_sql(X.with_sql(X.HOURLY, HOURLOAD, SLOTS) + """
   SELECT region, month, m / avg(m) OVER (PARTITION BY region) AS factor FROM (
-    SELECT region, CAST(least(hoy // 730, 11) AS INT) AS month, avg(l_norm) AS m FROM prof WHERE year = 2027 GROUP BY ALL)""", factor=8))
+    SELECT region, CAST(least(hoy // 730, 11) AS INT) AS month, avg(l_norm) AS m FROM prof GROUP BY ALL)""", factor=8))
 def seasonal_factors(spark, d):
-    profile = L.load_profile(_hour_load(spark, d), ["region"], years=(2027, 2027))
+    profile = L.load_profile(_hour_load(spark, d), ["region"])
     return rounded(L.seasonal_factors(profile, ["region"]), factor=8)
 
 
 @query("repeat_year_profile", rounded_sql(X.with_sql(X.HOURLY, "h AS (SELECT station AS region, hoy, q AS v FROM hflow WHERE scenario = 'nat')") + """
-  SELECT region, CAST(y AS INT) AS year, hoy, v AS l_norm FROM h, range(2027, 2029) a(y) UNION ALL
-  SELECT region, 2028, hoy + 8760, v FROM h WHERE hoy < 24""", l_norm=8))
+  SELECT region, CAST(y AS INT) AS year, hoy, v AS l_norm FROM h, range(2027, 2041) a(y) UNION ALL
+  SELECT region, y, hoy + 8760, v FROM h, range(2028, 2041, 4) a(y) WHERE hoy < 24""", l_norm=8))
 def repeat_year_profile(spark, d):
     at = X.hourly_flow(spark, d).filter("scenario = 'nat'").select(F.col("station").alias("region"), "hoy", F.col("q").alias("l_norm"))
-    return rounded(L.repeat_year_profile(at, ["region"], years=(2027, 2028)), l_norm=8)
+    return rounded(L.repeat_year_profile(at, ["region"]), l_norm=8)
 
 
 @query("aggregate_areas", rounded_sql(X.with_sql(X.HOURLY) + """
@@ -271,9 +271,17 @@ def standardised_features(spark, d):
 
 @query("valid_rivers", X.with_sql(X.HOURLY, SCALE) + """
   SELECT * FROM (SELECT channel, count(CASE WHEN split = 'train' THEN 1 END) AS n_train, count(CASE WHEN split = 'val' THEN 1 END) AS n_val FROM h GROUP BY ALL)
-  WHERE n_train >= 440 AND n_val >= 100""")
+  WHERE n_train >= 440 AND n_val >= 100 UNION ALL
+  SELECT 'default limits: ' || channel, n_train, n_val FROM (
+    SELECT channel || '/' || k AS channel, count(CASE WHEN split = 'train' THEN 1 END) * k AS n_train, count(CASE WHEN split = 'val' THEN 1 END) * k AS n_val
+    FROM h, range(1, 9) r(k) GROUP BY channel, k) WHERE n_train >= 1200 AND n_val >= 720""")
 def valid_rivers(spark, d):
-    return M.valid_rivers(_split_table(spark, d), 440, 100)
+    at = _split_table(spark, d)
+    # the stand-in has one month; rivers of 1 to 8 such months meet or miss the default limits
+    copies = at.join(F.broadcast(spark.range(1, 9).withColumnRenamed("id", "k")), how="cross")
+    longer = copies.select(F.explode(F.sequence(F.lit(1), "k")), F.concat_ws("/", "channel", "k").alias("channel"), "split")
+    standard = M.valid_rivers(longer.select("channel", "split"))
+    return M.valid_rivers(at, 440, 100).unionByName(standard.withColumn("channel", F.concat(F.lit("default limits: "), "channel")))
 
 
 @query("skill_scores", rounded_sql(X.with_sql(X.DAILY) + """
@@ -471,8 +479,11 @@ def merged_predictions(spark, d):
 
 
 @query("year_column_mean", rounded_sql("""
-  SELECT l_suppkey, l_linenumber, (coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)) / nullif((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT, 0) AS l_norm FROM (
-    SELECT l_suppkey, l_linenumber, avg(l_quantity) FILTER (year(l_shipdate) = 1996) AS a, avg(l_quantity) FILTER (year(l_shipdate) = 1997) AS b, avg(l_quantity) FILTER (year(l_shipdate) = 1998) AS c FROM lineitem GROUP BY ALL)""", l_norm=8))
+  SELECT l_suppkey, l_linenumber, avg(m) AS l_norm FROM (
+    SELECT l_suppkey, l_linenumber, year(l_shipdate) AS y, avg(l_quantity) AS m FROM lineitem GROUP BY ALL) GROUP BY ALL""", l_norm=8))
 def year_column_mean(spark, d):
-    wide = X.table(spark, d, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(*[F.avg(F.when(F.year("l_shipdate") == y, F.col("l_quantity"))).alias(f"y{y}") for y in (1996, 1997, 1998)])
-    return rounded(L.average_columns(wide, ["l_suppkey", "l_linenumber"], ["y1996", "y1997", "y1998"]), l_norm=8)
+    at = X.table(spark, d, "lineitem")
+    first, last = at.agg(F.min(F.year("l_shipdate")), F.max(F.year("l_shipdate"))).first()
+    names = [f"y{y}" for y in range(first or 0, (last or -1) + 1)]
+    wide = at.groupBy("l_suppkey", "l_linenumber").agg(*[F.avg(F.when(F.year("l_shipdate") == int(c[1:]), F.col("l_quantity"))).alias(c) for c in names])
+    return rounded(L.average_columns(wide, ["l_suppkey", "l_linenumber"], names), l_norm=8)
