@@ -117,3 +117,12 @@ def unpivot_metrics(df: DataFrame, keys: Sequence[str], metrics: Sequence[str],
                     name: str = "metric", value: str = "value") -> DataFrame:
     """Wide metric columns to (name, value) rows, without a shuffle."""
     return df.unpivot(list(keys), list(metrics), name, value)
+
+
+#: Rows up to which a counted side of a join is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headrace.functions.core import clip
+from headrace.functions.core import clip, small_side
 from headrace.operators.ranking import running_totals
 from headrace.operators.spatial import nearest
 
@@ -24,11 +24,11 @@ def normalise_units(grid: DataFrame, keys: Sequence[str], first_hours: int = 24)
     rows = grid.withColumn("value", known)
     judged = rows.filter(F.col("var").isin("tas", "hurs"))
     start = judged.groupBy(*keys, "var").agg(F.min("ts").alias("__t0"))
-    early = judged.join(start, [*keys, "var"]).filter(
+    early = judged.join(small_side(start), [*keys, "var"]).filter(
         F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.col("__t0").cast("timestamp"))
         < first_hours * 3600)
     means = early.groupBy(*keys, "var").agg(F.avg("value").alias("__mean"))
-    at = rows.join(means, [*keys, "var"], "left")
+    at = rows.join(small_side(means), [*keys, "var"], "left")
     v = F.col("value")
     rate = F.col("units").rlike(r"kg|s-1|s\^-1")
     out = (F.when(F.col("var") == "pr", clip(F.when(rate, v * 3600.0).otherwise(v), 0.0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-TOPICS = ("impact", "dispatch", "carbon", "tables", "places", "rollups")
+TOPICS = ("impact", "dispatch", "carbon", "tables", "places", "rollups", "files")
 
 
 def load_all() -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from headrace.operators import quality as Q
@@ -370,14 +371,19 @@ def coverage_report(spark, d):
 # ---- sources and sinks: text that Spark makes from the tables, then reads ----
 
 @query("channel_text", rounded_sql(X.with_sql(X.HOURLY) + """
-  SELECT CAST(length(station) AS INT) AS channel, ts, q_nat / 3600 AS flo_out FROM hourly WHERE length(station) IN (SELECT length(event_type) FROM events WHERE event_type <> 'error')""", flo_out=10))
+  SELECT CAST(n AS INT) AS channel, ts, q_nat / 3600 AS flo_out FROM hourly JOIN (
+    SELECT event_type AS station, row_number() OVER (ORDER BY event_type) AS n FROM (SELECT DISTINCT event_type FROM events)) USING (station)
+  WHERE n % 2 = 1""", flo_out=10))
 def channel_text(spark, d):
+    """Every second channel is wanted; the others' rows are dropped by their id."""
     names = ("jday", "mon", "day", "yr", "tstep", "unit", "gis_id", "name", "flo_out")
-    at = X.hourly(spark, d)
-    line = F.format_string("%d %d %d %d %d %d %d cha%s %.4f", F.dayofyear("ts"), F.month("ts"), F.dayofmonth("ts"), F.year("ts"), F.hour("ts") + 1, F.lit(1), F.length("station"), F.col("station"), F.col("q_nat"))
-    heads = at.select("station").distinct().select("station", F.explode(F.array(F.lit("channel day table"), F.lit(" ".join(names)), F.lit("m^3/h"))).alias("value"))
+    kinds = X.table(spark, d, "events").select(F.col("event_type").alias("station")).distinct()
+    numbered = kinds.withColumn("n", F.row_number().over(Window.orderBy("station")))  # a handful of stations
+    at = X.hourly(spark, d).join(F.broadcast(numbered), "station")
+    line = F.format_string("%d %d %d %d %d %d %d cha%s %.4f", F.dayofyear("ts"), F.month("ts"), F.dayofmonth("ts"), F.year("ts"), F.hour("ts") + 1, F.lit(1), F.col("n"), F.col("station"), F.col("q_nat"))
+    heads = kinds.select("station", F.explode(F.array(F.lit("channel day table"), F.lit(" ".join(names)), F.lit("m^3/h"))).alias("value"))
     lines = at.select("station", line.alias("value")).unionByName(heads)
-    ids = at.filter("station <> 'error'").select(F.length("station").alias("id"))
+    ids = numbered.filter("n % 2 = 1").select(F.col("n").alias("id"))
     return rounded(text.channel_subday(text.tokens(lines.withColumnRenamed("station", "file")), names, ids), flo_out=10)
 
 
@@ -445,15 +451,6 @@ def packed_hour_sequence(spark, d):
     return rounded(packed_hours(numbered, "event_type", "value"), load_mw=4)
 
 
-@query("delimited_load", rounded_sql(X.with_sql(X.HOURLY) + "SELECT 'load ' || station AS area, ts, round(q_nat, 4) AS load_mw FROM hourly WHERE q_nat < 180", load_mw=4))
-def delimited_load(spark, d):
-    at = X.hourly(spark, d)
-    mw = F.when(F.col("q_nat") < 180, F.round("q_nat", 4).cast("string")).otherwise("n/a")
-    rows = at.select(F.concat_ws(";", F.date_format("ts", "dd.MM.yyyy HH:mm"), F.concat(F.lit("load "), "station"), mw).alias("value"))
-    fields = rows.select(F.from_csv("value", "t STRING, area STRING, mw STRING", {"sep": ";"}).alias("r")).select("r.*")
-    return rounded(load_rows(fields, F.col("area"), loads.parse_time("t", "dd.MM.yyyy HH:mm"), loads.number("mw")), load_mw=4)
-
-
 @query("wide_area_load", rounded_sql(X.with_sql(X.HOURLY) + "SELECT station AS area, ts, q_nat AS load_mw FROM hourly", load_mw=4))
 def wide_area_load(spark, d):
     at = X.hourly(spark, d)
@@ -502,11 +499,6 @@ def global_quantiles(spark, d):
     return rounded(R.exact_quantiles(X.table(spark, d, "lineitem"), [], "l_extendedprice", {"p5": 0.05, "p95": 0.95, "p99": 0.99}), p5=4, p95=4, p99=4)
 
 
-@query("scenario_catalog", X.with_sql(X.DAILY) + "SELECT DISTINCT scenario, year FROM dflow")
-def scenario_catalog(spark, d):
-    return X.daily_flow(spark, d).select("scenario", "year").distinct()
-
-
 @query("recurrence_quantile", rounded_sql(X.with_sql(X.DAILY, """
   l AS (SELECT station_idx, count(*) AS n, list(q ORDER BY q) AS v FROM dflow WHERE scenario = 'nat' GROUP BY ALL), x AS (SELECT *, 0.9 * (n + 1) AS p FROM l)""") + """
   SELECT station_idx, CASE WHEN n < 5 THEN NULL WHEN p >= n THEN v[n] ELSE v[CAST(floor(p) AS INT)] + (p - floor(p)) * (v[CAST(floor(p) AS INT) + 1] - v[CAST(floor(p) AS INT)]) END AS q10 FROM x""", q10=6))

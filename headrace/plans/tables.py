@@ -226,14 +226,15 @@ def hourly_features(spark, d):
 @query("training_rows", """
   WITH h AS (SELECT event_type AS channel, date_trunc('hour', ts) AS ts, sum(value) AS q FROM events GROUP BY ALL),
   f AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY ts) AS i FROM h)
-  SELECT channel, count(*) AS n_rows FROM f WHERE i > 24 GROUP BY ALL""")
+  SELECT channel, count(*) AS n_rows FROM f WHERE i > 24 AND channel IN (SELECT channel FROM f GROUP BY ALL HAVING max(q) >= 0.1) GROUP BY ALL""")
 def training_rows(spark, d):
-    """Complete rows after the longest lag (rain has no gaps here)."""
+    """M-3: complete rows after the longest lag (rain has no gaps here), of rivers with enough flow."""
     at = X.hourly(spark, d)
     flow = at.select(F.col("station").alias("channel"), "ts", F.col("q_nat").alias("flo_out"))
     rain = at.select(F.col("station").alias("channel"), "ts", F.col("q_bal").alias("precip_mm"))
     made = M.hourly_features(flow, rain, target=flow.select("channel", "ts", F.col("flo_out").alias("y")))
-    return made.dropna().groupBy("channel").agg(F.count(F.lit(1)).alias("n_rows"))
+    split = M.training_set(made, n_val=0, n_test=0)
+    return split.groupBy("channel").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("month_split_sizes")

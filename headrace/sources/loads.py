@@ -14,15 +14,16 @@ def read_delimited(spark: SparkSession, path: str, columns: Sequence[str], sep:
                    header_starts: str | None = None) -> DataFrame:
     """S-8: delimited text by declared columns; lead-in lines and the header are dropped by content.
 
-    With ``header_starts`` the lines are parsed as text; every line whose field
-    count is short or that repeats the header is not data.
+    With ``header_starts`` the lines are parsed as text; a line that repeats the header or
+    does not parse to all declared columns is not data. Quoted fields may hold the separator.
     """
     ddl = ", ".join(f"`{c}` STRING" for c in columns)
     if header_starts is None:
         return spark.read.csv(path, schema=ddl, sep=sep, header=True)
     lines = spark.read.text(path).filter(~F.col("value").startswith(header_starts))
-    lines = lines.filter(F.size(F.split("value", rf"\{sep}")) == len(columns))
-    return lines.select(F.from_csv("value", ddl, {"sep": sep}).alias("r")).select("r.*")
+    options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}
+    parsed = lines.select(F.from_csv("value", f"{ddl}, __bad STRING", options).alias("r"))
+    return parsed.filter("r.__bad IS NULL").select(*[F.col(f"r.`{c}`") for c in columns])
 
 
 def load_rows(df: DataFrame, area: Column, ts: Column, mw: Column) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from headrace.functions.core import nan_to_null, number
+from headrace.functions.core import nan_to_null, number, small_side
 
 REGION_IN_PATH = r"([^/]+)/[^/]+/[^/]+$"
 
@@ -23,27 +23,36 @@ def read_station_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.
     """S-1: many CSV files with differing columns to one declared schema.
 
     Columns are matched by name in each file; absent ones are NULL, unreadable
-    numbers are NULL, extra ones are ignored. ``row_ord`` follows the file order.
+    numbers are NULL, extra ones are ignored. ``row_ord`` orders all rows: by the place
+    of the file in ``paths``, then by the line. All files are one scan, whatever their
+    headers; the table of headers has one row per file. A line that repeats its header is
+    not data.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    out = None
-    for path in paths:
-        raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-        have = set(raw.columns)
-        cols = []
-        for f in schema:
-            if f.name not in have:
-                c = F.lit(None).cast(f.dataType)
-            elif isinstance(f.dataType, T.StringType):
-                c = F.nullif(F.trim(f.name), F.lit(""))
-            else:
-                c = number(f.name).cast(f.dataType)
-            cols.append(c.alias(f.name))
-        if region_pattern is not None:
-            cols.append(path_part(region_pattern).alias("path_region"))
-        part = raw.select(*cols, F.monotonically_increasing_id().alias("row_ord"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__line"), "value")
+    heads = lines.filter("__block = 0").groupBy(F.col("__file").alias("__of")).agg(F.min(F.struct("__line", "value")).alias("h"))
+    width = heads.agg(F.max(F.size(F.split("h.value", ",")))).first()[0] or 1
+    ddl = ", ".join(f"c{i} STRING" for i in range(width))
+
+    def fields(text: str) -> Column:
+        return F.transform(F.array(F.from_csv(text, ddl)), lambda r: F.array(*[r[f"c{i}"] for i in range(width)]))[0]
+    given = F.transform(F.array(*[F.lit(p.rstrip("/")) for p in paths]), lambda p: F.contains(F.col("__of"), p))
+    heads = heads.select("__of", F.col("h.value").alias("__header"), F.array_position(given, True).alias("__place"))
+    heads = heads.withColumn("__names", F.transform(fields("__header"), F.trim))
+    rows = lines.join(small_side(heads), F.col("__file") == F.col("__of")).filter("value <> __header").withColumn("__values", fields("value"))
+    cols = []
+    for f in schema:
+        at = F.array_position("__names", f.name)
+        text = F.when(at > 0, F.try_element_at("__values", at.cast("int")))
+        rows = rows.withColumn(f"__{f.name}", text)
+        typed = F.nullif(F.trim(f"__{f.name}"), F.lit("")) if isinstance(f.dataType, T.StringType) else number(f"__{f.name}").cast(f.dataType)
+        cols.append(typed.alias(f.name))
+    if region_pattern is not None:
+        cols.append(path_part(region_pattern, "__file").alias("path_region"))
+    order = F.struct(F.col("__place").alias("place"), F.col("__file").alias("file"), F.col("__block").alias("block"), F.col("__line").alias("line"))
+    return rows.select(*cols, order.alias("row_ord"))
 
 
 def read_columns(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headrace.functions.calendar import julian_date
-from headrace.functions.core import finite
+from headrace.functions.core import finite, small_side
 
 
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -52,8 +52,9 @@ def _date(names: Sequence[str]) -> Column:
 def channel_subday(lines: DataFrame, names: Sequence[str], ids: DataFrame | None = None) -> DataFrame:
     """S-4: hourly channel flow in m3/s. Steps run 1..24 or 0..23 in a file; anything else is an error."""
     rows = data_rows(lines, names, "gis_id", ids).withColumn("step", token(names, "tstep", "int"))
+    # One row per file, joined by broadcast: the rows of a large file are never moved to one key.
     spans = rows.groupBy("file").agg(F.min("step").alias("lo"), F.max("step").alias("hi"))
-    at = rows.join(spans, "file")
+    at = rows.join(small_side(spans), "file")
     hour = (F.when((F.col("lo") == 1) & (F.col("hi") == 24), F.col("step") - 1)
             .when((F.col("lo") == 0) & (F.col("hi") == 23), F.col("step"))
             .otherwise(F.raise_error(F.concat(F.lit("unexpected step range in "), "file")).cast("int")))

@@ -129,3 +129,17 @@ def test_column_notes_survive_parquet(spark, tmp_path):
 def test_named_outputs(spark, tmp_path):
     sinks.write_outputs({"a": spark.range(3), "b": spark.range(4)}, str(tmp_path / "out"))
     assert [spark.read.parquet(str(tmp_path / "out" / n)).count() for n in "ab"] == [3, 4]
+
+
+def test_row_order_is_total_across_files(spark, tmp_path):
+    a = put(tmp_path / "z" / "a.csv", "name,lat\n" + "".join(f"a{i},{i}\n" for i in range(50)))
+    b = put(tmp_path / "b.csv", 'lat,name\n1,"b, 0"\n2,b1\n')
+    rows = tables.read_station_csv(spark, [a, b], STATION).orderBy("row_ord").collect()
+    assert [r["name"] for r in rows] == [*(f"a{i}" for i in range(50)), "b, 0", "b1"]
+    assert len({tuple(r["row_ord"]) for r in rows}) == 52
+
+
+def test_quoted_separator_is_kept(spark, tmp_path):
+    path = put(tmp_path / "q.csv", 'made by x\nDate,Area,MW\n2020-01-01,"South, east",5\n2020-01-02,North,6\nDate,Area,MW\nshort,line\n')
+    df = loads.read_delimited(spark, path, ["Date", "Area", "MW"], header_starts="Date,")
+    assert {tuple(r) for r in df.collect()} == {("2020-01-01", "South, east", "5"), ("2020-01-02", "North", "6")}
