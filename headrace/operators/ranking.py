@@ -186,7 +186,10 @@ def percent_rank_average(df: DataFrame, keys: Sequence[str], value: str, out: st
     table = ranked.select(
         *keys, value, ((F.col("__hi") - (F.col("__c") - 1) / 2) / F.col("__n")).alias(out)
     )
-    return df.join(table, [*keys, value], "left")
+    # NULL values have no rank and would all meet in one task of the join.
+    ranked = df.filter(F.col(value).isNotNull()).join(table, [*keys, value])
+    bare = df.filter(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double"))
+    return ranked.unionByName(bare.select(ranked.columns))
 
 
 def capacity_fill(demand: DataFrame, capacity: DataFrame, keys: Sequence[str], need: str, cap: str,

@@ -179,12 +179,17 @@ def roll_hours(df: DataFrame, shift: ColumnLike, hoy: str = "hoy") -> DataFrame:
     return df.withColumn(hoy, F.pmod(F.col(hoy) + col(shift), n).cast("int"))
 
 
+def _drawn(seed: int, k: int) -> Column:
+    """The k-th number of a seed, 0 to 2^32 - 1; the same in any engine that has md5."""
+    return F.conv(F.substring(F.md5(F.lit(f"{seed}/{k}")), 1, 8), 16, 10).cast("long")
+
+
 def month_split(df: DataFrame, ts: str, n_val: int, n_test: int, seed: int = 42,
                 mode: str = "discrete") -> DataFrame:
     """W-13: hold out whole months; ``discrete`` draws them, ``contiguous`` takes two blocks.
 
-    The draw is a seeded hash order over the distinct months, so it does not depend
-    on partitioning. Months are few (the calendar), hence one small window.
+    The draw is the order of md5(seed/number) over the distinct months, so it does not
+    depend on partitioning. Months are few (the calendar), hence one small window.
     """
     month = F.date_trunc("month", F.col(ts))
     months = df.select(month.alias("__m")).distinct()
@@ -192,14 +197,14 @@ def month_split(df: DataFrame, ts: str, n_val: int, n_test: int, seed: int = 42,
     numbered = months.select("__m", F.row_number().over(by_time).alias("__i"),
                              F.count(F.lit(1)).over(Window.partitionBy()).alias("__n"))
     if mode == "discrete":
-        draw = F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), F.col("__i")), "__i"))
+        draw = F.row_number().over(Window.orderBy(F.md5(F.concat_ws("/", F.lit(seed), "__i")), "__i"))
         label = F.when(draw <= n_val, "val").when(draw <= n_val + n_test, "test").otherwise("train")
         table = numbered.select("__m", label.alias("split"), "__n")
     elif mode == "contiguous":
         room = F.col("__n") - n_val - n_test
-        start = F.pmod(F.xxhash64(F.lit(seed), F.lit(1)), room + 1) + 1
+        start = F.pmod(_drawn(seed, 1), room + 1) + 1
         before, after = F.greatest(start - n_test, F.lit(0)), F.greatest(room - start + 2, F.lit(0))
-        pick = F.pmod(F.xxhash64(F.lit(seed), F.lit(2)), before + after)
+        pick = F.pmod(_drawn(seed, 2), before + after)
         test = F.when(pick < before, pick + 1).otherwise(start + n_val + pick - before)
         i = F.col("__i")
         label = (F.when((i >= start) & (i < start + n_val), "val")

@@ -277,23 +277,22 @@ def cluster_members(plants: DataFrame, clusters: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_plants"), F.sum("capacity_mw").alias("capacity_mw"))
 
 
-def spaced_selection(points: DataFrame, distance: float, order: Sequence[str], point_id: str = "point",
-                     max_rounds: int = 200) -> DataFrame:
+def spaced_selection(points: DataFrame, distance: float, order: Sequence[str], point_id: str = "point") -> DataFrame:
     """W-18: greedy selection in priority order with a minimum spacing (x, y in the unit of ``distance``).
 
     Two points of one cell are always too close, so only the best of each cell can
     win a round. It wins if no better live point lies nearer than ``distance``; all
     live points that near to a winner are dropped. The result equals the sequential
-    greedy one. A point meets at most the bests of the 25 cells around it.
+    greedy one. A point meets at most the bests of the 25 cells around it. The best
+    live point always wins, so the rounds end; on a chain of falling priority one wins
+    a round.
     """
     width = distance / 2**0.5
     rank = F.struct(*order, point_id)
     live = reliable_checkpoint(points.select(
         point_id, "x", "y", rank.alias("r"), F.floor(F.col("x") / width).alias("cx"), F.floor(F.col("y") / width).alias("cy")))
-    kept = live.limit(0).select(point_id)
-    for _ in range(max_rounds):
-        if live.limit(1).count() == 0:
-            return points.join(kept, point_id, "left_semi")
+    kept, parts = live.limit(0).select(point_id), 0
+    while live.limit(1).count():
         best = live.groupBy("cx", "cy").agg(F.min_by(F.struct("r", point_id, "x", "y"), "r").alias("b"))
         zone = best.select(F.col("b.r").alias("lead_r"), F.col(f"b.{point_id}").alias("lead"), F.col("b.x").alias("kx"),
                            F.col("b.y").alias("ky"), F.explode(_neighbours(["cx", "cy"], 2)).alias("n"))
@@ -302,9 +301,11 @@ def spaced_selection(points: DataFrame, distance: float, order: Sequence[str], p
         near = reliable_checkpoint(near.select("lead", point_id, (F.col("r") < F.col("lead_r")).alias("better")))
         won = near.groupBy("lead").agg(F.bool_or("better").alias("beaten")).filter(~F.col("beaten")).select("lead")
         gone = near.join(won, "lead", "left_semi").select(point_id).distinct()
-        kept = kept.unionByName(won.withColumnRenamed("lead", point_id))
+        kept, parts = kept.unionByName(won.withColumnRenamed("lead", point_id)), parts + 1
+        if parts % 16 == 0:  # keeps the plan short however many rounds there are
+            kept = reliable_checkpoint(kept)
         live = reliable_checkpoint(live.join(gone, point_id, "left_anti"))
-    raise RuntimeError(f"selection did not finish in {max_rounds} rounds")
+    return points.join(kept, point_id, "left_semi")
 
 
 def polygon_edges(rings: DataFrame, poly: str = "poly", ring: str = "ring") -> DataFrame:

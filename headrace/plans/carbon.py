@@ -171,7 +171,8 @@ def centre_carbon(spark, d):
     stations_ef = reliable_checkpoint(_station_factors(spark, d).select("region", "gen_gwh", "hydro_ef", "allocated_mw"))
     ef = C.region_emission_factors(stations_ef, ["region"])
     grid = _grid(spark, d).select("region", F.col("central").alias("grid_central"), F.col("upper").alias("grid_upper"))
-    middle = F.lit(R.exact_quantiles(stations_ef, [], "hydro_ef", {"ef": 0.5}).first()["ef"])
+    known = R.exact_quantiles(stations_ef, [], "hydro_ef", {"ef": 0.5}).first()  # one number, none if no factor is known
+    middle = F.lit(known["ef"] if known else None).cast("double")
     who = X.table(spark, d, "customer").join(X.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("region"))
     need = X.table(spark, d, "orders").join(who, F.col("o_custkey") == F.col("c_custkey")).groupBy("region").agg((F.avg("o_totalprice") / 1000).alias("dc_mean_mw"))
     cap = X.stations(spark, d).groupBy("region").agg((F.sum(F.greatest("capacity_mw", F.lit(0.0))) / 200).alias("cap"))
@@ -216,6 +217,16 @@ def percent_rank_ties(spark, d):
     return rounded(R.percent_rank_average(at, ["p_type"], "p_size").select("p_partkey", "p_size", "p_type", "pct_rank"), pct_rank=8)
 
 
+@query("percent_rank_sliced", rounded_sql("""
+  SELECT l_orderkey, l_linenumber, (rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2.0)
+         / count(*) OVER (PARTITION BY l_returnflag) AS pct_rank FROM lineitem""", pct_rank=8))
+def percent_rank_sliced(spark, d):
+    """The path for groups above ``hot_rows``: range slices and offsets."""
+    at = X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
+    out = R.percent_rank_average(at, ["l_returnflag"], "l_extendedprice", hot_rows=500)
+    return rounded(out.select("l_orderkey", "l_linenumber", "pct_rank"), pct_rank=8)
+
+
 @query("latitude_bands", X.with_sql(X.STATIONS) + """
   SELECT station_idx, CASE WHEN abs(lat) <= 15 THEN 1200.0 WHEN abs(lat) <= 30 THEN 1500 WHEN abs(lat) <= 45 THEN 600 WHEN abs(lat) <= 55 THEN 300 ELSE 150 END::DOUBLE AS evaporation_mm,
          CASE WHEN abs(lat) < 23.5 THEN 'tropical' WHEN abs(lat) < 35 THEN 'subtropical' WHEN abs(lat) < 55 THEN 'temperate' ELSE 'boreal' END AS zone,

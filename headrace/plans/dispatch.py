@@ -139,13 +139,13 @@ filled AS (SELECT w.region, site, need, least(need, greatest(0, coalesce(cap, 0)
 """
 
 
-def _filled(spark, d):
+def _filled(spark, d, **options):
     nation = X.table(spark, d, "nation")
     who = X.table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("region"))
     want = X.table(spark, d, "orders").join(who, F.col("o_custkey") == F.col("c_custkey")).select(
         "region", F.col("o_orderkey").alias("site"), (F.col("o_totalprice") / 1000).alias("need"))
     cap = X.stations(spark, d).groupBy("region").agg(F.sum("capacity_mw").alias("cap"))
-    return R.capacity_fill(want, cap, ["region"], "need", "cap", "site").select("region", "site", "need", "delivered_mw")
+    return R.capacity_fill(want, cap, ["region"], "need", "cap", "site", **options).select("region", "site", "need", "delivered_mw")
 
 
 @query("capacity_fill", rounded_sql(X.with_sql(X.STATIONS, FILL) + "SELECT region, site, need, delivered_mw FROM filled", need=5, delivered_mw=5))
@@ -153,6 +153,12 @@ def capacity_fill(spark, d):
     return rounded(_filled(spark, d), need=5, delivered_mw=5)
 
 
+@query("capacity_fill_sliced", rounded_sql(X.with_sql(X.STATIONS, FILL) + "SELECT region, site, need, delivered_mw FROM filled", need=5, delivered_mw=5))
+def capacity_fill_sliced(spark, d):
+    """The path for groups above ``hot_rows``."""
+    return rounded(_filled(spark, d, hot_rows=40), need=5, delivered_mw=5)
+
+
 @query("isolated_coverage", rounded_sql(X.with_sql(X.STATIONS, FILL) + """
   SELECT region, sum(need) AS demand_mw, sum(delivered_mw) AS met_mw, 100 * sum(delivered_mw) / sum(need) AS coverage_pct FROM filled GROUP BY ALL""",
     demand_mw=3, met_mw=3, coverage_pct=7))

@@ -190,9 +190,12 @@ def pour_points(spark, d):
     return rounded(SP.pour_points(plants, basins, rivers, 12.0), distance=7)
 
 
-@query("spaced_selection")
+@query("spaced_selection", """
+  WITH l AS (SELECT list([{'point': c_custkey, 'x': (c_custkey * 7919 % 9973)::DOUBLE, 'y': (c_custkey * 104729 % 9967)::DOUBLE}] ORDER BY c_acctbal, c_custkey) AS a FROM customer)
+  SELECT u.point, u.x, u.y FROM (SELECT unnest(list_reduce(a, lambda acc, p: CASE WHEN len(list_filter(acc, lambda q:
+    (q.x - p[1].x) * (q.x - p[1].x) + (q.y - p[1].y) * (q.y - p[1].y) < 250000)) = 0 THEN list_concat(acc, p) ELSE acc END)) AS u FROM l)""")
 def spaced_selection(spark, d):
-    """Order-dependent greedy: no SQL twin; tests compare it with the sequential loop."""
+    """The twin is the sequential loop as a fold over the ordered list."""
     k = F.col("c_custkey")
     points = X.table(spark, d, "customer").select(k.alias("point"), (k * 7919 % 9973).cast("double").alias("x"), (k * 104729 % 9967).cast("double").alias("y"), F.col("c_acctbal").alias("prio"))
     return SP.spaced_selection(points, 500.0, ["prio"]).select("point", "x", "y")

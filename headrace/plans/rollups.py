@@ -499,6 +499,17 @@ def global_quantiles(spark, d):
     return rounded(R.exact_quantiles(X.table(spark, d, "lineitem"), [], "l_extendedprice", {"p5": 0.05, "p95": 0.95, "p99": 0.99}), p5=4, p95=4, p99=4)
 
 
+@query("global_quantiles_large", rounded_sql("""
+  SELECT l_returnflag, quantile_cont(l_extendedprice, 0.05) AS p5, quantile_cont(l_extendedprice, 0.95) AS p95, quantile_cont(l_extendedprice, 0.99) AS p99 FROM lineitem GROUP BY ALL UNION ALL
+  SELECT 'all', quantile_cont(l_quantity, 0.05), quantile_cont(l_quantity, 0.5), quantile_cont(l_quantity, 1) FROM lineitem""", p5=4, p95=4, p99=4))
+def global_quantiles_large(spark, d):
+    """The path for groups above ``hot_rows``: sketches bracket, counts prove."""
+    at = X.table(spark, d, "lineitem")
+    parts = R.exact_quantiles(at, ["l_returnflag"], "l_extendedprice", {"p5": 0.05, "p95": 0.95, "p99": 0.99}, hot_rows=500)
+    whole = R.exact_quantiles(at, [], "l_quantity", {"p5": 0.05, "p95": 0.5, "p99": 1.0}, hot_rows=500).select(F.lit("all").alias("l_returnflag"), "p5", "p95", "p99")
+    return rounded(parts.unionByName(whole), p5=4, p95=4, p99=4)
+
+
 @query("recurrence_quantile", rounded_sql(X.with_sql(X.DAILY, """
   l AS (SELECT station_idx, count(*) AS n, list(q ORDER BY q) AS v FROM dflow WHERE scenario = 'nat' GROUP BY ALL), x AS (SELECT *, 0.9 * (n + 1) AS p FROM l)""") + """
   SELECT station_idx, CASE WHEN n < 5 THEN NULL WHEN p >= n THEN v[n] ELSE v[CAST(floor(p) AS INT)] + (p - floor(p)) * (v[CAST(floor(p) AS INT) + 1] - v[CAST(floor(p) AS INT)]) END AS q10 FROM x""", q10=6))

@@ -237,9 +237,27 @@ def training_rows(spark, d):
     return split.groupBy("channel").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("month_split_sizes")
+MONTH_DRAW = """
+  WITH m AS (SELECT DISTINCT date_trunc('month', l_shipdate)::TIMESTAMP AS m FROM lineitem), n AS (SELECT m, row_number() OVER (ORDER BY m) AS i, count(*) OVER () AS n FROM m),
+  k AS (SELECT *, row_number() OVER (ORDER BY md5('42/' || i), i) AS k FROM n),
+  room AS (SELECT DISTINCT n - 24 AS room, ('0x' || md5('42/1')[1:8])::BIGINT % (n - 23) + 1 AS start, ('0x' || md5('42/2')[1:8])::BIGINT AS h FROM n),
+  blocks AS (SELECT *, greatest(start - 12, 0) AS before, h % (greatest(start - 12, 0) + greatest(room - start + 2, 0)) AS pick FROM room),
+  c AS (SELECT start, CASE WHEN pick < before THEN pick + 1 ELSE start + 12 + pick - before END AS test FROM blocks)
+"""
+
+
+@query("month_split_months", MONTH_DRAW + """
+  SELECT m, CASE WHEN k <= 12 THEN 'val' WHEN k <= 24 THEN 'test' ELSE 'train' END AS split, 'discrete' AS mode FROM k UNION ALL
+  SELECT m, CASE WHEN i >= start AND i < start + 12 THEN 'val' WHEN i >= test AND i < test + 12 THEN 'test' ELSE 'train' END, 'contiguous' FROM n, c""")
+def month_split_months(spark, d):
+    at = X.table(spark, d, "lineitem").select(F.col("l_shipdate").cast("timestamp_ntz").alias("ts"))
+    parts = [S.month_split(at, "ts", 12, 12, mode=mode).select(F.date_trunc("month", "ts").cast("timestamp_ntz").alias("m"), "split").distinct().withColumn("mode", F.lit(mode))
+             for mode in ("discrete", "contiguous")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("month_split_sizes", MONTH_DRAW + "SELECT CASE WHEN k <= 12 THEN 'val' WHEN k <= 24 THEN 'test' ELSE 'train' END AS split, count(*) AS n_months FROM k GROUP BY ALL")
 def month_split_sizes(spark, d):
-    """Seeded draw: no SQL twin; tests check sizes, disjointness and contiguity."""
     at = X.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("channel"), F.col("l_shipdate").alias("ts"))
     out = S.month_split(at, "ts", 12, 12).select("split", F.date_trunc("month", "ts").alias("m")).distinct()
     return out.groupBy("split").agg(F.count(F.lit(1)).alias("n_months"))
