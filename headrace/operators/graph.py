@@ -14,6 +14,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headrace.functions.core import BROADCAST_ROWS
 from headrace.session import reliable_checkpoint
 
 #: Longest walk below a dam that G-1 follows, unless another limit is given.
@@ -215,28 +216,42 @@ def contract_excluded(edges: DataFrame, kept: DataFrame) -> DataFrame:
             .agg(F.min("total").cast("int").alias("tau_h")))
 
 
+#: Salts of the join that gives each edge the minimum of its node, when there are too many nodes to broadcast.
+HUB_SALTS = 64
+
+
+def _with_minimum(rows: DataFrame, least: DataFrame, n_rows: int) -> DataFrame:
+    """Join the (unique) minimum of ``u`` to every row, so that the rows of a hub stay spread out."""
+    if n_rows <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(least), "u")
+    salted = rows.withColumn("__s", F.pmod(F.xxhash64("v"), F.lit(HUB_SALTS)).cast("int"))
+    copies = least.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(HUB_SALTS - 1))))
+    return salted.join(copies, ["u", "__s"]).drop("__s")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """G-4: (node, component) with the least node id of each component.
 
     Alternates two star steps (neighbours move to the least neighbour); both are a
-    minimum with map-side combine and a join back on unique keys, so a hub with a
-    third of all edges is never gathered. Ends when the edge set stops changing.
+    minimum with map-side combine and a broadcast or salted join back, so a hub with a
+    third of all edges is never gathered. Ends when the edge set stops changing; the
+    rounds grow with the logarithm of the longest path.
     """
     pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v")
     stars = reliable_checkpoint(
         pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
+    seen = (stars.count(), None)
     for _ in range(max_rounds):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_minimum(both, least, 2 * seen[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(
+        small = _with_minimum(large, least, 2 * seen[0]).select(
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                               F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         stars = reliable_checkpoint(small.filter("u <> v").distinct())
-        digest = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        digest = tuple(stars.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if digest == seen:
             break
         seen = digest

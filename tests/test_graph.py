@@ -149,3 +149,10 @@ def test_paths_of_many_hops(spark):
     edges = spark.createDataFrame([(f"r{i:02}", f"r{i + 1:02}", 10.0, 0.01) for i in range(9)], "region_a string, region_b string, available_mw double, loss_rate double")
     paths = T.path_table(edges)
     assert paths.count() == 90 and paths.agg(F.max("hops")).first()[0] == 9
+
+
+def test_components_with_a_salted_hub(spark, monkeypatch):
+    monkeypatch.setattr(G, "BROADCAST_ROWS", 0)
+    edges = [(5, k) for k in range(300, 400)] + [(1, 2), (2, 3), (7, 7)]
+    got = {r["node"]: r["component"] for r in G.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{k: 5 for k in (5, *range(300, 400))}, 1: 1, 2: 1, 3: 1, 7: 7}
