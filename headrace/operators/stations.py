@@ -162,14 +162,21 @@ def apply_verified(stations: DataFrame, verified: DataFrame, keys: Sequence[str]
                      vol_hit.alias("vol_verified"), head_hit.alias("head_verified"), cap_hit.alias("cap_verified"))
 
 
-def estimate_ps_volume(stations: DataFrame, low_h: float = 4.0, high_h: float = 200.0) -> DataFrame:
-    """P-18: pumped storage whose volume implies under 4 or over 200 hours takes 8 hours of output."""
+def estimate_ps_volume(stations: DataFrame, low_h: float = 4.0, high_h: float = 200.0,
+                       verified: str = "verified_ps_vol_km3") -> DataFrame:
+    """P-18: pumped storage whose volume implies under 4 or over 200 hours takes 8 hours of output.
+
+    A station with a value in the ``verified`` column, if there is one, takes that volume (if
+    positive) and is never estimated.
+    """
+    given = F.col(verified) if verified in stations.columns else F.lit(None).cast("double")
     hours = ps_storage_hours("ps_vol_km3", "capacity_mw", "head_m")
-    sized = (F.col("type") == "PS") & (F.col("capacity_mw") > 0) & (F.col("head_m") > 0)
+    sized = (F.col("type") == "PS") & (F.col("capacity_mw") > 0) & (F.col("head_m") > 0) & given.isNull()
     hit = F.coalesce(sized & ((hours < low_h) | (hours > high_h)), F.lit(False))
-    volume = F.when(hit, ps_volume_km3("capacity_mw", "head_m")).otherwise(F.col("ps_vol_km3"))
-    rest = [c for c in stations.columns if c != "ps_vol_km3"]
-    return stations.select(*rest, volume.alias("ps_vol_km3"), hit.alias("ps_vol_estimated"))
+    taken = F.coalesce((F.col("type") == "PS") & (given > 0), F.lit(False))
+    volume = F.when(taken, given).when(hit, ps_volume_km3("capacity_mw", "head_m")).otherwise(F.col("ps_vol_km3"))
+    rest = [c for c in stations.columns if c not in ("ps_vol_km3", verified)]
+    return stations.select(*rest, volume.alias("ps_vol_km3"), hit.alias("ps_vol_estimated"), taken.alias("ps_vol_verified"))
 
 
 def change_counts(changed: DataFrame, flags: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -178,29 +185,42 @@ def change_counts(changed: DataFrame, flags: Sequence[str], keys: Sequence[str]
 
 
 def match_names(wanted: DataFrame, features: DataFrame, name_columns: Sequence[str], want: str = "name",
-                feature: str = "feature") -> DataFrame:
-    """J-21: names to features: exact (lower, trimmed) over the name columns, then substring, else unmatched.
-
-    The first name column that has a hit decides. The substring step joins on the
-    first letters (up to three) of the wanted name, which every containing name holds.
+                feature: str = "feature", aliases: DataFrame | None = None) -> DataFrame:
+    """J-21: names to features: exact (lower, trimmed), then substring, else unmatched.
+
+    ``aliases``: name, alias, ord (from 1); a name stands first among its own aliases. All aliases
+    are tried exactly before any as a substring; the first alias with a hit decides, then
+    the first name column. The substring step joins on the rarest of the alias's pieces of
+    up to three letters, which every containing name holds; a piece that most names hold
+    is used only by an alias that has no other.
     """
     columns = F.array(*[F.struct(F.lit(i).alias("ord"), F.lower(F.trim(c)).alias("text")) for i, c in enumerate(name_columns)])
     texts = features.select(feature, F.explode(columns).alias("n")).select(feature, "n.*").filter("text is not null")
-    asked = wanted.select(want, F.lower(F.trim(want)).alias("text")).distinct()
-    exact = asked.join(texts, "text").select(want, feature, "ord", F.lit("exact").alias("how"))
+    asked = wanted.select(want, F.lower(F.trim(want)).alias("text"), F.lit(0).alias("alias")).distinct()
+    if aliases is not None:
+        more = wanted.select(want).distinct().join(aliases.select(F.col("name").alias(want), F.lower(F.trim("alias")).alias("text"),
+                                                                  F.col("ord").cast("int").alias("alias")), want)
+        asked = asked.unionByName(more)
+    exact = asked.join(texts, "text").select(want, feature, "alias", "ord", F.lit("exact").alias("how"))
     rest = asked.join(exact.select(want), want, "left_anti").filter(F.length("text") > 0)
-    size = F.least(F.length("text"), F.lit(3))
-    starts = F.sequence(F.lit(1), F.length("text"))
-    grams = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(1), F.lit(3)), lambda k: F.substring(F.col("text"), i, k))))
+
+    def pieces(sizes: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length("text"))
+        return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(sizes, lambda k: F.substring(F.col("text"), i, k)))))
     index = texts.filter(F.length("text") > 0).select(feature, "ord", F.col("text").alias("full"),
-                                                      F.explode(F.array_distinct(grams)).alias("gram"))
-    keyed = rest.select(want, "text", F.substring(F.col("text"), F.lit(1), size).alias("gram"))
-    partial = keyed.join(index, "gram").filter(F.contains("full", "text")).select(
-        want, feature, "ord", F.lit("substring").alias("how"))
+                                                      F.explode(pieces(F.sequence(F.lit(1), F.lit(3)))).alias("gram"))
+    size = F.least(F.length("text"), F.lit(3))
+    own = rest.select(want, "text", "alias", F.explode(pieces(F.array(size))).alias("gram")).filter(
+        F.length("gram") == F.least(F.length("text"), F.lit(3)))
+    # A piece that no name holds drops out here, and with it the alias.
+    held = index.join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    ranked = own.join(held, "gram", "left").groupBy(want, "text", "alias").agg(
+        F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    partial = ranked.join(index, "gram").filter(F.contains("full", "text")).select(
+        want, feature, "alias", "ord", F.lit("substring").alias("how"))
     hits = exact.unionByName(partial)
-    first = hits.groupBy(want).agg(F.min("ord").alias("ord"))
-    chosen = hits.join(first, [want, "ord"]).select(want, feature, "how").distinct()
+    first = hits.groupBy(want).agg(F.min(F.struct("alias", "ord")).alias("f")).select(want, "f.*")
+    chosen = hits.join(first, [want, "alias", "ord"]).select(want, feature, "how").distinct()
     return wanted.select(want).distinct().join(chosen, want, "left").select(
         want, feature, F.coalesce("how", F.lit("unmatched")).alias("how"))
 
