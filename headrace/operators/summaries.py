@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from headrace.functions.core import clip, first_match, ratio, weighted_mean
+from headrace.functions.core import clip, first_match, ratio, weighted_mean, small_side
 from headrace.functions.text import sign_class
 from headrace.operators.ranking import top_per_group
 from headrace.session import reliable_checkpoint
@@ -265,3 +265,10 @@ def both_ends(df: DataFrame, value: str, key: str, top: int = 7, bottom: int = 6
     low = top_per_group(df, [], [F.asc(value), F.asc(key)], bottom)
     return high.unionByName(low).distinct()
 
+
+
+def category_order(df: DataFrame, column: str, order: DataFrame, out: str = "ord", last: int = 99) -> DataFrame:
+    """O-2: add the place of a category from an order table (``column``, ``out``); unknown and missing ones come last."""
+    table = order.select(F.col(column), F.col(out).cast("int").alias(out)).groupBy(column).agg(F.min(out).alias(out))
+    rest = [c for c in df.columns if c != out]
+    return df.select(*rest).join(small_side(table), column, "left").select(*rest, F.coalesce(out, F.lit(last)).alias(out))

@@ -494,6 +494,16 @@ def duplicate_cells(spark, d):
     return tables.duplicate_cells(at, ["user_id", "ts"])
 
 
+@query("category_order", """
+  SELECT n_name, r_name, coalesce(ord, 99) AS bloc_order, row_number() OVER (ORDER BY coalesce(ord, 99), n_nationkey DESC) AS i FROM nation JOIN region ON n_regionkey = r_regionkey
+  LEFT JOIN (VALUES ('ASIA', 0), ('EUROPE', 1), ('AFRICA', 2)) o(r, ord) ON r = r_name""")
+def category_order(spark, d):
+    order = spark.createDataFrame([("ASIA", 0), ("EUROPE", 1), ("AFRICA", 2)], "r_name string, bloc_order int")
+    at = X.table(spark, d, "nation").join(X.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "n_nationkey", "r_name")
+    placed = V.category_order(at, "r_name", order, out="bloc_order")
+    return placed.select("n_name", "r_name", "bloc_order", F.row_number().over(Window.orderBy("bloc_order", F.desc("n_nationkey"))).alias("i"))  # 25 nations
+
+
 @query("global_quantiles", rounded_sql("SELECT quantile_cont(l_extendedprice, 0.05) AS p5, quantile_cont(l_extendedprice, 0.95) AS p95, quantile_cont(l_extendedprice, 0.99) AS p99 FROM lineitem", p5=4, p95=4, p99=4))
 def global_quantiles(spark, d):
     return rounded(R.exact_quantiles(X.table(spark, d, "lineitem"), [], "l_extendedprice", {"p5": 0.05, "p95": 0.95, "p99": 0.99}), p5=4, p95=4, p99=4)

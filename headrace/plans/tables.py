@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from headrace.functions import calendar as cal
@@ -10,6 +11,7 @@ from headrace.operators import load as L
 from headrace.operators import series as S
 from headrace.operators import weather as WX
 from headrace.plans import standins as X
+from headrace.session import reliable_checkpoint
 from headrace.plans.registry import query, rounded, rounded_sql
 
 ORDER_LOAD = """
@@ -166,11 +168,22 @@ def weather_generator_stats(spark, d):
     return rounded(WX.generator_stats(WX.daily_weather(_weather(spark, d), ["cell"]), ["cell"]), **GEN)
 
 
-@query("grid_to_station_series", rounded_sql(X.with_sql(WEATHER) + """
-  SELECT s_suppkey AS station, w.* FROM supplier JOIN wd w ON w.cell = ['click', 'view', 'error', 'purchase', 'signup'][s_suppkey % 5 + 1]""", tmax=8, tmin=8, pcp=8, pcp_hour_max=8, slr=8, hmd=8, wnd=8))
+CELLS = """
+cells AS (SELECT event_type AS cell, row_number() OVER (ORDER BY event_type) * 10.0 AS lat, 0.0 AS lon, row_number() OVER (ORDER BY event_type) <> 3 AS is_land
+          FROM (SELECT DISTINCT event_type FROM events)),
+near AS (SELECT s_suppkey AS station, arg_min(cell, ((lat - (10 * (s_suppkey % 6) + 2)) ** 2 + 1, cell)) AS cell FROM supplier, cells WHERE is_land GROUP BY ALL)
+"""
+
+
+@query("grid_to_station_series", rounded_sql(X.with_sql(WEATHER, CELLS) + """
+  SELECT station, wd.* FROM near JOIN wd USING (cell)""", tmax=8, tmin=8, pcp=8, pcp_hour_max=8, slr=8, hmd=8, wnd=8))
 def grid_to_station_series(spark, d):
-    cell = F.element_at(F.array(*[F.lit(s) for s in ("click", "view", "error", "purchase", "signup")]), (F.col("s_suppkey") % 5 + 1).cast("int"))
-    near = X.table(spark, d, "supplier").select(F.col("s_suppkey").alias("station"), cell.alias("cell"))
+    """L-3 whole: the nearest land cell of each station (the third cell is sea), then its daily weather."""
+    place = F.row_number().over(Window.orderBy("cell"))  # a handful of cells
+    cells = X.table(spark, d, "events").select(F.col("event_type").alias("cell")).distinct().select(
+        "cell", (place * 10.0).alias("lat"), F.lit(0.0).alias("lon"), (place != 3).alias("is_land"))
+    stations = X.table(spark, d, "supplier").select(F.col("s_suppkey").alias("station"), (10.0 * (F.col("s_suppkey") % 6) + 2).alias("lat"), F.lit(1.0).alias("lon"))
+    near = WX.nearest_land_cell(stations, reliable_checkpoint(cells))
     return rounded(WX.grid_to_station_series(_weather(spark, d), near), tmax=8, tmin=8, pcp=8, pcp_hour_max=8, slr=8, hmd=8, wnd=8)
 
 
