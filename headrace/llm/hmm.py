@@ -28,7 +28,7 @@ SEED_DOCS, SEED_PASSES = 400, 12
 #: Words of documents whose vocabulary is looked up together.
 CHUNK_WORDS = 2_000_000
 #: Tokens of documents that run through the recursion side by side.
-BATCH_TOKENS = 400_000
+BATCH_TOKENS = 200_000
 #: Pseudo-counts of a transition and of a class in a state.
 SMOOTH = 0.5
 #: The end of a text, as a token: no word is empty.
@@ -39,6 +39,18 @@ def held_out_rows():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Bytes of an unsigned array, plane by plane and compressed: the high planes are mostly zero."""
+    planes = values.view(np.uint8).reshape(-1, values.itemsize).T
+    return pa.Codec("zstd", compression_level=1).compress(planes.tobytes(), asbytes=True)
+
+
+def unpacked(data: bytes, n: int, dtype: str) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    raw = pa.Codec("zstd").decompress(data, decompressed_size=n * size, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(dtype).reshape(-1)
+
+
 def tail_class(word: bytes) -> int:
     return HEADS + zlib.crc32(word[-3:]) % TAILS
 
@@ -166,7 +178,7 @@ def chunked(docs: DataFrame) -> DataFrame:
             flat = np.concatenate(tokens)
             train = np.repeat(~np.array(held), lengths)
             counts = np.bincount(flat[train], minlength=len(numbers))
-            out = {"chunk": [base + made], "doc_ids": [ids], "held_out": [held], "lengths": [lengths], "tokens": [flat.astype("<u4").tobytes()],
+            out = {"chunk": [base + made], "doc_ids": [ids], "held_out": [held], "lengths": [lengths], "tokens": [packed(flat.astype("<u4"))],
                    "words": [list(numbers)], "trained": [counts]}
             made += 1
             return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
@@ -263,7 +275,9 @@ def classified(chunks: DataFrame, words: DataFrame, counts: DataFrame, found: Ga
     """
     spark = chunks.sparkSession
     shared = spark.sparkContext.broadcast(found)
-    looked = words.join(counts, "word", "left").select(F.col("chunk").alias("of_chunk"), "number", "word", F.coalesce("c", F.lit(0)).alias("c"))
+    heads = spark.createDataFrame(list(found.heads.items()), "word binary, k int")  # HEADS rows at most
+    looked = words.join(counts, "word", "left").join(F.broadcast(heads), "word", "left").select(
+        F.col("chunk").alias("of_chunk"), "number", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("k", _tail(F.col("word")) + HEADS).cast("int").alias("k"))
     kind = chunks.schema["doc_ids"].dataType
     out = f"chunk long, doc_ids {kind.simpleString()}, held_out array<boolean>, lengths array<int>, classes binary, base array<double>, known array<long>, inner array<double>"
 
@@ -271,20 +285,18 @@ def classified(chunks: DataFrame, words: DataFrame, counts: DataFrame, found: Ga
         g = shared.value
         vocabulary = vocabulary.sort_by("number")
         c = vocabulary.column("c").to_numpy().astype(np.float64)
-        names = vocabulary.column("word").to_pylist()
-        classes = np.fromiter((g.heads.get(w, -1) for w in names), np.int64, len(names))
-        tail = np.flatnonzero(classes < 0)
-        classes[tail] = [tail_class(names[i]) for i in tail]
-        inner = np.zeros(len(names))
+        classes = vocabulary.column("k").to_numpy().astype(np.int64)
+        tail = np.flatnonzero(classes >= HEADS)
+        inner = np.zeros(len(classes))
         k = classes[tail] - HEADS
         inner[tail] = np.log10((c[tail] + 0.5) / (g.tail_total[k] + 0.5 * (g.tail_distinct[k] + 1)))
         base = np.log10((c + 0.5) / (g.total + 0.5 * (g.distinct + 1)))
-        tokens = np.frombuffer(chunk.column("tokens")[0].as_py(), "<u4")
         lengths = np.array(chunk.column("lengths")[0].as_py())
+        tokens = unpacked(chunk.column("tokens")[0].as_py(), int(lengths.sum()), "<u4")
         at = np.cumsum(lengths) - lengths
         per_doc = lambda values: np.add.reduceat(values[tokens], at)  # noqa: E731  no document is without tokens
         return pa.table([chunk.column("chunk"), chunk.column("doc_ids"), chunk.column("held_out"), chunk.column("lengths"),
-                         pa.array([classes[tokens].astype("<u2").tobytes()], pa.binary()), pa.array([per_doc(base)], pa.list_(pa.float64())),
+                         pa.array([packed(classes[tokens].astype("<u2"))], pa.binary()), pa.array([per_doc(base)], pa.list_(pa.float64())),
                          pa.array([per_doc((c > 0).astype(np.int64))], pa.list_(pa.int64())), pa.array([per_doc(inner)], pa.list_(pa.float64()))],
                         names=["chunk", "doc_ids", "held_out", "lengths", "classes", "base", "known", "inner"])
 
@@ -297,7 +309,7 @@ def _training(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lengths = np.array(row["lengths"])
     starts = np.cumsum(lengths) - lengths
     train = ~np.array(row["held_out"])
-    return np.frombuffer(row["classes"], "<u2").astype(np.int64), starts[train], lengths[train]
+    return unpacked(row["classes"], int(lengths.sum()), "<u2").astype(np.int64), starts[train], lengths[train]
 
 
 def baum_welch(chunks: DataFrame, model: Model) -> tuple[Model, float]:
@@ -357,7 +369,8 @@ def scored(chunks: DataFrame, model: Model, found: Gathered) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, row in enumerate(b.to_pylist()):
-                classes, lengths = np.frombuffer(row["classes"], "<u2").astype(np.int64), np.array(row["lengths"])
+                lengths = np.array(row["lengths"])
+                classes = unpacked(row["classes"], int(lengths.sum()), "<u2").astype(np.int64)
                 starts, score = np.cumsum(lengths) - lengths, np.zeros(len(lengths))
                 for batch in batches_by_length(lengths):
                     score[batch] = forward(shared.value, classes, starts[batch], lengths[batch])
