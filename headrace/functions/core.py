@@ -96,12 +96,6 @@ def first_non_null(value: ColumnLike, order: ColumnLike) -> Column:
     return F.min_by(v, F.when(v.isNotNull(), col(order)))
 
 
-def smallest_mode(value: ColumnLike) -> str:
-    """A-10: SQL text of the deterministic mode; ties go to the smallest value."""
-    name = value if isinstance(value, str) else "value"
-    return f"mode() WITHIN GROUP (ORDER BY {name})"
-
-
 def tidy(nat: ColumnLike, reg: ColumnLike) -> list[Column]:
     """P-23: the delta and ratio columns of a metric row."""
     n, r = col(nat), col(reg)
@@ -113,12 +107,6 @@ def tidy(nat: ColumnLike, reg: ColumnLike) -> list[Column]:
     ]
 
 
-def unpivot_metrics(df: DataFrame, keys: Sequence[str], metrics: Sequence[str],
-                    name: str = "metric", value: str = "value") -> DataFrame:
-    """Wide metric columns to (name, value) rows, without a shuffle."""
-    return df.unpivot(list(keys), list(metrics), name, value)
-
-
 #: Rows up to which a counted side of a join is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 

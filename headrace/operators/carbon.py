@@ -57,13 +57,21 @@ def cumulative_radiance(monthly_kj: ColumnLike, ice_free: ColumnLike) -> Column:
     return F.when(F.size(known) > 0, total / k * n)
 
 
+# Published regression coefficients of the reservoir flux models.
+CO2_SLOPE = -0.3364  # of log flux on log age
+CO2_BASE, CO2_TEMP, CO2_AREA, CO2_SOIL, CO2_TP = 1.7892, 0.0400, 0.06918, 0.0216, 0.1472
+CH4_DIFF_BASE, CH4_DIFF_LITTORAL, CH4_DIFF_TEMP, CH4_DIFF_DECAY = 0.8804, 0.6068, 0.04828, 1.16
+CH4_BUB_BASE, CH4_BUB_LITTORAL, CH4_BUB_LIGHT = -0.98574, 1.0075, 0.04928
+CH4_DEG_BASE, CH4_DEG_DIFF, CH4_DEG_RESIDENCE, CH4_DEG_SHARE = -5.5029, 2.2857, 0.9866, 0.9
+
+
 def co2_diffusion(temp: ColumnLike, area_km2: ColumnLike, soil_c: ColumnLike, tp: ColumnLike) -> Column:
     """D-22: lifetime CO2 diffusion less the 100-year baseline, gCO2e/m2/yr, not below 0."""
-    b = -0.3364
+    b = CO2_SLOPE
     t, area = col(temp), col(area_km2)
     phosphorus = F.when(col(tp) > 0, col(tp)).otherwise(DEFAULT_TP)
-    intercept = (1.7892 + 0.0400 * t + 0.06918 * F.log10(F.when(area > 0, area))
-                 + 0.0216 * F.coalesce(col(soil_c), F.lit(0.0)) + 0.1472 * F.log10(phosphorus))
+    intercept = (CO2_BASE + CO2_TEMP * t + CO2_AREA * F.log10(F.when(area > 0, area))
+                 + CO2_SOIL * F.coalesce(col(soil_c), F.lit(0.0)) + CO2_TP * F.log10(phosphorus))
     life = (100.0 ** (b + 1) - 0.5 ** (b + 1)) / ((b + 1) * (100.0 - 0.5))
     unit = 44.0 / 12.0 * 365.0 / 1000.0
     ten = F.lit(10.0)
@@ -74,15 +82,15 @@ def co2_diffusion(temp: ColumnLike, area_km2: ColumnLike, soil_c: ColumnLike, tp
 def ch4_diffusion(temp: ColumnLike, littoral: ColumnLike) -> Column:
     """D-22: 100-year mean CH4 diffusion, gCO2e/m2/yr."""
     t, share = col(temp), col(littoral)
-    log_f = 0.8804 + 0.6068 * F.log10(F.when(share > 0, share) / 100.0) + 0.04828 * t
-    decay = (1.0 - 10.0 ** (-1.16)) / (1.16 * math.log(10.0))
+    log_f = CH4_DIFF_BASE + CH4_DIFF_LITTORAL * F.log10(F.when(share > 0, share) / 100.0) + CH4_DIFF_TEMP * t
+    decay = (1.0 - 10.0 ** (-CH4_DIFF_DECAY)) / (CH4_DIFF_DECAY * math.log(10.0))
     return F.pow(F.lit(10.0), log_f) * (decay * 365.0 / 1000.0 * 16.0 / 12.0 * GWP_CH4)
 
 
 def ch4_ebullition(littoral: ColumnLike, radiance: ColumnLike) -> Column:
     """D-22: CH4 bubbling, gCO2e/m2/yr."""
     share, light = col(littoral), col(radiance)
-    log_f = -0.98574 + 1.0075 * F.log10(F.when(share > 0, share) / 100.0) + 0.04928 * F.when(light > 0, light)
+    log_f = CH4_BUB_BASE + CH4_BUB_LITTORAL * F.log10(F.when(share > 0, share) / 100.0) + CH4_BUB_LIGHT * F.when(light > 0, light)
     return F.pow(F.lit(10.0), log_f) * (16.0 / 12.0 * GWP_CH4 * 365.0 / 1000.0)
 
 
@@ -91,8 +99,8 @@ def ch4_degassing(diffusion: ColumnLike, residence_yr: ColumnLike, flow_m3yr: Co
     """D-22: CH4 degassing below the dam, gCO2e per m2 of reservoir and year."""
     def positive(c):
         return F.when(col(c) > 0, col(c))
-    log_k = -5.5029 + 2.2857 * F.log10(positive(diffusion)) + 0.9866 * F.log10(positive(residence_yr))
-    scale = 0.9 * 16.0 / 12.0 * GWP_CH4
+    log_k = CH4_DEG_BASE + CH4_DEG_DIFF * F.log10(positive(diffusion)) + CH4_DEG_RESIDENCE * F.log10(positive(residence_yr))
+    scale = CH4_DEG_SHARE * 16.0 / 12.0 * GWP_CH4
     return F.pow(F.lit(10.0), log_k) * positive(flow_m3yr) * scale / positive(area_m2)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headrace.functions.core import first_match
-from headrace.functions.geo import EARTH_KM, haversine_km, unit_vector
+from headrace.functions.geo import EARTH_KM, unit_vector
 from headrace.operators.graph import connected_components, upstream_trace
 from headrace.operators.ranking import top_per_group
 from headrace.session import reliable_checkpoint

@@ -227,6 +227,22 @@ def percent_rank_sliced(spark, d):
     return rounded(out.select("l_orderkey", "l_linenumber", "pct_rank"), pct_rank=8)
 
 
+@query("layer_join", """
+  WITH c AS (SELECT s_suppkey, 'N' || (s_suppkey % 9) AS name, round_even(s_acctbal / 100, 4) AS lat FROM supplier),
+  l AS (SELECT 'N' || (c_custkey % 9) AS name, round_even(c_acctbal / 100, 4) AS lat, c_custkey AS row_ord, c_nationkey AS soil FROM customer
+        UNION ALL SELECT 'N' || (s_suppkey % 9), round_even(s_acctbal / 100, 4) + 0.0001, 1000000 + s_suppkey, s_nationkey FROM supplier WHERE s_suppkey % 2 = 0),
+  k AS (SELECT name, round_even(lat, 3) AS latkey, arg_min(soil, row_ord) AS soil FROM l GROUP BY ALL)
+  SELECT s_suppkey, soil FROM c LEFT JOIN k ON k.name = c.name AND k.latkey = round_even(lat, 3)""")
+def layer_join(spark, d):
+    """J-3: a layer joined on name and latitude to 3 digits."""
+    s, c = X.table(spark, d, "supplier"), X.table(spark, d, "customer")
+    name = lambda k: F.concat(F.lit("N"), (F.col(k) % 9).cast("string")).alias("name")
+    coords = s.select("s_suppkey", name("s_suppkey"), F.bround(F.col("s_acctbal") / 100, 4).alias("lat"))
+    layer = c.select(name("c_custkey"), F.bround(F.col("c_acctbal") / 100, 4).alias("lat"), F.col("c_custkey").alias("row_ord"), F.col("c_nationkey").alias("soil")).unionByName(
+        s.filter("s_suppkey % 2 = 0").select(name("s_suppkey"), (F.bround(F.col("s_acctbal") / 100, 4) + 0.0001).alias("lat"), (F.col("s_suppkey") + 1000000).alias("row_ord"), F.col("s_nationkey").alias("soil")))
+    return C.reservoir_layers(coords, layer).select("s_suppkey", "soil")
+
+
 @query("latitude_bands", X.with_sql(X.STATIONS) + """
   SELECT station_idx, CASE WHEN abs(lat) <= 15 THEN 1200.0 WHEN abs(lat) <= 30 THEN 1500 WHEN abs(lat) <= 45 THEN 600 WHEN abs(lat) <= 55 THEN 300 ELSE 150 END::DOUBLE AS evaporation_mm,
          CASE WHEN abs(lat) < 23.5 THEN 'tropical' WHEN abs(lat) < 35 THEN 'subtropical' WHEN abs(lat) < 55 THEN 'temperate' ELSE 'boreal' END AS zone,

@@ -13,7 +13,7 @@ from headrace.operators import summaries as V
 from headrace.plans import standins as X
 from headrace.plans.registry import query, rounded, rounded_sql
 from headrace.sources import loads, sinks, tables, text
-from headrace.sources.loads import hourly_columns, load_rows, nested_json, packed_hours
+from headrace.sources.loads import hourly_columns, nested_json, packed_hours
 
 # Ensemble runs: model = order priority, pathway = order status, region = nation.
 RUNS = """

@@ -35,10 +35,6 @@ def write_long_table(rows: DataFrame, path: str, partitions: Sequence[str] = RUN
      .partitionBy(*partitions).parquet(path))
 
 
-def write_summary(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(path)
-
-
 def write_outputs(tables: Mapping[str, DataFrame], folder: str, partitions: Sequence[str] = ()) -> None:
     """S-19: one folder per named table."""
     for name, table in tables.items():
