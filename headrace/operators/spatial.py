@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from headrace.functions.core import first_match
 from headrace.functions.geo import EARTH_KM, unit_vector
 from headrace.operators.graph import connected_components, upstream_trace
-from headrace.operators.ranking import top_per_group
+from headrace.operators.ranking import running_totals, top_per_group
 from headrace.session import reliable_checkpoint
 
 FANOUT = 4  # pieces per axis from one tree level to the next
@@ -150,14 +150,17 @@ def pair_with_anchor(plants: DataFrame, stations: DataFrame, mode: str, componen
         return nearest_haversine(plants, pool, "node", "anchor").select("node", "anchor", "km", F.lit(mode).alias("how"))
     if mode != "cascade" or components is None:
         raise ValueError("mode is nearest, nearest_sto or cascade (with components)")
-    # One axis per component number keeps components far apart, so one search serves all of them.
+    # One axis per component keeps components far apart, so one search serves all of them. Components
+    # that hold a station are numbered without gaps: ids of any size or type span no more than their count.
     comp = components.select("node", "component")
+    held = comp.join(pool.select(F.col("anchor").alias("node")), "node", "left_semi").select("component").distinct()
+    comp = comp.join(reliable_checkpoint(running_totals(held, [], ["component"], {}, row_number="__number")), "component")
     axes = ["__x", "__y", "__z", "__c"]
 
     def lifted(df, node):
         at = df.join(comp.withColumnRenamed("node", node), node)
         return at.select(node, *[c.alias(n) for c, n in zip(unit_vector("lat", "lon"), axes)],
-                         (F.col("component") * 4.0).alias("__c"))
+                         (F.col("__number") * 4.0).alias("__c"))
 
     inside = nearest(lifted(plants, "node"), lifted(pool, "anchor"), "node", "anchor", axes).filter(F.col("d2") <= 4.0)
     chord = F.least(F.sqrt("d2") / 2, F.lit(1.0))
