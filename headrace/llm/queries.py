@@ -23,10 +23,37 @@ def op3_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.components(table(spark, folder, "documents"))
 
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op3_jaccard"] = rf"""
+    WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT r, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+    g AS (SELECT r, doc_id, len(s) AS n, unnest(s) AS g FROM s),
+    c AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS common FROM g a JOIN g b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r, ALL),
+    links AS (SELECT DISTINCT a, b FROM c WHERE 100 * common >= 80 * (na + nb - common)),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+    least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY ALL)
+    SELECT doc_id, len(s) AS n_shingles, component_id FROM s LEFT JOIN least USING (doc_id)""".replace("GROUP BY a.r, b.r, ALL", "GROUP BY a.r, b.r, a.doc_id, b.doc_id, a.n, b.n")
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("items", "spans")
 
 
+ORACLES["op4_decontamination"] = rf"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    i AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    v AS (SELECT DISTINCT item, least(len(w), 13) AS k, array_to_string(w[p:p + least(len(w), 13) - 1], ' ') AS g
+          FROM i, LATERAL (SELECT unnest(range(1, greatest(1, len(w) - 12) + 1)) AS p) WHERE len(w) > 0),
+    k AS (SELECT DISTINCT k FROM v),
+    m AS (SELECT r, p, k, item FROM (SELECT r, p, k, array_to_string(w[p:p + k - 1], ' ') AS g FROM d, k, LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS p)) x
+          JOIN v USING (k, g)),
+    hit AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + k)) AS q FROM m) GROUP BY r),
+    it AS (SELECT r, list_sort(list(DISTINCT item)) AS items FROM m GROUP BY r)
+    SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+           coalesce(n, 0) > 0 AND 20 * coalesce(n, 0) >= len(w) AS contaminated FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)"""
+
+
 def op5_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_scan(table(spark, folder, "documents")).drop("spans")
 
