@@ -32,11 +32,15 @@ FREQUENT_KEPT = 250_000
 #: Shingles that a task looks over at a time.
 TASK_SHINGLES = 4_000_000
 #: Rounds of pivots before what is left is joined.
-ROUNDS = 3
+ROUNDS = 2
 #: Ids up to this count are broadcast to pick texts (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
 
+#: SQL of ceil(0.8 n): the elements beyond the prefix and one.
+MOST_REST = "CAST((4 * n + 4) DIV 5 AS BIGINT)"
+
+
 def linked(common: int, a: int, b: int) -> bool:
     """Similarity of 0.8 or more."""
     return 100 * common >= 80 * (a + b - common)
@@ -120,27 +124,33 @@ def described(docs: DataFrame, frequent) -> DataFrame:
 
 
 def cells(sets: DataFrame, first: DataFrame) -> DataFrame:
-    """(token, doc, n): prefix tokens that at least two distinct texts share.
+    """(token, doc, n, u, i): prefix tokens that at least two distinct texts share, with their place ``i`` in the
+    order of rarity; ``u``: prefix tokens of the document that no other holds.
 
     Only the first document of each exact text takes part. Counting has a map-side combine, and the
     join back is on a unique key, so a token of very many documents is never gathered.
     """
     rows = sets.join(first.select(F.col("first").alias("doc_id"), "digest"), ["doc_id", "digest"]).select(
-        F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.explode("prefix").alias("token"))
+        F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("i", "token"))
     rows = stored(rows)
     shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("token")
-    return stored(rows.join(shared, "token").select("token", "doc", "n"))
+    kept = stored(rows.join(shared, "token").select("token", "doc", "n", "i"))
+    held = kept.groupBy("doc", "n").agg(F.count(F.lit(1)).alias("held"))
+    alone = held.select("doc", "n", (F.expr(f"n - {MOST_REST} + 1") - F.col("held")).alias("u"))
+    return stored(kept.join(alone, ["doc", "n"]).select("token", "doc", "n", "u", "i"))
 
 
-def possible(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b, na, nb, common) that may link by length and by the shared prefix tokens.
+def compatible(na: str, nb: str, ua: str, ub: str, ia: str, ib: str):
+    """Bounds that a linked pair meets at one of its shared tokens at least.
 
-    Beyond its prefix a set has ceil(0.8 n) - 1 elements, so the overlap is at most that and the
-    tokens that the prefixes have in common.
+    A link needs an overlap of m = ceil(4/9 (na + nb)). Tokens that no other document holds are not in it.
+    Of the first n - m + 1 tokens of either set, the pair shares one; at that token (places ia and
+    ib) the overlap is at most what lies before the first and behind the second. Texts that share a
+    common passage only, and copies too far apart, fail here.
     """
-    most = F.greatest("na", "nb")
-    return pairs.filter((5 * F.least("na", "nb") >= 4 * most) &
-                        (9 * (F.col("common") + F.floor((4 * most + 4) / 5) - 1) >= 4 * (F.col("na") + F.col("nb"))))
+    m = f"((4 * ({na} + {nb}) + 8) DIV 9)"
+    return F.expr(f"5 * least({na}, {nb}) >= 4 * greatest({na}, {nb}) AND least({na} - {ua}, {nb} - {ub}) >= {m} "
+                  f"AND {ia} <= {na} - {m} AND {ib} <= {nb} - {m} AND least({ia}, {ib}) + 1 + least({na} - {ia} - 1, {nb} - {ib} - 1) >= {m}")
 
 
 def measured(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -169,12 +179,24 @@ def measured(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(rows, f"a {kind}, b {kind}, distance double, link boolean"))
 
 
-def with_components(rows: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Add ``comp`` of ``doc``: the least document linked so far, itself if alone."""
-    if links is None:
+def regions(links: DataFrame) -> DataFrame:
+    """(doc, comp): the pivot with the largest inner region that holds the document, followed once more from that pivot.
+
+    Documents with the same ``comp`` are connected; the reverse is left to the last join.
+    """
+    inner = links.select("a", "b").distinct()
+    size = inner.groupBy("a").agg(F.count(F.lit(1)).alias("held"))
+    among = inner.unionByName(inner.select("a", F.col("a").alias("b")).distinct()).join(size, "a")
+    best = stored(among.groupBy(F.col("b").alias("doc")).agg(F.max(F.struct("held", "a")).alias("m")).select("doc", F.col("m.a").alias("comp")))
+    onward = best.select(F.col("doc").alias("comp"), F.col("comp").alias("next"))
+    return best.join(onward, "comp").select("doc", F.col("next").alias("comp"))
+
+
+def with_components(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Add ``comp`` of ``doc``: its region so far, itself if in none."""
+    if labels is None:
         return rows.withColumn("comp", F.col("doc"))
-    known = links.select(F.col("node").alias("doc"), F.col("component").alias("comp"))
-    return rows.join(known, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    return rows.join(labels, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
 
 
 def open_cells(rows: DataFrame) -> DataFrame:
@@ -183,13 +205,24 @@ def open_cells(rows: DataFrame) -> DataFrame:
     return rows.join(mixed, "token")
 
 
-def region_round(rows: DataFrame, docs: DataFrame, number: int) -> DataFrame:
-    """Draw a pivot for each open cell and measure the distances to it that may be within reach."""
-    draw = F.struct(F.xxhash64("doc", F.lit(number)).alias("h"), "doc", "n", "comp")
-    pivots = rows.groupBy("token").agg(F.min(draw).alias("p")).select("token", F.col("p.doc").alias("a"), F.col("p.n").alias("na"), F.col("p.comp").alias("pc"))
-    pairs = rows.join(pivots, "token").filter("doc <> a and comp <> pc").groupBy(
-        "a", F.col("doc").alias("b"), "na", F.col("n").alias("nb")).agg(F.count(F.lit(1)).alias("common"))
-    return measured(possible(pairs), docs)
+def region_round(rows: DataFrame, docs: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Draw a pivot for each open cell and measure the distances to it that may be within reach.
+
+    The pivot is a document in no region yet, the one with the least share of tokens of its own: the
+    text that the others of a family were made from has none, and most of them lie within 0.2 of it.
+    ``before``: distances of earlier rounds; their pivots come last.
+    """
+    if before is None:
+        rows = rows.withColumn("free", F.lit(0))
+    else:
+        used = before.select(F.col("a").alias("doc"), F.lit(2).alias("used")).distinct()
+        rows = rows.join(used, "doc", "left").withColumn("free", F.coalesce("used", F.when(F.col("comp") != F.col("doc"), 1).otherwise(0)))
+    draw = F.struct("free", (F.col("u") / F.col("n")).alias("own"), "doc", "n", "u", "i", "comp")
+    pivots = rows.groupBy("token").agg(F.min(draw).alias("p")).select(
+        "token", F.col("p.doc").alias("a"), F.col("p.n").alias("na"), F.col("p.u").alias("ua"), F.col("p.i").alias("ia"), F.col("p.comp").alias("pc"))
+    pairs = rows.join(pivots, "token").filter("doc <> a and comp <> pc").filter(compatible("na", "n", "ua", "u", "ia", "i")).select(
+        "a", F.col("doc").alias("b")).distinct()
+    return measured(pairs if before is None else pairs.join(before.select("a", "b"), ["a", "b"], "left_anti"), docs)
 
 
 def last_pairs(rows: DataFrame) -> DataFrame:
@@ -201,13 +234,11 @@ def last_pairs(rows: DataFrame) -> DataFrame:
     sizes = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("held"))
     major = sizes.groupBy("token").agg(F.max(F.struct("held", "comp")).alias("m")).select("token", F.col("m.comp").alias("major"))
     marked = rows.join(major, "token")
-    minor = marked.filter("comp <> major").select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    other = marked.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), (F.col("comp") == F.col("major")).alias("main"))
-    pairs = minor.join(other, "token").filter("ca <> cb and (main or a < b) and 5 * least(na, nb) >= 4 * greatest(na, nb)")
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-                           F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"),
-                           F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
-    return possible(ordered.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("common")))
+    minor = marked.filter("comp <> major").select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"), F.col("i").alias("ia"), F.col("comp").alias("ca"))
+    other = marked.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"), F.col("i").alias("ib"), F.col("comp").alias("cb"),
+                          (F.col("comp") == F.col("major")).alias("main"))
+    pairs = minor.join(other, (minor.token == other.token) & F.expr("ca <> cb AND (main OR a < b)") & compatible("na", "nb", "ua", "ub", "ia", "ib"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def within_windows(pairs: DataFrame, distances: DataFrame) -> DataFrame:
@@ -235,13 +266,13 @@ def components(docs: DataFrame) -> DataFrame:
     first = stored(usable.groupBy("digest").agg(F.min("doc_id").alias("first")))
     rows = cells(usable, first)
     texts = docs.filter(F.col("doc_id").isNotNull())
-    distances, graph = None, None
-    for number in range(ROUNDS):
-        still = stored(open_cells(with_components(rows, graph)))
-        found = region_round(still, texts, number)
+    distances, labels = None, None
+    for _ in range(ROUNDS):
+        still = stored(open_cells(with_components(rows, labels)))
+        found = region_round(still, texts, distances)
         distances = found if distances is None else distances.unionByName(found)
-        graph = stored(connected_components(distances.filter("link").select("a", "b")))
-    still = stored(open_cells(with_components(rows, graph)))
+        labels = stored(regions(distances.filter("link")))
+    still = stored(open_cells(with_components(rows, labels)))
     rest = measured(within_windows(stored(last_pairs(still)), distances), texts)
     links = distances.unionByName(rest).filter("link").select("a", "b")
     # a doc_id that repeats with several texts joins them
