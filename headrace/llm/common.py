@@ -57,11 +57,6 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = path or shared_folder(df.sparkSession)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headrace.llm.common import find_code, kept_rows, plain_words, with_results
+from headrace.llm.common import find_code, plain_words, stored, with_results
 
 #: Consecutive words of an item that make a window; an item with fewer words is one window.
 WINDOW = 13
@@ -58,27 +57,18 @@ class Index:
         return spans, items
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
-def benchmark_blocks(benchmark: DataFrame) -> list[list[tuple[str, str]]]:
-    """Items (item_id as string, text) in blocks of about ``BLOCK_WORDS`` words; read a partition at a time."""
+def benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
+    """Items (item_id as string, text) in blocks of about ``BLOCK_WORDS`` words, one at a time; at least one block."""
     rows = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string"), "text")
-    blocks, words = [[]], 0
+    block, words, any_block = [], 0, False
     for item, text in rows.toLocalIterator():
-        if words >= BLOCK_WORDS:
-            blocks.append([])
-            words = 0
-        blocks[-1].append((item, text))
+        block.append((item, text))
         words += len(plain_words(text))
-    return blocks
+        if words >= BLOCK_WORDS:
+            yield block
+            block, words, any_block = [], 0, True
+    if block or not any_block:
+        yield block
 
 
 def word_counts(docs: DataFrame, wanted: set[bytes]) -> dict[bytes, int]:
@@ -95,28 +85,48 @@ def word_counts(docs: DataFrame, wanted: set[bytes]) -> dict[bytes, int]:
     return {bytes(r.word): r.n for r in rows.collect()}
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> list[Index]:
-    """Indexes of the benchmark's blocks with rarity counted over all documents."""
-    out = []
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+FOUND = "__n_words long, __spans array<struct<first: long, end: long>>, __items array<string>"
+
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, keep: list[str], size: int = WINDOW) -> DataFrame:
+    """The columns ``keep``, __n_words, __spans (merged) and __items (sorted) of every row.
+
+    The benchmark comes in blocks. Each has its rarity counted over all documents and is one pass
+    that adds to what earlier passes found, stored in between: a task holds one block's index.
+    """
+    carried = list(dict.fromkeys([*keep, "text"]))
+    found, spark = None, docs.sparkSession
     for block in benchmark_blocks(benchmark):
         wanted = {w for _, text in block for w in plain_words(text)}
-        out.append(Index(block, word_counts(docs, wanted) if wanted else {}, size))
-    return out
+        index = spark.sparkContext.broadcast(Index(block, word_counts(docs, wanted) if wanted else {}, size))
 
+        def compute(texts: list, spans: list, items: list, index=index) -> list[dict]:
+            out = []
+            for text, old, names in zip(texts, spans, items):
+                words = plain_words(text)
+                new, more = index.value.hits(words)
+                both = merged([*((s["first"], s["end"]) for s in old), *new])
+                out.append({"__n_words": len(words), "__spans": [{"first": a, "end": b} for a, b in both], "__items": sorted({*names, *more})})
+            return out
 
-def found_in(text: str | None, indexes: list[Index]) -> tuple[int, list[tuple[int, int]], set[str]]:
-    words = plain_words(text)
-    spans, items = [], set()
-    for index in indexes:
-        more, names = index.hits(words)
-        spans += more
-        items |= names
-    return len(words), merged(spans), items
+        none = docs.select(*carried, F.expr("CAST(array() AS array<struct<first: long, end: long>>)").alias("__spans"),
+                           F.expr("CAST(array() AS array<string>)").alias("__items")) if found is None else stored(found)
+        found = with_results(none, carried, compute, FOUND, "text", "__spans", "__items")
+    return found.select(*keep, "__n_words", "__spans", "__items", F.expr("aggregate(__spans, 0L, (n, s) -> n + s.end - s.first)").alias("__n_hit"))
 
 
-def is_contaminated(n_words: int, spans: list[tuple[int, int]]) -> bool:
-    n_hit = sum(b - a for a, b in spans)
-    return n_hit > 0 and SHARE * n_hit >= n_words
+#: SQL of the contract's rule on a row of ``with_hits``.
+CONTAMINATED = f"__n_hit > 0 AND {SHARE} * __n_hit >= __n_words"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -126,28 +136,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     are one item. Repeated rows keep a row each; extra columns are ignored.
     """
     find_code(docs.sparkSession)
-    indexes = with_hits(docs, benchmark)
-
-    def compute(texts: list) -> list[dict]:
-        out = []
-        for text in texts:
-            n, spans, items = found_in(text, indexes)
-            names = sorted(items)
-            out.append({"n_words": n, "n_hit": sum(b - a for a, b in spans), "n_items": len(names),
-                        "items_sha256": hashlib.sha256(",".join(names).encode()).hexdigest(), "contaminated": is_contaminated(n, spans),
-                        "items": names, "spans": [{"first": a, "end": b} for a, b in spans]})
-        return out
-
-    return with_results(docs, ["doc_id"], compute, "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
-                                                   "items array<string>, spans array<struct<first: long, end: long>>")
+    return with_hits(docs, benchmark, ["doc_id"]).select(
+        "doc_id", F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.size("__items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "__items"), 256).alias("items_sha256"), F.expr(CONTAMINATED).alias("contaminated"),
+        F.col("__items").alias("items"), F.col("__spans").alias("spans"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns."""
     find_code(docs.sparkSession)
-    indexes = with_hits(docs, benchmark)
-
-    def accept(texts: list) -> list[bool]:
-        return [not is_contaminated(n, spans) for n, spans, _ in (found_in(t, indexes) for t in texts)]
-
-    return kept_rows(docs, accept)
+    return with_hits(docs, benchmark, docs.columns).filter(f"NOT ({CONTAMINATED})").select(*docs.columns)
