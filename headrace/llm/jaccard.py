@@ -30,7 +30,7 @@ FREQUENT_IN_TASK = 4
 #: Frequent shingles that go last in the order of rarity, at most. Any order gives the same links.
 FREQUENT_KEPT = 250_000
 #: Shingles that a task looks over at a time.
-TASK_SHINGLES = 4_000_000
+TASK_SHINGLES = 1_000_000
 #: Rounds of pivots before what is left is joined.
 ROUNDS = 2
 #: Ids up to this count are broadcast to pick texts (16 MB); more are joined by a shuffle.
@@ -64,8 +64,8 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             often = counts >= FREQUENT_IN_TASK
             return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], names=["token", "n"])
         for b in batches:
-            for text in b.column("text").to_pylist():
-                held.append(shingle_set(space_words(text)))
+            for text in b.column("text"):
+                held.append(shingle_set(space_words(text.as_py())))
                 size += len(held[-1])
                 if size >= TASK_SHINGLES:
                     yield flush()
@@ -107,8 +107,8 @@ def described(docs: DataFrame, frequent) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, digests, prefixes = [], [], []
-            for text in b.column("text").to_pylist():
-                words = space_words(text)
+            for text in b.column("text"):
+                words = space_words(text.as_py())
                 tokens = shingle_set(words)
                 n.append(len(tokens))
                 digests.append(hashlib.md5(b" ".join(words)).digest() if words else None)
@@ -165,7 +165,8 @@ def measured(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             distance, last, set_a = [], None, None
-            for x, y in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist()):
+            for x, y in zip(b.column("text_a"), b.column("text_b")):
+                x, y = x.as_py(), y.as_py()
                 if x != last:
                     set_a, last = shingle_set(space_words(x)), x
                 set_b = shingle_set(space_words(y))
