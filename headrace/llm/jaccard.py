@@ -37,8 +37,9 @@ ROUNDS = 2
 BROADCAST_IDS = 2_000_000
 
 
-#: SQL of ceil(0.8 n): the elements beyond the prefix and one.
-MOST_REST = "CAST((4 * n + 4) DIV 5 AS BIGINT)"
+def most_rest(n: str) -> str:
+    """SQL of ceil(0.8 n): the elements beyond the prefix and one."""
+    return f"CAST((4 * {n} + 4) DIV 5 AS BIGINT)"
 
 
 def linked(common: int, a: int, b: int) -> bool:
@@ -125,7 +126,7 @@ def described(docs: DataFrame, frequent) -> DataFrame:
 
 def cells(sets: DataFrame, first: DataFrame) -> DataFrame:
     """(token, doc, n, u, i): prefix tokens that at least two distinct texts share, with their place ``i`` in the
-    order of rarity; ``u``: prefix tokens of the document that no other holds.
+    order of rarity; ``u``: prefix tokens of the document that no other holds in its prefix.
 
     Only the first document of each exact text takes part. Counting has a map-side combine, and the
     join back is on a unique key, so a token of very many documents is never gathered.
@@ -136,20 +137,25 @@ def cells(sets: DataFrame, first: DataFrame) -> DataFrame:
     shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("token")
     kept = stored(rows.join(shared, "token").select("token", "doc", "n", "i"))
     held = kept.groupBy("doc", "n").agg(F.count(F.lit(1)).alias("held"))
-    alone = held.select("doc", "n", (F.expr(f"n - {MOST_REST} + 1") - F.col("held")).alias("u"))
+    alone = held.select("doc", "n", (F.expr(f"n - {most_rest('n')} + 1") - F.col("held")).alias("u"))
     return stored(kept.join(alone, ["doc", "n"]).select("token", "doc", "n", "u", "i"))
 
 
 def compatible(na: str, nb: str, ua: str, ub: str, ia: str, ib: str):
     """Bounds that a linked pair meets at one of its shared tokens at least.
 
-    A link needs an overlap of m = ceil(4/9 (na + nb)). Tokens that no other document holds are not in it.
+    A link needs an overlap of m = ceil(4/9 (na + nb)). Of two prefixes, that which ends earlier in the order
+    of rarity holds no common token that the other prefix lacks, so its u are not in the overlap: n - u >= m.
+    The other's u may count common tokens beyond the first prefix. At most n - overlap of the first prefix
+    are not common, so the other's n - u is short of m by no more than its ceil(0.8 n) is short of the first's.
     Of the first n - m + 1 tokens of either set, the pair shares one; at that token (places ia and
     ib) the overlap is at most what lies before the first and behind the second. Texts that share a
     common passage only, and copies too far apart, fail here.
     """
     m = f"((4 * ({na} + {nb}) + 8) DIV 9)"
-    return F.expr(f"5 * least({na}, {nb}) >= 4 * greatest({na}, {nb}) AND least({na} - {ua}, {nb} - {ub}) >= {m} "
+    longer = f"greatest({most_rest(na)}, {most_rest(nb)})"
+    return F.expr(f"5 * least({na}, {nb}) >= 4 * greatest({na}, {nb}) "
+                  f"AND least({na} - {ua} - {most_rest(na)}, {nb} - {ub} - {most_rest(nb)}) + {longer} >= {m} "
                   f"AND {ia} <= {na} - {m} AND {ib} <= {nb} - {m} AND least({ia}, {ib}) + 1 + least({na} - {ia} - 1, {nb} - {ib} - 1) >= {m}")
 
 

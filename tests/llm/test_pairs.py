@@ -83,6 +83,19 @@ def test_components(spark, monkeypatch, frequent):
     assert jaccard.components(df.filter("false")).count() == 0
 
 
+def test_components_of_longer_texts(spark):
+    """The same text with 10 to 25 % of words appended, alone with it in their cells."""
+    rows = []
+    for i in range(96):
+        n, more = (100, 200, 40)[i % 3] + 4, (100, 200, 40)[i % 3] * (10 + i // 3 % 16) // 100
+        text = " ".join(f"p{i}w{j}" for j in range(n))
+        rows += [(2 * i, text), (2 * i + 1, text + "".join(f" p{i}z{j}" for j in range(more)))]
+    df = frames.docs(spark, rows)
+    want = classes_by_hand(df.collect())
+    assert all(want[2 * i + 1] == 2 * i for i in range(96))
+    assert {r.doc_id: r.component_id for r in jaccard.components(df).collect()} == want
+
+
 def test_fingerprints(spark):
     df = family(spark)
     rows = sorted(df.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
