@@ -79,7 +79,7 @@ class TextIds:
         if not text:
             return np.empty(0, self.dtype)
         words = text.split()
-        if any(a in text for a in self.added) or len(words) != text.count(" ") + text.count("\n") + 1:
+        if any(a in text for a in self.added) or " ".join(words) != text.replace("\n", " "):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
         get = self.words.__getitem__
         if not self.spaced:

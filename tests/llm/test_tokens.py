@@ -25,6 +25,14 @@ def test_ids_equal_the_tokenizer(name):
         assert mine.encode(text).tolist() == theirs.encode(text, add_special_tokens=False).ids, text[:40]
 
 
+@pytest.mark.parametrize("name", FILES)
+def test_ids_of_white_space_runs_beside_other_white_space(name):
+    """As many words as spaces and line ends and one, though not each space stands alone."""
+    mine, theirs = TextIds(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+    for text in ("a b\tc\td\n\n", "one\xa0two three\xa0four\n\n", "a\n\n\nb\tc\td", "a\u3000b  c", " a\x85b"):
+        assert mine.encode(text).tolist() == theirs.encode(text, add_special_tokens=False).ids, text
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="aB é'\n\t s9.,́\xa0", max_size=40))
 def test_ids_equal_the_tokenizer_on_any_text(text):
