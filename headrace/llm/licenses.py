@@ -29,20 +29,35 @@ FREEDOM = {
     "apache": 0.9, "cc-by": 0.85, "mpl": 0.6, "epl": 0.6, "lgpl": 0.5, "cc-by-sa": 0.5, "gpl": 0.3, "agpl": 0.2,
     "cc-by-nd": 0.2, "cc-by-nc": 0.1, "licenseref": 0.05,
 }
+#: Value of identifiers that are not in ``FREEDOM``: terms unknown here, as of a ``LicenseRef``.
+UNKNOWN = 0.05
+#: Identifiers of the SPDX list that look like plain words when written in small letters.
+WORDS = frozenset(
+    "aal abstyles afmparse aml ampas bahyph barr beerware blessing borceux caldera checkmk crossword crystalstacker cube curl diffmark doc dotseqn "
+    "dsdp dtoa dvipdfm egenix entessa eurosym fair freeimage ftl giftware glide glulxe glwtpl gnuplot gtkbook haskellreport hdparm hpnd icu ijg "
+    "imagemagick imatix intel ipa jpnic json kastrup kazlib leptonica libpng libtiff loop lsof magaz mailprio makeindex metamail miros mitnfa "
+    "motosoto mplus mtll mup naumen ncsa netcdf newsletr ngpl nlpl nokia noweb nrl ntp ogtsl oml openssl openvision padl pkgconf plexus pnmstitch "
+    "postgresql psfrag psutils qhull radvd rdisc ruby saxpath scea sendmail sissl sleepycat smlnj snia snprintf softsurfer soundex swl swrule tcl "
+    "threeparttable tmate ulem vim vostrom wsuipa wtfpl xerox xfig xinetd xlock xnet xpp xskat xzoom zed zeeff".split())
 #: Precedence of the operators: ``with`` binds closest.
 RANK = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
 _AFTER = re.compile(r"[-\s]*:[ \t]*")
 
 
-def freedom(name: str) -> float | None:
-    """Value of a licence identifier by its longest known start; None if unknown."""
+def named(token: str) -> bool:
+    """Whether an operand is written as an identifier: any but a plain word in small letters that names no licence."""
+    return not (token.isalpha() and token.islower()) or token in FREEDOM or token in WORDS
+
+
+def freedom(name: str) -> float:
+    """Value of a licence identifier by its longest known start; ``UNKNOWN`` without one."""
     name = name.lower()
     parts = name.split("-")
     for k in range(len(parts), 0, -1):
         if (value := FREEDOM.get("-".join(parts[:k]))) is not None:
             return value
-    return None
+    return UNKNOWN
 
 
 def to_postfix(tokens: list[str]) -> list[str] | None:
@@ -81,7 +96,7 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
 
 def evaluate(postfix: list[str]) -> tuple[float, set[str]] | None:
     """(value, identifiers): ``or`` lets one choose the freer side, ``and`` binds to both, ``with``
-    adds a permission (a tenth of what is missing). None if an identifier is unknown."""
+    adds a permission (a tenth of what is missing). None if an operand is a word of prose."""
     stack: list[tuple[float | None, set[str]]] = []
     for token in postfix:
         if token in RANK:
@@ -91,13 +106,13 @@ def evaluate(postfix: list[str]) -> tuple[float, set[str]] | None:
             value = max(a, b) if token == "or" else min(a, b) if token == "and" else a + (1 - a) / 10
             stack.append((value, left if token == "with" else left | right))
         else:
-            stack.append((freedom(token), {token.lower()}))
+            stack.append((freedom(token) if named(token) else None, {token.lower()}))
     value, names = stack[0]
     return None if value is None else (value, names)
 
 
 def expression(text: str) -> tuple[float, set[str]] | None:
-    """The longest expression at the start of a line's rest; prose may follow it."""
+    """The longest expression at the start of a line's rest; prose may follow it. Unlisted identifiers are part of it."""
     tokens, at = [], 0
     while m := _TOKEN.match(text, at):
         tokens.append(m[1].rstrip(".:") or m[1])
@@ -151,7 +166,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) per row of ``docs``.
 
     ``spans``: every base place as (word, words, label). All parts of a text bind together, so the
-    score is the least value of its notices and expressions; 0 without any. NULL and empty texts have
+    score is the least value of its notices and expressions (``UNKNOWN`` for unlisted identifiers); 0 without any. NULL and empty texts have
     no words and no labels. Repeated rows keep a row each; extra columns are ignored.
     """
     return with_results(docs, ["doc_id"], lambda texts: [scan(t) for t in texts],

@@ -6,6 +6,7 @@ import zlib
 
 import frames
 import numpy as np
+import pytest
 
 from headrace.llm import decontaminate, licenses, quality
 
@@ -82,6 +83,15 @@ def test_licences(spark):
     assert licenses.license_scan(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("tag, labels, score", [
+    ("MIT AND Artistic-2.0", "artistic-2.0,mit", 0.05), ("Apache-2.0 OR EUPL-1.2", "apache-2.0,eupl-1.2", 0.9),
+    ("CDDL-1.0", "cddl-1.0", 0.05), ("WTFPL", "wtfpl", 0.05), ("PostgreSQL or curl", "curl,postgresql", 0.05),
+    ("(OFL-1.1 OR MIT) AND GPL-2.0-only", "gpl-2.0-only,mit,ofl-1.1", 0.3), ("MIT and more", "mit", 0.95)])
+def test_unlisted_licences_are_labels(tag, labels, score):
+    found = licenses.scan(f"// SPDX-License-Identifier: {tag}")
+    assert found["labels"] == labels and abs(found["score"] - score) < 1e-9
+
+
 def test_shunting_yard():
     post = lambda s: licenses.to_postfix(re.findall(r"[()]|[^\s()]+", s))
     assert post("MIT OR Apache-2.0 AND GPL-2.0") == ["MIT", "Apache-2.0", "GPL-2.0", "and", "or"]
