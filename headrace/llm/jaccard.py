@@ -269,9 +269,22 @@ def components(docs: DataFrame) -> DataFrame:
     """
     find_code(docs.sparkSession)
     sets = described(docs, frequent_shingles(docs))
+    usable, first = distinct_texts(sets)
+    return linked_classes(docs, sets, usable, first, cells(usable, first))
+
+
+def distinct_texts(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with a doc_id and words; (digest, first): the least doc_id of each exact text."""
     usable = sets.filter(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    first = stored(usable.groupBy("digest").agg(F.min("doc_id").alias("first")))
-    rows = cells(usable, first)
+    return usable, stored(usable.groupBy("digest").agg(F.min("doc_id").alias("first")))
+
+
+def linked_classes(docs: DataFrame, sets: DataFrame, usable: DataFrame, first: DataFrame, rows: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row of ``sets``: documents joined by links between those that share a cell.
+
+    ``usable``, ``first``: its ``distinct_texts``; ``rows``: (token, doc, n, u, i) as from ``cells``. In each cell all pairs of different components that may
+    link are measured, by pivots or at last one by one.
+    """
     texts = docs.filter(F.col("doc_id").isNotNull())
     distances, labels = None, None
     for _ in range(ROUNDS):

@@ -7,13 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from headrace.llm.common import find_code, partitions_for, space_words, stored
-from headrace.llm.jaccard import measured
+from headrace.llm.jaccard import distinct_texts, linked_classes
 from headrace.llm.shingles import shingle_set
-from headrace.operators.graph import connected_components
 
 #: Hash permutations; a fingerprint keeps the low 8 bits of each minimum.
 PERMUTATIONS = 128
@@ -138,10 +138,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def duplicate_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id): documents joined by shared signature bands with a verified similarity of 0.8 or more.
 
-    In each band the least doc_id of a key stands for the others, so pairs are as many as rows, whatever
-    the size of a group. Minima take full 32-bit values. A pair of similarity 0.8 shares a band of 4 of
-    128 minima with odds over 1 - 1e-7. class_id: the least doc_id linked. Texts without words and rows
-    without a doc_id are classes of their own.
+    The documents of a band key are a cell of the Jaccard operator: its pivots stand for the others first, and
+    those that fail against them are compared with one another until the key is of one class or all its pairs
+    are measured or ruled out by exact bounds. Minima take full 32-bit values. A pair of similarity 0.8 shares
+    a band of 4 of 128 minima with odds over 1 - 1e-7. class_id: the least doc_id linked. Texts without words
+    and rows without a doc_id are classes of their own.
     """
     find_code(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -149,16 +150,23 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, k, s[k * width:(k + 1) * width].tobytes()) for i, t in enumerate(b.column("text").to_pylist())
-                    if (s := signature(t)) is not None for k in range(BANDS)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.int32()),
-                 pa.array([r[2] for r in rows], pa.binary())], names=["doc_id", "band", "key"])
-
-    known = docs.filter(F.col("doc_id").isNotNull())
-    bands = stored(known.select("doc_id", "text").mapInArrow(banded, f"doc_id {kind}, band int, key binary"))
-    heads = bands.groupBy("band", "key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z").select("band", "key", "a")
-    pairs = bands.join(heads, ["band", "key"]).filter("doc_id <> a").select("a", F.col("doc_id").alias("b"))
-    graph = connected_components(measured(pairs, known).filter("link").select("a", "b"))
-    return docs.select("doc_id").join(graph.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "doc_id", F.coalesce("component", "doc_id").alias("class_id"))
+            n, digests, keys = [], [], []
+            for text in b.column("text").to_pylist():
+                words = space_words(text)
+                sig = signature(text)
+                n.append(len(shingle_set(words)))
+                digests.append(hashlib.md5(b" ".join(words)).digest() if words else None)
+                # keys that meet by chance only add pairs to measure
+                keys.append([] if sig is None else [
+                    xxhash.xxh3_64_intdigest(sig[k * width:(k + 1) * width].tobytes(), k) - (1 << 63) for k in range(BANDS)])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                                             names=["doc_id", "n_shingles", "digest", "keys"])
+
+    sets = stored(docs.select("doc_id", "text").mapInArrow(banded, f"doc_id {kind}, n_shingles long, digest binary, keys array<long>"))
+    usable, first = distinct_texts(sets)
+    bands = usable.join(first.select(F.col("first").alias("doc_id"), "digest"), ["doc_id", "digest"]).select(
+        F.explode("keys").alias("token"), F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"))
+    shared = bands.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("token")
+    # no place or share of own tokens is known: of the bounds, that of the sizes is left
+    rows = stored(bands.join(shared, "token").select("token", "doc", "n", F.lit(0).cast("long").alias("u"), F.lit(0).alias("i")))
+    return linked_classes(docs, sets, usable, first, rows).select("doc_id", F.col("component_id").alias("class_id"))

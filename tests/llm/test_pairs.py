@@ -131,6 +131,17 @@ def test_duplicate_classes(spark):
     assert sum(want[i] != c for i, c in got.items()) <= 2  # bands find nearly all
 
 
+def test_duplicate_classes_miss_none(spark, monkeypatch):
+    """All keys are shared by all documents: those that fail against the least doc_id of a key must still meet."""
+    base = frames.prose(80, 200)
+    far = [(i, changed(base, 7, i)) for i in range(1000, 1040)]
+    df = family(spark, [(0, base), *far, *((i + 100, changed(t, 1, i)) for i, t in far)])
+    monkeypatch.setattr(minhash, "signature", lambda text: np.zeros(minhash.PERMUTATIONS, np.uint32) if (text or "").split() else None)
+    want = classes_by_hand(df.collect())
+    assert want[1001] != 0 and want[1101] == want[1001]
+    assert {r.doc_id: r.class_id for r in minhash.duplicate_classes(df).collect()} == {**want, None: None}
+
+
 def test_hash_family_is_uniform():
     sig = np.array([minhash.signature(f"word{i} a b c d") for i in range(2000)]).astype(float) / 2**32
     assert abs(sig.mean() - 0.5) < 0.01
