@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from headrace.llm import hmm, jaccard, minhash
+from headrace.llm import hmm, jaccard, minhash, queries
 
 
 def words(text):
@@ -142,6 +142,15 @@ def test_duplicate_classes_miss_none(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in minhash.duplicate_classes(df).collect()} == {**want, None: None}
 
 
+def test_minhash_query_has_classes(spark, tmp_path):
+    """Near copies that are not the next doc_id are found; each row stays one row."""
+    base, other = frames.prose(90, 120), frames.prose(91, 120)
+    rows = [(1, base), (2, other), (3, changed(base, 1, 3)), (4, None), (5, other), (5, other), (None, base)]
+    frames.docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(str(r.doc_id), r.class_id) for r in queries.op2_minhash(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([("1", 1), ("2", 2), ("3", 1), ("4", 4), ("5", 2), ("5", 2), ("None", None)], key=str)
+
+
 def test_hash_family_is_uniform():
     sig = np.array([minhash.signature(f"word{i} a b c d") for i in range(2000)]).astype(float) / 2**32
     assert abs(sig.mean() - 0.5) < 0.01
