@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import islice
+from itertools import islice, product
 
 import numpy as np
 import public_tokenizers
@@ -20,10 +21,11 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from headrace.llm.common import find_code
 from headrace.llm.shingles import mixed
-from headrace.llm.tokens import Memory
+from headrace.llm.tokens import REMEMBERED
 
 #: Pre-tokens that are encoded at a time.
 BLOCK = 200_000
@@ -119,33 +121,45 @@ class Vocabulary:
         ids = {t: i for i, t in enumerate(self.tokens)}
         self.of_byte = [ids[bytes([b])] for b in range(256)]
         self.merges = {(ids[t[:k]], ids[t[k:]]): i for i, t in enumerate(self.tokens) for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids}
+        self.byte_pairs = [ids.get(bytes(pair), -1) for pair in product(range(256), repeat=2)]
 
 
-def merged(piece: bytes, of_byte: list[int], merges: dict[tuple[int, int], int]) -> list[int]:
+def merged(piece: bytes, vocabulary: Vocabulary) -> list[int]:
     """Ids of a pre-token: of all neighbours that make a token, those of the least rank join first, the leftmost on ties.
 
-    The heap may hold pairs that are gone; a pair counts only if both ids still stand there side by side.
+    A heap entry is rank and place in one integer. Its pair may be gone by then; ``at`` holds the rank of the pair
+    that begins at each place now, -1 for none.
     """
-    ids = [of_byte[b] for b in piece]
+    two, get = vocabulary.byte_pairs, vocabulary.merges.get
+    at = [two[a << 8 | b] for a, b in zip(piece, piece[1:])]
+    at.append(-1)
+    ids = [vocabulary.of_byte[b] for b in piece]
+    heap = [rank << 32 | i for i, rank in enumerate(at) if rank >= 0]
+    heapq.heapify(heap)
     n = len(ids)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    get = merges.get
-    heap = [(rank, i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if (rank := get((a, b))) is not None]
-    heapq.heapify(heap)
     while heap:
-        rank, i, a, b = heapq.heappop(heap)
-        j = after[i]
-        if ids[i] != a or j >= n or ids[j] != b:
+        entry = heapq.heappop(heap)
+        i = entry & 0xFFFFFFFF
+        rank = entry >> 32
+        if at[i] != rank:
             continue
-        ids[i], ids[j] = rank, -1
-        j = after[i] = after[j]
+        j = after[i]
+        ids[i] = rank
+        ids[j] = at[j] = -1
+        after[i] = j = after[j]
         if j < n:
             before[j] = i
-            if (up := get((rank, ids[j]))) is not None:
-                heapq.heappush(heap, (up, i, rank, ids[j]))
+            at[i] = up = get((rank, ids[j]), -1)
+            if up >= 0:
+                heapq.heappush(heap, up << 32 | i)
+        else:
+            at[i] = -1
         j = before[i]
-        if j >= 0 and (up := get((ids[j], rank))) is not None:
-            heapq.heappush(heap, (up, j, ids[j], rank))
+        if j >= 0:
+            at[j] = up = get((ids[j], rank), -1)
+            if up >= 0:
+                heapq.heappush(heap, up << 32 | j)
     return [i for i in ids if i >= 0]
 
 
@@ -154,8 +168,9 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.pattern = vocabulary, regex.compile(pattern)
-        #: Results of the second tier; bounded, and a matter of time only.
-        self.rare = Memory(lambda piece: merged(piece, vocabulary.of_byte, vocabulary.merges))
+        #: Ids of pre-tokens met lately: the recent generation and the one before; bounded, and a matter of time only.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> Iterator[list[str]]:
         if len(text) <= LONG:
@@ -165,40 +180,40 @@ class Encoder:
         while block := list(islice(found, BLOCK)):
             yield block
 
-    def block_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids of each piece)."""
-        coded = pa.array(pieces, pa.string()).dictionary_encode()
-        different = coded.dictionary.cast(pa.binary()).to_pylist()
-        if not different:
-            return np.empty(0, np.int32), np.empty(0, np.int64)
+    def resolve(self, pieces: set[str]) -> None:
+        """Put the ids of all ``pieces`` into ``known``, as 32-bit integers."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        for piece in pieces & self.older.keys():
+            self.known[piece] = self.older[piece]
+        new = list(pieces - self.known.keys())
+        spelled = list(map(str.encode, new))
         tokens = self.vocabulary.tokens
-        lists = [[i] if tokens[i] == piece else self.rare[piece] for i, piece in zip(self.vocabulary.hash.find(different).tolist(), different)]
-        taken = pa.array(lists, pa.list_(pa.int32())).take(coded.indices)
-        return taken.flatten().to_numpy(), np.diff(taken.offsets.to_numpy())
+        for i, piece, raw in zip(self.vocabulary.hash.find(spelled).tolist(), new, spelled):
+            ids = [i] if tokens[i] == raw else merged(raw, self.vocabulary)
+            self.known[piece] = array("i", ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
-        out: list[list[np.ndarray]] = [[] for _ in texts]
-        held, owners = [], []
+        out: list[list[bytes]] = [[] for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        size = 0
 
         def flush():
-            ids, sizes = self.block_ids(held)
-            ends = np.concatenate([[0], np.cumsum(sizes)])
-            at = 0
-            for row, n in owners:
-                out[row].append(ids[ends[at]:ends[at + n]])
-                at += n
+            self.resolve(set().union(*(block for _, block in held)))
+            for row, block in held:
+                out[row].append(b"".join(map(self.known.__getitem__, block)))
             held.clear()
-            owners.clear()
 
         for row, text in enumerate(texts):
             for block in self.pieces(text or ""):
-                held += block
-                owners.append((row, len(block)))
-                if len(held) >= BLOCK:
+                held.append((row, block))
+                size += len(block)
+                if size >= BLOCK:
                     flush()
+                    size = 0
         flush()
-        return [np.concatenate(parts) if parts else np.empty(0, np.int32) for parts in out]
+        return [np.frombuffer(b"".join(parts), "<i4") for parts in out]
 
 
 @cache
@@ -256,7 +271,7 @@ def decoded(tokens: DataFrame, ranks: str) -> DataFrame:
             whole = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends.tobytes()), data])
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), whole.cast(pa.binary())], names=[*names, "bytes"])
 
-    return given.mapInArrow(rows, given.schema.add("bytes", "binary"))
+    return given.mapInArrow(rows, StructType([*given.schema.fields, StructField("bytes", BinaryType())]))
 
 
 def round_trip(docs: DataFrame, ranks: str) -> DataFrame:

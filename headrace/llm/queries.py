@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from headrace.llm import decontaminate, hmm, jaccard, licenses, mincut, minhash, packing, quality, simple8b, warc
+from headrace.llm import bpe, decontaminate, hmm, jaccard, licenses, mincut, minhash, packing, quality, simple8b, warc
 from headrace.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -91,4 +91,8 @@ def op10_mincut(spark: SparkSession, folder: str) -> DataFrame:
     return mincut.main_text(table(spark, folder, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hmm, op2_minhash, op3_jaccard, op4_decontamination, op5_licenses, op6_warc, op7_quality, op8_simple8b, op9_packing, op10_mincut)}
+def op11_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hmm, op2_minhash, op3_jaccard, op4_decontamination, op5_licenses, op6_warc, op7_quality, op8_simple8b, op9_packing, op10_mincut, op11_bpe)}
