@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from headrace.llm import bpe, decontaminate, hmm, jaccard, licenses, mincut, minhash, packing, quality, simple8b, warc
+from headrace.llm import bpe, decontaminate, divergence, hmm, jaccard, licenses, mincut, minhash, packing, quality, simple8b, warc, whitening
 from headrace.llm.common import table
 
 ORACLES: dict[str, str] = {}
@@ -95,4 +96,35 @@ def op11_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_hmm, op2_minhash, op3_jaccard, op4_decontamination, op5_licenses, op6_warc, op7_quality, op8_simple8b, op9_packing, op10_mincut, op11_bpe)}
+def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence(table(spark, folder, "documents"))
+
+
+ORACLES["op12_divergence"] = rf"""
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            regexp_extract_all({_LOW}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+    k AS (SELECT lang, term, count(*) AS nl FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+    v AS (SELECT lang, count(*) AS v, sum(nl) AS al FROM k GROUP BY ALL),
+    c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+    s AS (SELECT lang, source, coalesce(sum(n), 0) AS a FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+    p AS (SELECT s.lang, s.source, k.term, coalesce(n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (a + 5 * v) AS p,
+            1 + (1000000000::HUGEINT * (nl + 5)) // (al + 5 * v) AS q
+          FROM s JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+    f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(i AS INT) AS rank FROM (
+      SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS i FROM x) WHERE part = 'pair' OR i <= 50"""
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whitened(table(spark, folder, "embeddings"))
+    # a deviation beyond a long is NULL there and exact in the column after it
+    return found.select("vec_id", "component", "n", F.expr("try_cast(deviation AS BIGINT)").alias("deviation"), "whitened", "explained", "identity_error",
+                        F.col("deviation").alias("deviation_exact"))
+
+
+QUERIES = {f.__name__: f for f in (op1_hmm, op2_minhash, op3_jaccard, op4_decontamination, op5_licenses, op6_warc, op7_quality, op8_simple8b, op9_packing, op10_mincut, op11_bpe, op12_divergence, op13_whitening)}
