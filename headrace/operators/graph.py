@@ -22,7 +22,7 @@ MAX_STEPS = 5000
 
 
 def _doublings(max_steps: int) -> int:
-    return max(1, (max_steps - 1).bit_length())
+    return max(1, max_steps.bit_length())  # steps up to max_steps itself, so that a cut shows
 
 
 def downstream_walk(starts: DataFrame, network: DataFrame, eps: float | None = 0.01,

@@ -16,6 +16,19 @@ def require_columns(df: DataFrame, required: Sequence[str], what: str = "table")
     return df
 
 
+def missing_columns(tables: Mapping[str, DataFrame], required: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Q-1: (table_name, column_name, reason) of required columns that are absent, or hold no value in any row (a pass per table)."""
+    out = None
+    for name in sorted(required):
+        df, wanted = tables[name], sorted(set(required[name]))
+        there = [c for c in wanted if c in df.columns]
+        known = df.agg(F.count(F.lit(1)), *[F.count(F.col(c)).alias(c) for c in there])  # one row
+        reason = F.array(*[F.struct(F.lit(c).alias("column_name"), (F.when(F.col(c) == 0, "empty") if c in there else F.lit("absent")).alias("reason")) for c in wanted])
+        part = known.select(F.lit(name).alias("table_name"), F.explode(reason).alias("m")).select("table_name", "m.*").filter("reason IS NOT NULL")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def not_one_row(df: DataFrame, keys: Sequence[str], expected: DataFrame) -> DataFrame:
     """Q-1: expected keys that do not have exactly one row."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
@@ -74,6 +87,16 @@ def dangling(child: DataFrame, parent: DataFrame, keys: Sequence[str]) -> DataFr
     return child.select(*keys).distinct().join(parent.select(*keys), list(keys), "left_anti")
 
 
+def parameter_violations(parameters: DataFrame) -> DataFrame:
+    """Q-7: settings outside their domain. ``parameters``: name, kind (atc, loss, scale or iterations), value.
+
+    A transfer factor lies in (0, 1], a loss in [0, 1), the others are positive; NULL is outside, unknown kinds too.
+    """
+    v, kind = F.col("value"), F.col("kind")
+    good = F.when(kind == "atc", (v > 0) & (v <= 1)).when(kind == "loss", (v >= 0) & (v < 1)).when(kind == "scale", v > 0).when(kind == "iterations", v >= 1)
+    return parameters.filter(~F.coalesce(good, F.lit(False))).select("name", "kind", "value")
+
+
 def check_parameters(atc: Mapping[str, float], loss: Mapping[str, float], scale: float = 1.0, max_iterations: int = 1) -> None:
     """Q-7: raise on a transfer factor outside (0, 1], a loss outside [0, 1), or non-positive settings."""
     for name, value in atc.items():

@@ -22,6 +22,7 @@ HOT_ROWS = 4_000_000
 QUANTILE_HOT_ROWS = 200_000
 SKETCH_ACCURACY = 10_000
 BROADCAST_GROUPS = 50_000
+RANK_SALTS, HOT_SHARE = 64, 1000
 SLICE = "__slice"
 
 
@@ -175,7 +176,9 @@ def percent_rank_average(df: DataFrame, keys: Sequence[str], value: str, out: st
                          hot_rows: int = HOT_ROWS) -> DataFrame:
     """W-10: rank with ties averaged, divided by the count; NULL values get NULL.
 
-    Ranks are found on distinct values, so a value held by a third of the rows is one row here.
+    Ranks are found on distinct values, so a value held by a third of the rows is one row here. In the join
+    back its rows are dealt to RANK_SALTS tasks. Such values hold over 1 / HOT_SHARE of all rows each, so there
+    are fewer than HOT_SHARE of them to broadcast.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
     ranked = running_totals(counts, keys, [value], {"__hi": F.col("__c")}, hot_rows=hot_rows)
@@ -186,8 +189,15 @@ def percent_rank_average(df: DataFrame, keys: Sequence[str], value: str, out: st
     table = ranked.select(
         *keys, value, ((F.col("__hi") - (F.col("__c") - 1) / 2) / F.col("__n")).alias(out)
     )
+    total = counts.agg(F.sum("__c").alias("__all"))  # one row
+    hot = counts.join(F.broadcast(total)).filter(F.col("__c") * HOT_SHARE > F.col("__all")).select(*keys, value, F.lit(True).alias("__hot"))
+    hot = F.broadcast(reliable_checkpoint(hot))
+    at = [*keys, value]
+    copies = table.join(hot, at, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.when(F.col("__hot"), RANK_SALTS - 1).otherwise(0)))).drop("__hot")
+    dealt = df.filter(F.col(value).isNotNull()).join(hot, at, "left").withColumn(
+        "__salt", F.when(F.col("__hot"), (F.monotonically_increasing_id() % RANK_SALTS).cast("int")).otherwise(0)).drop("__hot")
     # NULL values have no rank and would all meet in one task of the join.
-    ranked = df.filter(F.col(value).isNotNull()).join(table, [*keys, value])
+    ranked = dealt.join(copies, [*at, "__salt"]).select(*df.columns, out)
     bare = df.filter(F.col(value).isNull()).withColumn(out, F.lit(None).cast("double"))
     return ranked.unionByName(bare.select(ranked.columns))
 

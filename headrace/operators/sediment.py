@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headrace.functions.core import number
@@ -85,15 +85,19 @@ def effective_discharge(pool: DataFrame, keys: Sequence[str], value: str, expone
 
 
 def peak_ratios(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """D-3: mean annual maximum and 95th percentile of the pool, natural and regulated."""
-    yearly = pairs.groupBy(*keys, "year").agg(F.max("q_nat").alias("pn"), F.max("q_reg").alias("pr"))
-    peaks = yearly.groupBy(*keys).agg(
-        F.avg("pn").alias("annualmax_nat"), F.avg("pr").alias("annualmax_reg"))
-    # The pool of one station is bounded by the calendar.
-    pool = pairs.groupBy(*keys).agg(
-        F.percentile("q_nat", F.lit(0.95)).alias("q5pct_nat"),
-        F.percentile("q_reg", F.lit(0.95)).alias("q5pct_reg"))
-    return peaks.join(pool, list(keys))
+    """D-3: mean annual maximum and 95th percentile of the pool, natural and regulated.
+
+    One scan and one exchange by ``keys``: a year's maxima stand on the year's first row, and the pool of a station
+    is bounded by the calendar.
+    """
+    year = Window.partitionBy(*keys, "year")
+    whole = year.orderBy(F.desc("q_nat")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    marked = pairs.repartition(*keys).select(
+        *keys, "q_nat", "q_reg", F.row_number().over(year.orderBy(F.desc("q_nat"))).alias("__n"), F.max("q_reg").over(whole).alias("__reg"))
+    first = F.col("__n") == 1
+    return marked.groupBy(*keys).agg(
+        F.avg(F.when(first, F.col("q_nat"))).alias("annualmax_nat"), F.avg(F.when(first, F.col("__reg"))).alias("annualmax_reg"),
+        F.percentile("q_nat", F.lit(0.95)).alias("q5pct_nat"), F.percentile("q_reg", F.lit(0.95)).alias("q5pct_reg"))
 
 
 def residence_and_retention(nat: DataFrame, stations: DataFrame, keys: Sequence[str],

@@ -1,8 +1,8 @@
 """Spatial joins from equi-joins on grid cells.
 
 No operator forms all pairs. Copies of one position are collapsed before a join.
-Nearest searches descend a tree of tight boxes around the targets and keep, at
-each level, only boxes that can still hold the answer, so a dense cell is never
+Nearest searches descend two trees of tight boxes, of points and of targets, and keep, at
+each level, only pairs of boxes that can still hold an answer, so a dense cell is never
 paired with everything near it.
 """
 
@@ -10,82 +10,114 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from headrace.functions.core import first_match
 from headrace.functions.geo import EARTH_KM, unit_vector
 from headrace.operators.graph import connected_components, upstream_trace
+from headrace.operators.quadtree import edge_cells, holding, intersecting
 from headrace.operators.ranking import running_totals, top_per_group
 from headrace.session import reliable_checkpoint
 
-FANOUT = 4  # pieces per axis from one tree level to the next
-MAX_LEVELS = 14
-LEAF = 32
+#: Targets and points in a leaf of their tree, at most, unless they are as good as one place.
+LEAF_TARGETS, LEAF_POINTS = 16, 64
+#: Bits of a position, shared by the axes; first level of pairs; levels of pairs between two checkpoints.
+KEY_BITS, TOP, CUT = 60, 2, 3
+#: Cells along a side of a tile of the spacing rule, and points that a cell shows in one round.
+TILE, CELL_POINTS = 256, 8
 
 
 def _square(c: Column) -> Column:
     return c * c
 
 
-def _box_bounds(coords: Sequence[str]) -> tuple[Column, Column]:
-    """Least and greatest squared distance from a point to a box."""
-    near, far = F.lit(0.0), F.lit(0.0)
-    for c in coords:
-        p, lo, hi = F.col(c), F.col(f"lo_{c}"), F.col(f"hi_{c}")
-        near = near + _square(F.greatest(lo - p, p - hi, F.lit(0.0)))
-        far = far + _square(F.greatest(F.abs(p - lo), F.abs(p - hi)))
-    return near, far
+class _Tree:
+    """Boxes in a grid that is halved (quartered on two axes) level by level. Only the leaves' boxes are kept; those above are made of them.
+
+    ``boxes``: any columns, and lo_c and hi_c per coordinate. The key of a node packs its place on each axis.
+    """
+
+    def __init__(self, boxes: DataFrame, coords: Sequence[str], leaf: int):
+        self.coords, self.bits = coords, KEY_BITS // len(coords)
+        self.step = 2 if len(coords) <= 2 else 1
+        mids = [(F.col(f"lo_{c}") + F.col(f"hi_{c}")) / 2 for c in coords]
+        spans = boxes.agg(F.count(F.lit(1)).alias("n"), *[F.min(m).alias(f"a{i}") for i, m in enumerate(mids)],
+                          *[F.max(m).alias(f"b{i}") for i, m in enumerate(mids)]).first()
+        self.size = spans["n"]
+        if not self.size:
+            return
+        width = max(spans[f"b{i}"] - spans[f"a{i}"] for i in range(len(coords))) or 1.0
+        most = 2**self.bits - 1
+        places = [F.least(F.floor((m - spans[f"a{i}"]) / width * most), F.lit(most)).alias(f"__i{i}") for i, m in enumerate(mids)]
+        at = [f"__i{i}" for i in range(len(coords))]
+        spots = reliable_checkpoint(boxes.select("*", *places).groupBy(*at).agg(F.count(F.lit(1)).alias("n"), *self._hull()))
+        marks = F.explode(F.array(*[F.struct(F.lit(v).alias("v"), self._key(v).alias("k")) for v in range(self.bits // self.step)]))
+        fullest = spots.select(marks.alias("m"), "n").groupBy("m.v", "m.k").agg(F.sum("n").alias("n")).groupBy("v").agg(F.max("n").alias("n")).collect()  # a row per level
+        self.levels = min((r["v"] for r in fullest if r["n"] <= leaf), default=self.bits // self.step)
+        self.items = boxes.select("*", *places).withColumn("leaf", self._key(self.levels)).drop(*at)
+        self.leaves = spots.select(*[F.shiftright(c, self.bits - self.step * self.levels).alias(c) for c in at], "n", *[f"{e}_{c}" for c in coords for e in ("lo", "hi")])
+
+    def _hull(self) -> list[Column]:
+        return [F.min(f"lo_{c}").alias(f"lo_{c}") for c in self.coords] + [F.max(f"hi_{c}").alias(f"hi_{c}") for c in self.coords]
+
+    def _key(self, level: int, held: int | None = None) -> Column:
+        """Node of a level; the places at hand have the bits of level ``held`` (all, if None)."""
+        given = self.bits if held is None else self.step * held
+        out = F.lit(0).cast("long")
+        for i in range(len(self.coords)):
+            out = out.bitwiseOR(F.shiftleft(F.shiftright(F.col(f"__i{i}").cast("long"), given - self.step * level), self.bits * i))
+        return out
+
+    def nodes(self, level: int, side: str) -> DataFrame:
+        """(up, node, n, lo_c, hi_c) of a level, with ``side`` before each name."""
+        up = self._key(max(level - 1, 0), self.levels).alias("up")
+        made = self.leaves.groupBy(up, self._key(level, self.levels).alias("node")).agg(F.sum("n").alias("n"), *self._hull())
+        return made.select([F.col(c).alias(side + c) for c in made.columns])
 
 
 def _descend(points: DataFrame, boxes: DataFrame, coords: Sequence[str], k: int) -> DataFrame:
-    """Pairs of (point position, box) that can be among the ``k`` nearest, far pairs pruned.
+    """Pairs of (point position, box) that can be among the ``k`` nearest; ``leaf`` is the position's tree leaf.
 
-    ``boxes``: tgt, lo_c and hi_c per coordinate. Level tables 1 and 2 hold at most
-    FANOUT^(2 x axes) rows and are broadcast; deeper ones are left to the optimizer.
+    ``boxes``: tgt, lo_c and hi_c per coordinate. Both sides are trees. Pairs of nodes go down level by level and
+    those too far apart are dropped, so no point moves before its leaf's few candidates are known.
     """
-    mids = [(F.col(f"lo_{c}") + F.col(f"hi_{c}")) / 2 for c in coords]
-    spans = boxes.agg(F.count("*").alias("n"), *[F.min(m).alias(f"a{i}") for i, m in enumerate(mids)],
-                      *[F.max(m).alias(f"b{i}") for i, m in enumerate(mids)]).first()
-    n = spans["n"]
-    if n == 0:
-        return points.join(boxes, F.lit(False))
-    size = max(spans[f"b{i}"] - spans[f"a{i}"] for i in range(len(coords))) or 1.0
-
-    def cell(level: int) -> Column:
-        width = size / FANOUT**level
-        return F.concat_ws("_", *[F.floor((m - spans[f"a{i}"]) / width).cast("string") for i, m in enumerate(mids)])
-
-    levels = 0
-    if n > LEAF:
-        marks = F.explode(F.array(*[F.struct(F.lit(v).alias("v"), cell(v).alias("c")) for v in range(1, MAX_LEVELS)]))
-        fullest = (boxes.select(marks.alias("m")).groupBy("m.v", "m.c").count().groupBy("v")
-                   .agg(F.max("count").alias("most")).collect())  # one row per level
-        deep_enough = [r["v"] for r in fullest if r["most"] <= LEAF]
-        levels = min(deep_enough, default=MAX_LEVELS - 1)
-    tree = boxes.select("*", F.lit("0").alias("c0"), *[cell(v).alias(f"c{v}") for v in range(1, levels + 1)])
-    tree = reliable_checkpoint(tree)
-    alive = points.withColumn("c0", F.lit("0"))
-    for v in range(1, levels + 1):
-        children = tree.groupBy(f"c{v - 1}", f"c{v}").agg(
-            F.count(F.lit(1)).alias("__n"), *[F.min(f"lo_{c}").alias(f"lo_{c}") for c in coords],
-            *[F.max(f"hi_{c}").alias(f"hi_{c}") for c in coords])
-        if v <= 2:
-            children = F.broadcast(children)
-        alive = _prune(alive.join(children, f"c{v - 1}"), coords, k).select(*points.columns, f"c{v}")
-    leaves = tree.select(f"c{levels}", "tgt", *[f"{s}_{c}" for c in coords for s in ("lo", "hi")])
-    if levels == 0:
-        leaves = F.broadcast(leaves)  # at most LEAF rows
-    return alive.join(leaves, f"c{levels}").drop(f"c{levels}")
+    spots = _Tree(points.select("*", *[F.col(c).alias(f"{s}_{c}") for c in coords for s in ("lo", "hi")]), coords, LEAF_POINTS)
+    targets = _Tree(boxes, coords, LEAF_TARGETS)
+    ends = [f"{s}_{c}" for c in coords for s in ("lo", "hi")]
+    if not spots.size or not targets.size:
+        return points.join(boxes, F.lit(False)).withColumn("leaf", F.lit(0).cast("long"))
+    p_side, t_side = ["p_node", *[f"p_{e}" for e in ends]], ["t_node", "t_n", *[f"t_{e}" for e in ends]]
+    # the first levels have few nodes by their fanout (at most 256 for TOP = 2), so all their pairs are looked at
+    of_p, of_t = min(TOP, spots.levels), min(TOP, targets.levels)
+    pairs = _prune(spots.nodes(of_p, "p_").join(F.broadcast(targets.nodes(of_t, "t_"))), coords, k).select(*p_side, *t_side)
+    for level in range(TOP + 1, max(spots.levels, targets.levels) + 1):
+        if level <= targets.levels:
+            below = targets.nodes(level, "t_")
+            pairs = _prune(pairs.select(*p_side, F.col("t_node").alias("t_up")).join(below, "t_up"), coords, k).select(*p_side, *t_side)
+        if level <= spots.levels:
+            below = spots.nodes(level, "p_")
+            pairs = _prune(pairs.select(F.col("p_node").alias("p_up"), *t_side).join(below, "p_up"), coords, k).select(*p_side, *t_side)
+        if level % CUT == 0:
+            pairs = reliable_checkpoint(pairs)
+    near = pairs.select(F.col("p_node").alias("leaf"), F.col("t_node").alias("__t")).join(
+        targets.items.select(F.col("leaf").alias("__t"), "tgt", *ends), "__t").drop("__t")
+    return spots.items.select(*points.columns, "leaf").join(near, "leaf")
 
 
 def _prune(pairs: DataFrame, coords: Sequence[str], k: int) -> DataFrame:
-    """Drop boxes farther than a distance within which ``k`` targets surely lie."""
-    near, far = _box_bounds(coords)
+    """Drop boxes farther from a box of points than a distance within which ``k`` targets surely lie for each of them."""
+    near, far = F.lit(0.0), F.lit(0.0)
+    for c in coords:
+        plo, phi, tlo, thi = (F.col(f"{s}_{e}_{c}") for s in "pt" for e in ("lo", "hi"))
+        near = near + _square(F.greatest(tlo - phi, plo - thi, F.lit(0.0)))
+        far = far + _square(F.greatest(F.abs(phi - tlo), F.abs(thi - plo)))
     at = pairs.select("*", near.alias("__near"), far.alias("__far"))
-    point = Window.partitionBy(*coords)  # a few boxes per point
-    sure = F.sum("__n").over(point.orderBy("__far").rangeBetween(Window.unboundedPreceding, 0))
-    bound = F.min(F.when(F.col("__sure") >= k, F.col("__far"))).over(point)
+    own = Window.partitionBy("p_node")  # the boxes around one box
+    sure = F.sum("t_n").over(own.orderBy("__far").rangeBetween(Window.unboundedPreceding, 0))
+    bound = F.min(F.when(F.col("__sure") >= k, F.col("__far"))).over(own)
     at = at.withColumn("__sure", sure).withColumn("__bound", bound)
     return at.filter(F.col("__bound").isNull() | (F.col("__near") <= F.col("__bound") * (1 + 1e-9)))
 
@@ -96,7 +128,7 @@ def nearest(points: DataFrame, targets: DataFrame, point_id: str, target_id: str
 
     Returns point_id, target_id, d2, rank. Exact: pruning never drops an answer.
     """
-    spots = points.select(*coords).filter(_all_known(coords)).distinct()
+    spots = reliable_checkpoint(points.select(*coords).filter(_all_known(coords)).distinct())  # read for the tree and at the end
     at_spot = targets.filter(_all_known(coords)).select(*coords, F.col(target_id).alias("tgt"))
     if k == 1:
         unique = first_match(at_spot, list(coords), ["tgt"])
@@ -107,13 +139,14 @@ def nearest(points: DataFrame, targets: DataFrame, point_id: str, target_id: str
     d2 = F.lit(0.0)
     for c in coords:
         d2 = d2 + _square(F.col(c) - F.col(f"lo_{c}"))
-    ranked = pairs.select(*coords, "tgt", d2.alias("d2"))
+    # grouped by leaf and position, which the exchange by leaf serves as well
+    ranked = pairs.select("leaf", *coords, "tgt", d2.alias("d2"))
     if k == 1:
-        best = ranked.groupBy(*coords).agg(F.min(F.struct("d2", "tgt")).alias("b"))
+        best = ranked.groupBy("leaf", *coords).agg(F.min(F.struct("d2", "tgt")).alias("b"))
         best = best.select(*coords, F.col("b.tgt").alias("tgt"), F.col("b.d2").alias("d2"), F.lit(1).alias("rank"))
     else:
-        order = Window.partitionBy(*coords).orderBy("d2", "tgt")
-        best = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        order = Window.partitionBy("leaf", *coords).orderBy("d2", "tgt")
+        best = ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("leaf")
     back = points.select(point_id, *coords).join(best, list(coords))
     return back.select(point_id, F.col("tgt").alias(target_id), "d2", "rank")
 
@@ -280,31 +313,68 @@ def cluster_members(plants: DataFrame, clusters: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_plants"), F.sum("capacity_mw").alias("capacity_mw"))
 
 
+def _tile_winners(table: pa.Table, point_id: str, orders: Sequence[str], distance: float, reach: int) -> pa.Table:
+    """Points of a tile that the greedy rule surely keeps, given the tile and the cells around it.
+
+    Better points come first. A point near a kept one is out. One near a better point that is not decided here (it
+    lies outside the tile, or hangs on such a one), or near a cell with points beyond its best few and none kept,
+    stays open.
+    """
+    keys = [(c, "ascending") for c in (*orders, point_id)]
+    table = table.take(pc.sort_indices(table, sort_keys=keys, null_placement="at_start"))
+    x, y, cx, cy, nth, inner = (table[c].to_pylist() for c in ("x", "y", "cx", "cy", "__n", "__inner"))
+    kept: dict[tuple, tuple] = {}
+    unsure: dict[tuple, list] = {}
+    winners, around = [], range(-reach, reach + 1)
+    for i, (a, b) in enumerate(zip(x, y)):
+        own = (cx[i], cy[i])
+        if nth[i] > CELL_POINTS:  # stands for all that are left in its cell
+            unsure.setdefault(own, []).append(None)
+            continue
+        cells = [(cx[i] + u, cy[i] + v) for u in around for v in around]
+        if any(c in kept and (a - kept[c][0]) ** 2 + (b - kept[c][1]) ** 2 < distance * distance for c in cells):
+            continue
+        if inner[i] and not any(q is None or (a - q[0]) ** 2 + (b - q[1]) ** 2 < distance * distance
+                                  for c in cells if c not in kept for q in unsure.get(c, ())):
+            kept[own] = (a, b)
+            winners.append(i)
+        else:
+            unsure.setdefault(own, []).append((a, b))
+    return table.take(pa.array(winners, pa.int64())).select([point_id, "x", "y", "cx", "cy"])
+
+
 def spaced_selection(points: DataFrame, distance: float, order: Sequence[str], point_id: str = "point") -> DataFrame:
     """W-18: greedy selection in priority order with a minimum spacing (x, y in the unit of ``distance``).
 
-    Two points of one cell are always too close, so only the best of each cell can
-    win a round. It wins if no better live point lies nearer than ``distance``; all
-    live points that near to a winner are dropped. The result equals the sequential
-    greedy one. A point meets at most the bests of the 25 cells around it. The best
-    live point always wins, so the rounds end; on a chain of falling priority one wins
-    a round.
+    Two points of one cell are always too close, so a cell keeps one at most. Each round solves tiles of TILE x TILE
+    cells in priority order, from the best CELL_POINTS live points of each cell and of the cells around; what hangs on
+    points outside stays open. All live points near a winner are dropped, and the next round sees what neighbours
+    decided. Rounds grow with the tiles that a chain of falling priority crosses, not with its picks. The best live
+    point always wins, so the rounds end. The result equals the sequential one. Points without x or y are not selected.
     """
     width = distance / 2**0.5
-    rank = F.struct(*order, point_id)
-    live = reliable_checkpoint(points.select(
-        point_id, "x", "y", rank.alias("r"), F.floor(F.col("x") / width).alias("cx"), F.floor(F.col("y") / width).alias("cy")))
+    orders = [f"__o{i}" for i in range(len(order))]
+    live = reliable_checkpoint(points.filter(_all_known(["x", "y"])).select(
+        point_id, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), *[F.col(c).alias(o) for c, o in zip(order, orders)],
+        F.floor(F.col("x") / width).alias("cx"), F.floor(F.col("y") / width).alias("cy")))
+    kind = live.schema[point_id].dataType.simpleString()
+    best = Window.partitionBy("cx", "cy").orderBy(*orders, point_id)
+    near_tiles = F.array_distinct(F.array(*[F.struct(F.floor((F.col("cx") + u) / TILE).alias("tx"), F.floor((F.col("cy") + v) / TILE).alias("ty"))
+                                            for u in (-2, 0, 2) for v in (-2, 0, 2)]))
+    own_tile = (F.floor(F.col("cx") / TILE) == F.col("tx")) & (F.floor(F.col("cy") / TILE) == F.col("ty"))
     kept, parts = live.limit(0).select(point_id), 0
+
+    def solve(tile: pa.Table) -> pa.Table:
+        return _tile_winners(tile, point_id, orders, distance, 2)
+
     while live.limit(1).count():
-        best = live.groupBy("cx", "cy").agg(F.min_by(F.struct("r", point_id, "x", "y"), "r").alias("b"))
-        zone = best.select(F.col("b.r").alias("lead_r"), F.col(f"b.{point_id}").alias("lead"), F.col("b.x").alias("kx"),
-                           F.col("b.y").alias("ky"), F.explode(_neighbours(["cx", "cy"], 2)).alias("n"))
-        near = live.join(zone.select("lead", "lead_r", "kx", "ky", "n.*"), ["cx", "cy"]).filter(
-            _square(F.col("x") - F.col("kx")) + _square(F.col("y") - F.col("ky")) < distance * distance)
-        near = reliable_checkpoint(near.select("lead", point_id, (F.col("r") < F.col("lead_r")).alias("better")))
-        won = near.groupBy("lead").agg(F.bool_or("better").alias("beaten")).filter(~F.col("beaten")).select("lead")
-        gone = near.join(won, "lead", "left_semi").select(point_id).distinct()
-        kept, parts = kept.unionByName(won.withColumnRenamed("lead", point_id)), parts + 1
+        top = live.withColumn("__n", F.row_number().over(best)).filter(F.col("__n") <= CELL_POINTS + 1)
+        dealt = top.select("*", F.explode(near_tiles).alias("t")).select(*top.columns, "t.*").withColumn("__inner", own_tile)
+        won = reliable_checkpoint(dealt.groupBy("tx", "ty").applyInArrow(solve, f"{point_id} {kind}, x double, y double, cx long, cy long"))
+        zone = won.select(F.col("x").alias("kx"), F.col("y").alias("ky"), F.explode(_neighbours(["cx", "cy"], 2)).alias("n")).select("kx", "ky", "n.*")
+        gone = live.join(zone, ["cx", "cy"]).filter(
+            _square(F.col("x") - F.col("kx")) + _square(F.col("y") - F.col("ky")) < distance * distance).select(point_id).distinct()
+        kept, parts = kept.unionByName(won.select(point_id)), parts + 1
         if parts % 16 == 0:  # keeps the plan short however many rounds there are
             kept = reliable_checkpoint(kept)
         live = reliable_checkpoint(live.join(gone, point_id, "left_anti"))
@@ -330,22 +400,11 @@ def point_in_polygon(points: DataFrame, edges: DataFrame, point_id: str = "point
                      cell: float = 1.0) -> DataFrame:
     """J-14: the first polygon (least id) that holds each point, by the even-odd rule.
 
-    Boxes are spread over cells and edges over latitude bands, so a point meets
-    only the edges of nearby polygons at its own latitude.
+    Cells of a quadtree of edges (``quadtree.edge_cells``) are joined with the points once; a point meets the
+    few edges of its own cell.
     """
-    spots = points.select(F.col("lon").alias("px"), F.col("lat").alias("py")).distinct()
-    spots = spots.select("*", F.floor(F.col("px") / cell).alias("cx"), F.floor(F.col("py") / cell).alias("cy"))
-    boxes = edges.groupBy(poly).agg(F.min("x1").alias("xa"), F.max("x1").alias("xb"), F.min("y1").alias("ya"), F.max("y1").alias("yb"))
-    cells = boxes.select("*", _cover(F.col("xa"), F.col("xb"), cell).alias("cx")).select(
-        "*", _cover(F.col("ya"), F.col("yb"), cell).alias("cy"))
-    near = spots.join(cells, ["cx", "cy"]).filter("px between xa and xb and py between ya and yb").select("px", "py", "cy", poly)
-    banded = edges.filter("y1 <> y2").select(
-        poly, "x1", "y1", "x2", "y2", _cover(F.least("y1", "y2"), F.greatest("y1", "y2"), cell).alias("cy"))
-    spans = (F.col("y1") > F.col("py")) != (F.col("y2") > F.col("py"))
-    at_x = F.col("x1") + (F.col("py") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    crossed = near.join(banded, [poly, "cy"]).filter(spans & (F.col("px") < at_x))
-    inside = crossed.groupBy("px", "py", poly).agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1")
-    first = inside.groupBy("px", "py").agg(F.min(poly).alias(poly))
+    held = holding(points, edge_cells(edges, poly, cell), poly).groupBy("lon", "lat").agg(F.min(poly).alias(poly))
+    first = held.select(F.col("lon").alias("px"), F.col("lat").alias("py"), poly)
     return points.join(first, (F.col("lon") == F.col("px")) & (F.col("lat") == F.col("py")), "left").drop("px", "py")
 
 
@@ -364,16 +423,16 @@ def nearest_segment(points: DataFrame, edges: DataFrame, point_id: str, owner: s
     numbered = edges.withColumn("tgt", F.struct(F.col(owner), "x1", "y1", "x2", "y2"))
     boxes = numbered.select("tgt", F.least("x1", "x2").alias("lo_lon"), F.greatest("x1", "x2").alias("hi_lon"),
                             F.least("y1", "y2").alias("lo_lat"), F.greatest("y1", "y2").alias("hi_lat")).distinct()
-    spots = points.select("lon", "lat").filter(_all_known(["lon", "lat"])).distinct()
-    pairs = _descend(spots, boxes, ["lon", "lat"], 1).select("lon", "lat", "tgt.*")
-    best = pairs.groupBy("lon", "lat").agg(F.min(F.struct(segment_distance2("lon", "lat").alias("d2"), F.col(owner))).alias("b"))
+    spots = reliable_checkpoint(points.select("lon", "lat").filter(_all_known(["lon", "lat"])).distinct())
+    pairs = _descend(spots, boxes, ["lon", "lat"], 1).select("leaf", "lon", "lat", "tgt.*")
+    best = pairs.groupBy("leaf", "lon", "lat").agg(F.min(F.struct(segment_distance2("lon", "lat").alias("d2"), F.col(owner))).alias("b"))
     at = points.select(point_id, "lon", "lat").join(best, ["lon", "lat"])
     return at.select(point_id, F.col(f"b.{owner}").alias(owner), F.sqrt("b.d2").alias("distance"))
 
 
 def locate(points: DataFrame, edges: DataFrame, point_id: str = "point", poly: str = "poly", cell: float = 1.0) -> DataFrame:
     """J-14 with J-15: the polygon that holds a point, else the nearest one."""
-    inside = point_in_polygon(points, edges, point_id, poly, cell)
+    inside = reliable_checkpoint(point_in_polygon(points, edges, point_id, poly, cell))
     outside = inside.filter(F.col(poly).isNull()).select(points.columns)
     near = nearest_segment(outside, edges, point_id, poly).withColumnRenamed(poly, "__near")
     return inside.join(near.select(point_id, "__near"), point_id, "left").select(
@@ -391,33 +450,47 @@ def in_boxes(grid: DataFrame, boxes: DataFrame, buffer: float = 0.5, cell: float
         "region", *grid.columns)
 
 
-def clip_layer(vertices: DataFrame, area: DataFrame, feature: str, cell: float = 0.1) -> DataFrame:
-    """J-22: features with a vertex in a cell the study area touches (a superset of exact intersection)."""
-    def cells(df):
-        return df.select(F.floor(F.col("lon") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
-    at = vertices.select(feature, F.floor(F.col("lon") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
-    return at.distinct().join(cells(area).distinct(), ["cx", "cy"], "left_semi").select(feature).distinct()
+def clip_layer(segments: DataFrame, area: DataFrame, feature: str, cell: float = 0.1) -> DataFrame:
+    """J-22: features that intersect the study area: inside it, across it, around it or touching it.
+
+    ``segments``: feature, x1, y1, x2, y2, closed (a surface; else a line, or a point of no length).
+    ``area``: poly, x1, y1, x2, y2 as from ``polygon_edges``.
+    """
+    return intersecting(segments, area, feature, cell)
 
 
-def expand_area(basins: DataFrame, plants: DataFrame, vertices: DataFrame, feature: str, cell: float = 0.1) -> DataFrame:
-    """J-24: features that touch the basins of the plants or any basin upstream of them.
+def expand_area(basins: DataFrame, plants: DataFrame, outlines: DataFrame, segments: DataFrame, feature: str, cell: float = 0.1) -> DataFrame:
+    """J-24: features that intersect the basins of the plants or any basin upstream of them.
 
-    ``basins``: basin, next_basin. ``plants``: basin. ``vertices``: feature, basin, lon, lat.
+    ``basins``: basin, next_basin. ``plants``: basin. ``outlines``: basin, x1, y1, x2, y2. ``segments`` as in ``clip_layer``.
     """
     network = basins.select(F.col("basin").alias("river_id"), F.col("next_basin").alias("next_down"))
     wanted = upstream_trace(plants.select(F.col("basin").alias("river_id")), network)
-    area = vertices.join(wanted.withColumnRenamed("river_id", "basin"), "basin", "left_semi")
-    return clip_layer(vertices, area, feature, cell)
+    area = outlines.join(wanted.withColumnRenamed("river_id", "basin"), "basin", "left_semi")
+    return clip_layer(segments, area.withColumnRenamed("basin", "poly"), feature, cell)
 
 
-def pour_points(plants: DataFrame, basins: DataFrame, rivers: DataFrame, max_distance: float) -> DataFrame:
-    """J-23: plants in a study basin no farther than ``max_distance`` from a river, outlet flag set.
+def pour_points(plants: DataFrame, basins: DataFrame, rivers: DataFrame, max_km: float) -> DataFrame:
+    """J-23: plants in a study basin no farther than ``max_km`` from a river, outlet flag set.
 
-    ``plants``: plant, basin, lon, lat. ``basins``: basin, next_basin. ``rivers``: river, x1, y1, x2, y2.
+    ``plants``: plant, basin, lon, lat. ``basins``: basin, next_basin. ``rivers``: river, x1, y1, x2, y2 in degrees.
+    Distances are km in a plane that is true along the middle latitude of the plants.
     """
     kept = plants.join(basins.select("basin"), "basin", "left_semi")
-    near = nearest_segment(kept, rivers, "plant", "river").filter(F.col("distance") <= max_distance)
+    span = kept.agg(((F.min("lat") + F.max("lat")) / 2).alias("__mid"))  # one row
+
+    def plane(df: DataFrame, **places: tuple[str, str]) -> DataFrame:
+        at = df.join(F.broadcast(span))
+        flat = {}
+        for names in places.values():
+            lon, lat = names
+            flat[lon] = F.radians(lon) * F.cos(F.radians("__mid")) * EARTH_KM
+            flat[lat] = F.radians(lat) * EARTH_KM
+        return at.withColumns(flat).drop("__mid")
+
+    near = nearest_segment(plane(kept, at=("lon", "lat")), plane(rivers, start=("x1", "y1"), end=("x2", "y2")), "plant", "river")
+    near = near.filter(F.col("distance") <= max_km).withColumnRenamed("distance", "km")
     inner = basins.select(F.col("basin").alias("next_basin"))
     last = basins.join(inner, "next_basin", "left_anti").select("basin", F.lit(True).alias("__out"))
     return kept.join(near, "plant").join(last, "basin", "left").select(
-        "plant", "basin", "river", "distance", F.coalesce("__out", F.lit(False)).alias("is_outlet"))
+        "plant", "basin", "river", "km", F.coalesce("__out", F.lit(False)).alias("is_outlet"))

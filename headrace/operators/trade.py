@@ -14,6 +14,7 @@ from headrace.session import reliable_checkpoint
 AC_AVAILABLE, HVDC_AVAILABLE = 0.8, 0.9
 AC_LOSS, HVDC_LOSS = 0.03, 0.02
 EPS = 1e-6
+HOURS = 8784  # of the longest year
 
 
 def corridors(lines: DataFrame, year: int, all_lines: bool = False) -> DataFrame:
@@ -61,31 +62,28 @@ def corridor_limits(frame: DataFrame) -> DataFrame:
 def path_table(edges: DataFrame) -> DataFrame:
     """G-14: best path of every ordered region pair: fewest hops, then least loss, then name order.
 
-    ``edges``: region_a, region_b, available_mw, loss_rate. Only the best path to a
-    region is extended, which is exact because hops and losses add up; paths may have
-    any number of hops, and the search ends when a round finds no new pair. Capacity is
-    the least edge limit referred to the sending end. Rows: at most regions squared.
+    ``edges``: region_a, region_b, available_mw, loss_rate. Paths add up like numbers under (min, +) with
+    (hops, loss, names) as the number, so the table is squared: a path of n + r hops (r <= n) is a best path of
+    exactly n hops and a best one of r. Rounds double n and end when a round finds no new pair; paths may have
+    any number of hops. Capacity is the least edge limit referred to the sending end. Rows: at most regions squared.
     """
     one_way = edges.select("region_a", "region_b", "available_mw", "loss_rate")
     links = one_way.unionByName(one_way.select(
         F.col("region_b").alias("region_a"), F.col("region_a").alias("region_b"), "available_mw", "loss_rate"))
-    links = reliable_checkpoint(links.select(
-        F.col("region_a").alias("at"), F.col("region_b").alias("dst"), F.col("available_mw").alias("__mw"),
-        (1 - F.col("loss_rate")).alias("__eff")))
-    level = links.select(
-        F.col("at").alias("src"), "dst", F.lit(1).alias("hops"), F.col("__eff").alias("efficiency"),
-        F.col("__mw").alias("max_send_mw"), F.array("at", "dst").alias("path"))
-    found = level
-    for hop in itertools.count(2):
-        ahead = level.withColumnRenamed("dst", "at").join(links, "at").filter(F.col("src") != F.col("dst"))
-        ahead = ahead.join(found.select("src", "dst"), ["src", "dst"], "left_anti").select(
-            "src", "dst", F.lit(hop).alias("hops"), (F.col("efficiency") * F.col("__eff")).alias("efficiency"),
-            F.least("max_send_mw", F.col("__mw") / F.col("efficiency")).alias("max_send_mw"),
-            F.concat("path", F.array("dst")).alias("path"))
-        level = reliable_checkpoint(_best_paths(ahead))
+    found = reliable_checkpoint(links.select(
+        F.col("region_a").alias("src"), F.col("region_b").alias("dst"), F.lit(1).alias("hops"), (1 - F.col("loss_rate")).alias("efficiency"),
+        F.col("available_mw").alias("max_send_mw"), F.array("region_a", "region_b").alias("path")))
+    for n in (2**k for k in itertools.count()):
+        first = found.filter(F.col("hops") == n).withColumnRenamed("dst", "mid")
+        second = found.select(F.col("src").alias("mid"), "dst", F.col("hops").alias("__r"), F.col("efficiency").alias("__eff"),
+                              F.col("max_send_mw").alias("__mw"), F.slice("path", 2, F.size("path") - 1).alias("__rest"))
+        ahead = first.join(second, "mid").filter(F.col("src") != F.col("dst")).join(found.select("src", "dst"), ["src", "dst"], "left_anti")
+        level = reliable_checkpoint(_best_paths(ahead.select(
+            "src", "dst", (F.col("hops") + F.col("__r")).alias("hops"), (F.col("efficiency") * F.col("__eff")).alias("efficiency"),
+            F.least("max_send_mw", F.col("__mw") / F.col("efficiency")).alias("max_send_mw"), F.concat("path", "__rest").alias("path"))))
         if level.limit(1).count() == 0:
             break
-        found = reliable_checkpoint(found.unionByName(level))
+        found = found.unionByName(level)
     return found.select("src", "dst", "hops", "efficiency", "max_send_mw",
                         (F.col("max_send_mw") * F.col("efficiency")).alias("max_delivered_mw"),
                         F.concat_ws(" > ", "path").alias("path"))
@@ -93,7 +91,7 @@ def path_table(edges: DataFrame) -> DataFrame:
 
 def _best_paths(candidates: DataFrame) -> DataFrame:
     rest = [c for c in candidates.columns if c not in ("src", "dst")]
-    order = F.struct(F.round(-F.ln("efficiency"), 12), F.col("path"))
+    order = F.struct("hops", F.round(-F.ln("efficiency"), 12), "path")
     best = candidates.groupBy("src", "dst").agg(F.min_by(F.struct(*rest), order).alias("r"))
     return best.select("src", "dst", "r.*").select(candidates.columns)
 
@@ -178,11 +176,29 @@ def coverage_by_region(isolated: DataFrame, connected: DataFrame, demand: DataFr
 
 
 def source_target_profile(allocation: DataFrame, shapes: DataFrame, keys: Sequence[str] = ("scenario",)) -> DataFrame:
-    """R-13: hourly target of a source: sum over its sinks of sent power x the sink's load shape."""
+    """R-13: hourly target of a source: sum over its sinks of sent power x the sink's load shape.
+
+    A year's hours of a region are one array, so what meets the pairs of regions and is shuffled is one row per
+    pair and year; the arrays of a source's sinks are added place by place. Hours without a row of any sink
+    have none here. A group holds one array per sink, no more than there are regions.
+    """
     sent = allocation.groupBy(*keys, "src_region", F.col("dc_region").alias("region")).agg(
         F.sum("sent_mw").alias("sent_mw")).filter(F.col("sent_mw") > EPS)
-    at = sent.join(shapes, "region")
-    return at.groupBy(*keys, "src_region", "year", "hoy").agg(F.sum(F.col("sent_mw") * F.col("shape")).alias("target_mw"))
+    given = shapes.groupBy("region", "year", "hoy").agg(F.sum("shape").alias("v"))
+    grid = given.select("region", "year").distinct().select("region", "year", F.explode(F.sequence(F.lit(0), F.lit(HOURS - 1))).alias("hoy"))
+    whole = grid.join(given.withColumn("has", F.lit(True)), ["region", "year", "hoy"], "left")
+    yearly = whole.groupBy("region", "year").agg(F.array_sort(F.collect_list(F.struct("hoy", "v", F.coalesce("has", F.lit(False)).alias("has")))).alias("hours"))
+    at = sent.join(yearly, "region").groupBy(*keys, "src_region", "year").agg(F.collect_list(F.struct("sent_mw", "hours")).alias("sinks"))
+    none = F.array_repeat(F.struct(F.lit(None).cast("double").alias("t"), F.lit(False).alias("has")), HOURS)
+
+    def add(total, sink):
+        def place(a, h):
+            more = sink["sent_mw"] * h["v"]
+            return F.struct(F.coalesce(a["t"] + more, a["t"], more).alias("t"), (a["has"] | h["has"]).alias("has"))
+        return F.zip_with(total, sink["hours"], place)
+
+    hourly = at.select(*keys, "src_region", "year", F.posexplode(F.aggregate("sinks", none, add)).alias("hoy", "h"))
+    return hourly.filter("h.has").select(*keys, "src_region", "year", "hoy", F.col("h.t").alias("target_mw"))
 
 
 def coincident_peak_shares(sites: DataFrame, hourly: DataFrame, region: str = "region") -> DataFrame:

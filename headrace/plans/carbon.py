@@ -171,15 +171,14 @@ def centre_carbon(spark, d):
     stations_ef = reliable_checkpoint(_station_factors(spark, d).select("region", "gen_gwh", "hydro_ef", "allocated_mw"))
     ef = C.region_emission_factors(stations_ef, ["region"])
     grid = _grid(spark, d).select("region", F.col("central").alias("grid_central"), F.col("upper").alias("grid_upper"))
-    known = R.exact_quantiles(stations_ef, [], "hydro_ef", {"ef": 0.5}).first()  # one number, none if no factor is known
-    middle = F.lit(known["ef"] if known else None).cast("double")
+    middle = F.broadcast(R.exact_quantiles(stations_ef, [], "hydro_ef", {"ef": 0.5}).select(F.col("ef").alias("__middle")))  # one row, none if no factor is known
     who = X.table(spark, d, "customer").join(X.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("region"))
     need = X.table(spark, d, "orders").join(who, F.col("o_custkey") == F.col("c_custkey")).groupBy("region").agg((F.avg("o_totalprice") / 1000).alias("dc_mean_mw"))
     cap = X.stations(spark, d).groupBy("region").agg((F.sum(F.greatest("capacity_mw", F.lit(0.0))) / 200).alias("cap"))
     shares = F.array(*[F.struct(F.lit(s).alias("scenario"), F.lit(f).alias("f")) for s, f in (("DC_A", 0.6), ("DC_B", 0.8), ("DC_C", 1.0))])
     summary = cap.join(need, "region").select("region", "dc_mean_mw", "cap", F.explode(shares).alias("s")).select(
         "region", F.col("s.scenario").alias("scenario"), "dc_mean_mw", (F.col("cap") * F.col("s.f")).alias("supply_mw"))
-    out = C.centre_carbon(summary, ef.join(grid, "region"), ["region"], middle)
+    out = C.centre_carbon(summary, ef.join(grid, "region").join(middle, F.lit(True), "left"), ["region"], F.col("__middle"))
     return rounded(out, hydro_gwh=4, shortfall_gwh=4, shortfall_frac=7, grid_carbon_t=1, grid_carbon_marginal_t=1, hydro_carbon_t=1, total_carbon_t=1,
                    intensity_g_kwh=3, avoided_t=1)
 

@@ -518,14 +518,14 @@ def lateral_diagnostics(spark, d):
 
 
 @query("component_best_of", rounded_sql(X.with_sql(X.STATIONS, """
-  st AS (SELECT station_idx AS node, station_idx % 9 AS component, abs(capacity_mw) AS a, abs(capacity_mw) * (0.8 + station_idx % 5 / 10.0) AS b,
+  st AS (SELECT station_idx AS node, min(station_idx) OVER (PARTITION BY station_idx % 9) AS component, abs(capacity_mw) AS a, abs(capacity_mw) * (0.8 + station_idx % 5 / 10.0) AS b,
            station_idx % 3 / 3.0 AS share FROM stations),
   sums AS (SELECT component, sum(a * share) AS sa, sum(b * share) AS sb FROM st GROUP BY ALL)""") + """
   SELECT node, component, sb >= sa AS keeps_b, CASE WHEN sb >= sa THEN b ELSE a END AS elcc_mw FROM st JOIN sums USING (component)""", elcc_mw=4))
 def component_best_of(spark, d):
     k, cap = F.col("station_idx"), F.abs("capacity_mw")
     at = X.stations(spark, d).select(k.alias("node"), cap.alias("elcc_a_mw"), (cap * (0.8 + k % 5 / 10.0)).alias("elcc_b_mw"), (k % 3 / 3.0).alias("dc_share"))
-    return rounded(P.component_best_of(at, at.select("node", (F.col("node") % 9).alias("component"))), elcc_mw=4)
+    return rounded(P.component_best_of(at, G.connected_components(X.station_links(spark, d, 9))), elcc_mw=4)
 
 
 @query("cascade_topology", """

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from headrace.operators import quality
+from headrace.operators.ranking import running_totals
 from headrace.plans import standins as X
 from headrace.plans.registry import query, rounded, rounded_sql
 from headrace.schemas import METRIC, STATION
 from headrace.session import run_folder
-from headrace.sources import loads, sinks, tables
+from headrace.sources import loads, sinks, tables, text
 
 
 @query("station_csv", rounded_sql("""
@@ -24,11 +25,10 @@ def station_csv(spark, d):
         F.col("s_name").alias("name"), F.bround("s_acctbal", 2).alias("lat"), F.col("s_nationkey").alias("capacity_mw"), F.lit("a,b").alias("extra"))
     odd = at.filter("s_suppkey % 2 = 1").orderBy("s_suppkey").select(
         F.bround("s_acctbal", 2).alias("lon"), F.concat(F.lit(" "), "s_name").alias("name"), F.when(F.col("s_nationkey") > 3, F.col("s_nationkey").cast("string")).otherwise("nan").alias("capacity_mw"))
-    for part, name in ((even, "sul"), (odd, "peru")):
-        part.coalesce(1).write.option("header", True).csv(f"{folder}/{name}/hydro")
+    for part, name in ((even, "sul"), (odd, "peru")):  # files follow one another in the order of keys
+        part.write.option("header", True).csv(f"{folder}/{name}/hydro")
     back = tables.read_station_csv(spark, [f"{folder}/sul/hydro", f"{folder}/peru/hydro"], STATION, region_pattern=r"([^/]+)/hydro/[^/]+$")
-    # counted by rank within a file: a single small table here
-    ranked = back.withColumn("i", F.row_number().over(Window.orderBy("row_ord")))
+    ranked = running_totals(back, [], ["row_ord"], {}, row_number="i", hot_rows=500)
     return rounded(ranked.select("path_region", "name", "lat", "lon", "capacity_mw", "i"), lat=2, lon=2)
 
 
@@ -87,3 +87,60 @@ def period_grid(spark, d):
     rows = at.select("l_suppkey", "l_linenumber", F.to_date("l_shipdate").alias("day"), value.alias("value"), "l_tax")
     sinks.write_outputs({f"period{k}": rows.filter(F.col("l_suppkey") % 2 == k) for k in (0, 1)}, folder)
     return tables.read_grid(spark, [f"{folder}/period{k}" for k in (0, 1)], ["l_suppkey", "l_linenumber", "day", "value"])
+
+
+@query("xml_load", rounded_sql(X.with_sql(X.HOURLY) + "SELECT station AS area, ts, round(q_nat, 4) AS load_mw FROM hourly WHERE q_nat < 180", load_mw=4))
+def xml_load(spark, d):
+    """S-11, X-9: a folder of XML rows per area, written and read back; a row whose value is no number is left out."""
+    folder, at = run_folder(spark), X.hourly(spark, d)
+    mw = F.when(F.col("q_nat") < 180, F.round("q_nat", 4).cast("string")).otherwise("n/a")
+    at.select("station", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("DT"), mw.alias("MW")).write.partitionBy("station").format("xml").option(
+        "rowTag", "DataTable").option("rootTag", "NewDataSet").save(folder)
+    areas = sorted(r["station"] for r in at.select("station").distinct().collect())  # one folder each
+    parts = [loads.read_xml(spark, f"{folder}/station={a}", area=a) for a in areas]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return rounded(out.select("area", "ts", "load_mw"), load_mw=4)
+
+
+@query("station_weather_files", rounded_sql(X.with_sql(X.HOURLY) + """
+  SELECT station AS station, ts::DATE AS date, round(max(q_nat), 3) AS tmax, round(min(q_nat), 3) AS tmin, (round(max(q_nat), 3) + round(min(q_nat), 3)) / 2 AS tmp_ave,
+         sum(round(q_bal, 3)) AS precip_mm FROM hourly GROUP BY ALL""", tmp_ave=6, precip_mm=3))
+def station_weather_files(spark, d):
+    """S-22, S-6: temperature and rain files per station, written and read back as text."""
+    at, folder = X.hourly(spark, d).withColumn("date", F.to_date("ts")), run_folder(spark)
+    place = [F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon")]
+    tmp = at.groupBy("station", "date").agg(F.round(F.max("q_nat"), 3).alias("tmax"), F.round(F.min("q_nat"), 3).alias("tmin")).select("*", *place)
+    pcp = at.select("station", "date", F.hour("ts").alias("hour"), F.round("q_bal", 3).alias("value"), *place)
+    sinks.write_station_weather(sinks.station_weather_lines(tmp, "tmp").unionByName(sinks.station_weather_lines(pcp, "pcp")), folder)
+    lines = spark.read.text(folder)  # station and ext are folders
+    back = lines.select(F.col("station").alias("file"), "ext", "value")
+    warm = text.temperature(text.tokens(back.filter("ext = 'tmp'").drop("ext")))
+    wet = text.rain(text.tokens(back.filter("ext = 'pcp'").drop("ext"))).groupBy("file", F.to_date("ts").alias("date")).agg(F.sum("precip_mm").alias("precip_mm"))
+    return rounded(warm.join(wet, ["file", "date"]).withColumnRenamed("file", "station"), tmp_ave=6, precip_mm=3)
+
+
+@query("missing_columns", """
+  SELECT 'nation' AS table_name, 'n_area' AS column_name, 'absent' AS reason UNION ALL SELECT 'orders', 'o_discount', 'absent'
+  UNION ALL SELECT 'orders', 'rebate', 'empty' FROM orders HAVING count(CASE WHEN o_totalprice < 0 THEN 1 END) = 0
+  UNION ALL SELECT 'orders', 'big', 'empty' FROM orders HAVING count(CASE WHEN o_totalprice > 1000 THEN 1 END) = 0""")
+def missing_columns(spark, d):
+    """Q-1: required columns that the tables lack, or that are wholly NULL, as rows."""
+    price = F.col("o_totalprice")
+    orders = X.table(spark, d, "orders").withColumns({"rebate": F.when(price < 0, price), "big": F.when(price > 1000, price)})
+    found = {"nation": X.table(spark, d, "nation"), "orders": orders}
+    return quality.missing_columns(found, {"nation": ["n_nationkey", "n_area"], "orders": ["o_orderkey", "rebate", "big", "o_discount"]})
+
+
+@query("parameter_violations", """
+  SELECT name, kind, value FROM (SELECT 'p' || l_orderkey || '.' || l_linenumber AS name, CASE l_linenumber % 4 WHEN 0 THEN 'atc' WHEN 1 THEN 'loss' WHEN 2 THEN 'scale' ELSE 'iterations' END AS kind,
+    CASE l_linenumber % 4 WHEN 0 THEN l_discount * 20 WHEN 1 THEN l_tax * 13 - 0.01 WHEN 2 THEN l_discount ELSE l_quantity / 10 END AS value FROM lineitem)
+  WHERE NOT CASE kind WHEN 'atc' THEN value > 0 AND value <= 1 WHEN 'loss' THEN value >= 0 AND value < 1 WHEN 'scale' THEN value > 0 ELSE value >= 1 END""")
+def parameter_violations(spark, d):
+    """Q-7: settings outside their domain, as rows."""
+    k = F.col("l_linenumber") % 4
+    kind = F.when(k == 0, "atc").when(k == 1, "loss").when(k == 2, "scale").otherwise("iterations")
+    value = F.when(k == 0, F.col("l_discount") * 20).when(k == 1, F.col("l_tax") * 13 - 0.01).when(k == 2, F.col("l_discount")).otherwise(F.col("l_quantity") / 10)
+    name = F.concat(F.lit("p"), "l_orderkey", F.lit("."), "l_linenumber")
+    return quality.parameter_violations(X.table(spark, d, "lineitem").select(name.alias("name"), kind.alias("kind"), value.alias("value")))

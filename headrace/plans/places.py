@@ -9,6 +9,7 @@ from headrace.functions.core import first_match, number
 from headrace.operators import spatial as SP
 from headrace.operators import stations as ST
 from headrace.operators import weather as WX
+from headrace.operators.graph import connected_components
 from headrace.plans import standins as X
 from headrace.plans.registry import query, rounded, rounded_sql
 
@@ -51,7 +52,7 @@ ps AS (SELECT * FROM stations WHERE type = 'PS'), other AS (SELECT * FROM statio
 def _anchors(spark, d, mode):
     st = X.stations(spark, d)
     at = st.select(F.col("station_idx").alias("node"), "lat", "lon", "type")
-    comp = st.select(F.col("station_idx").alias("node"), (F.col("station_idx") % 30).alias("component")) if mode == "cascade" else None
+    comp = connected_components(X.station_links(spark, d, 30)) if mode == "cascade" else None
     return SP.pair_with_anchor(at.filter("type = 'PS'").drop("type"), at.filter("type <> 'PS'").withColumn("is_storage", F.col("type") == "STO"), mode, comp)
 
 
@@ -171,23 +172,75 @@ def boxes_of_grid(spark, d):
     return SP.in_boxes(_sites(spark, d), boxes).select("region", "site")
 
 
-@query("clip_layer", X.with_sql(SITES, X.STATIONS) + """
-  SELECT DISTINCT c_nationkey AS feature FROM sites JOIN customer ON c_custkey = site
-  WHERE (floor(lon / 5), floor(lat / 5)) IN (SELECT (floor(lon / 5), floor(lat / 5)) FROM stations WHERE capacity_mw > 5000)""")
+# Layers: a point, a line or a triangle at each site, by its number.
+LAYER = """
+layer AS (SELECT site AS feature, site % 3 = 2 AS closed, lon + ox1 AS x1, lat + oy1 AS y1, lon + ox2 AS x2, lat + oy2 AS y2 FROM (
+    SELECT site, lon, lat, s.a[1] AS ox1, s.a[2] AS oy1, s.a[3] AS ox2, s.a[4] AS oy2
+    FROM (SELECT *, site % 17 / 2.0 AS dx, site % 11 / 2.0 - 2 AS dy FROM sites) p, LATERAL (SELECT unnest(CASE site % 3 WHEN 0 THEN [[0.0::DOUBLE, 0, 0, 0]]
+      WHEN 1 THEN [[0.0::DOUBLE, 0, dx, dy], [dx, dy, dx + 9, dy - 7]] ELSE [[0.0::DOUBLE, 0, dx + 1, dy], [dx + 1, dy, dx, dy + 3], [dx, dy + 3, 0, 0]] END) AS a) s))
+"""
+
+
+def _side_sql(x, y, e):
+    return f"(({e}.x2 - {e}.x1) * ({y} - {e}.y1) - ({x} - {e}.x1) * ({e}.y2 - {e}.y1))"
+
+
+def _apart_sql(p, q):
+    s, t = _side_sql(f"{q}.x1", f"{q}.y1", p), _side_sql(f"{q}.x2", f"{q}.y2", p)
+    return f"(({s} > 0 AND {t} > 0) OR ({s} < 0 AND {t} < 0))"
+
+
+def _holds_sql(x, y, e):
+    """The +x ray from (x, y) crosses edge e."""
+    return f"(({e}.y1 > {y}) <> ({e}.y2 > {y}) AND {x} < {e}.x1 + ({y} - {e}.y1) * ({e}.x2 - {e}.x1) / ({e}.y2 - {e}.y1))"
+
+
+def _clip_sql(area):
+    boxes = " AND ".join(f"least(l.{a}1, l.{a}2) <= greatest(a.{a}1, a.{a}2) AND least(a.{a}1, a.{a}2) <= greatest(l.{a}1, l.{a}2)" for a in "xy")
+    return f"""area AS ({area}),
+  hit AS (SELECT DISTINCT feature FROM layer l, area a WHERE {boxes} AND NOT {_apart_sql("l", "a")} AND NOT {_apart_sql("a", "l")}
+    UNION SELECT feature FROM (SELECT feature, l.x1, l.y1, poly FROM (SELECT DISTINCT feature, x1, y1 FROM layer) l, area a WHERE {_holds_sql("l.x1", "l.y1", "a")} GROUP BY ALL HAVING count(*) % 2 = 1)
+    UNION SELECT feature FROM (SELECT feature, a.x1, a.y1 FROM (SELECT DISTINCT x1, y1 FROM area) a, layer l WHERE l.closed AND {_holds_sql("a.x1", "a.y1", "l")} GROUP BY ALL HAVING count(*) % 2 = 1))"""
+
+
+def _layer(spark, d):
+    k = F.col("site")
+    dx, dy = k % 17 / 2.0, k % 11 / 2.0 - 2
+    zero = F.lit(0.0)
+
+    def segment(*ends):
+        return F.struct(*[e.cast("double").alias(n) for e, n in zip(ends, ("a", "b", "c", "d"))])
+
+    drawn = F.when(k % 3 == 0, F.array(segment(zero, zero, zero, zero))).when(
+        k % 3 == 1, F.array(segment(zero, zero, dx, dy), segment(dx, dy, dx + 9, dy - 7))).otherwise(
+        F.array(segment(zero, zero, dx + 1, dy), segment(dx + 1, dy, dx, dy + 3), segment(dx, dy + 3, zero, zero)))
+    at = _sites(spark, d).select(k.alias("feature"), (k % 3 == 2).alias("closed"), "lon", "lat", F.explode(drawn).alias("s"))
+    return at.select("feature", "closed", (F.col("lon") + F.col("s.a")).alias("x1"), (F.col("lat") + F.col("s.b")).alias("y1"),
+                     (F.col("lon") + F.col("s.c")).alias("x2"), (F.col("lat") + F.col("s.d")).alias("y2"))
+
+
+@query("clip_layer", X.with_sql(SITES, RINGS, LAYER, _clip_sql("SELECT * FROM edges WHERE poly % 5 = 1")) + "SELECT feature FROM hit")
 def clip_layer(spark, d):
-    vertices = _sites(spark, d).join(X.table(spark, d, "customer"), F.col("c_custkey") == F.col("site")).select(F.col("c_nationkey").alias("feature"), "lon", "lat")
-    return SP.clip_layer(vertices, X.stations(spark, d).filter("capacity_mw > 5000"), "feature", cell=5.0)
+    return SP.clip_layer(_layer(spark, d), _edges(spark, d).filter("poly % 5 = 1"), "feature", cell=2.0)
+
+
+_MID = "(SELECT (min(lat) + max(lat)) / 2 FROM kept)"
+FLAT = f"""
+kept AS (SELECT site, c_nationkey AS basin, lon, lat FROM sites JOIN customer ON c_custkey = site JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 4),
+fp AS (SELECT site, basin, radians(lon) * cos(radians({_MID})) * 6371 AS lon, radians(lat) * 6371 AS lat FROM kept),
+fe AS (SELECT poly, radians(x1) * cos(radians({_MID})) * 6371 AS x1, radians(y1) * 6371 AS y1, radians(x2) * cos(radians({_MID})) * 6371 AS x2, radians(y2) * 6371 AS y2 FROM edges)
+"""
 
 
-@query("pour_points", rounded_sql(X.with_sql(SITES, RINGS, SEGS) + """
-  SELECT site AS plant, c_nationkey AS basin, poly AS river, distance, c_nationkey < 2 AS is_outlet FROM closest JOIN customer ON c_custkey = site JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 4 AND distance <= 12""", distance=7))
+@query("pour_points", rounded_sql(X.with_sql(SITES, RINGS, FLAT, SEGS.replace("FROM sites, edges", "FROM fp, fe")) + """
+  SELECT site AS plant, basin, poly AS river, distance AS km, basin < 2 AS is_outlet FROM closest JOIN fp USING (site) WHERE distance <= 900""", km=4))
 def pour_points(spark, d):
     basin = F.col("c_nationkey")
     plants = _sites(spark, d).join(X.table(spark, d, "customer"), F.col("c_custkey") == F.col("site")).select(F.col("site").alias("plant"), basin.alias("basin"), "lon", "lat")
     n = F.col("n_nationkey")
     basins = X.table(spark, d, "nation").filter("n_regionkey <> 4").select(n.alias("basin"), F.when(n >= 2, n % 2).otherwise(-1).cast("int").alias("next_basin"))
     rivers = _edges(spark, d).select(F.col("poly").alias("river"), "x1", "y1", "x2", "y2")
-    return rounded(SP.pour_points(plants, basins, rivers, 12.0), distance=7)
+    return rounded(SP.pour_points(plants, basins, rivers, 900.0), km=4)
 
 
 @query("spaced_selection", """
@@ -445,18 +498,15 @@ def input_keys(spark, d):
     return X.table(spark, d, "supplier").select("s_suppkey", text.input_key("s_suppkey", "s_name").alias("digest"))
 
 
-@query("expanded_area", X.with_sql(SITES, """
+@query("expanded_area", X.with_sql(SITES, RINGS, LAYER, """
   up(basin, spot) AS (SELECT n_nationkey, n_nationkey FROM nation UNION ALL SELECT u.basin, CAST(u.spot // 2 AS INT) FROM up u WHERE u.spot > 1),
-  want AS (SELECT DISTINCT basin FROM up WHERE spot IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)),
-  v AS (SELECT site, c_nationkey AS basin, floor(lon / 5) AS cx, floor(lat / 5) AS cy FROM sites JOIN customer ON c_custkey = site)""", recursive=True) + """
-  SELECT DISTINCT site AS feature FROM v WHERE (cx, cy) IN (SELECT (cx, cy) FROM v WHERE basin IN (SELECT basin FROM want))""")
+  want AS (SELECT DISTINCT basin FROM up WHERE spot IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000))""",
+    _clip_sql("SELECT * FROM edges WHERE poly IN (SELECT basin FROM want)"), recursive=True) + "SELECT feature FROM hit")
 def expanded_area(spark, d):
     n = F.col("n_nationkey")
     basins = X.table(spark, d, "nation").select(n.alias("basin"), F.floor(n / 2).cast("int").alias("next_basin"))
     plants = X.table(spark, d, "supplier").filter("s_acctbal > 9000").select(F.col("s_nationkey").alias("basin"))
-    vertices = _sites(spark, d).join(X.table(spark, d, "customer"), F.col("c_custkey") == F.col("site")).select(
-        F.col("site").alias("feature"), F.col("c_nationkey").alias("basin"), "lon", "lat")
-    return SP.expand_area(basins, plants, vertices, "feature", cell=5.0)
+    return SP.expand_area(basins, plants, _edges(spark, d).withColumnRenamed("poly", "basin"), _layer(spark, d), "feature", cell=2.0)
 
 
 @query("channel_mapping", X.with_sql(X.STATIONS, SITES, """

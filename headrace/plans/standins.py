@@ -136,6 +136,13 @@ def stations(spark: SparkSession, folder: str) -> DataFrame:
                      *station_columns(F.col("s_suppkey")))
 
 
+def station_links(spark: SparkSession, folder: str, step: int) -> DataFrame:
+    """(a, b): cascades as chains of stations whose keys differ by ``step``; a link to itself for each station."""
+    key = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("a"))
+    up = key.select((F.col("a") + step).alias("a"), F.col("a").alias("b"))
+    return key.join(up, "a").unionByName(key.withColumn("b", F.col("a")))
+
+
 # River network: node = customer key + 1, downstream = node div 2; upstream area shrinks away from the mouth.
 NETWORK = """
 network AS (

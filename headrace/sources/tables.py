@@ -33,12 +33,13 @@ def read_station_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.
         F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
         F.monotonically_increasing_id().alias("__line"), "value")
     heads = lines.filter("__block = 0").groupBy(F.col("__file").alias("__of")).agg(F.min(F.struct("__line", "value")).alias("h"))
-    width = heads.agg(F.max(F.size(F.split("h.value", ",")))).first()[0] or 1
+    plain = F.regexp_replace("h.value", '"[^"]*"', "q")  # quoted names may hold the separator
+    width = heads.agg(F.max(F.size(F.split(plain, ",")))).first()[0] or 1
     ddl = ", ".join(f"c{i} STRING" for i in range(width))
 
     def fields(text: str) -> Column:
         return F.transform(F.array(F.from_csv(text, ddl)), lambda r: F.array(*[r[f"c{i}"] for i in range(width)]))[0]
-    given = F.transform(F.array(*[F.lit(p.rstrip("/")) for p in paths]), lambda p: F.contains(F.col("__of"), p))
+    given = F.transform(F.array(*[F.lit(p.rstrip("/")) for p in paths]), lambda p: F.contains(F.concat("__of", F.lit("/")), F.concat(F.lit("/"), F.ltrim(F.regexp_replace(p, "^[a-z0-9]+:", ""), F.lit("/")), F.lit("/"))))
     heads = heads.select("__of", F.col("h.value").alias("__header"), F.array_position(given, True).alias("__place"))
     heads = heads.withColumn("__names", F.transform(fields("__header"), F.trim))
     rows = lines.join(small_side(heads), F.col("__file") == F.col("__of")).filter("value <> __header").withColumn("__values", fields("value"))

@@ -1,6 +1,7 @@
 """River and transmission graphs: cascades, cycles and odd pointers."""
 
 import random
+import warnings
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,8 +142,13 @@ def test_chain_of_any_length(spark):
 
 def test_walk_limit_is_reported(spark):
     chain = net(spark, [(i, i + 1, 100.0) for i in range(1, 40)])
-    with pytest.warns(UserWarning, match="cut after 8 steps"):
-        assert G.downstream_walk(spark.createDataFrame([(1,)], "dam long"), chain, max_steps=8).count() == 8
+    start = spark.createDataFrame([(1,)], "dam long")
+    for limit in (7, 8, 9, 16):
+        with pytest.warns(UserWarning, match=f"cut after {limit} steps"):
+            assert G.downstream_walk(start, chain, max_steps=limit).count() == limit
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        assert G.downstream_walk(start, chain, max_steps=64).count() == 39
 
 
 def test_paths_of_many_hops(spark):
