@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import cache
 
 from pyspark.sql import DataFrame
@@ -42,7 +43,9 @@ WORDS = frozenset(
 #: Precedence of the operators: ``with`` binds closest.
 RANK = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
-_AFTER = re.compile(r"[-\s]*:[ \t]*")
+#: What stands between a tag's words and its expression: quotes, a colon or equals sign, and on a new line comment marks.
+_AFTER = re.compile(r"[-\s\"'`*]*[:=][ \t\"'`*]*(?P<next>\r?\n[\s#/*;\"'`-]*)?")
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def named(token: str) -> bool:
@@ -111,13 +114,16 @@ def evaluate(postfix: list[str]) -> tuple[float, set[str]] | None:
     return None if value is None else (value, names)
 
 
-def expression(text: str) -> tuple[float, set[str]] | None:
-    """The longest expression at the start of a line's rest; prose may follow it. Unlisted identifiers are part of it."""
+def expression(text: str, whole: bool = False) -> tuple[float, set[str]] | None:
+    """The longest expression at the start of a line's rest; prose may follow it, unless the ``whole`` rest is asked for.
+    Unlisted identifiers are part of it."""
     tokens, at = [], 0
     while m := _TOKEN.match(text, at):
         tokens.append(m[1].rstrip(".:") or m[1])
         at = m.end()
-    for k in range(len(tokens), 0, -1):
+    if whole and text[at:].strip(" \t\r\"'`*/;,>-"):
+        return None
+    for k in range(len(tokens), len(tokens) - 1 if whole else 0, -1):
         if (postfix := to_postfix(tokens[:k])) and (found := evaluate(postfix)):
             return found
     return None
@@ -135,24 +141,36 @@ def automaton():
     return out
 
 
+def ends_of_words(text: str, numbers: list[int]) -> Iterator[int]:
+    """Places in the text where the words of these ascending numbers end."""
+    if numbers:
+        wanted = iter(numbers)
+        number = next(wanted)
+        for i, m in enumerate(_WORD.finditer(text)):
+            if i == number:
+                yield m.end()
+                if (number := next(wanted, None)) is None:
+                    return
+
+
 def scan(text: str | None) -> dict:
     """What ``license_scan`` returns for one text, and ``spans``: (first word, words, label) of each base place."""
     words = plain_words(text)
     line = f" {b' '.join(words).decode('latin-1')} "
-    spans, base, notices, tags, values, tagged = [], set(), set(), set(), [], False
+    spans, base, notices, tags, values, tagged = [], set(), set(), set(), [], []
     for end, phrase in automaton().iter(line) if words else ():
         if phrase == TAG:
-            tagged = True
+            tagged.append(line.count(" ", 0, end) - 1)  # number of the tag's last word
         elif phrase in BASE:
             start = line.count(" ", 0, end - len(phrase)) - 1
             spans.append((start, phrase.count(" ") + 1, BASE[phrase]))
             base.add(BASE[phrase])
         if phrase in NOTICES:
             notices.add(NOTICES[phrase])
-    if tagged:
-        for m in re.finditer(r"spdx-license-identifier", text, re.IGNORECASE):
-            rest = text[m.end():].split("\n", 1)[0]
-            if (colon := _AFTER.match(rest)) and (found := expression(rest[colon.end():])):
+    for at in ends_of_words(text, tagged):
+        if after := _AFTER.match(text, at):
+            rest = text[after.end():].split("\n", 1)[0]
+            if found := expression(rest, whole=after["next"] is not None):
                 values.append(found[0])
                 tags |= found[1]
     values += [freedom(x) for x in base | notices]
@@ -166,7 +184,9 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) per row of ``docs``.
 
     ``spans``: every base place as (word, words, label). All parts of a text bind together, so the
-    score is the least value of its notices and expressions (``UNKNOWN`` for unlisted identifiers); 0 without any. NULL and empty texts have
+    score is the least value of its notices and expressions (``UNKNOWN`` for unlisted identifiers); 0 without any. A tag is its
+    three words with any signs between them, then a colon or equals sign; its expression begins on that line and may end
+    before it, or is the whole next line. NULL and empty texts have
     no words and no labels. Repeated rows keep a row each; extra columns are ignored.
     """
     return with_results(docs, ["doc_id"], lambda texts: [scan(t) for t in texts],

@@ -126,3 +126,13 @@ def test_trees_split_where_labels_do():
     x = rng.uniform(size=(2000, len(quality.FEATURES)))
     y = ((x[:, 3] > 0.5) ^ (x[:, 7] > 0.3)).astype(float)
     assert ((quality.fit(x, y).score(x) > 0.5) == y).mean() > 0.95
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("SPDX License Identifier: MIT", "mit"), ("spdx_license--identifier = (Apache-2.0 OR MIT)", "apache-2.0,mit"),
+    ('{"SPDX-License-Identifier": "MPL-2.0"}', "mpl-2.0"), ("/* SPDX-License-Identifier:\n * GPL-2.0-only OR MIT\n */", "gpl-2.0-only,mit"),
+    ("x SPDX-License-Identifier:\r\n# BSD-3-Clause", "bsd-3-clause"), ("é SPDX-License-Identifier: ISC\nSPDX License\tIdentifier: Zlib", "isc,zlib"),
+    ("SPDX-License-Identifier:\nThe Foo is free", ""), ("the SPDX license identifier is used here", ""), ("SPDX License Identifier List", ""),
+    ("SPDX-License-Identifier:", ""), ("SPDX-License-Identifier:\n\n", ""), ("xSPDX-License-Identifier: MIT", "")])
+def test_tag_forms(text, labels):
+    assert licenses.scan(text)["labels"] == labels
