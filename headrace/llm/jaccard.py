@@ -33,6 +33,10 @@ FREQUENT_KEPT = 250_000
 TASK_SHINGLES = 1_000_000
 #: Rounds of pivots before what is left is joined.
 ROUNDS = 2
+#: Tokens before a place that a row carries, to tell whether a pair has met already.
+LOOK_BACK = 4
+#: Pairs of one pivot that a task takes; more are spread by the other document.
+PAIRS_OF_PIVOT = 256
 #: Ids up to this count are broadcast to pick texts (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -160,13 +164,22 @@ def compatible(na: str, nb: str, ua: str, ub: str, ia: str, ib: str):
 
 
 def measured(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, distance) of pairs, from whole texts. Moves the texts of these documents only."""
+    """(a, b, distance, link) of pairs, from whole texts. Moves the texts of these documents only.
+
+    A document ``a`` of very many pairs is copied to several salts, over which its pairs are spread by ``b``.
+    """
     pairs = stored(pairs.select("a", "b").distinct())
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = stored(docs.select("doc_id", "text").join(ids, "doc_id"))
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    parts = F.ceil(F.col("held") / PAIRS_OF_PIVOT)
+    hot = stored(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > PAIRS_OF_PIVOT).select("a", parts.alias("parts")))
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
+    spread = F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0).cast("long"))
+    salted = pairs.join(hot, "a", "left").select("a", "b", spread.alias("salt"))
+    copies = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).join(hot, "a", "left").select(
+        "a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts") - 1, F.lit(0)).cast("long"))).alias("salt"))
+    both = salted.join(copies, ["a", "salt"]).join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -236,15 +249,21 @@ def last_pairs(rows: DataFrame) -> DataFrame:
     """All pairs of different components that share a cell and may link.
 
     In each cell the most frequent component meets only the others: pairs are (others x all), so a
-    cell of one large component and few others stays linear.
+    cell of one large component and few others stays linear. A pair arises at the first token it shares, where
+    ``compatible`` holds: a later one is left out if one of the ``LOOK_BACK`` tokens before it, in both documents,
+    is shared too. Cells of a pair's tokens are open together, so the first one is always here.
     """
+    before = Window.partitionBy("doc").orderBy("i", "token").rowsBetween(-LOOK_BACK, -1)  # at most the tokens of a document
+    rows = rows.withColumn("met", F.collect_list("token").over(before))
     sizes = rows.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("held"))
     major = sizes.groupBy("token").agg(F.max(F.struct("held", "comp")).alias("m")).select("token", F.col("m.comp").alias("major"))
     marked = rows.join(major, "token")
-    minor = marked.filter("comp <> major").select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"), F.col("i").alias("ia"), F.col("comp").alias("ca"))
+    minor = marked.filter("comp <> major").select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("u").alias("ua"), F.col("i").alias("ia"), F.col("comp").alias("ca"),
+                                                       F.col("met").alias("ma"))
     other = marked.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("u").alias("ub"), F.col("i").alias("ib"), F.col("comp").alias("cb"),
-                          (F.col("comp") == F.col("major")).alias("main"))
-    pairs = minor.join(other, (minor.token == other.token) & F.expr("ca <> cb AND (main OR a < b)") & compatible("na", "nb", "ua", "ub", "ia", "ib"))
+                          (F.col("comp") == F.col("major")).alias("main"), F.col("met").alias("mb"))
+    pairs = minor.join(other, (minor.token == other.token) & F.expr("ca <> cb AND (main OR a < b)") & compatible("na", "nb", "ua", "ub", "ia", "ib")
+                       & ~F.arrays_overlap("ma", "mb"))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -96,6 +96,53 @@ def test_components_of_longer_texts(spark):
     assert {r.doc_id: r.component_id for r in jaccard.components(df).collect()} == want
 
 
+def test_last_pairs_of_one_template(spark, monkeypatch):
+    """Texts of one template, most at a similarity of 0.6 to 0.79: a pair arises at the first token it shares."""
+    rng, rows = random.Random(5), []
+    for i in range(40):
+        text = [f"t{j}" for j in range(404)]
+        for j in range(20):
+            text[17 * j] = f"choice{rng.randrange(3)}x{j}"
+        rows.append((i, " ".join(text[: 404 - i % 5])))
+    rows += [(1000 + i, frames.prose(i, 60)) for i in range(80)]
+    df = frames.docs(spark, rows)
+    sets = {i: shingles(t) for i, t in rows}
+    sets_now = jaccard.described(df, jaccard.frequent_shingles(df))
+    cells = jaccard.with_components(jaccard.cells(*jaccard.distinct_texts(sets_now)), None)
+    held = {}
+    for r in cells.collect():
+        held.setdefault(r.doc, {})[r.token] = (r.i, r.n, r.u)
+    may = jaccard.compatible("na", "nb", "ua", "ub", "ia", "ib")
+    shared = [(a, b, t, x[1], y[1], x[2], y[2], x[0], y[0]) for a in held for b in held if a < b for t in held[a].keys() & held[b].keys()
+              for x, y in [(held[a][t], held[b][t])]]
+    every = spark.createDataFrame(shared, "a long, b long, t long, na long, nb long, ua long, ub long, ia int, ib int").filter(may)
+    old = {(r.a, r.b) for r in every.select("a", "b").distinct().collect()}
+    got = [(r.a, r.b) for r in jaccard.last_pairs(cells).collect()]
+    assert len(got) == len(set(got)) and set(got) <= old
+    linked = {(a, b) for a in sets for b in sets if a < b and sets[a] and jaccard.linked(len(sets[a] & sets[b]), len(sets[a]), len(sets[b]))}
+    assert linked <= set(got)
+    # rows of the join, before repeated pairs go
+    monkeypatch.setattr(type(cells), "distinct", lambda frame: frame)
+    made = {}
+    for back in (1, 4, 1000):
+        monkeypatch.setattr(jaccard, "LOOK_BACK", back)
+        made[back] = jaccard.last_pairs(cells).count()
+    assert made[1000] == len(got) and every.count() > made[1] > made[4] > made[1000]
+
+
+def test_measured_spreads_a_hot_pivot(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PAIRS_OF_PIVOT", 4)
+    base = frames.prose(9, 60)
+    rows = [(0, base), *((i, changed(base, i % 5, i)) for i in range(1, 60))]
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 60)] + [(1, 2), (3, 2), (0, 5)], "a long, b long")
+    got = {(r.a, r.b): (r.distance, r.link) for r in jaccard.measured(pairs, frames.docs(spark, rows)).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    assert len(got) == 61
+    for (a, b), (distance, link) in got.items():
+        common, union = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+        assert distance == pytest.approx(1 - common / union) and link == (100 * common >= 80 * union)
+
+
 def test_fingerprints(spark):
     df = family(spark)
     rows = sorted(df.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
