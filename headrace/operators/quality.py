@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -117,3 +117,21 @@ def coverage_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     share = long.groupBy("field").agg((100 * F.avg(F.col("value").isNotNull().cast("int"))).alias("known_pct"))
     quart = exact_quantiles(long, ["field"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
     return share.join(quart, "field", "left")
+
+
+def write_observed(df: DataFrame, path: str, columns: Sequence[str], ranges: Mapping[str, tuple[float | None, float | None]]) -> DataFrame:
+    """Q-2, Q-8, A-20: write ``df`` to ``path``; counts taken by the same pass: (field, n_rows, n_known, n_outside, lowest, highest).
+
+    One row per number column of ``columns``, a handful of values each; an unbounded side of a range is None. The table is not read again.
+    """
+    counts = [F.count(F.lit(1)).alias("n_rows")]
+    for i, c in enumerate(columns):
+        v = F.col(c).cast("double")
+        low, high = ranges.get(c, (None, None))
+        out = (F.lit(False) if low is None else v < low) | (F.lit(False) if high is None else v > high)
+        counts += [F.count(v).alias(f"known_{i}"), F.count_if(F.coalesce(out, F.lit(False))).alias(f"outside_{i}"), F.min(v).alias(f"low_{i}"), F.max(v).alias(f"high_{i}")]
+    seen = Observation()
+    df.observe(seen, *counts).write.parquet(path)
+    got = seen.get
+    rows = [(c, got["n_rows"], *(got[f"{k}_{i}"] for k in ("known", "outside", "low", "high"))) for i, c in enumerate(columns)]
+    return df.sparkSession.createDataFrame(rows, "field string, n_rows long, n_known long, n_outside long, lowest double, highest double")

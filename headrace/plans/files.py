@@ -144,3 +144,14 @@ def parameter_violations(spark, d):
     value = F.when(k == 0, F.col("l_discount") * 20).when(k == 1, F.col("l_tax") * 13 - 0.01).when(k == 2, F.col("l_discount")).otherwise(F.col("l_quantity") / 10)
     name = F.concat(F.lit("p"), "l_orderkey", F.lit("."), "l_linenumber")
     return quality.parameter_violations(X.table(spark, d, "lineitem").select(name.alias("name"), kind.alias("kind"), value.alias("value")))
+
+
+@query("observed_write", """
+  SELECT 'quantity' AS field, count(*) AS n_rows, count(l_quantity) AS n_known, count(*) FILTER (l_quantity < 2 OR l_quantity > 40) AS n_outside,
+    CAST(min(l_quantity) AS DOUBLE) AS lowest, CAST(max(l_quantity) AS DOUBLE) AS highest FROM lineitem UNION ALL
+  SELECT 'discount', count(*), count(CASE WHEN l_discount > 0.02 THEN 1 END), count(*) FILTER (l_discount > 0.09),
+    CAST(min(CASE WHEN l_discount > 0.02 THEN l_discount END) AS DOUBLE), CAST(max(CASE WHEN l_discount > 0.02 THEN l_discount END) AS DOUBLE) FROM lineitem""")
+def observed_write(spark, d):
+    """Q-2, Q-8, A-20: range and gap counts from the pass that writes the table."""
+    at = X.table(spark, d, "lineitem").select(F.col("l_quantity").alias("quantity"), F.when(F.col("l_discount") > 0.02, F.col("l_discount")).alias("discount"))
+    return quality.write_observed(at, run_folder(spark), ["quantity", "discount"], {"quantity": (2, 40), "discount": (None, 0.09)})

@@ -54,3 +54,13 @@ def test_target_profile_of_partial_years(spark):
     shapes = spark.createDataFrame([("X", 2020, 0, 0.5), ("X", 2020, 8783, 1.0), ("Y", 2020, 0, 0.25), ("Y", 2020, 1, None), ("Y", 2021, 4, 1.0)], "region string, year int, hoy int, shape double")
     got = {tuple(r) for r in T.source_target_profile(alloc, shapes, keys=()).collect()}
     assert got == {("A", 2020, 0, 1.75), ("A", 2020, 8783, 2.0), ("A", 2020, 1, None), ("A", 2021, 4, 3.0), ("B", 2020, 0, 0.25), ("B", 2020, 1, None), ("B", 2021, 4, 1.0)}
+
+
+def test_write_observed(spark, tmp_path):
+    df = spark.createDataFrame([(1.0, 5), (None, 6), (-3.0, 70), (9.0, None)], "a double, b int")
+    path = str(tmp_path / "out")
+    got = {r["field"]: tuple(r)[1:] for r in Q.write_observed(df, path, ["a", "b"], {"a": (0, 8)}).collect()}
+    assert got == {"a": (4, 3, 2, -3.0, 9.0), "b": (4, 3, 0, 5.0, 70.0)}
+    assert sorted(map(str, spark.read.parquet(path).collect())) == sorted(map(str, df.collect()))
+    none = Q.write_observed(df.filter("false"), str(tmp_path / "none"), ["a"], {"a": (None, 8)}).collect()
+    assert [tuple(r) for r in none] == [("a", 0, 0, 0, None, None)]
