@@ -216,17 +216,24 @@ def contract_excluded(edges: DataFrame, kept: DataFrame) -> DataFrame:
             .agg(F.min("total").cast("int").alias("tau_h")))
 
 
-#: Salts of the join that gives each edge the minimum of its node, when there are too many nodes to broadcast.
-HUB_SALTS = 64
+#: Salts of the rows of a hub in the join that gives each edge the minimum of its node, when there are too many nodes to
+#: broadcast. A hub has over 1 / HUB_SHARE of the rows, so there are fewer than HUB_SHARE of them.
+HUB_SALTS, HUB_SHARE = 64, 1000
 
 
 def _with_minimum(rows: DataFrame, least: DataFrame, n_rows: int) -> DataFrame:
-    """Join the (unique) minimum of ``u`` to every row, so that the rows of a hub stay spread out."""
+    """Join the minimum ``m`` of ``u`` (``least``: u, m, n rows) to every row. The rows of a hub are spread over salts, all others are not copied."""
     if n_rows <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(least), "u")
-    salted = rows.withColumn("__s", F.pmod(F.xxhash64("v"), F.lit(HUB_SALTS)).cast("int"))
-    copies = least.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(HUB_SALTS - 1))))
-    return salted.join(copies, ["u", "__s"]).drop("__s")
+        return rows.join(F.broadcast(least.drop("n")), "u")
+    hubs = F.broadcast(least.filter(F.col("n") * HUB_SHARE > n_rows).select("u", F.lit(True).alias("__hub")))
+    salted = rows.join(hubs, "u", "left").withColumn(
+        "__s", F.when(F.col("__hub"), F.pmod(F.xxhash64("v"), F.lit(HUB_SALTS)).cast("int")).otherwise(0)).drop("__hub")
+    return salted.join(_salt_copies(least, n_rows), ["u", "__s"]).drop("__s")
+
+
+def _salt_copies(least: DataFrame, n_rows: int) -> DataFrame:
+    last = F.when(F.col("n") * HUB_SHARE > n_rows, HUB_SALTS - 1).otherwise(0)
+    return least.select("u", "m", F.explode(F.sequence(F.lit(0), last)).alias("__s"))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -243,10 +250,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     seen = (stars.count(), None)
     for _ in range(max_rounds):
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
         large = _with_minimum(both, least, 2 * seen[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = _with_minimum(large, least, 2 * seen[0]).select(
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                               F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")

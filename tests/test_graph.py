@@ -162,3 +162,10 @@ def test_components_with_a_salted_hub(spark, monkeypatch):
     edges = [(5, k) for k in range(300, 400)] + [(1, 2), (2, 3), (7, 7)]
     got = {r["node"]: r["component"] for r in G.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 5 for k in (5, *range(300, 400))}, 1: 1, 2: 1, 3: 1, 7: 7}
+
+
+def test_only_hubs_are_copied_to_salts(spark):
+    least = spark.createDataFrame([(5, 5, 900)] + [(k, 5, 1) for k in range(300, 1200)], "u long, m long, n long")
+    copies = G._salt_copies(least, 1800)
+    assert copies.count() == 900 + G.HUB_SALTS
+    assert copies.groupBy("u").count().filter("count > 1").collect() == [(5, G.HUB_SALTS)]
