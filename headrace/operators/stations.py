@@ -11,6 +11,7 @@ from headrace.functions.hydraulics import (
     AREA_EXPONENT, SECONDS_PER_YEAR, VOLUME_EXPONENT, f_opt, flow_for_power, power_mw, ps_storage_hours,
     ps_volume_km3, pump_flow, turbine_efficiency,
 )
+from headrace.session import reliable_checkpoint
 
 MISMATCH_RATIO = 0.1
 NO_STORAGE = ("ROR", "Canal")
@@ -192,22 +193,24 @@ def match_names(wanted: DataFrame, features: DataFrame, name_columns: Sequence[s
     are tried exactly before any as a substring; the first alias with a hit decides, then
     the first name column. The substring step joins on the rarest of the alias's pieces of
     up to three letters, which every containing name holds; a piece that most names hold
-    is used only by an alias that has no other.
+    is used only by an alias that has no other. Names are matched once per distinct text, and
+    features meet only the texts that are chosen.
     """
     columns = F.array(*[F.struct(F.lit(i).alias("ord"), F.lower(F.trim(c)).alias("text")) for i, c in enumerate(name_columns)])
-    texts = features.select(feature, F.explode(columns).alias("n")).select(feature, "n.*").filter("text is not null")
+    named = features.select(feature, F.explode(columns).alias("n")).select(feature, F.col("n.ord").alias("ord"), F.col("n.text").alias("full")).filter("full is not null")
+    texts = reliable_checkpoint(named.select("ord", F.col("full").alias("text")).distinct())
     asked = wanted.select(want, F.lower(F.trim(want)).alias("text"), F.lit(0).alias("alias")).distinct()
     if aliases is not None:
         more = wanted.select(want).distinct().join(aliases.select(F.col("name").alias(want), F.lower(F.trim("alias")).alias("text"),
                                                                   F.col("ord").cast("int").alias("alias")), want)
         asked = asked.unionByName(more)
-    exact = asked.join(texts, "text").select(want, feature, "alias", "ord", F.lit("exact").alias("how"))
+    exact = asked.join(texts, "text").select(want, F.col("text").alias("full"), "alias", "ord", F.lit("exact").alias("how"))
     rest = asked.join(exact.select(want), want, "left_anti").filter(F.length("text") > 0)
 
     def pieces(sizes: Column) -> Column:
         starts = F.sequence(F.lit(1), F.length("text"))
         return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(sizes, lambda k: F.substring(F.col("text"), i, k)))))
-    index = texts.filter(F.length("text") > 0).select(feature, "ord", F.col("text").alias("full"),
+    index = texts.filter(F.length("text") > 0).select("ord", F.col("text").alias("full"),
                                                       F.explode(pieces(F.sequence(F.lit(1), F.lit(3)))).alias("gram"))
     size = F.least(F.length("text"), F.lit(3))
     own = rest.select(want, "text", "alias", F.explode(pieces(F.array(size))).alias("gram")).filter(
@@ -217,10 +220,11 @@ def match_names(wanted: DataFrame, features: DataFrame, name_columns: Sequence[s
     ranked = own.join(held, "gram", "left").groupBy(want, "text", "alias").agg(
         F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
     partial = ranked.join(index, "gram").filter(F.contains("full", "text")).select(
-        want, feature, "alias", "ord", F.lit("substring").alias("how"))
+        want, "full", "alias", "ord", F.lit("substring").alias("how"))
     hits = exact.unionByName(partial)
     first = hits.groupBy(want).agg(F.min(F.struct("alias", "ord")).alias("f")).select(want, "f.*")
-    chosen = hits.join(first, [want, "alias", "ord"]).select(want, feature, "how").distinct()
+    chosen = hits.join(first, [want, "alias", "ord"]).select(want, "ord", "full", "how").distinct()
+    chosen = chosen.join(named, ["ord", "full"]).select(want, feature, "how").distinct()
     return wanted.select(want).distinct().join(chosen, want, "left").select(
         want, feature, F.coalesce("how", F.lit("unmatched")).alias("how"))
 
