@@ -19,6 +19,8 @@ from headrace.functions.core import ColumnLike, col
 from headrace.session import reliable_checkpoint
 
 HOT_ROWS = 4_000_000
+#: A slice need not be smaller than this, beyond the first FEW_SLICES: each slice costs a task and rows sampled by the driver.
+SLICE_ROWS, FEW_SLICES = 200_000, 64
 QUANTILE_HOT_ROWS = 200_000
 SKETCH_ACCURACY = 10_000
 BROADCAST_GROUPS = 50_000
@@ -38,12 +40,17 @@ def _slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column], hot_row
         hot = df.join(hot_keys, list(keys), "left_semi")
     else:
         cold, hot = None, df
-    pieces = max(2, 2 * math.ceil(n_rows / hot_rows))
+    pieces = _pieces(n_rows, hot_rows)
     ranged = hot.repartitionByRange(pieces, *[F.col(k) for k in keys], *order)
     sliced = reliable_checkpoint(ranged.withColumn(SLICE, F.spark_partition_id()))
     return (sliced if cold is None else cold.select(sliced.columns).unionAll(sliced)), True
 
 
+def _pieces(n_rows: int, hot_rows: int) -> int:
+    """Slices of half of ``hot_rows``, but a low ``hot_rows`` does not cut the rows finer than tasks should be."""
+    return max(2, min(2 * math.ceil(n_rows / hot_rows), max(FEW_SLICES, 2 * math.ceil(n_rows / SLICE_ROWS))))
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[ColumnLike],
                    sums: Mapping[str, Column], row_number: str | None = None,
                    hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -53,7 +60,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[ColumnLik
     if row_number:
         sums = {**sums, row_number: F.lit(1).cast("long")}
     part = [*keys, SLICE]
-    # Every (group, slice) holds at most about hot_rows rows, as measured above.
+    # Every (group, slice) holds at most about max(hot_rows, SLICE_ROWS) rows, as measured above.
     window = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     if not any_hot:
         return sliced.select("*", *[F.sum(e).over(window).alias(n) for n, e in sums.items()]).drop(SLICE)

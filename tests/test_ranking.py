@@ -111,3 +111,9 @@ def test_top_per_group(spark, skewed):
     for g, i, v in skewed:
         by_group[g].append((-v, i))
     assert got == {(g, i) for g, items in by_group.items() for _, i in sorted(items)[:4]}
+
+
+def test_slices_do_not_outgrow_the_rows():
+    assert R._pieces(100, 40) == 6 and R._pieces(0, 40) == 2
+    assert R._pieces(9_000_000, 40) == 90 and R._pieces(54_000_000, 40) == 540
+    assert R._pieces(40_000_000, R.HOT_ROWS) == 20
