@@ -37,6 +37,12 @@ def number(c: ColumnLike) -> Column:
     return finite(F.trim(col(c).cast("string")).try_cast("double"))
 
 
+def round_even(c: ColumnLike, digits: int = 0) -> Column:
+    """A DOUBLE rounded half to even after scaling in doubles, as NumPy and SQL do; ``bround`` would round its decimal text."""
+    scale = float(10**digits)
+    return F.rint(col(c) * scale) / scale
+
+
 def clip(c: ColumnLike, low: float | Column | None = None, high: float | Column | None = None) -> Column:
     """Bound a value; NULL stays NULL (``greatest`` and ``least`` skip NULL)."""
     c = col(c)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from headrace.functions import geo
+from headrace.functions.core import round_even
 from headrace.operators import carbon as C
 from headrace.operators import ranking as R
 from headrace.operators.stations import fallback_join
@@ -236,9 +237,9 @@ def layer_join(spark, d):
     """J-3: a layer joined on name and latitude to 3 digits."""
     s, c = X.table(spark, d, "supplier"), X.table(spark, d, "customer")
     name = lambda k: F.concat(F.lit("N"), (F.col(k) % 9).cast("string")).alias("name")
-    coords = s.select("s_suppkey", name("s_suppkey"), F.bround(F.col("s_acctbal") / 100, 4).alias("lat"))
-    layer = c.select(name("c_custkey"), F.bround(F.col("c_acctbal") / 100, 4).alias("lat"), F.col("c_custkey").alias("row_ord"), F.col("c_nationkey").alias("soil")).unionByName(
-        s.filter("s_suppkey % 2 = 0").select(name("s_suppkey"), (F.bround(F.col("s_acctbal") / 100, 4) + 0.0001).alias("lat"), (F.col("s_suppkey") + 1000000).alias("row_ord"), F.col("s_nationkey").alias("soil")))
+    coords = s.select("s_suppkey", name("s_suppkey"), round_even(F.col("s_acctbal") / 100, 4).alias("lat"))
+    layer = c.select(name("c_custkey"), round_even(F.col("c_acctbal") / 100, 4).alias("lat"), F.col("c_custkey").alias("row_ord"), F.col("c_nationkey").alias("soil")).unionByName(
+        s.filter("s_suppkey % 2 = 0").select(name("s_suppkey"), (round_even(F.col("s_acctbal") / 100, 4) + 0.0001).alias("lat"), (F.col("s_suppkey") + 1000000).alias("row_ord"), F.col("s_nationkey").alias("soil")))
     return C.reservoir_layers(coords, layer).select("s_suppkey", "soil")
 
 

@@ -152,3 +152,11 @@ def test_mode_tie_and_empty_group(spark):
 def test_equity_share_is_unknown_without_supply(spark):
     df = spark.createDataFrame([(None, 10.0, 1.0, 2.0), (20.0, 10.0, 1.0, 2.0)], "supply_c_mw double, dc_mean_mw double, net_carbon_avoided double, dc_carbon_intensity double")
     assert sorted((r["dom_share_pct"] is None, r["dom_share_pct"]) for r in V.equity_master(df).collect()) == [(False, 100.0), (True, None)]
+
+
+def test_layer_key_rounds_as_numpy_does(spark):
+    lats = [64.6835, -8.1595, 32.1795, 16.0815, 0.0005, 1.0015, -12.3455]
+    coords = spark.createDataFrame([("a", x) for x in lats], "name string, lat double")
+    layer = spark.createDataFrame([("a", float(np.round(x, 3)), i, i) for i, x in enumerate(lats)], "name string, lat double, row_ord int, soil int")
+    got = {r["lat"]: r["soil"] for r in C.reservoir_layers(coords, layer).collect()}
+    assert got == {x: i for i, x in enumerate(lats)}
