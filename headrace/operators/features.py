@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headrace.functions import calendar as cal
-from headrace.functions.core import ColumnLike, col
+from headrace.functions.core import BROADCAST_ROWS, ColumnLike, col
 from headrace.operators import series as S
 from headrace.operators.spatial import nearest
+from headrace.session import reliable_checkpoint
 
 # Fixed values.
 LAG_HOURS = (1, 3, 6, 12, 24)
@@ -54,7 +55,25 @@ def channel_mapping(channels: DataFrame, units: DataFrame, subbasin_aquifers: Da
     near = near.join(units.select("unit", "subbasin"), "unit")
     both = own.withColumn("by_distance", F.lit(False)).unionByName(
         near.select("channel", "unit", "subbasin", F.lit(True).alias("by_distance")))
-    return both.join(subbasin_aquifers, "subbasin", "left")
+    return _spread_join(both, subbasin_aquifers, "subbasin")
+
+
+#: Rows of a result that one task should make.
+PAIRS_PER_TASK = 2_000_000
+
+
+def _spread_join(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Left join on a key of few values, whose pairs are counted first: the rows of a key are dealt to as many salts as its pairs need."""
+    rows = reliable_checkpoint(rows)
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).join(
+        other.groupBy(key).agg(F.count(F.lit(1)).alias("__m")), key)
+    salts = reliable_checkpoint(sizes.select(key, F.ceil(F.col("__n") * F.col("__m") / PAIRS_PER_TASK).alias("__salts")))
+    tasks = salts.agg(F.sum("__salts")).first()[0] or 1
+    dealt = rows.join(F.broadcast(salts) if tasks <= BROADCAST_ROWS else salts, key, "left").withColumn(
+        "__salt", F.pmod(F.xxhash64(*rows.columns), F.coalesce("__salts", F.lit(1)))).drop("__salts")
+    copies = other.join(salts, key).withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__salts") - 1))).drop("__salts")
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, tasks)
+    return dealt.repartition(parts, key, "__salt").join(copies, [key, "__salt"], "left").drop("__salt")
 
 
 def training_set(features: DataFrame, n_val: int, n_test: int, min_peak: float = 0.1, seed: int = 42,

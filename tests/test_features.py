@@ -4,6 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from headrace.operators import features as M
 from headrace.sources import tables
@@ -53,3 +54,14 @@ def test_grid_periods(spark, tmp_path):
     grid = tables.read_grid(spark, [str(tmp_path / "p0"), str(tmp_path / "p1")], ["ts", "lat", "lon", "value"])
     assert sorted((r["ts"], r["value"]) for r in grid.collect()) == [(0, 1.0), (1, None)]
     assert tables.duplicate_cells(grid, ["lat", "lon"]).count() == 1
+
+
+def test_a_heavy_subbasin_is_dealt_to_many_tasks(spark, monkeypatch):
+    from headrace.operators import features as M
+    monkeypatch.setattr(M, "PAIRS_PER_TASK", 100)
+    rows = spark.range(200).select(F.col("id").alias("channel"), F.col("id").alias("unit"), F.when(F.col("id") < 190, 1).when(F.col("id") < 195, 2).alias("subbasin"))
+    aquifers = spark.range(30).select(F.lit(1).alias("subbasin"), F.col("id").alias("aquifer"))
+    out = M._spread_join(rows, aquifers, "subbasin")
+    assert out.count() == 190 * 30 + 10 and out.distinct().count() == out.count()
+    assert out.filter("aquifer is null").count() == 10
+    assert max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()) <= 1000
