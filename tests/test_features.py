@@ -65,3 +65,9 @@ def test_a_heavy_subbasin_is_dealt_to_many_tasks(spark, monkeypatch):
     assert out.count() == 190 * 30 + 10 and out.distinct().count() == out.count()
     assert out.filter("aquifer is null").count() == 10
     assert max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()) <= 1000
+
+
+def test_daily_sums_go_to_tasks_by_day(spark, monkeypatch):
+    from headrace.plans import standins as X
+    monkeypatch.setattr(X, "LINES_PER_TASK", 300)
+    assert X.daily_wide(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 20
