@@ -18,12 +18,25 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: The same, and every ASCII byte that is neither a letter nor a digit becomes a space.
 ALNUM = bytes(LOWER[c] if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
+#: Bytes of one Arrow batch to a Python worker.
+BATCH_BYTES = "4m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def find_code(spark: SparkSession) -> None:
     """Let Python workers find this package where the driver did (clusters may also install it)."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Python workers of this session get texts by BATCH_BYTES at a time, unless the user has set a size.
+
+    A batch lies in the JVM's buffers and, with copies, in the worker; 10,000 rows of two texts each are hundreds of MB over an executor's cores.
+    """
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     find_code(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")

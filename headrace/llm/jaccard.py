@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from headrace.llm.common import find_code, space_words, stored
+from headrace.llm.common import find_code, small_batches, space_words, stored
 from headrace.llm.shingles import shingle_set
 from headrace.operators.graph import connected_components
 
@@ -287,30 +287,46 @@ def components(docs: DataFrame) -> DataFrame:
     any of its texts; each row is returned. No documents: no rows. Extra columns are ignored.
     """
     find_code(docs.sparkSession)
+    small_batches(docs.sparkSession)
     sets = described(docs, frequent_shingles(docs))
     usable, first = distinct_texts(sets)
     return linked_classes(docs, sets, usable, first, cells(usable, first))
 
 
+def prefix_cells(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """``cells`` of ``docs``, by their own order of rarity. ``first``: the distinct texts among which they count."""
+    return cells(distinct_texts(described(docs, frequent_shingles(docs)))[0], first)
+
+
 def distinct_texts(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with a doc_id and words; (digest, first): the least doc_id of each exact text."""
     usable = sets.filter(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
     return usable, stored(usable.groupBy("digest").agg(F.min("doc_id").alias("first")))
 
 
-def linked_classes(docs: DataFrame, sets: DataFrame, usable: DataFrame, first: DataFrame, rows: DataFrame) -> DataFrame:
+def next_regions(rows: DataFrame, texts: DataFrame, distances: DataFrame | None, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """``distances`` with those of one more round, and the regions that all of them show."""
+    found = region_round(stored(open_cells(with_components(rows, labels))), texts, distances)
+    distances = found if distances is None else distances.unionByName(found)
+    return distances, stored(regions(distances.filter("link")))
+
+
+def linked_classes(docs: DataFrame, sets: DataFrame, usable: DataFrame, first: DataFrame, rows: DataFrame, coarse: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``sets``: documents joined by links between those that share a cell.
 
     ``usable``, ``first``: its ``distinct_texts``; ``rows``: (token, doc, n, u, i) as from ``cells``. In each cell all pairs of different components that may
-    link are measured, by pivots or at last one by one.
+    link are measured, by pivots or at last one by one. ``coarse``: the cells of ``rows`` know no places (u and i are 0), which rules out few pairs.
+    Then documents of cells that stay open after a round are dealt to the cells of their prefixes, so that a family under the limit does not meet as a whole.
     """
     texts = docs.filter(F.col("doc_id").isNotNull())
     distances, labels = None, None
+    if coarse:
+        distances, labels = next_regions(rows, texts, distances, labels)
+        ids = stored(open_cells(with_components(rows, labels)).select(F.col("doc").alias("doc_id")).distinct())
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        rows = prefix_cells(texts.join(ids, "doc_id"), first)
     for _ in range(ROUNDS):
-        still = stored(open_cells(with_components(rows, labels)))
-        found = region_round(still, texts, distances)
-        distances = found if distances is None else distances.unionByName(found)
-        labels = stored(regions(distances.filter("link")))
+        distances, labels = next_regions(rows, texts, distances, labels)
     still = stored(open_cells(with_components(rows, labels)))
     rest = measured(within_windows(stored(last_pairs(still)), distances), texts)
     links = distances.unionByName(rest).filter("link").select("a", "b")

@@ -19,7 +19,8 @@ def op1_hmm(spark: SparkSession, folder: str) -> DataFrame:
 def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     # rows that repeat a doc_id are of one class
-    return minhash.fingerprints(docs).join(minhash.duplicate_classes(docs).filter("doc_id IS NOT NULL").distinct(), "doc_id", "left")
+    prints, sets = minhash.prints_and_sets(docs)
+    return prints.join(minhash.duplicate_classes(docs, sets).filter("doc_id IS NOT NULL").distinct(), "doc_id", "left")
 
 
 def op3_jaccard(spark: SparkSession, folder: str) -> DataFrame:

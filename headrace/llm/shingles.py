@@ -15,8 +15,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingle_set(words: list[bytes], size: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of all ``size``-word shingles; fewer words are one shingle, no words none.
+def shingle_hashes(words: list[bytes], size: int = WORDS) -> np.ndarray:
+    """Hashes of all ``size``-word shingles in their order; fewer words are one shingle, no words none.
 
     64 bits: two different shingles of one pair of texts with n shingles meet with odds n^2 / 2^64.
     """
@@ -28,4 +28,9 @@ def shingle_set(words: list[bytes], size: int = WORDS) -> np.ndarray:
     for j in range(k):
         out = (out + hashes[j:j + len(out)]) * _ODD[j]
         out ^= out >> np.uint64(29)
-    return np.unique(mixed(out))
+    return mixed(out)
+
+
+def shingle_set(words: list[bytes], size: int = WORDS) -> np.ndarray:
+    """The same, sorted and distinct."""
+    return np.unique(shingle_hashes(words, size))

@@ -9,6 +9,7 @@ from collections import Counter
 
 import frames
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -189,6 +190,66 @@ def test_duplicate_classes_miss_none(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in minhash.duplicate_classes(df).collect()} == {**want, None: None}
 
 
+def test_band_keys_of_one_family_do_not_square(spark, monkeypatch):
+    """Texts of one template, all under 0.8 to each other but for a few copies: those of one band key meet by rare shingles only."""
+    base = [f"t{j}" for j in range(300)]
+    rows = []
+    for i in range(150):
+        text = list(base)
+        for j in range(i % 7, 300, 30):
+            text[j] = f"own{i}x{j}"
+        rows.append((i, " ".join(text)))
+    rows += [(1000 + i, rows[20 * i][1] + " end") for i in range(5)]
+    df = frames.docs(spark, rows)
+    made, inner = [], jaccard.last_pairs
+    monkeypatch.setattr(jaccard, "last_pairs", lambda cells: made.append(inner(cells)) or made[-1])
+    want = classes_by_hand(df.collect())
+    assert [i for i in want if want[i] != i] == [1000 + i for i in range(5)]
+    assert {r.doc_id: r.class_id for r in minhash.duplicate_classes(df).collect()} == want
+    assert made[0].count() < len(rows)
+
+
+def test_edited_signature_of_odd_texts():
+    """The signature of an edited text from what was kept of the text before equals that of the whole edited text."""
+    rng = random.Random(4)
+    texts = ["", " ", "abc", "a b c", "one two three four", "A b  c d e f\tg h i j k l m n o p", " lead and tail  ", "\u00e9\u4e2d " * 9, "x" * 50, "w " * 40, "\x1ca\x85b " * 6]
+    texts += ["".join(rng.choice("ab \n") for _ in range(rng.randrange(120))) for _ in range(60)] + [frames.prose(i, 3 + 7 * i) for i in range(8)]
+    for a in texts:
+        now = minhash.signed(a)
+        assert now.n_shingles == len(shingles(a)) and np.array_equal(minhash.short(now.sig), minhash.short(minhash.signature(a)))
+        for b in texts:
+            assert minhash.short(minhash.edited_signature(now, b)) == minhash.short(minhash.signature(minhash.edited(a, b)))
+
+
+def test_sets_of_the_one_pass(spark):
+    df = family(spark)
+    prints, sets = minhash.prints_and_sets(df)
+    assert prints.count() == sets.count() == df.count()
+    own = {(r.doc_id, r.class_id) for r in minhash.duplicate_classes(df).collect()}
+    assert {(r.doc_id, r.class_id) for r in minhash.duplicate_classes(df, sets).collect()} == own
+
+
+def test_batches_of_texts_are_small(spark):
+    """A task's Python worker gets long texts by a few MB, not 10,000 rows at a time; a size set by the user stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('word and ', 1000) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    try:
+        spark.conf.unset(key)
+        jaccard.components(df.limit(0))
+        got = [r.n for r in df.mapInArrow(sizes, "n long").collect()]
+        assert sum(got) > 27_000_000 and max(got) < 6_000_000
+        spark.conf.set(key, "1m")
+        jaccard.components(df.limit(0))
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_minhash_query_has_classes(spark, tmp_path):
     """Near copies that are not the next doc_id are found; each row stays one row."""
     base, other = frames.prose(90, 120), frames.prose(91, 120)
