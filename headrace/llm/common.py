@@ -21,6 +21,7 @@ ALNUM = bytes(LOWER[c] if c >= 128 or chr(c).isalnum() else 32 for c in range(25
 #: Bytes of one Arrow batch to a Python worker.
 BATCH_BYTES = "4m"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def find_code(spark: SparkSession) -> None:
@@ -71,10 +72,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = path or shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    The shuffle files of the write go when it ends, not when the driver's garbage is collected, unless the user has set that otherwise.
+    """
+    spark = df.sparkSession
+    path = path or shared_folder(spark)
+    ours = spark.conf.get(_CLEANUP, None) is None
+    if ours:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if ours:
+            spark.conf.unset(_CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete the files of a ``stored`` table that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def with_results(df: DataFrame, keep: list[str], compute: Callable[[list], list[dict]], fields: str, *inputs: str) -> DataFrame:

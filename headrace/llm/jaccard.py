@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from headrace.llm.common import find_code, small_batches, space_words, stored
+from headrace.llm.common import find_code, removed, shared_folder, small_batches, space_words, stored
 from headrace.llm.shingles import shingle_set
 from headrace.operators.graph import connected_components
 
@@ -171,7 +171,8 @@ def measured(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = stored(pairs.select("a", "b").distinct())
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = stored(docs.select("doc_id", "text").join(ids, "doc_id"))
+    path = shared_folder(docs.sparkSession)
+    texts = stored(docs.select("doc_id", "text").join(ids, "doc_id"), path)
     parts = F.ceil(F.col("held") / PAIRS_OF_PIVOT)
     hot = stored(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > PAIRS_OF_PIVOT).select("a", parts.alias("parts")))
     hot = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
@@ -196,7 +197,9 @@ def measured(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                                               pa.array([d[1] for d in distance], pa.bool_())], names=["a", "b", "distance", "link"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(rows, f"a {kind}, b {kind}, distance double, link boolean"))
+    done = stored(both.select("a", "b", "text_a", "text_b").mapInArrow(rows, f"a {kind}, b {kind}, distance double, link boolean"))
+    removed(docs.sparkSession, path)
+    return done
 
 
 def regions(links: DataFrame) -> DataFrame:

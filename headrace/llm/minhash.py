@@ -103,9 +103,10 @@ def edited_signature(held: Signed, following: str) -> np.ndarray | None:
     return shifted(np.minimum(held.head, minima(np.unique(shingle_hashes(words))))) if words else None
 
 
-_RESULT = (("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
+#: Digests are stored as bytes, half as long as their digits.
+_RESULT = (("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()),
            ("near_edited", pa.float64()), ("near_next", pa.float64()))
-_RESULT_DDL = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_RESULT_DDL = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 _SET = (("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())))
 _SET_DDL = "n_shingles long, digest binary, keys array<long>"
 
@@ -113,7 +114,7 @@ _SET_DDL = "n_shingles long, digest binary, keys array<long>"
 def compared(held: Signed, following: Signed) -> tuple:
     changed, print_ = edited(held.text, following.text), short(held.sig)
     changed_print = print_ if changed == held.text else short(edited_signature(held, following.text))
-    return (len(held.text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), print_.hex(), changed_print.hex(),
+    return (len(held.text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).digest(), print_, changed_print,
             likeness(print_, changed_print), likeness(print_, short(following.sig)))
 
 
@@ -194,7 +195,9 @@ def prints_and_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             rows = [compared(signed(t), signed(f)) for t, f in zip(b.column("text").to_pylist(), b.column("following").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns_of(rows, _RESULT)], names=["doc_id", *(n for n, _ in _RESULT)])
 
-    return inner.unionByName(ends.mapInArrow(finish, f"doc_id {kind}, {_RESULT_DDL}")), sets
+    prints = inner.unionByName(ends.mapInArrow(finish, f"doc_id {kind}, {_RESULT_DDL}"))
+    digits = {n: F.lower(F.hex(n)) for n, t in _RESULT if t == pa.binary()}
+    return prints.withColumns(digits), sets
 
 
 def duplicate_classes(docs: DataFrame, sets: DataFrame | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ def shingle_hashes(words: list[bytes], size: int = WORDS) -> np.ndarray:
     """
     if not words:
         return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    hashes = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
     k = min(size, len(words))
     out = np.full(len(words) - k + 1, np.uint64(k))
     for j in range(k):

@@ -4,16 +4,20 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import frames
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
 from headrace.llm import hmm, jaccard, minhash, queries
+from headrace.llm.common import shared_folder, stored
 
 
 def words(text):
@@ -359,3 +363,26 @@ def test_pipeline(spark, tmp_path):
     assert len(corpus_pipeline.STAGES) == 4
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {i for i, _ in clean}
+
+
+def test_stored_tables_leave_no_shuffle_files_or_texts(spark):
+    """The shuffle files of a write go when it ends; no copy stays of texts that were measured; digests are stored as bytes."""
+    base = Path(shared_folder(spark).removeprefix("file:")).parent
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffle_files() -> int:
+        files = disk.getAllFiles()
+        return sum("/shuffle_" in str(files.apply(i)) for i in range(files.size()))
+
+    df, tables, held = family(spark).repartition(2), set(base.glob("*/*.parquet")), shuffle_files()
+    written = stored(df.groupBy("text").count())
+    for _ in range(50):
+        if shuffle_files() <= held:
+            break
+        time.sleep(0.1)
+    assert shuffle_files() <= held and written.count() > 10
+    prints, sets = minhash.prints_and_sets(df)
+    minhash.duplicate_classes(df, sets)
+    fields = [pq.read_schema(f) for f in set(base.glob("*/*.parquet")) - tables]
+    assert [f for f in fields if "digest" in f.names] and not [f for f in fields if "text" in f.names and "fingerprint" not in f.names and "count" not in f.names]
+    assert {str(f.field(c).type) for f in fields for c in ("edited_sha256", "fingerprint", "edited_fingerprint") if c in f.names} == {"binary"}
