@@ -12,6 +12,8 @@ import regex
 
 #: Entries of each generation of a memory (two are kept); this bounds memory and changes time only.
 REMEMBERED = 400_000
+#: The same for words of texts, and for pieces of words that are more than one.
+WORDS_REMEMBERED, PIECES_REMEMBERED = 700_000, 200_000
 #: How byte-level files split a text unless they name a pattern, and how they spell bytes.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -21,15 +23,15 @@ BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b n
 class Memory(dict):
     """Results of ``make`` by key: the recent generation and the one before it."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = REMEMBERED):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[key] = value
@@ -60,9 +62,9 @@ class TextIds:
         #: White space is part of the ids, or dropped.
         self.spaced = not splits
         self.pattern = regex.compile(splits[0]["pattern"]["Regex"] if splits else BYTE_LEVEL)
-        self.pieces = Memory(self._piece)
-        self.words = Memory(self._word)
-        self.led = Memory(lambda word: self._word(" " + word))
+        self.pieces = Memory(self._piece, PIECES_REMEMBERED)
+        self.words = Memory(self._word, WORDS_REMEMBERED)
+        self.led = Memory(lambda word: self._word(" " + word), WORDS_REMEMBERED)
 
     def _piece(self, piece: str) -> bytes:
         spelled = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(BYTE_CHARS)
@@ -71,8 +73,8 @@ class TextIds:
     def _word(self, word: str) -> bytes:
         if self.normalizer is not None:
             word = word.lower() if word.isascii() else self.normalizer.normalize_str(word)
-        if word.isalpha():  # one piece by either pattern
-            return self.pieces[word]
+        if word.isalpha():  # one piece by either pattern, remembered as a word
+            return self._piece(word)
         return b"".join(map(self.pieces.__getitem__, self.pattern.findall(word)))
 
     def encode(self, text: str | None) -> np.ndarray:

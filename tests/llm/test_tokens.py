@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from headrace.llm import packing, simple8b
-from headrace.llm.tokens import TextIds
+from headrace.llm.tokens import Memory, TextIds
 
 FILES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
 ODD = ["a  b", "a   b \n c", " x", "x ", "a\n\nb", "", "\n", "a\tb", "a b\x1cc", "it's 'll we've", "<|endoftext|> a", "é É",
@@ -118,3 +118,14 @@ def test_packing(spark, monkeypatch, size):
     total = sum(r.length for r in rows)
     assert len(filled) <= -(-total // size) + 1 + len(rows) // 20
     assert packing.packed_sequences(df.filter("false"), public_tokenizers.path(FILES[1]), size).count() == 0
+
+
+def test_words_are_remembered_once():
+    """A word that is one piece takes one place of the memories; a memory keeps to its own size, and ids stay the same."""
+    own = TextIds(public_tokenizers.path("word_bpe_49k.json"))
+    text = "River dams, river flows 2020"
+    want = own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert own.encode(text).tolist() == want and own.encode(text).tolist() == want
+    assert set(own.words) == {"River", "dams,", "river", "flows", "2020"} and not {"river", "flows"} & set(own.pieces)
+    small = Memory(lambda key: key, 3)
+    assert [small[i] for i in range(10)] == [*range(10)] and len(small) <= 3 and len(small.old) <= 3
