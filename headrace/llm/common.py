@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from headrace.session import shuffles_removed
+
 #: A-Z to a-z, byte by byte; other letters stay as they are.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: The same, and every ASCII byte that is neither a letter nor a digit becomes a space.
@@ -21,7 +24,6 @@ ALNUM = bytes(LOWER[c] if c >= 128 or chr(c).isalnum() else 32 for c in range(25
 #: Bytes of one Arrow batch to a Python worker.
 BATCH_BYTES = "4m"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def find_code(spark: SparkSession) -> None:
@@ -78,14 +80,8 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = path or shared_folder(spark)
-    ours = spark.conf.get(_CLEANUP, None) is None
-    if ours:
-        spark.conf.set(_CLEANUP, "true")
-    try:
+    with shuffles_removed(spark):
         df.write.parquet(path)
-    finally:
-        if ours:
-            spark.conf.unset(_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -95,6 +91,22 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A ``stored`` for tables that only what is computed inside the block reads; their files go with the block."""
+    paths = []
+
+    def put(df: DataFrame) -> DataFrame:
+        paths.append(shared_folder(spark))
+        return stored(df, paths[-1])
+
+    try:
+        yield put
+    finally:
+        for path in paths:
+            removed(spark, path)
+
+
 def with_results(df: DataFrame, keep: list[str], compute: Callable[[list], list[dict]], fields: str, *inputs: str) -> DataFrame:
     """The columns ``keep`` as they are (NULLs and types too) and ``fields`` of ``compute``, a dict per row.
 

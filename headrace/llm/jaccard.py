@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from headrace.llm.common import find_code, removed, shared_folder, small_batches, space_words, stored
+from headrace.llm.common import find_code, passing, small_batches, space_words, stored
 from headrace.llm.shingles import shingle_set
 from headrace.operators.graph import connected_components
 
@@ -78,15 +78,16 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield flush()
 
-    rows = stored(docs.select("text").mapInArrow(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
-    level = F.floor(F.log2("n")).cast("int")
-    least, held = 64, 0
-    for r in rows.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
-        held += r["count"]
-        if held > FREQUENT_KEPT:
-            break
-        least = r["level"]
-    top = rows.filter(level >= least).toPandas()
+    with passing(docs.sparkSession) as put:
+        rows = put(docs.select("text").mapInArrow(counted, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+        level = F.floor(F.log2("n")).cast("int")
+        least, held = 64, 0
+        for level_, count in sorted(map(tuple, rows.groupBy(level.alias("level")).count().collect()), reverse=True):  # 64 levels at most
+            held += count
+            if held > FREQUENT_KEPT:
+                break
+            least = level_
+        top = rows.filter(level >= least).toPandas()
     tokens = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     return tokens[order], top["n"].to_numpy(np.int64)[order]
@@ -106,7 +107,7 @@ def rarest(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.nd
 
 
 def described(docs: DataFrame, frequent) -> DataFrame:
-    """(doc_id, n_shingles, digest of the words, prefix) per row with a doc_id. Stored once, read often."""
+    """(doc_id, n_shingles, digest of the words, prefix) per row with a doc_id. To be stored once, read often."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +126,7 @@ def described(docs: DataFrame, frequent) -> DataFrame:
                 names=["doc_id", "n_shingles", "digest", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stored(docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, n_shingles long, digest binary, prefix array<long>"))
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, n_shingles long, digest binary, prefix array<long>")
 
 
 def cells(sets: DataFrame, first: DataFrame) -> DataFrame:
@@ -137,12 +138,13 @@ def cells(sets: DataFrame, first: DataFrame) -> DataFrame:
     """
     rows = sets.join(first.select(F.col("first").alias("doc_id"), "digest"), ["doc_id", "digest"]).select(
         F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("i", "token"))
-    rows = stored(rows)
-    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("token")
-    kept = stored(rows.join(shared, "token").select("token", "doc", "n", "i"))
-    held = kept.groupBy("doc", "n").agg(F.count(F.lit(1)).alias("held"))
-    alone = held.select("doc", "n", (F.expr(f"n - {most_rest('n')} + 1") - F.col("held")).alias("u"))
-    return stored(kept.join(alone, ["doc", "n"]).select("token", "doc", "n", "u", "i"))
+    with passing(sets.sparkSession) as put:
+        rows = put(rows)
+        shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("token")
+        kept = put(rows.join(shared, "token").select("token", "doc", "n", "i"))
+        held = kept.groupBy("doc", "n").agg(F.count(F.lit(1)).alias("held"))
+        alone = held.select("doc", "n", (F.expr(f"n - {most_rest('n')} + 1") - F.col("held")).alias("u"))
+        return stored(kept.join(alone, ["doc", "n"]).select("token", "doc", "n", "u", "i"))
 
 
 def compatible(na: str, nb: str, ua: str, ub: str, ia: str, ib: str):
@@ -168,14 +170,20 @@ def measured(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     A document ``a`` of very many pairs is copied to several salts, over which its pairs are spread by ``b``.
     """
-    pairs = stored(pairs.select("a", "b").distinct())
+    with passing(docs.sparkSession) as put:
+        return _measured(pairs, docs, put)
+
+
+def _measured(pairs: DataFrame, docs: DataFrame, put) -> DataFrame:
+    pairs = put(pairs.select("a", "b").distinct())
+    n_pairs = pairs.count()
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    path = shared_folder(docs.sparkSession)
-    texts = stored(docs.select("doc_id", "text").join(ids, "doc_id"), path)
+    # counts of the pairs bound the others, which are counted only where that bound is too large
+    ids = F.broadcast(ids) if 2 * n_pairs <= BROADCAST_IDS or ids.count() <= BROADCAST_IDS else ids
+    texts = put(docs.select("doc_id", "text").join(ids, "doc_id"))
     parts = F.ceil(F.col("held") / PAIRS_OF_PIVOT)
-    hot = stored(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > PAIRS_OF_PIVOT).select("a", parts.alias("parts")))
-    hot = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
+    hot = put(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > PAIRS_OF_PIVOT).select("a", parts.alias("parts")))
+    hot = F.broadcast(hot) if n_pairs <= PAIRS_OF_PIVOT * BROADCAST_IDS or hot.count() <= BROADCAST_IDS else hot
     spread = F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0).cast("long"))
     salted = pairs.join(hot, "a", "left").select("a", "b", spread.alias("salt"))
     copies = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).join(hot, "a", "left").select(
@@ -197,22 +205,21 @@ def measured(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                                               pa.array([d[1] for d in distance], pa.bool_())], names=["a", "b", "distance", "link"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    done = stored(both.select("a", "b", "text_a", "text_b").mapInArrow(rows, f"a {kind}, b {kind}, distance double, link boolean"))
-    removed(docs.sparkSession, path)
-    return done
+    return stored(both.select("a", "b", "text_a", "text_b").mapInArrow(rows, f"a {kind}, b {kind}, distance double, link boolean"))
 
 
 def regions(links: DataFrame) -> DataFrame:
     """(doc, comp): the pivot with the largest inner region that holds the document, followed once more from that pivot.
 
-    Documents with the same ``comp`` are connected; the reverse is left to the last join.
+    ``links``: (a, b) with a the pivot, each pair once. Documents with the same ``comp`` are connected; the reverse is left to the last join.
     """
-    inner = links.select("a", "b").distinct()
+    inner = links.select("a", "b")
     size = inner.groupBy("a").agg(F.count(F.lit(1)).alias("held"))
-    among = inner.unionByName(inner.select("a", F.col("a").alias("b")).distinct()).join(size, "a")
-    best = stored(among.groupBy(F.col("b").alias("doc")).agg(F.max(F.struct("held", "a")).alias("m")).select("doc", F.col("m.a").alias("comp")))
-    onward = best.select(F.col("doc").alias("comp"), F.col("comp").alias("next"))
-    return best.join(onward, "comp").select("doc", F.col("next").alias("comp"))
+    among = inner.join(size, "a").unionByName(size.withColumn("b", F.col("a")))
+    with passing(links.sparkSession) as put:
+        best = put(among.groupBy(F.col("b").alias("doc")).agg(F.max(F.struct("held", "a")).alias("m")).select("doc", F.col("m.a").alias("comp")))
+        onward = best.select(F.col("doc").alias("comp"), F.col("comp").alias("next"))
+        return stored(best.join(onward, "comp").select("doc", F.col("next").alias("comp")))
 
 
 def with_components(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -291,27 +298,33 @@ def components(docs: DataFrame) -> DataFrame:
     """
     find_code(docs.sparkSession)
     small_batches(docs.sparkSession)
-    sets = described(docs, frequent_shingles(docs))
+    sets = stored(described(docs, frequent_shingles(docs)))
     usable, first = distinct_texts(sets)
     return linked_classes(docs, sets, usable, first, cells(usable, first))
 
 
 def prefix_cells(docs: DataFrame, first: DataFrame) -> DataFrame:
     """``cells`` of ``docs``, by their own order of rarity. ``first``: the distinct texts among which they count."""
-    return cells(distinct_texts(described(docs, frequent_shingles(docs)))[0], first)
+    with passing(docs.sparkSession) as put:
+        return cells(usable_sets(put(described(docs, frequent_shingles(docs)))), first)
+
+
+def usable_sets(sets: DataFrame) -> DataFrame:
+    return sets.filter(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
 
 
 def distinct_texts(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with a doc_id and words; (digest, first): the least doc_id of each exact text."""
-    usable = sets.filter(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
+    usable = usable_sets(sets)
     return usable, stored(usable.groupBy("digest").agg(F.min("doc_id").alias("first")))
 
 
 def next_regions(rows: DataFrame, texts: DataFrame, distances: DataFrame | None, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """``distances`` with those of one more round, and the regions that all of them show."""
-    found = region_round(stored(open_cells(with_components(rows, labels))), texts, distances)
+    with passing(rows.sparkSession) as put:
+        found = region_round(put(open_cells(with_components(rows, labels))), texts, distances)
     distances = found if distances is None else distances.unionByName(found)
-    return distances, stored(regions(distances.filter("link")))
+    return distances, regions(distances.filter("link"))
 
 
 def linked_classes(docs: DataFrame, sets: DataFrame, usable: DataFrame, first: DataFrame, rows: DataFrame, coarse: bool = False) -> DataFrame:
@@ -331,13 +344,15 @@ def linked_classes(docs: DataFrame, sets: DataFrame, usable: DataFrame, first: D
     for _ in range(ROUNDS):
         distances, labels = next_regions(rows, texts, distances, labels)
     still = stored(open_cells(with_components(rows, labels)))
-    rest = measured(within_windows(stored(last_pairs(still)), distances), texts)
+    with passing(docs.sparkSession) as put:
+        rest = measured(within_windows(put(last_pairs(still)), distances), texts)
     links = distances.unionByName(rest).filter("link").select("a", "b")
     # a doc_id that repeats with several texts joins them
     owners = usable.join(first, "digest").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     several = owners.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).filter("lo <> hi").select("a")
     same = owners.join(several, "a").select("a", "b")
-    graph = stored(connected_components(links.unionByName(same)))
+    with passing(docs.sparkSession) as put:
+        graph = stored(connected_components(put(links.unionByName(same))))
     known = graph.select(F.col("node").alias("first"), "component")
     of_text = first.join(known, "first", "left").select("digest", F.coalesce("component", "first").alias("component_id"))
     known_id = F.col("doc_id").isNotNull()

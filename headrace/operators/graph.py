@@ -249,7 +249,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = (stars.count(), None)
     for _ in range(max_rounds):
-        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = stars.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
         large = _with_minimum(both, least, 2 * seen[0]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()

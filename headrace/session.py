@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def get_spark(app: str = "headrace", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings every operator assumes: UTC, ANSI and adaptive execution."""
     builder = SparkSession.builder.appName(app)
@@ -46,12 +51,26 @@ def run_folder(spark: SparkSession) -> str:
     return path
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of frames that are made and computed inside the block go with their action, unless the user has set that otherwise."""
+    ours = spark.conf.get(_CLEANUP, None) is None
+    if ours:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if ours:
+            spark.conf.unset(_CLEANUP)
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage; the shuffle files that this took go.
 
     ``get_spark`` has Spark remove checkpoints that are no longer referenced.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_base(df.sparkSession))
-    return df.checkpoint(eager=True)
+    with shuffles_removed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)

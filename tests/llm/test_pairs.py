@@ -18,6 +18,7 @@ import pytest
 import corpus_pipeline
 from headrace.llm import hmm, jaccard, minhash, queries
 from headrace.llm.common import shared_folder, stored
+from headrace.session import reliable_checkpoint
 
 
 def words(text):
@@ -386,3 +387,25 @@ def test_stored_tables_leave_no_shuffle_files_or_texts(spark):
     fields = [pq.read_schema(f) for f in set(base.glob("*/*.parquet")) - tables]
     assert [f for f in fields if "digest" in f.names] and not [f for f in fields if "text" in f.names and "fingerprint" not in f.names and "count" not in f.names]
     assert {str(f.field(c).type) for f in fields for c in ("edited_sha256", "fingerprint", "edited_fingerprint") if c in f.names} == {"binary"}
+
+
+def test_passing_tables_and_checkpoints_leave_no_files(spark):
+    """Tables that one step reads go with it, and so do the shuffle files of a checkpoint."""
+    base = Path(shared_folder(spark).removeprefix("file:")).parent
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffle_files() -> int:
+        files = disk.getAllFiles()
+        return sum("/shuffle_" in str(files.apply(i)) for i in range(files.size()))
+
+    df, tables, held = family(spark).repartition(2), set(base.glob("*/*.parquet")), shuffle_files()
+    kept = reliable_checkpoint(df.groupBy("text").count())
+    for _ in range(50):
+        if shuffle_files() <= held:
+            break
+        time.sleep(0.1)
+    assert shuffle_files() <= held and kept.count() > 10
+    jaccard.components(df)
+    left = {tuple(pq.read_schema(f).names) for f in set(base.glob("*/*.parquet")) - tables}
+    assert ("a", "b", "distance", "link") in left
+    assert not left & {("a", "b"), ("a", "parts"), ("token", "n"), ("token", "doc", "n", "i"), ("doc_id", "text")}
