@@ -35,7 +35,7 @@ def _slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column], hot_row
     if n_groups == 0:
         return df.withColumn(SLICE, F.lit(0)), False
     if keys:
-        hot_keys = reliable_checkpoint(sizes.select(*keys))
+        hot_keys = _few(reliable_checkpoint(sizes.select(*keys)), n_groups)
         cold = df.join(hot_keys, list(keys), "left_anti").withColumn(SLICE, F.lit(0))
         hot = df.join(hot_keys, list(keys), "left_semi")
     else:
@@ -46,6 +46,11 @@ def _slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column], hot_row
     return (sliced if cold is None else cold.select(sliced.columns).unionAll(sliced)), True
 
 
+def _few(groups: DataFrame, n_groups: int) -> DataFrame:
+    """Broadcast one row per group while that is few: a join by a shuffle puts all rows of a group into one task."""
+    return F.broadcast(groups) if n_groups <= BROADCAST_GROUPS else groups
+
+
 def _pieces(n_rows: int, hot_rows: int) -> int:
     """Slices of half of ``hot_rows``, but a low ``hot_rows`` does not cut the rows finer than tasks should be."""
     return max(2, min(2 * math.ceil(n_rows / hot_rows), max(FEW_SLICES, 2 * math.ceil(n_rows / SLICE_ROWS))))
@@ -85,11 +90,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: ColumnLike, probs
         return whole.drop("__all")
     rows = df.select(*keys, col(value).alias("__v")).filter(F.col("__v").isNotNull())
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hot = sizes.filter(F.col("__n") > hot_rows)
+    hot = reliable_checkpoint(sizes.filter(F.col("__n") > hot_rows).select(*keys))
     built_in = [F.percentile("__v", F.lit(p)).alias(n) for n, p in probs.items()]
-    if hot.limit(1).count() == 0:
+    n_hot = hot.count()
+    if n_hot == 0:
         return rows.groupBy(*keys).agg(*built_in)
-    hot_keys = reliable_checkpoint(hot.select(*keys))
+    hot_keys = _few(hot, n_hot)
     small = rows.join(hot_keys, list(keys), "left_anti").groupBy(*keys).agg(*built_in)
     large = _large_quantiles(rows.join(hot_keys, list(keys), "left_semi"), keys, probs, hot_rows)
     return small.unionByName(large)
@@ -114,7 +120,7 @@ def _large_quantiles(rows: DataFrame, keys: Sequence[str], probs: Mapping[str, f
         brackets.append(F.struct(F.lit(name).alias("name"), F.lit(p).alias("p"), low.alias("lo"), high.alias("hi")))
     table = sketch.select(*keys, "__n", F.array(*brackets).alias("__b"))
     # One row per hot group, so at most rows / hot_rows; broadcast while that is few.
-    table = F.broadcast(table) if table.count() <= BROADCAST_GROUPS else table
+    table = _few(table, table.count())
     at = rows.join(table, list(keys))
     v = F.col("__v")
     below = at.groupBy(*keys).agg(*[
@@ -150,7 +156,7 @@ def _ranked_quantiles(rows: DataFrame, keys: Sequence[str], probs: Mapping[str,
     ranked = running_totals(counts, keys, ["__v"], {"__hi": F.col("__c")}, hot_rows=hot_rows)
     ranked = ranked.withColumn("__lo", F.col("__hi") - F.col("__c"))
     totals = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
-    ranked = ranked.join(totals, list(keys))
+    ranked = ranked.join(_few(totals, totals.count()), list(keys))
     picks, outs = [], []
     for name, p in probs.items():
         position = F.lit(p) * (F.col("__n") - 1)

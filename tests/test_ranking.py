@@ -117,3 +117,18 @@ def test_slices_do_not_outgrow_the_rows():
     assert R._pieces(100, 40) == 6 and R._pieces(0, 40) == 2
     assert R._pieces(9_000_000, 40) == 90 and R._pieces(54_000_000, 40) == 540
     assert R._pieces(40_000_000, R.HOT_ROWS) == 20
+
+
+def test_hot_groups_are_picked_without_a_shuffle_of_their_rows(spark, skewed, monkeypatch):
+    seen, inner = [], R._large_quantiles
+    monkeypatch.setattr(R, "_large_quantiles", lambda rows, *rest: seen.append(rows) or inner(rows, *rest))
+    df = spark.createDataFrame(skewed, "g string, id int, v double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for keys in (["g"], []):
+            R.exact_quantiles(df, keys, "v", {"q": 0.5}, hot_rows=60).collect()
+        seen.append(R._slices(df, ["g"], [F.col("v")], 60)[0])
+        plans = [rows._jdf.queryExecution().sparkPlan().toString() for rows in seen]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(plans) == 3 and all("Broadcast" in p and "SortMergeJoin" not in p for p in plans)
