@@ -13,6 +13,10 @@ from headrace.llm import decontaminate, jaccard, packing, quality
 from headrace.llm.common import find_code, small_batches, stored, table
 
 
+#: Words that a Python worker remembers here: the executor still holds the heap that the stages before have grown.
+REMEMBERED = 100_000
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; the trees learn from ``labels``."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
@@ -31,7 +35,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens and their places in packed sequences."""
     find_code(spark)
-    return packing.packed_sequences(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.packed_sequences(docs, public_tokenizers.path("byte_bpe_50k.json"), remembered=REMEMBERED)
 
 
 STAGES = [(f.__name__, f) for f in (quality_classifier, ngram_jaccard_join, benchmark_decontamination, best_fit_packing)]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headrace.llm.common import stored
-from headrace.llm.tokens import text_ids
+from headrace.llm.tokens import WORDS_REMEMBERED, text_ids
 
 #: Pieces that one group packs together. Groups get a hashed, hence like, mix of lengths, so each
 #: loses about one sequence in some ten thousand against packing all pieces at once.
@@ -73,13 +73,13 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.
     return bins, offsets
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int = 0, remembered: int = WORDS_REMEMBERED) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): ids of the whole text (NULL: empty) and an end id.
 
     Only documents longer than ``size`` are cut: all pieces but the first have ``size`` ids.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = text_ids(tokenizer)
+        encoder = text_ids(tokenizer, remembered)
         for batch in batches:
             rows = []
             for i, text in enumerate(batch.column("text").to_pylist()):
@@ -120,9 +120,10 @@ def pack(cut: DataFrame, size: int) -> DataFrame:
     return alone.unionByName(rest)
 
 
-def packed_sequences(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0) -> DataFrame:
+def packed_sequences(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, remembered: int = WORDS_REMEMBERED) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) per piece of ``docs``.
 
     NULL and empty texts are one piece of the end id. No documents: no rows. Extra columns are ignored.
+    ``remembered``: words whose ids a Python worker keeps; time and memory depend on it, results do not.
     """
-    return pack(pieces(docs, tokenizer, size, end_id), size)
+    return pack(pieces(docs, tokenizer, size, end_id, remembered), size)

@@ -48,7 +48,7 @@ class TextIds:
     the string of an added token, go to the tokenizer whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = WORDS_REMEMBERED):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,9 +62,9 @@ class TextIds:
         #: White space is part of the ids, or dropped.
         self.spaced = not splits
         self.pattern = regex.compile(splits[0]["pattern"]["Regex"] if splits else BYTE_LEVEL)
-        self.pieces = Memory(self._piece, PIECES_REMEMBERED)
-        self.words = Memory(self._word, WORDS_REMEMBERED)
-        self.led = Memory(lambda word: self._word(" " + word), WORDS_REMEMBERED)
+        self.pieces = Memory(self._piece, min(PIECES_REMEMBERED, remembered))
+        self.words = Memory(self._word, remembered)
+        self.led = Memory(lambda word: self._word(" " + word), remembered)
 
     def _piece(self, piece: str) -> bytes:
         spelled = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(BYTE_CHARS)
@@ -94,6 +94,6 @@ class TextIds:
 
 
 @cache
-def text_ids(path: str) -> TextIds:
+def text_ids(path: str, remembered: int = WORDS_REMEMBERED) -> TextIds:
     """One per Python worker."""
-    return TextIds(path)
+    return TextIds(path, remembered)

@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from headrace.llm import packing, simple8b
 from headrace.llm.tokens import Memory, TextIds
 
@@ -129,3 +130,16 @@ def test_words_are_remembered_once():
     assert set(own.words) == {"River", "dams,", "river", "flows", "2020"} and not {"river", "flows"} & set(own.pieces)
     small = Memory(lambda key: key, 3)
     assert [small[i] for i in range(10)] == [*range(10)] and len(small) <= 3 and len(small.old) <= 3
+
+
+def test_the_pipeline_remembers_few_words(spark, monkeypatch):
+    """The bound reaches the workers' memory, and ids do not depend on it."""
+    path = public_tokenizers.path(FILES[1])
+    few, many = TextIds(path, 10), TextIds(path)
+    texts = [frames.prose(i, 40) for i in range(20)]
+    assert all((few.encode(t) == many.encode(t)).all() for t in texts)
+    assert max(len(m) for m in (few.words, few.led, few.pieces)) <= 10 < max(len(m) for m in (many.words, many.led, many.pieces))
+    asked = []
+    monkeypatch.setattr(packing, "pieces", lambda *a, f=packing.pieces, **k: asked.append((*a, *k.values())[-1]) or f(*a, **k))
+    corpus_pipeline.best_fit_packing(spark, frames.docs(spark, list(enumerate(texts))), "").count()
+    assert asked == [corpus_pipeline.REMEMBERED] and asked[0] <= 100_000
