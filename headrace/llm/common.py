@@ -73,15 +73,16 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
-def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+def stored(df: DataFrame, path: str | None = None, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
 
     The shuffle files of the write go when it ends, not when the driver's garbage is collected, unless the user has set that otherwise.
+    ``options`` are those of the writer.
     """
     spark = df.sparkSession
     path = path or shared_folder(spark)
     with shuffles_removed(spark):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,13 +11,14 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from headrace.llm.common import find_code, space_words, stored
+from headrace.llm.common import find_code, small_batches, space_words, stored
 
 #: Size of the model: hidden states, tokens that are classes of their own, classes of all other tokens.
 STATES, HEADS, TAILS = 8, 8192, 1024
@@ -31,6 +32,8 @@ CHUNK_WORDS = 2_000_000
 BATCH_TOKENS = 200_000
 #: Pseudo-counts of a transition and of a class in a state.
 SMOOTH = 0.5
+#: How rows of whole chunks are written. A row is some MB, and both the writer and the reader hold the rows of a row group together.
+ROW_BY_ROW = {"parquet.block.row.count.limit": "1"}
 #: The end of a text, as a token: no word is empty.
 END = b""
 
@@ -73,10 +76,10 @@ def batches_by_length(lengths: np.ndarray) -> Iterator[np.ndarray]:
     total = np.cumsum(lengths[order])
     cut = np.searchsorted(total, np.arange(BATCH_TOKENS, int(total[-1]) + BATCH_TOKENS, BATCH_TOKENS)) + 1 if len(total) else []
     first = 0
-    for end in cut:
+    for end in np.minimum(cut, len(order)):  # the last document may reach over a cut before the last
         if end > first:
             yield order[first:end]
-            first = min(end, len(order))
+            first = end
 
 
 def _columns(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,6 +162,13 @@ def first_model(classes: list[np.ndarray], weight: np.ndarray) -> Model:
 
 # -- gathering: chunks of documents, and the words of each chunk
 
+def numbering() -> dict[bytes, int]:
+    """Numbers of words by first appearance, 0 for the end token. It holds no reference to itself, so it goes with its chunk."""
+    numbers = defaultdict(count().__next__)
+    numbers[END]
+    return numbers
+
+
 def chunked(docs: DataFrame) -> DataFrame:
     """Documents in chunks: one row of ids, lengths and local token numbers, and the chunk's words with their training counts.
 
@@ -184,10 +194,7 @@ def chunked(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
         def fresh():
-            n = defaultdict()
-            n.default_factory = n.__len__
-            n[END]
-            return [], [], [], [], n, 0
+            return [], [], [], [], numbering(), 0
 
         ids, held, lengths, tokens, numbers, size = fresh()
         for b in batches:
@@ -209,7 +216,7 @@ def chunked(docs: DataFrame) -> DataFrame:
             yield flush()
 
     asked = docs.select("doc_id", "text", F.coalesce(held_out_rows(), F.lit(False)).alias("held"))
-    return stored(asked.mapInArrow(rows, schema))
+    return stored(asked.mapInArrow(rows, schema), **ROW_BY_ROW)
 
 
 def word_counts(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -301,7 +308,7 @@ def classified(chunks: DataFrame, words: DataFrame, counts: DataFrame, found: Ga
                         names=["chunk", "doc_ids", "held_out", "lengths", "classes", "base", "known", "inner"])
 
     parts = chunks.select("chunk", "doc_ids", "held_out", "lengths", "tokens")
-    return stored(parts.groupBy("chunk").cogroup(looked.groupBy("of_chunk")).applyInArrow(rows, out))
+    return stored(parts.groupBy("chunk").cogroup(looked.groupBy("of_chunk")).applyInArrow(rows, out), **ROW_BY_ROW)
 
 
 def _training(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -391,6 +398,7 @@ def language_scores(docs: DataFrame) -> DataFrame:
     Extra columns are ignored.
     """
     find_code(docs.sparkSession)
+    small_batches(docs.sparkSession)
     chunks = chunked(docs)
     words, counts = word_counts(chunks)
     found = gather(counts)

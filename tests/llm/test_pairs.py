@@ -1,10 +1,12 @@
 """Operators 1, 2, 3 and the pipeline against brute force."""
 
+import gc
 import hashlib
 import math
 import random
 import re
 import time
+import weakref
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -335,6 +337,44 @@ def test_language_scores(spark, monkeypatch):
     assert hmm.language_scores(df.filter("false")).count() == 0
 
 
+def test_batches_hold_every_document_once(monkeypatch):
+    """Also where the last document reaches over a cut: no batch is empty."""
+    monkeypatch.setattr(hmm, "BATCH_TOKENS", 10)
+    rng = np.random.default_rng(4)
+    for lengths in ([8, 3], [10], [1], [25, 4, 2], [], *(rng.integers(1, 30, rng.integers(1, 9)) for _ in range(300))):
+        lengths = np.array(lengths, np.int64)
+        batches = list(hmm.batches_by_length(lengths))
+        assert all(len(b) for b in batches)
+        assert sorted(i for b in batches for i in b) == list(range(len(lengths)))
+        for b in batches:
+            assert (np.diff(lengths[b]) <= 0).all() and lengths[b][:-1].sum() < hmm.BATCH_TOKENS
+
+
+def test_a_task_holds_one_chunk_at_a_time(spark, monkeypatch):
+    """However many chunks a task makes, each is a row group of its own, and its words go with it."""
+    monkeypatch.setattr(hmm, "CHUNK_WORDS", 100)
+    chunks = hmm.chunked(family(spark).coalesce(1))
+    words, counts = hmm.word_counts(chunks)
+    ready = hmm.classified(chunks, words, counts, hmm.gather(counts))
+    assert chunks.count() == ready.count() > 20
+    for df in (chunks, ready):
+        files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in df.inputFiles()]
+        assert {m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)} == {1}
+
+    class Word:
+        pass
+
+    numbers, word = hmm.numbering(), Word()
+    assert (numbers[hmm.END], numbers[word], numbers[word]) == (0, 1, 1)
+    gone = weakref.ref(word)
+    gc.disable()
+    try:
+        del numbers, word
+        assert gone() is None
+    finally:
+        gc.enable()
+
+
 def test_model_is_a_distribution(spark):
     """Shares of known tokens and one unknown per tail class add up to one for each state."""
     df = family(spark)
